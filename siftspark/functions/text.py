@@ -1,14 +1,11 @@
-"""Text expressions shared by all operators. Every function maps columns to a column, JVM-side."""
+"""Text expressions shared by all operators, as SQL expression text (see ``functions.sql``)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from siftspark.functions.patterns import REDACTIONS, Pattern, Redaction
+from siftspark.functions.sql import each, either, let, lit, when
 
 # The characters Python counts as white space, so that strip() means the same on both sides.
 WHITESPACE = (
@@ -17,6 +14,7 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
+RARE_BREAKS = ("\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
 # Letters outside ASCII that fold to an ASCII letter under Unicode case rules.
 FOLDING_LETTERS = ("\u0130", "\u0131", "\u017f", "\u212a")
 
@@ -25,159 +23,142 @@ SARIF_LEVELS = {"critical": "error", "high": "error", "medium": "warning",
                 "low": "note", "info": "note"}              # fixed values
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once and use it many times inside ``body``.
-
-    Catalyst may copy a column expression into each place that names it. A one-element
-    ``transform`` binds it to a lambda variable instead, so it is computed once per row.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 @dataclass(frozen=True)
 class Probe:
     """A text, its lower-case form and whether it holds letters that fold outside ASCII."""
 
-    raw: Column
-    low: Column
-    odd: Column
+    raw: str
+    low: str
+    odd: str
 
-    @classmethod
-    def of(cls, text: Column) -> Probe:
-        return cls(text, F.lower(text), has_folding_letters(text))
 
+def contains_any(text: str, words: tuple[str, ...]) -> str:
+    """A word that contains another one of the list adds nothing and is left out."""
+    shortest = [w for w in words if not any(o != w and o in w for o in words)]
+    return either(f"contains({text}, {lit(w)})" for w in shortest)
 
-def has_folding_letters(text: Column) -> Column:
-    found = text.contains(FOLDING_LETTERS[0])
-    for letter in FOLDING_LETTERS[1:]:
-        found = found | text.contains(letter)
-    return found
 
+def has_folding_letters(text: str) -> str:
+    return contains_any(text, FOLDING_LETTERS)
+
+
+def probe(text: str) -> Probe:
+    return Probe(text, f"lower({text})", has_folding_letters(text))
 
-def contains_any(text: Column, words: tuple[str, ...]) -> Column:
-    shortest = [w for w in words if not any(o != w and o in w for o in words)]
-    found = text.contains(shortest[0])
-    for word in shortest[1:]:
-        found = found | text.contains(word)
-    return found
 
+def rlike(text: str, expression: str) -> str:
+    return f"rlike({text}, {lit(expression)})"
 
-def matches(probe: Probe, pattern: Pattern) -> Column:
+
+def matches(p: Probe, pattern: Pattern) -> str:
     """``pattern`` occurs in the text; byte search first, expression only where it can succeed."""
-    exact = probe.raw.rlike(pattern.java)
+    exact = rlike(p.raw, pattern.java)
     if not pattern.needs:
         return exact
-    possible = contains_any(probe.low, pattern.needs)
+    possible = contains_any(p.low, pattern.needs)
     if pattern.ignore_case:
-        possible = possible | probe.odd
-    return possible & exact
+        possible = f"({possible} OR {p.odd})"
+    return f"({possible} AND {exact})"
+
 
+def split_lines(text: str) -> str:
+    """Lines of ``text`` as Python's ``splitlines`` gives them: no empty last line.
 
-def split_lines(text: Column) -> Column:
-    """Lines of ``text`` as Python's ``splitlines`` gives them: no empty last line."""
-    body = F.regexp_replace(text, f"(?:{LINE_BREAK})\\z", "")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(
-        F.split(body, LINE_BREAK, -1)
+    Most texts break at line feeds only. A byte search for the other breaks is far cheaper than an
+    expression tried at every character, so the expression runs only where one of them occurs.
+    """
+    feed = lit("\n")
+    plain = when(f"endswith({text}, {feed})", f"substring({text}, 1, length({text}) - 1)", text)
+    body = f"regexp_replace({text}, {lit(f'(?:{LINE_BREAK})' + chr(92) + 'z')}, '')"
+    return (
+        f"CASE WHEN {text} = '' THEN cast(array() AS array<string>)"
+        f" WHEN {contains_any(text, RARE_BREAKS)} THEN split({body}, {lit(LINE_BREAK)}, -1)"
+        f" ELSE split({plain}, {feed}, -1) END"
     )
 
 
-def strip(text: Column) -> Column:
-    return F.btrim(text, F.lit(WHITESPACE))
+def strip(text: str) -> str:
+    return f"btrim({text}, {lit(WHITESPACE)})"
 
 
-def lstrip(text: Column) -> Column:
-    return F.ltrim(text, F.lit(WHITESPACE))
+def lstrip(text: str) -> str:
+    return f"ltrim({lit(WHITESPACE)}, {text})"
 
 
-def rstrip(text: Column) -> Column:
-    return F.rtrim(text, F.lit(WHITESPACE))
+def rstrip(text: str) -> str:
+    return f"rtrim({lit(WHITESPACE)}, {text})"
 
 
-def indent_of(line: Column) -> Column:
-    return F.length(line) - F.length(lstrip(line))
+def indent_of(line: str) -> str:
+    return f"(length({line}) - length({lstrip(line)}))"
 
 
-def clip(text: Column, max_chars: int = 5000) -> Column:
-    return F.when(F.length(text) <= max_chars, text).otherwise(
-        F.concat(F.substring(text, 1, max_chars), F.lit("\n..."))
-    )
+def clip(text: str, max_chars: int = 5000) -> str:
+    return when(f"length({text}) <= {max_chars}", text,
+                f"concat(substring({text}, 1, {max_chars}), {lit(chr(10) + '...')})")
 
 
-def shorten(text: Column, max_lines: int = 12) -> Column:
+def shorten(text: str, max_lines: int = 12) -> str:
     """First lines of a stripped block, each right-stripped, with a mark if some were left out."""
-    def cut(lines: Column) -> Column:
-        kept = F.transform(F.slice(lines, 1, max_lines), rstrip)
-        return F.array_join(
-            F.when(F.size(lines) <= max_lines, kept).otherwise(
-                F.array_append(kept, F.lit("..."))
-            ),
-            "\n",
-        )
-    return let(split_lines(strip(text)), cut)
-
-
-def _redaction_java(rule: Redaction) -> str:
+    def cut(lines: str) -> str:
+        kept = each(f"slice({lines}, 1, {max_lines})", rstrip)
+        return let(kept, lambda k: "array_join(" + when(
+            f"size({lines}) <= {max_lines}", k, f"array_append({k}, '...')")
+            + f", {lit(chr(10))})")
+    return let(strip(text), lambda t: let(split_lines(t), cut))
+
+
+def redaction_java(rule: Redaction) -> str:
     flags = "U" + ("i" if rule.ignore_case else "") + ("s" if rule.dot_all else "")
     return f"(?{flags}){rule.body}"
 
 
-def redact(text: Column) -> Column:
+def redact(text: str) -> str:
     """Replace secret shapes by marks; the rules run in their given order."""
     for rule in REDACTIONS:
         mark = ("$1" + rule.joint if rule.keeps_name else "") + rule.mark
-        text = F.regexp_replace(text, _redaction_java(rule), mark)
+        text = f"regexp_replace({text}, {lit(redaction_java(rule))}, {lit(mark)})"
     return text
 
 
-def fingerprint(rule_id: Column, path: Column, line: Column, evidence: Column) -> Column:
+def fingerprint(rule_id: str, path: str, line: str, evidence: str) -> str:
     """Identity of a finding that survives moves of up to a few lines."""
-    evidence_hash = F.substring(F.sha2(F.lower(strip(evidence)), 256), 1, 16)
-    bucket = F.floor(line / 5).cast("string")
-    return F.substring(
-        F.sha2(F.concat_ws(":", rule_id, path, bucket, evidence_hash), 256), 1, 24
-    )
+    evidence_hash = f"substring(sha2(lower({strip(evidence)}), 256), 1, 16)"
+    return (f"substring(sha2(concat_ws(':', {rule_id}, {path}, floor({line} / 5),"
+            f" {evidence_hash}), 256), 1, 24)")
 
 
-def snippet_id(path: Column, start: Column, end: Column, text: Column) -> Column:
-    raw = F.concat_ws(":", path, start.cast("string"), end.cast("string"), F.sha2(text, 256))
-    return F.substring(F.sha2(raw, 256), 1, 16)
+def snippet_id(path: str, start: str, end: str, text: str) -> str:
+    return f"substring(sha2(concat_ws(':', {path}, {start}, {end}, sha2({text}, 256)), 256), 1, 16)"
 
 
-def severity_rank(severity: Column) -> Column:
-    rank = F.when(severity == SEVERITIES[0], 0)
-    for position, name in enumerate(SEVERITIES[1:], start=1):
-        rank = rank.when(severity == name, position)
-    return rank
+def severity_rank(severity: str) -> str:
+    cases = " ".join(f"WHEN {lit(name)} THEN {rank}" for rank, name in enumerate(SEVERITIES))
+    return f"CASE {severity} {cases} END"
 
 
-def sarif_level(severity: Column) -> Column:
-    level = F.when(severity == "critical", SARIF_LEVELS["critical"])
-    for name in SEVERITIES[1:]:
-        level = level.when(severity == name, SARIF_LEVELS[name])
-    return level
+def sarif_level(severity: str) -> str:
+    cases = " ".join(f"WHEN {lit(name)} THEN {lit(level)}" for name, level in SARIF_LEVELS.items())
+    return f"CASE {severity} {cases} END"
 
 
-def html_escape(text: Column) -> Column:
+def html_escape(text: str) -> str:
     for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"),
                          ('"', "&quot;"), ("'", "&#x27;")):
-        text = F.replace(text, F.lit(raw), F.lit(escaped))
+        text = f"replace({text}, {lit(raw)}, {lit(escaped)})"
     return text
 
 
-def source_label(ref: Column) -> Column:
-    start, end = ref["line_start"], ref["line_end"]
-    has_start = F.coalesce(start, F.lit(0)) != 0
-    has_end = F.coalesce(end, F.lit(0)) != 0
+def source_label(ref: str) -> str:
+    start, end = f"{ref}.line_start", f"{ref}.line_end"
     return (
-        F.when(has_start & has_end, F.format_string("%s lines %d-%d", ref["title"], start, end))
-        .when(has_start, F.format_string("%s line %d", ref["title"], start))
-        .otherwise(ref["title"])
+        f"CASE WHEN coalesce({start}, 0) != 0 AND coalesce({end}, 0) != 0"
+        f" THEN concat({ref}.title, ' lines ', {start}, '-', {end})"
+        f" WHEN coalesce({start}, 0) != 0 THEN concat({ref}.title, ' line ', {start})"
+        f" ELSE {ref}.title END"
     )
 
 
-def source_links(refs: Column) -> Column:
-    return F.array_join(
-        F.transform(refs, lambda r: F.concat(F.lit("["), source_label(r), F.lit("]("),
-                                             r["url"], F.lit(")"))),
-        ", ",
-    )
+def source_links(refs: str) -> str:
+    links = each(refs, lambda r: f"concat('[', {source_label(r)}, '](', {r}.url, ')')")
+    return f"array_join({links}, ', ')"

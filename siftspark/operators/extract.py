@@ -3,7 +3,7 @@
 A file is one row and stays one row while it is cut up. Lines, blocks and symbols are arrays built
 and filtered inside that row, and only hits leave it, so extraction needs no shuffle however the
 corpus is spread. File size is bounded by the size filter of ``sources.files``, so is each array.
-The ``*_array`` functions map columns to an array column; the others map a files DataFrame
+The ``*_array`` functions compose expression text; the others map a files DataFrame
 (repo, path, language, text) to rows.
 """
 
@@ -11,12 +11,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.functions import patterns as P
+from siftspark.functions.sql import (
+    any_of, each, each_at, either, first_of, fresh, keep, last_of, let, lit, struct, when,
+)
 from siftspark.functions.text import (
-    Probe, contains_any, has_folding_letters, indent_of, let, lstrip, matches, split_lines, strip,
+    Probe, contains_any, has_folding_letters, indent_of, lstrip, matches, probe, rlike,
+    split_lines, strip,
 )
 
 KEYS = ("repo", "path", "language")
@@ -25,107 +29,99 @@ HANDLER_LINES = 13
 OPEN_END = 20
 PY_CLAUSE = r"(?U)^\s*except(?:[\s:(*]|$)"
 JAVA_CLAUSE = r"(?U)\bcatch\s*\("
+FEED = lit("\n")
 
 
-def rows(files: DataFrame, array: Column, *extra: str) -> DataFrame:
+def rows(files: DataFrame, array: str, *extra: str) -> DataFrame:
     """One row per array element.
 
     ``inline_outer`` rather than ``inline``: the latter makes Catalyst add a filter on the size of
     its input, and the whole extraction would be computed a second time for that filter.
     """
-    out = files.select(*KEYS, *extra, F.inline_outer(array))
-    return out.where(F.col("line").isNotNull())
+    out = files.select(*KEYS, *extra, F.expr(f"inline_outer({array})"))
+    return out.where("line IS NOT NULL")
+
+
+def with_lines(body: Callable[[str], str]) -> str:
+    return let(split_lines("text"), body)
 
 
 def lines(files: DataFrame) -> DataFrame:
     """(repo, path, language, line, text), 1-based."""
-    out = files.select(*KEYS, F.posexplode_outer(split_lines(F.col("text"))).alias("pos", "text"))
-    return out.where(F.col("pos").isNotNull()).select(
-        *KEYS, (F.col("pos") + 1).alias("line"), "text"
-    )
+    out = files.select(*KEYS, F.expr(f"posexplode_outer({split_lines('text')})")
+                       .alias("pos", "text"))
+    return out.where("pos IS NOT NULL").selectExpr(*KEYS, "pos + 1 AS line", "text")
 
 
-def numbered(lines_: Column, test: Callable[[Column], Column]) -> Column:
+def numbered(lines_: str, test: Callable[[str], str]) -> str:
     """``struct<line, text>`` of the lines that pass ``test``."""
-    return F.filter(
-        F.transform(lines_, lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"))),
-        lambda h: test(h["text"]),
-    )
-
+    every = each_at(lines_, lambda x, i: struct(line=f"{i} + 1", text=x))
+    return keep(every, lambda h: test(f"{h}.text"))
 
-def join_lines(lines_: Column, start: Column, count: Column | int) -> Column:
-    return F.array_join(F.slice(lines_, start, count), "\n")
 
-
-def first_of(array: Column) -> Column:
-    return F.get(array, F.lit(0))
-
-
-def last_of(array: Column) -> Column:
-    return F.get(array, F.size(array) - 1)
+def join_lines(lines_: str, start: str, count: str | int) -> str:
+    return f"array_join(slice({lines_}, {start}, {count}), {FEED})"
 
 
 # ------------------------------------------------------------------------------ indent and braces
 
-def indent_marks(lines_: Column) -> Column:
+def indent_marks(lines_: str) -> str:
     """``struct<line, indent>`` of the lines that can end an indented block: no blanks, no #."""
-    marks = F.transform(
-        lines_,
-        lambda x, i: let(lstrip(x), lambda body: F.struct(
-            (i + 1).alias("line"),
-            F.when((body != "") & ~body.startswith("#"), F.length(x) - F.length(body))
-            .alias("indent"))),
-    )
-    return F.filter(marks, lambda m: m["indent"].isNotNull())
+    marks = each_at(lines_, lambda x, i: let(lstrip(x), lambda body: struct(
+        line=f"{i} + 1",
+        indent=when(f"{body} != '' AND NOT startswith({body}, '#')",
+                    f"length({x}) - length({body})"))))
+    return keep(marks, lambda m: f"{m}.indent IS NOT NULL")
 
 
-def _count(text: Column, char: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+def count_of(text: str, char: str) -> str:
+    return f"(length({text}) - length(replace({text}, {lit(char)}, '')))"
 
 
-def brace_delta(text: Column) -> Column:
-    return _count(text, "{") - _count(text, "}")
+def brace_delta(text: str) -> str:
+    return f"({count_of(text, '{')} - {count_of(text, '}')})"
 
 
-def brace_profile(lines_: Column) -> Column:
-    """``struct<line, depth, opens>`` of the lines holding a brace; depth is that after the line."""
-    braced = numbered(lines_, lambda x: x.contains("{") | x.contains("}"))
-    start = F.struct(
-        F.lit(0).alias("depth"),
-        F.array().cast("array<struct<line:int,depth:int,opens:boolean>>").alias("seen"),
-    )
+PROFILE_TYPE = "array<struct<line:int,depth:int,opens:boolean>>"
 
-    def step(acc: Column, h: Column) -> Column:
-        return let(acc["depth"] + brace_delta(h["text"]), lambda depth: F.struct(
-            depth.alias("depth"),
-            F.array_append(acc["seen"], F.struct(
-                h["line"].alias("line"), depth.alias("depth"),
-                h["text"].contains("{").alias("opens"))).alias("seen"),
-        ))
 
-    return F.aggregate(braced, start, step, lambda acc: acc["seen"])
+def brace_profile(lines_: str) -> str:
+    """``struct<line, depth, opens>`` of the lines holding a brace; depth is that after the line."""
+    braced = numbered(lines_, lambda x: f"(contains({x}, '{{') OR contains({x}, '}}'))")
+    acc, h = fresh("a"), fresh("h")
+    step = let(f"{acc}.depth + {brace_delta(f'{h}.text')}", lambda depth: struct(
+        depth=depth,
+        seen=f"array_append({acc}.seen, " + struct(
+            line=f"{h}.line", depth=depth, opens=f"contains({h}.text, '{{')") + ")"))
+    start = struct(depth="0", seen=f"cast(array() AS {PROFILE_TYPE})")
+    return f"aggregate({braced}, {start}, ({acc}, {h}) -> {step}, {acc} -> {acc}.seen)"
 
 
-def _indent_end(marks: Column, line: Column, indent: Column, count: Column) -> Column:
+def _indent_end(marks: str, line: str, indent: str, count: str) -> str:
     """Last line before the first later mark that is not deeper; the last line if there is none."""
-    stop = first_of(F.filter(marks, lambda m: (m["line"] > line) & (m["indent"] <= indent)))
-    return F.coalesce(stop["line"] - 1, count)
+    stop = let(indent, lambda own: first_of(
+        keep(marks, lambda m: f"{m}.line > {line} AND {m}.indent <= {own}")))
+    return f"coalesce({stop}.line - 1, {count})"
+
 
+def _depth_before(profile: str, line: str) -> str:
+    return f"coalesce({last_of(keep(profile, lambda p: f'{p}.line < {line}'))}.depth, 0)"
 
-def _depth_before(profile: Column, line: Column) -> Column:
-    return F.coalesce(last_of(F.filter(profile, lambda p: p["line"] < line))["depth"], F.lit(0))
 
+def _brace_end(profile: str, line: str, target: str, opened_here: str | None, count: str) -> str:
+    """First line from ``line`` on, once a brace was opened, where the depth is back at target.
 
-def _brace_end(profile: Column, line: Column, target: Column, opened_here: Column | None,
-               count: Column) -> Column:
-    """First line from ``line`` on, once a brace was opened, where the depth is back at target."""
-    opens = F.filter(profile, lambda p: (p["line"] >= line) & p["opens"])
-    if opened_here is not None:
-        opens = F.filter(profile, lambda p: ((p["line"] > line) & p["opens"])
-                         | ((p["line"] == line) & opened_here))
-    closed = let(first_of(opens)["line"], lambda first: first_of(F.filter(
-        profile, lambda p: (p["line"] >= first) & (p["depth"] <= target))))
-    return F.coalesce(closed["line"], F.least(line + OPEN_END, count))
+    Whatever the inner filters compare with is bound first: inside their lambdas it would be
+    computed once per brace line.
+    """
+    if opened_here is None:
+        first = first_of(keep(profile, lambda p: f"{p}.line >= {line} AND {p}.opens")) + ".line"
+    else:
+        later = first_of(keep(profile, lambda p: f"{p}.line > {line} AND {p}.opens")) + ".line"
+        first = when(opened_here, line, later)
+    closed = let(first, lambda start: let(target, lambda depth: first_of(
+        keep(profile, lambda p: f"{p}.line >= {start} AND {p}.depth <= {depth}"))))
+    return f"coalesce({closed}.line, least({line} + {OPEN_END}, {count}))"
 
 
 # --------------------------------------------------------------------------------------- symbols
@@ -133,104 +129,94 @@ def _brace_end(profile: Column, line: Column, target: Column, opened_here: Colum
 SYMBOL_TYPE = "array<struct<name:string,kind:string,start_line:int,end_line:int>>"
 
 
-def _symbol_head(x: Column) -> Column:
+def _symbol_head(x: str) -> str:
     """``struct<name, kind, braces>`` of the symbol a line declares, or null."""
-    def named(pattern: str, possible: Column, kind: Column, braces: bool) -> Column:
-        return F.when(possible, let(F.regexp_extract(x, "(?U)" + pattern, 1), lambda name: F.when(
-            name != "", F.struct(name.alias("name"), kind.alias("kind"),
-                                 F.lit(braces).alias("braces")))))
-
-    has_class = x.contains("class")
-    has_call = x.contains("(")
-    python_kind = F.when(F.length(lstrip(F.substring(x, 1, 1))) == 0, "method").otherwise(
-        "function")
-    body = lstrip(x)
-    control = body.startswith(P.NOT_A_METHOD[0])
-    for word in P.NOT_A_METHOD[1:]:
-        control = control | body.startswith(word)
-    return F.coalesce(
-        named(P.PY_CLASS, has_class, F.lit("class"), False),
-        named(P.PY_FUNCTION, has_call & x.contains("def"), python_kind, False),
-        named(P.JAVA_CLASS, has_class, F.lit("class"), True),
-        named(P.JAVA_METHOD, has_call & ~control, F.lit("method"), True),
-    )
-
-
-def symbol_array(lines_: Column) -> Column:
+    def named(pattern: str, possible: str, kind: str, braces: bool) -> str:
+        name = f"regexp_extract({x}, {lit('(?U)' + pattern)}, 1)"
+        return when(possible, let(name, lambda n: when(
+            f"{n} != ''", struct(name=n, kind=kind, braces=str(braces).lower()))))
+
+    has_class, has_call = f"contains({x}, 'class')", f"contains({x}, '(')"
+    method_or_function = when(f"{lstrip(f'substring({x}, 1, 1)')} = ''", "'method'", "'function'")
+    control = let(lstrip(x), lambda body: either(
+        f"startswith({body}, {lit(word)})" for word in P.NOT_A_METHOD))
+    return "coalesce(" + ", ".join((
+        named(P.PY_CLASS, has_class, "'class'", False),
+        named(P.PY_FUNCTION, f"{has_call} AND contains({x}, 'def')", method_or_function, False),
+        named(P.JAVA_CLASS, has_class, "'class'", True),
+        named(P.JAVA_METHOD, f"{has_call} AND NOT {control}", "'method'", True),
+    )) + ")"
+
+
+def symbol_array(lines_: str) -> str:
     """``struct<name, kind, start_line, end_line>`` in line order."""
-    heads = F.filter(
-        F.transform(lines_, lambda x, i: F.struct(
-            (i + 1).alias("line"), _symbol_head(x).alias("sym"), indent_of(x).alias("indent"))),
-        lambda h: h["sym"].isNotNull(),
-    )
-    count = F.size(lines_)
-
-    def with_ends(found: Column) -> Column:
-        return let(indent_marks(lines_), lambda marks: let(
-            F.when(F.exists(found, lambda h: h["sym"]["braces"]), brace_profile(lines_)),
-            lambda profile: F.transform(found, lambda h: F.struct(
-                h["sym"]["name"].alias("name"),
-                h["sym"]["kind"].alias("kind"),
-                h["line"].alias("start_line"),
-                F.when(h["sym"]["braces"], _brace_end(
-                    profile, h["line"], _depth_before(profile, h["line"]), None, count))
-                .otherwise(_indent_end(marks, h["line"], h["indent"], count))
-                .alias("end_line"),
-            ))))
-
-    return let(heads, lambda found: F.when(
-        F.size(found) == 0, F.array().cast(SYMBOL_TYPE)).otherwise(with_ends(found)))
-
-
-def innermost(symbols: Column, line: Column) -> Column:
+    heads = keep(
+        each_at(lines_, lambda x, i: struct(line=f"{i} + 1", text=x, sym=_symbol_head(x))),
+        lambda h: f"{h}.sym IS NOT NULL")
+    count = f"size({lines_})"
+
+    def end(h: str, marks: str, profile: str) -> str:
+        line = f"{h}.line"
+        return when(f"{h}.sym.braces",
+                    _brace_end(profile, line, _depth_before(profile, line), None, count),
+                    _indent_end(marks, line, indent_of(f"{h}.text"), count))
+
+    def with_ends(found: str) -> str:
+        profile = when(any_of(found, lambda h: f"{h}.sym.braces"), brace_profile(lines_))
+        return let(indent_marks(lines_), lambda marks: let(profile, lambda prof: each(
+            found, lambda h: struct(name=f"{h}.sym.name", kind=f"{h}.sym.kind",
+                                    start_line=f"{h}.line", end_line=end(h, marks, prof)))))
+
+    return let(heads, lambda found: when(
+        f"size({found}) = 0", f"cast(array() AS {SYMBOL_TYPE})", with_ends(found)))
+
+
+def innermost(symbols_: str, line: str) -> str:
     """Name of the symbol around a line that starts last. Symbols come in start order."""
-    around = F.filter(symbols, lambda s: (s["start_line"] <= line) & (line <= s["end_line"]))
-    return last_of(around)["name"]
+    around = keep(symbols_, lambda s: f"{s}.start_line <= {line} AND {line} <= {s}.end_line")
+    return last_of(around) + ".name"
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    found = F.transform(
-        let(split_lines(F.col("text")), symbol_array),
-        lambda s: F.struct(s["start_line"].alias("line"), s["name"].alias("name"),
-                           s["kind"].alias("kind"), s["end_line"].alias("end_line")))
-    return rows(files, found).select(
-        *KEYS, "name", "kind", F.col("line").alias("start_line"), "end_line")
+    found = each(with_lines(symbol_array), lambda s: struct(
+        line=f"{s}.start_line", name=f"{s}.name", kind=f"{s}.kind", end_line=f"{s}.end_line"))
+    return rows(files, found).selectExpr(*KEYS, "name", "kind", "line AS start_line", "end_line")
 
 
 # ------------------------------------------------------------------------------ imports and calls
 
-def _probe(x: Column, odd: Column) -> Probe:
-    return Probe(x, F.lower(x), odd)
+def line_probe(x: str, odd: str) -> Probe:
+    return Probe(x, f"lower({x})", odd)
 
 
 def imports(files: DataFrame) -> DataFrame:
-    text = F.col("text")
-    found = let(split_lines(text), lambda ls: F.transform(
-        numbered(ls, lambda x: matches(_probe(x, F.lit(False)), P.IMPORT)),
-        lambda h: F.struct(h["line"].alias("line"), strip(h["text"]).alias("text"))))
+    found = with_lines(lambda ls: each(
+        numbered(ls, lambda x: matches(line_probe(x, "false"), P.IMPORT)),
+        lambda h: struct(line=f"{h}.line", text=strip(f"{h}.text"))))
     return rows(files, found)
 
 
-def call_array(text: Column, lines_: Column, pattern: P.Pattern) -> Column:
+def _with_symbols(lines_: str, array: str, fields: tuple[str, ...]) -> str:
+    """Add the innermost symbol to each element; symbols are only looked for if there are any."""
+    return let(array, lambda found: let(
+        when(f"size({found}) > 0", symbol_array(lines_)),
+        lambda syms: each(found, lambda e: struct(
+            **{f: f"{e}.{f}" for f in fields}, symbol=innermost(syms, f"{e}.line")))))
+
+
+def call_array(lines_: str, pattern: P.Pattern) -> str:
     """``struct<line, text>`` of the calls, stripped."""
-    return let(has_folding_letters(text), lambda odd: F.transform(
-        numbered(lines_, lambda x: matches(_probe(x, odd), pattern)),
-        lambda h: F.struct(h["line"].alias("line"), strip(h["text"]).alias("text"))))
+    return let(has_folding_letters("text"), lambda odd: each(
+        numbered(lines_, lambda x: let(f"lower({x})", lambda low: matches(
+            Probe(x, low, odd), pattern))),
+        lambda h: struct(line=f"{h}.line", text=strip(f"{h}.text"))))
 
 
 def calls(files: DataFrame, pattern: P.Pattern, kind: str) -> DataFrame:
     """Call lines of one kind with the innermost symbol around them."""
-    text = F.col("text")
-
-    def found(ls: Column) -> Column:
-        return let(call_array(text, ls, pattern), lambda cs: let(
-            F.when(F.size(cs) > 0, symbol_array(ls)),
-            lambda syms: F.transform(cs, lambda c: F.struct(
-                c["line"].alias("line"), c["text"].alias("text"),
-                innermost(syms, c["line"]).alias("symbol")))))
-
-    out = rows(files, let(split_lines(text), found))
-    return out.select(*KEYS, F.lit(kind).alias("kind"), "line", "text", "symbol")
+    found = with_lines(lambda ls: _with_symbols(ls, call_array(ls, pattern), ("line", "text")))
+    return rows(files, found).selectExpr(
+        *KEYS, f"{lit(kind)} AS kind", "line", "text", "symbol")
 
 
 def logger_calls(files: DataFrame) -> DataFrame:
@@ -243,152 +229,130 @@ def console_calls(files: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------------------ exception blocks
 
-BLOCK_TYPE = "array<struct<line:int,end_line:int,kind:string,text:string>>"
+SPAN_FIELDS = ("line", "end_line", "kind", "text")
+SPAN_COLUMNS = (*KEYS, "kind", "line AS start_line", "end_line", "text", "symbol")
 
 
-def _is_head(x: Column) -> Column:
-    def starts(body: Column) -> Column:
-        found = body.startswith(P.BLOCK_HEADS[0])
-        for head in P.BLOCK_HEADS[1:]:
-            found = found | body.startswith(head)
-        return found
-    return contains_any(x, ("except", "catch")) & starts(strip(x))
+def _is_head(x: str) -> str:
+    starts = let(strip(x), lambda body: either(
+        f"startswith({body}, {lit(head)})" for head in P.BLOCK_HEADS))
+    return f"({contains_any(x, ('except', 'catch'))} AND {starts})"
 
 
-def _span(lines_: Column, line: Column, count: int, kind: Column) -> Column:
-    return F.struct(
-        line.alias("line"),
-        F.least(line + (count - 1), F.size(lines_)).alias("end_line"),
-        kind.alias("kind"),
-        join_lines(lines_, line, count).alias("text"),
-    )
+def _span(lines_: str, line: str, count: int, kind: str) -> str:
+    return struct(line=line, end_line=f"least({line} + {count - 1}, size({lines_}))", kind=kind,
+                  text=join_lines(lines_, line, count))
 
 
-def window_block_array(lines_: Column) -> Column:
+def window_block_array(lines_: str) -> str:
     """A head line and the thirteen lines after it."""
-    return F.transform(numbered(lines_, _is_head), lambda h: _span(
-        lines_, h["line"], BLOCK_LINES,
-        F.when(h["text"].contains("catch"), "catch").otherwise("exception")))
+    return each(numbered(lines_, _is_head), lambda h: _span(
+        lines_, f"{h}.line", BLOCK_LINES,
+        when(f"contains({h}.text, 'catch')", "'catch'", "'exception'")))
 
 
-def _python_clauses(lines_: Column) -> Column:
-    heads = numbered(lines_, lambda x: x.contains("except") & x.rlike(PY_CLAUSE))
+def _python_clauses(lines_: str) -> str:
+    heads = numbered(lines_, lambda x: f"(contains({x}, 'except') AND {rlike(x, PY_CLAUSE)})")
 
-    def cut(h: Column, marks: Column) -> Column:
-        own = indent_of(h["text"])
-        stop = _indent_end(marks, h["line"], own, F.size(lines_))
+    def cut(h: str, marks: str) -> str:
+        stop = _indent_end(marks, f"{h}.line", indent_of(f"{h}.text"), f"size({lines_})")
         # The clause ends with its last statement: blank and comment lines after it are left out.
-        inside = F.filter(marks, lambda m: (m["line"] >= h["line"]) & (m["line"] <= stop))
-        return let(last_of(inside)["line"], lambda end: F.struct(
-            h["line"].alias("line"), end.alias("end_line"), F.lit("exception").alias("kind"),
-            lstrip(join_lines(lines_, h["line"], end - h["line"] + 1)).alias("text")))
+        inside = let(stop, lambda last: last_of(keep(
+            marks, lambda m: f"{m}.line >= {h}.line AND {m}.line <= {last}")))
+        return let(f"{inside}.line", lambda end: struct(
+            line=f"{h}.line", end_line=end, kind="'exception'",
+            text=lstrip(join_lines(lines_, f"{h}.line", f"{end} - {h}.line + 1"))))
 
-    return let(heads, lambda found: F.when(F.size(found) > 0, let(
-        indent_marks(lines_), lambda marks: F.transform(found, lambda h: cut(h, marks)))))
+    return let(heads, lambda found: when(f"size({found}) > 0", let(
+        indent_marks(lines_), lambda marks: each(found, lambda h: cut(h, marks)))))
 
 
-def _clause_text(text: Column) -> Column:
+def _clause_text(text: str) -> str:
     """From ``catch`` to the brace that closes it; the whole text if none does."""
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("seen"), F.lit(0).alias("at"),
-                     F.lit(0).alias("end"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        return let(_count(piece, "{"), lambda opens: let(
-            acc["depth"] + opens - 1, lambda depth: let(
-                acc["seen"] | (opens > 0), lambda seen: F.struct(
-                    depth.alias("depth"), seen.alias("seen"), (acc["at"] + 1).alias("at"),
-                    F.when((acc["end"] == 0) & seen & (depth <= 0), acc["at"] + 1)
-                    .otherwise(acc["end"]).alias("end")))))
-
-    def cut(pieces: Column) -> Column:
+    start = struct(depth="0", seen="false", at="0", stop="0")
+    acc, piece = fresh("a"), fresh("p")
+    step = let(count_of(piece, "{"), lambda opens: let(
+        f"{acc}.depth + {opens} - 1", lambda depth: let(
+            f"{acc}.seen OR {opens} > 0", lambda seen: struct(
+                depth=depth, seen=seen, at=f"{acc}.at + 1",
+                stop=when(f"{acc}.stop = 0 AND {seen} AND {depth} <= 0",
+                          f"{acc}.at + 1", f"{acc}.stop")))))
+
+    def cut(pieces: str) -> str:
         # The piece after the last closing brace closes nothing.
-        closing = F.slice(pieces, 1, F.size(pieces) - 1)
-        return let(F.aggregate(closing, start, step, lambda acc: acc["end"]), lambda end: F.when(
-            end == 0, text).otherwise(
-            F.concat(F.array_join(F.slice(pieces, 1, end), "}"), F.lit("}"))))
-
-    return let(F.split(text, "\\}", -1), cut)
-
-
-def _java_clauses(lines_: Column) -> Column:
-    heads = numbered(lines_, lambda x: x.contains("catch") & x.rlike(JAVA_CLAUSE)
-                     & ~x.rlike(P.COMMENT_LINE.java))
-
-    def cut(h: Column, profile: Column) -> Column:
-        def at(pos: Column) -> Column:
-            before = F.substring(h["text"], F.lit(1), pos - 1)
-            after = F.substring(h["text"], pos, F.length(h["text"]))
-            end = _brace_end(profile, h["line"],
-                             _depth_before(profile, h["line"]) + brace_delta(before),
-                             after.contains("{"), F.size(lines_))
-            whole = let(end, lambda last: F.when(last > h["line"], F.concat_ws(
-                "\n", after, join_lines(lines_, h["line"] + 1, last - h["line"])))
-                .otherwise(after))
-            return let(let(whole, _clause_text), lambda text: F.struct(
-                h["line"].alias("line"), (h["line"] + _count(text, "\n")).alias("end_line"),
-                F.lit("catch").alias("kind"), text.alias("text")))
-        return let(F.regexp_instr(h["text"], F.lit(JAVA_CLAUSE)), at)
-
-    return let(heads, lambda found: F.when(F.size(found) > 0, let(
-        brace_profile(lines_), lambda profile: F.transform(found, lambda h: cut(h, profile)))))
-
-
-def block_array(lines_: Column, language: Column, mode: str) -> Column:
+        closing = f"slice({pieces}, 1, size({pieces}) - 1)"
+        stop = f"aggregate({closing}, {start}, ({acc}, {piece}) -> {step}, {acc} -> {acc}.stop)"
+        return let(stop, lambda s: when(
+            f"{s} = 0", text, f"concat(array_join(slice({pieces}, 1, {s}), '}}'), '}}')"))
+
+    return let(f"split({text}, {lit('[}]')}, -1)", cut)
+
+
+def _java_clauses(lines_: str) -> str:
+    heads = numbered(lines_, lambda x: f"(contains({x}, 'catch') AND {rlike(x, JAVA_CLAUSE)}"
+                     f" AND NOT {rlike(x, P.COMMENT_LINE.java)})")
+
+    def cut(h: str, profile: str) -> str:
+        line = f"{h}.line"
+
+        def at(pos: str) -> str:
+            before = f"substring({h}.text, 1, {pos} - 1)"
+            after = f"substring({h}.text, {pos})"
+            target = f"{_depth_before(profile, line)} + {brace_delta(before)}"
+            end = _brace_end(profile, line, target, f"contains({after}, '{{')", f"size({lines_})")
+            whole = let(end, lambda last: when(
+                f"{last} > {line}",
+                f"concat({after}, {FEED}, {join_lines(lines_, f'{line} + 1', f'{last} - {line}')})",
+                after))
+            return let(let(whole, _clause_text), lambda text: struct(
+                line=line, end_line=f"{line} + {count_of(text, chr(10))}", kind="'catch'",
+                text=text))
+        return let(f"regexp_instr({h}.text, {lit(JAVA_CLAUSE)})", at)
+
+    return let(heads, lambda found: when(f"size({found}) > 0", let(
+        brace_profile(lines_), lambda profile: each(found, lambda h: cut(h, profile)))))
+
+
+def block_array(lines_: str, language: str, mode: str) -> str:
     """Exception blocks of a file: exact clauses, or windows where no clause is found."""
     if mode == "window":
         return window_block_array(lines_)
-    clauses = F.when(language == "python", _python_clauses(lines_)).when(
-        language == "java", _java_clauses(lines_))
-    return let(clauses, lambda found: F.when(
-        F.coalesce(F.size(found), F.lit(0)) > 0, found).otherwise(window_block_array(lines_)))
+    clauses = (f"CASE {language} WHEN 'python' THEN {_python_clauses(lines_)}"
+               f" WHEN 'java' THEN {_java_clauses(lines_)} END")
+    return let(clauses, lambda found: when(
+        f"coalesce(size({found}), 0) > 0", found, window_block_array(lines_)))
 
 
 def exception_blocks(files: DataFrame, mode: str = "window") -> DataFrame:
     """Blocks as rows. Windows carry the innermost symbol; exact clauses carry none."""
-    text = F.col("text")
-
-    def found(ls: Column) -> Column:
-        def attach(blocks: Column) -> Column:
-            syms = F.when(F.size(blocks) > 0, symbol_array(ls))
-            return let(syms, lambda s: F.transform(blocks, lambda b: F.struct(
-                b["line"].alias("line"), b["end_line"].alias("end_line"),
-                b["kind"].alias("kind"), b["text"].alias("text"),
-                innermost(s, b["line"]).alias("symbol"))))
-        blocks = block_array(ls, F.col("language"), mode)
+    def found(ls: str) -> str:
+        blocks = block_array(ls, "language", mode)
         if mode == "window":
-            return let(blocks, attach)
-        return F.transform(blocks, lambda b: F.struct(
-            b["line"].alias("line"), b["end_line"].alias("end_line"), b["kind"].alias("kind"),
-            b["text"].alias("text"), F.lit(None).cast("string").alias("symbol")))
-
-    out = rows(files, let(split_lines(text), found))
-    return out.select(*KEYS, "kind", F.col("line").alias("start_line"), "end_line", "text",
-                      "symbol")
+            return _with_symbols(ls, blocks, SPAN_FIELDS)
+        return each(blocks, lambda b: struct(
+            **{f: f"{b}.{f}" for f in SPAN_FIELDS}, symbol="cast(NULL AS string)"))
+    return rows(files, with_lines(found)).selectExpr(*SPAN_COLUMNS)
 
 
 # ------------------------------------------------------------------------------- handler contexts
 
 def _contexts(files: DataFrame, kind: str) -> DataFrame:
-    text = F.col("text")
-    is_global = kind == "global_exception_handler"
-
-    def found(ls: Column) -> Column:
-        def test(x: Column, odd: Column) -> Column:
-            over = matches(_probe(x, odd), P.GLOBAL_HANDLER)
-            return over if is_global else matches(_probe(x, odd), P.API_HANDLER) & ~over
-        spans = let(has_folding_letters(text), lambda odd: F.transform(
+    def test(x: str, odd: str) -> str:
+        def on(low: str) -> str:
+            p = Probe(x, low, odd)
+            over = matches(p, P.GLOBAL_HANDLER)
+            if kind == "global_exception_handler":
+                return over
+            return f"({matches(p, P.API_HANDLER)} AND NOT {over})"
+        return let(f"lower({x})", on)
+
+    def found(ls: str) -> str:
+        spans = let(has_folding_letters("text"), lambda odd: each(
             numbered(ls, lambda x: test(x, odd)),
-            lambda h: _span(ls, h["line"], HANDLER_LINES, F.lit(kind))))
-        return let(spans, lambda bs: let(
-            F.when(F.size(bs) > 0, symbol_array(ls)), lambda s: F.transform(
-                bs, lambda b: F.struct(
-                    b["line"].alias("line"), b["end_line"].alias("end_line"),
-                    b["kind"].alias("kind"), b["text"].alias("text"),
-                    innermost(s, b["line"]).alias("symbol")))))
+            lambda h: _span(ls, f"{h}.line", HANDLER_LINES, lit(kind))))
+        return _with_symbols(ls, spans, SPAN_FIELDS)
 
-    out = rows(files, let(split_lines(text), found))
-    return out.select(*KEYS, "kind", F.col("line").alias("start_line"), "end_line", "text",
-                      "symbol")
+    return rows(files, with_lines(found)).selectExpr(*SPAN_COLUMNS)
 
 
 def api_handlers(files: DataFrame) -> DataFrame:
@@ -401,6 +365,5 @@ def global_handlers(files: DataFrame) -> DataFrame:
 
 def predicate_flags(files: DataFrame) -> DataFrame:
     """One boolean per predicate and line."""
-    probe = Probe.of(F.col("text"))
-    return lines(files).select(
-        *KEYS, "line", *[matches(probe, p).alias(p.name) for p in P.LINE_PREDICATES])
+    return lines(files).selectExpr(
+        *KEYS, "line", *[f"{matches(probe('text'), p)} AS {p.name}" for p in P.LINE_PREDICATES])

@@ -8,62 +8,56 @@ that come from elsewhere; they group with a partial aggregate, so copies collaps
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.functions import text as T
-from siftspark.functions.text import Probe, has_folding_letters, let, shorten, split_lines, strip
+from siftspark.functions.sql import each, each_at, keep, let, lit, strings, struct, when
+from siftspark.functions.text import Probe, has_folding_letters, shorten, split_lines, strip
 from siftspark.operators import extract as X
 from siftspark.operators.rules import Emission, emissions, language_mask, rule_mask
 from siftspark.options import ScanOptions
 
 ANALYZER = "deterministic"
-CANDIDATE_COLUMNS = ("repo", "path", "language", "rule_id", "line", "message", "evidence",
-                     "analyzer", "confidence", "signals")
 ORDER = ("analyzer_ord", "seq")
 _STEP = 1 << 40      # room for the line number and the rule position below one analyzer step
 
 
-def _literals(table: tuple[Emission, ...]) -> Column:
-    return F.array(*[
-        F.struct(F.lit(1 << i).cast("bigint").alias("bit"), F.lit(i).alias("hit"),
-                 F.lit((e.analyzer_ord * 2 + e.step) * _STEP + i).cast("bigint").alias("base"))
-        for i, e in enumerate(table)
-    ])
+def _table_literal(table: tuple[Emission, ...]) -> str:
+    return "array(" + ", ".join(
+        struct(bit=f"{1 << i}L", hit=str(i), base=f"{(e.analyzer_ord * 2 + e.step) * _STEP + i}L")
+        for i, e in enumerate(table)) + ")"
 
 
-def _emit(line: Column, evidence: Column, mask: Column, table: tuple[Emission, ...]) -> Column:
-    return let(evidence, lambda ev: F.transform(
-        F.filter(_literals(table), lambda b: mask.bitwiseAND(b["bit"]) != 0),
-        lambda b: F.struct(
-            (b["base"] + line.cast("bigint") * 64).alias("ord"), b["hit"].alias("hit"),
-            line.alias("line"), ev.alias("evidence"))))
+def _emit(hit: str, evidence: str, table: tuple[Emission, ...]) -> str:
+    """One struct per rule that holds for this line or block."""
+    return let(evidence, lambda ev: each(
+        keep(_table_literal(table), lambda b: f"({hit}.mask & {b}.bit) != 0"),
+        lambda b: struct(ord=f"{b}.base + {hit}.line * 64L", hit=f"{b}.hit", line=f"{hit}.line",
+                         evidence=ev)))
 
 
-def candidate_array(text: Column, language: Column, options: ScanOptions) -> Column:
+def candidate_array(options: ScanOptions, text: str = "text", language: str = "language") -> str:
     """``struct<ord, hit, line, evidence>`` in emission order; ``hit`` indexes the rule table."""
     table = emissions(options.custom_rules)
 
-    def build(lines_: Column, odd: Column, allowed: Column) -> Column:
-        line_hits = F.filter(
-            F.transform(lines_, lambda x, i: F.struct(
-                (i + 1).alias("line"), x.alias("text"),
-                let(F.lower(x), lambda low: rule_mask(
-                    table, ("line", "call"), Probe(x, low, odd))).bitwiseAND(allowed)
-                .alias("mask"))),
-            lambda h: h["mask"] != 0)
-        blocks = F.filter(
-            F.transform(X.block_array(lines_, language, options.block_mode), lambda b: F.struct(
-                b["line"].alias("line"), b["text"].alias("text"),
-                let(F.lower(b["text"]), lambda low: rule_mask(
-                    table, ("block",), Probe(b["text"], low, odd))).bitwiseAND(allowed)
-                .alias("mask"))),
-            lambda h: h["mask"] != 0)
-        return F.array_sort(F.flatten(F.concat(
-            F.transform(line_hits, lambda h: _emit(
-                h["line"], strip(h["text"]), h["mask"], table)),
-            F.transform(blocks, lambda h: _emit(
-                h["line"], shorten(h["text"]), h["mask"], table)))))
+    def mask(x: str, scopes: tuple[str, ...], odd: str, allowed: str) -> str:
+        bits = let(f"lower({x})", lambda low: rule_mask(table, scopes, Probe(x, low, odd)))
+        return f"({bits} & {allowed})"
+
+    def build(lines_: str, odd: str, allowed: str) -> str:
+        line_hits = keep(
+            each_at(lines_, lambda x, i: struct(
+                line=f"{i} + 1", text=x, mask=mask(x, ("line", "call"), odd, allowed))),
+            lambda h: f"{h}.mask != 0")
+        blocks = keep(
+            each(X.block_array(lines_, language, options.block_mode), lambda b: struct(
+                line=f"{b}.line", text=f"{b}.text",
+                mask=mask(f"{b}.text", ("block",), odd, allowed))),
+            lambda h: f"{h}.mask != 0")
+        return "array_sort(flatten(concat({}, {})))".format(
+            each(line_hits, lambda h: _emit(h, strip(f"{h}.text"), table)),
+            each(blocks, lambda h: _emit(h, shorten(f"{h}.text"), table)))
 
     return let(split_lines(text), lambda ls: let(has_folding_letters(text), lambda odd: let(
         language_mask(table, language), lambda allowed: build(ls, odd, allowed))))
@@ -71,73 +65,69 @@ def candidate_array(text: Column, language: Column, options: ScanOptions) -> Col
 
 def _describe(hits: DataFrame, options: ScanOptions, *extra: str) -> DataFrame:
     """Replace the table index by the rule's own columns."""
-    table = emissions(options.custom_rules)
-    facts = F.array(*[
-        F.struct(
-            F.lit(e.rule.rule_id).alias("rule_id"), F.lit(e.rule.message).alias("message"),
-            F.lit(e.rule.confidence).alias("confidence"),
-            F.array(*[F.lit(s) for s in e.rule.signals]).cast("array<string>").alias("signals"),
-            F.lit(e.analyzer_ord).alias("analyzer_ord"))
-        for e in table
-    ])
-    fact = F.element_at(facts, F.col("hit") + 1)
-    return hits.select(
-        *X.KEYS, fact["rule_id"].alias("rule_id"), "line", fact["message"].alias("message"),
-        "evidence", F.lit(ANALYZER).alias("analyzer"), fact["confidence"].alias("confidence"),
-        fact["signals"].alias("signals"), fact["analyzer_ord"].alias("analyzer_ord"),
-        F.col("ord").alias("seq"), *extra)
+    facts = "array(" + ", ".join(
+        struct(rule_id=lit(e.rule.rule_id), message=lit(e.rule.message),
+               confidence=f"{e.rule.confidence}D", signals=strings(e.rule.signals),
+               analyzer_ord=str(e.analyzer_ord))
+        for e in emissions(options.custom_rules)) + ")"
+    fact = f"element_at({facts}, hit + 1)"
+    return hits.selectExpr(
+        *X.KEYS, f"{fact}.rule_id AS rule_id", "line", f"{fact}.message AS message", "evidence",
+        f"{lit(ANALYZER)} AS analyzer", f"{fact}.confidence AS confidence",
+        f"{fact}.signals AS signals", f"{fact}.analyzer_ord AS analyzer_ord", "ord AS seq", *extra)
 
 
 def candidates(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """All rule hits in emission order, repeats included."""
-    found = candidate_array(F.col("text"), F.col("language"), options)
-    return _describe(X.rows(files, found), options)
+    return _describe(X.rows(files, candidate_array(options)), options)
 
 
-def keep_first_in_row(array: Column, keys: Column) -> Column:
+def keep_first_in_row(array: str, keys: str) -> str:
     """Elements whose key has not occurred before; both arrays run in parallel."""
-    return let(keys, lambda ks: F.filter(
-        array, lambda c, i: F.array_position(ks, F.get(ks, i)) == i + 1))
+    def first(ks: str) -> str:
+        at = each_at(array, lambda c, i: struct(
+            item=c, first=f"array_position({ks}, get({ks}, {i})) = {i} + 1"))
+        return each(keep(at, lambda c: f"{c}.first"), lambda c: f"{c}.item")
+    return let(keys, first)
 
 
-def deduped_array(text: Column, language: Column, options: ScanOptions) -> Column:
+def deduped_array(options: ScanOptions, text: str = "text", language: str = "language") -> str:
     """Candidates without repeats of (rule, line, message)."""
-    table = emissions(options.custom_rules)
     groups: dict[tuple[str, str], int] = {}
-    ids = F.array(*[F.lit(groups.setdefault((e.rule.rule_id, e.rule.message), len(groups)))
-                    for e in table])
-    return let(candidate_array(text, language, options), lambda cs: keep_first_in_row(
-        cs, F.transform(cs, lambda c: c["line"].cast("bigint") * 64
-                        + F.element_at(ids, c["hit"] + 1))))
+    ids = ", ".join(str(groups.setdefault((e.rule.rule_id, e.rule.message), len(groups)))
+                    for e in emissions(options.custom_rules))
+    return let(candidate_array(options, text, language), lambda cs: keep_first_in_row(
+        cs, each(cs, lambda c: f"{c}.line * 64L + element_at(array({ids}), {c}.hit + 1)")))
 
 
 def raw_findings(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """De-duplicated hits before suppression, without fingerprints."""
-    return _describe(
-        X.rows(files, deduped_array(F.col("text"), F.col("language"), options)), options)
+    return _describe(X.rows(files, deduped_array(options)), options)
 
 
 # ------------------------------------------------------------------------------------ suppression
 
-def suppression_array(lines_: Column, directive: str) -> Column:
+def suppression_array(lines_: str, directive: str) -> str:
     """``struct<line, rule_id, scope>``; ``line`` is the suppressed one, or that of the comment."""
-    def directives(kind: str, scope: str, shift: int) -> Column:
+    def directives(kind: str, scope: str, shift: int) -> str:
         mark = f"{directive}-disable-{kind}"
         # The prefix is an option and may hold characters with a meaning in expressions.
         expression = f"(?U)\\Q{mark}\\E\\s+([A-Z]+-\\d+)"
-        return F.filter(
-            F.transform(X.numbered(lines_, lambda x: x.contains(mark)), lambda h: F.struct(
-                (h["line"] + shift).alias("line"),
-                F.regexp_extract(h["text"], expression, 1).alias("rule_id"),
-                F.lit(scope).alias("scope"))),
-            lambda s: s["rule_id"] != "")
-    return F.concat(directives("file", "file", 0), directives("next-line", "line", 1))
+        found = each(X.numbered(lines_, lambda x: f"contains({x}, {lit(mark)})"), lambda h: struct(
+            line=f"{h}.line + {shift}",
+            rule_id=f"regexp_extract({h}.text, {lit(expression)}, 1)", scope=lit(scope)))
+        return keep(found, lambda s: f"{s}.rule_id != ''")
+    return f"concat({directives('file', 'file', 0)}, {directives('next-line', 'line', 1)})"
+
+
+def _marked(options: ScanOptions, text: str, body) -> str:
+    """``body`` over the suppressions of a text, null for a text that holds no directive."""
+    return when(f"contains({text}, {lit(options.directive + '-disable-')})",
+                let(split_lines(text), lambda ls: body(suppression_array(ls, options.directive))))
 
 
 def suppressions(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
-    found = F.when(
-        F.col("text").contains(f"{options.directive}-disable-"),
-        let(split_lines(F.col("text")), lambda ls: suppression_array(ls, options.directive)))
+    found = _marked(options, "text", lambda marks: marks)
     return X.rows(files, found).select("repo", "path", "rule_id", "scope", "line")
 
 
@@ -177,8 +167,8 @@ def merge_findings(own: DataFrame, external: DataFrame) -> DataFrame:
 
 
 def with_fingerprint(df: DataFrame) -> DataFrame:
-    return df.withColumn("fingerprint", T.fingerprint(
-        F.col("rule_id"), F.col("path"), F.col("line"), F.col("evidence")))
+    return df.withColumn("fingerprint", F.expr(
+        T.fingerprint("rule_id", "path", "line", "evidence")))
 
 
 def fingerprint_dedupe(df: DataFrame, order: tuple[str, ...] = ORDER) -> DataFrame:
@@ -187,39 +177,35 @@ def fingerprint_dedupe(df: DataFrame, order: tuple[str, ...] = ORDER) -> DataFra
 
 # ------------------------------------------------------------------------------------- the result
 
-def finding_array(text: Column, path: Column, language: Column, options: ScanOptions) -> Column:
+def finding_array(options: ScanOptions, text: str = "text", path: str = "path",
+                  language: str = "language") -> str:
     """De-duplicated, unsuppressed candidates with fingerprints, first per fingerprint."""
-    rule_ids = F.array(*[F.lit(e.rule.rule_id) for e in emissions(options.custom_rules)])
+    rule_ids = strings(e.rule.rule_id for e in emissions(options.custom_rules))
 
-    def rule_of(c: Column) -> Column:
-        return F.element_at(rule_ids, c["hit"] + 1)
+    def rule_of(c: str) -> str:
+        return f"element_at({rule_ids}, {c}.hit + 1)"
 
-    covered = F.when(
-        text.contains(f"{options.directive}-disable-"),
-        let(split_lines(text), lambda ls: F.transform(
-            suppression_array(ls, options.directive),
-            lambda s: F.when(s["scope"] == "file", s["rule_id"]).otherwise(
-                F.concat_ws("@", s["rule_id"], s["line"].cast("string"))))))
+    covered = _marked(options, text, lambda marks: each(marks, lambda s: when(
+        f"{s}.scope = 'file'", f"{s}.rule_id", f"concat_ws('@', {s}.rule_id, {s}.line)")))
 
-    def unsuppressed(found: Column) -> Column:
-        return let(covered, lambda marks: F.when(marks.isNull(), found).otherwise(F.filter(
-            found, lambda c: ~F.array_contains(marks, rule_of(c)) & ~F.array_contains(
-                marks, F.concat_ws("@", rule_of(c), c["line"].cast("string"))))))
+    def unsuppressed(found: str) -> str:
+        return let(covered, lambda marks: when(f"{marks} IS NULL", found, keep(
+            found, lambda c: f"NOT array_contains({marks}, {rule_of(c)}) AND NOT array_contains("
+                             f"{marks}, concat_ws('@', {rule_of(c)}, {c}.line))")))
 
-    def printed(kept: Column) -> Column:
-        return F.transform(kept, lambda c: F.struct(
-            c["ord"].alias("ord"), c["hit"].alias("hit"), c["line"].alias("line"),
-            c["evidence"].alias("evidence"),
-            T.fingerprint(rule_of(c), path, c["line"], c["evidence"]).alias("fingerprint")))
+    def printed(kept: str) -> str:
+        return each(kept, lambda c: struct(
+            ord=f"{c}.ord", hit=f"{c}.hit", line=f"{c}.line", evidence=f"{c}.evidence",
+            fingerprint=T.fingerprint(rule_of(c), path, f"{c}.line", f"{c}.evidence")))
 
-    return let(let(let(deduped_array(text, language, options), unsuppressed), printed),
-               lambda ps: keep_first_in_row(ps, F.transform(ps, lambda p: p["fingerprint"])))
+    deduped = deduped_array(options, text, language)
+    return let(let(let(deduped, unsuppressed), printed),
+               lambda ps: keep_first_in_row(ps, each(ps, lambda p: f"{p}.fingerprint")))
 
 
 def findings(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """The processed result of a scan, one narrow stage over the files. Not yet enriched."""
-    found = finding_array(F.col("text"), F.col("path"), F.col("language"), options)
-    return _describe(X.rows(files, found), options, "fingerprint")
+    return _describe(X.rows(files, finding_array(options)), options, "fingerprint")
 
 
 def enrich(found: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -236,5 +222,5 @@ def enrich(found: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def ordered(found: DataFrame) -> DataFrame:
     """Report order: worst first, then path, line and rule. A range-partitioned sort."""
-    return found.orderBy(T.severity_rank(F.col("severity")), "path", "line", "rule_id",
-                         "repo", *ORDER)
+    return found.orderBy(F.expr(T.severity_rank("severity")), "path", "line", "rule_id", "repo",
+                         *ORDER)

@@ -9,10 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from siftspark.functions import patterns as P
+from siftspark.functions.sql import both, lit, when
 from siftspark.functions.text import Probe, matches
 
 BOTH = ("python", "java")
@@ -125,48 +123,36 @@ def emissions(custom_rules: tuple[Rule, ...] = ()) -> tuple[Emission, ...]:
     return table
 
 
-def holds(rule: Rule, probe: Probe) -> Column:
+def holds(rule: Rule, probe: Probe, lead: bool = True) -> str:
     """The rule applies to one text. Comment lines are looked at last: few texts get that far."""
-    found = F.lit(True)
-    for pattern in rule.must:
-        found = found & matches(probe, pattern)
-    for pattern in rule.must_not:
-        found = found & ~matches(probe, pattern)
+    must = rule.must if lead else rule.must[1:]
+    tests = [matches(probe, pattern) for pattern in must]
+    tests += [f"NOT {matches(probe, pattern)}" for pattern in rule.must_not]
     if rule.skip_comments:
-        found = found & ~matches(probe, P.COMMENT_LINE)
-    return found
+        tests.append(f"NOT {matches(probe, P.COMMENT_LINE)}")
+    return both(tests) if tests else "true"
 
 
-def rule_mask(table: tuple[Emission, ...], scopes: tuple[str, ...], probe: Probe) -> Column:
+def rule_mask(table: tuple[Emission, ...], scopes: tuple[str, ...], probe: Probe) -> str:
     """Bit ``i`` is set if emission ``i`` applies. Rules that open with the same pattern share it."""
     bits: dict[Rule, int] = {}
     for position, emission in enumerate(table):
         if emission.rule.scope in scopes:
             bits[emission.rule] = bits.get(emission.rule, 0) | (1 << position)
-    groups: dict[str, list[Rule]] = {}
+    groups: dict[P.Pattern | None, list[Rule]] = {}
     for rule in bits:
-        lead = rule.must[0] if rule.must else None
-        groups.setdefault(lead.name if lead else "", []).append(rule)
-    mask = F.lit(0).cast("bigint")
-    for lead_name, rules in groups.items():
-        part = F.lit(0).cast("bigint")
-        for rule in rules:
-            rest = Rule(rule.rule_id, rule.scope, rule.must[1:], rule.must_not, rule.message,
-                        rule.confidence, rule.signals, rule.skip_comments)
-            flag = F.when(holds(rest if lead_name else rule, probe),
-                          F.lit(bits[rule]).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-            part = part + flag
-        if lead_name:
-            part = F.when(matches(probe, rules[0].must[0]), part).otherwise(
-                F.lit(0).cast("bigint"))
-        mask = mask + part
-    return mask
-
-
-def language_mask(table: tuple[Emission, ...], language: Column) -> Column:
-    mask = F.lit(0).cast("bigint")
-    for name in sorted({lang for emission in table for lang in emission.languages}):
-        bits = sum(1 << i for i, emission in enumerate(table) if name in emission.languages)
-        mask = mask + F.when(language == name, F.lit(bits).cast("bigint")).otherwise(
-            F.lit(0).cast("bigint"))
-    return mask
+        groups.setdefault(rule.must[0] if rule.must else None, []).append(rule)
+    parts = ["0L"]
+    for lead, rules in groups.items():
+        part = " + ".join(when(holds(r, probe, lead is None), f"{bits[r]}L", "0L") for r in rules)
+        parts.append(f"({part})" if lead is None else when(matches(probe, lead), part, "0L"))
+    return "(" + " + ".join(parts) + ")"
+
+
+def language_mask(table: tuple[Emission, ...], language: str) -> str:
+    names = sorted({name for emission in table for name in emission.languages})
+    cases = " ".join(
+        f"WHEN {lit(name)} THEN "
+        f"{sum(1 << i for i, e in enumerate(table) if name in e.languages)}L"
+        for name in names)
+    return f"CASE {language} {cases} ELSE 0L END"
