@@ -2,8 +2,9 @@
 
 A ``Pattern`` holds the expression body without inline flags, so that the same text serves Java
 regular expressions here and RE2 in the SQL checks. ``needs`` lists lower-case literals of which
-every match contains at least one. ``functions.text.matches`` tests those first with a byte search
-and runs the expression only where it can succeed, which removes most of the regex cost of a scan.
+every match contains at least one; a tuple stands for literals that occur together.
+``functions.text.matches`` tests those first with a byte search and runs the expression only where
+it can succeed, which removes most of the regex cost of a scan.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 class Pattern:
     name: str
     body: str
-    needs: tuple[str, ...] = ()
+    needs: tuple[str | tuple[str, ...], ...] = ()
     ignore_case: bool = True
 
     @property
@@ -75,7 +76,8 @@ TECHNICAL_RESPONSE = Pattern(
     r"sendError\s*\([^;\n]*\.getMessage\s*\(|"
     r"return\s+[^;\n]*\.getMessage\s*\(|"
     r"traceback\.format_exc\s*\(|stackTrace)",
-    needs=("str", "jsonify", "getmessage", "format_exc", "stacktrace"),
+    needs=(("return", "str"), ("detail", "str"), "jsonify", "getmessage", "format_exc",
+           "stacktrace"),
 )
 PROPAGATION = Pattern(
     "propagation", r"\b(raise|throw)\b", needs=("raise", "throw"), ignore_case=False

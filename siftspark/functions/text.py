@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from siftspark.functions.patterns import REDACTIONS, Pattern, Redaction
-from siftspark.functions.sql import each, either, let, lit, when
+from siftspark.functions.sql import both, each, either, let, lit, when
 
 # The characters Python counts as white space, so that strip() means the same on both sides.
 WHITESPACE = (
@@ -32,10 +32,14 @@ class Probe:
     odd: str
 
 
-def contains_any(text: str, words: tuple[str, ...]) -> str:
+def contains_any(text: str, words: tuple[str | tuple[str, ...], ...]) -> str:
     """A word that contains another one of the list adds nothing and is left out."""
-    shortest = [w for w in words if not any(o != w and o in w for o in words)]
-    return either(f"contains({text}, {lit(w)})" for w in shortest)
+    single = [w for w in words if isinstance(w, str)]
+    tests = [f"contains({text}, {lit(w)})" for w in single
+             if not any(o != w and o in w for o in single)]
+    tests += [both(f"contains({text}, {lit(w)})" for w in group)
+              for group in words if not isinstance(group, str)]
+    return either(tests)
 
 
 def has_folding_letters(text: str) -> str:
