@@ -108,7 +108,7 @@ def _depth_before(profile: str, line: str) -> str:
     return f"coalesce({last_of(keep(profile, lambda p: f'{p}.line < {line}'))}.depth, 0)"
 
 
-def _brace_end(profile: str, line: str, target: str, opened_here: str | None, count: str) -> str:
+def _brace_close(profile: str, line: str, target: str, opened_here: str | None) -> str:
     """First line from ``line`` on, once a brace was opened, where the depth is back at target.
 
     Whatever the inner filters compare with is bound first: inside their lambdas it would be
@@ -121,7 +121,7 @@ def _brace_end(profile: str, line: str, target: str, opened_here: str | None, co
         first = when(opened_here, line, later)
     closed = let(first, lambda start: let(target, lambda depth: first_of(
         keep(profile, lambda p: f"{p}.line >= {start} AND {p}.depth <= {depth}"))))
-    return f"coalesce({closed}.line, least({line} + {OPEN_END}, {count}))"
+    return f"{closed}.line"
 
 
 # --------------------------------------------------------------------------------------- symbols
@@ -158,7 +158,8 @@ def symbol_array(lines_: str) -> str:
     def end(h: str, marks: str, profile: str) -> str:
         line = f"{h}.line"
         return when(f"{h}.sym.braces",
-                    _brace_end(profile, line, _depth_before(profile, line), None, count),
+                    f"coalesce({_brace_close(profile, line, _depth_before(profile, line), None)},"
+                    f" least({line} + {OPEN_END}, {count}))",
                     _indent_end(marks, line, indent_of(f"{h}.text"), count))
 
     def with_ends(found: str) -> str:
@@ -268,7 +269,7 @@ def _python_clauses(lines_: str) -> str:
 
 
 def _clause_text(text: str) -> str:
-    """From ``catch`` to the brace that closes it; the whole text if none does."""
+    """From ``catch`` to the brace that closes it; null if none does."""
     start = struct(depth="0", seen="false", at="0", stop="0")
     acc, piece = fresh("a"), fresh("p")
     step = let(count_of(piece, "{"), lambda opens: let(
@@ -283,7 +284,7 @@ def _clause_text(text: str) -> str:
         closing = f"slice({pieces}, 1, size({pieces}) - 1)"
         stop = f"aggregate({closing}, {start}, ({acc}, {piece}) -> {step}, {acc} -> {acc}.stop)"
         return let(stop, lambda s: when(
-            f"{s} = 0", text, f"concat(array_join(slice({pieces}, 1, {s}), '}}'), '}}')"))
+            f"{s} > 0", f"concat(array_join(slice({pieces}, 1, {s}), '}}'), '}}')"))
 
     return let(f"split({text}, {lit('[}]')}, -1)", cut)
 
@@ -299,14 +300,18 @@ def _java_clauses(lines_: str) -> str:
             before = f"substring({h}.text, 1, {pos} - 1)"
             after = f"substring({h}.text, {pos})"
             target = f"{_depth_before(profile, line)} + {brace_delta(before)}"
-            end = _brace_end(profile, line, target, f"contains({after}, '{{')", f"size({lines_})")
-            whole = let(end, lambda last: when(
-                f"{last} > {line}",
-                f"concat({after}, {FEED}, {join_lines(lines_, f'{line} + 1', f'{last} - {line}')})",
-                after))
-            return let(let(whole, _clause_text), lambda text: struct(
-                line=line, end_line=f"{line} + {count_of(text, chr(10))}", kind="'catch'",
-                text=text))
+            close = _brace_close(profile, line, target, f"contains({after}, '{{')")
+
+            # Depth at line ends gives a line at or after the close; the exact brace is then
+            # looked for in that span only, or in the rest of the file if there is no such line.
+            def up_to(last: str) -> str:
+                more = join_lines(lines_, f"{line} + 1", f"{last} - {line}")
+                return when(f"{last} > {line}", f"concat({after}, {FEED}, {more})", after)
+            whole = let(f"coalesce({close}, size({lines_}))", up_to)
+            open_end = let(f"least({line} + {OPEN_END}, size({lines_}))", up_to)
+            text = f"coalesce({let(whole, _clause_text)}, {open_end})"
+            return let(text, lambda t: struct(
+                line=line, end_line=f"{line} + {count_of(t, chr(10))}", kind="'catch'", text=t))
         return let(f"regexp_instr({h}.text, {lit(JAVA_CLAUSE)})", at)
 
     return let(heads, lambda found: when(f"size({found}) > 0", let(
