@@ -84,9 +84,8 @@ def _code_line(doc_id: Column, line: Column, position: Column) -> Column:
                      F.lit("@@"), line)
 
 
-def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """files(repo, path, language, text)."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+def as_code(docs: DataFrame) -> DataFrame:
+    """files(repo, path, language, text) of documents(doc_id, source, text)."""
     sentences = F.split(F.replace(F.col("text"), F.lit(". "), F.lit(".\n")), "\n", -1)
     text = F.array_join(
         F.transform(sentences, lambda x, i: _code_line(F.col("doc_id"), x, i)), "\n")
@@ -100,6 +99,11 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return as_code(spread(docs, "doc_id"))
+
+
 def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

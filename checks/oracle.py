@@ -415,10 +415,9 @@ SELECT repo, path, skip_reason AS reason, path || CASE skip_reason
          ELSE ': skipped because it appears to be minified' END AS note
 FROM inside WHERE skip_reason IS NOT NULL
 UNION ALL
-SELECT * FROM (
-  SELECT repo, NULL, 'limit',
-    'File limit reached at {LEDGER_LIMIT}; remaining supported files were skipped.'
-  FROM known WHERE (repo, path) NOT IN (SELECT (repo, path) FROM inside) LIMIT 1)"""
+SELECT arg_min(repo, (path, repo)), NULL, 'limit',
+  'File limit reached at {LEDGER_LIMIT}; remaining supported files were skipped.'
+FROM known WHERE (repo, path) NOT IN (SELECT (repo, path) FROM inside) HAVING count(*) > 0"""
 
 # --------------------------------------------------------------------------------------------- text
 
@@ -712,6 +711,17 @@ def hits(where: str) -> str:
     return chain() + f"SELECT {COLUMNS} FROM candidates WHERE {where}"
 
 
+# Paths of derived files the minified test drops, by bytes before each line.
+_MINIFIED = """
+  SELECT path FROM (
+    SELECT path, octet_length(encode(text)) AS bytes,
+           sum(octet_length(encode(text)) + 1) OVER (PARTITION BY repo, path ORDER BY line)
+             - octet_length(encode(text)) - 1 AS start,
+           sum(octet_length(encode(text)) + 1) OVER (PARTITION BY repo, path) - 1 AS total
+    FROM coded)
+  WHERE total >= 20000 AND start < 20000 AND least(start + bytes, 20000) - start > 1000"""
+
+
 def oracle_sql() -> dict[str, str]:
     custom = (f"SELECT repo, path, {q(CUSTOM.rule_id)} AS rule_id, line::BIGINT AS line,"
               f" {q(CUSTOM.message)} AS message, stripped AS evidence, 0.5::DOUBLE AS confidence,"
@@ -868,4 +878,8 @@ LEFT JOIN (SELECT repo, count(*) AS n FROM snippets GROUP BY 1) s USING (repo)""
         "export_html_sections": chain(*ALL) + (
             "SELECT path, line::BIGINT AS line, rule_id, fingerprint, " + HTML_SECTION
             + " AS html FROM enriched"),
+        "scan_stream": chain(*ALL, blocks="scoped_blocks") + (
+            "SELECT repo, path, rule_id, line::BIGINT AS line, message, evidence, confidence,"
+            " fingerprint FROM processed WHERE path NOT IN ("
+            + _MINIFIED + ")"),
     }

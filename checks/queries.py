@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
-from checks.corpus import code_files, spread, table
+from checks.corpus import as_code, code_files, spread, table
 from siftspark.functions import patterns as P
 from siftspark.functions import text as T
 from siftspark.operators import exports, external, extract, findings, metrics, snippets
@@ -17,6 +19,7 @@ from siftspark.options import ScanOptions
 from siftspark.plans.scan import scan_files, with_external
 from siftspark.sources import files as S
 from siftspark.sources.catalog import built_in_catalog
+from siftspark.streaming import stream
 
 WINDOW = ScanOptions(block_mode="window")
 SCOPED = ScanOptions(block_mode="scoped")
@@ -335,6 +338,25 @@ def _export_html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
         "path", "line", "rule_id", "fingerprint", f"{exports.finding_html()} AS html"))
 
 
+def _scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a stream of files, scanned until all that is there has been read."""
+    schema = table(spark, sf_dir, "documents").schema
+    # A pattern, so that a single file and a directory of files both serve as the source.
+    docs = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")
+    raw = as_code(docs).selectExpr(
+        "repo", "path", "encode(text, 'UTF-8') AS content").selectExpr(
+        "repo", "path", "cast(length(content) AS bigint) AS length", "content")
+    found = stream.stream_findings(raw, ScanOptions(max_file_bytes=1 << 30))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    folder = stream.shared_folder(spark, None if named else tempfile.mkdtemp(prefix="run-"))
+    run = f"{folder}/scan-stream-{uuid.uuid4().hex}"
+    query = stream.run_available(found, f"{run}/out", f"{run}/state")
+    query.awaitTermination()
+    rows = spark.read.schema(found.schema).parquet(f"{run}/out")
+    return big(rows.select("repo", "path", "rule_id", "line", "message", "evidence", "confidence",
+                           "fingerprint"))
+
+
 def queries() -> dict[str, Query]:
     return {
         # sources
@@ -428,4 +450,5 @@ def queries() -> dict[str, Query]:
         "export_markdown": _report("markdown"),
         "export_html": _report("html"),
         "export_html_sections": _export_html_sections,
+        "scan_stream": _scan_stream,
     }

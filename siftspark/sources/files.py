@@ -204,9 +204,10 @@ def skip_ledger(raw: DataFrame, options: ScanOptions = ScanOptions(),
     inside = _up_to(accepted, options.max_files)
     kept = ledger.where(inside).selectExpr("repo", "path", "skip_reason AS reason",
                                            f"{reason_note(options)} AS note")
-    # One entry if any supported file follows the last one taken.
-    rest = known.where(~inside).select("repo").limit(1).selectExpr(
-        "repo", "cast(NULL AS string) AS path", "'limit' AS reason",
+    # One entry if any supported file follows the last one taken, in the name of the next file.
+    after = known.where(~inside).agg(F.min(F.struct("path", "repo")).alias("next"))
+    rest = after.where("next IS NOT NULL").selectExpr(
+        "next.repo AS repo", "cast(NULL AS string) AS path", "'limit' AS reason",
         f"'File limit reached at {options.max_files}; remaining supported files were skipped.'"
         " AS note")
     return kept.unionByName(rest)
