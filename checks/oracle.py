@@ -873,6 +873,11 @@ LEFT JOIN (SELECT repo, count(*) AS n FROM snippets GROUP BY 1) s USING (repo)""
         "evaluate_by_rule": chain(DEDUPED, PAIRS) + "," + ratios("rule_id").replace(
             "round(1.0::DOUBLE, 4)", "CASE WHEN actual_total > 0 THEN 1.0::DOUBLE ELSE 1 END")
         + " FROM shares",
+        "evidence_check": chain(DEDUPED) + (
+            "SELECT path, rule_id, line::BIGINT AS line, message,"
+            " contains(full_text, string_split(evidence, chr(10))[1]) AS evidence_valid"
+            " FROM deduped JOIN (SELECT repo, path, string_agg(text, chr(10) ORDER BY line)"
+            " AS full_text FROM lines GROUP BY ALL) USING (repo, path)"),
         "source_links": chain(*ALL) + (
             "SELECT path, line::BIGINT AS line, rule_id, fingerprint, links FROM enriched"),
         "export_html_sections": chain(*ALL) + (

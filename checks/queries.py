@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +17,7 @@ from siftspark.options import ScanOptions
 from siftspark.plans.scan import scan_files, with_external
 from siftspark.sources import files as S
 from siftspark.sources.catalog import built_in_catalog
+from siftspark.sources.landing import landed, run_folder
 from siftspark.streaming import stream
 
 WINDOW = ScanOptions(block_mode="window")
@@ -112,10 +111,9 @@ def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels for an evaluation: the scan's own findings with every seventh line left out, and one
     invented label for every fifth."""
     found = findings.raw_findings(code_files(spark, sf_dir), WINDOW)
-    kept = found.where("line % 7 != 0").selectExpr("path AS case", "rule_id", "line")
-    invented = found.where("line % 5 = 0").selectExpr("path AS case", "rule_id",
-                                                      "line + 100000 AS line")
-    return kept.unionByName(invented)
+    lines = ("explode(filter(array(if(line % 7 != 0, line, NULL),"
+             " if(line % 5 = 0, line + 100000, NULL)), x -> x IS NOT NULL)) AS line")
+    return found.selectExpr("path AS case", "rule_id", lines)
 
 
 # ----------------------------------------------------------------------------------------- queries
@@ -202,16 +200,22 @@ def _severity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = code_files(spark, sf_dir)
-    found = metrics.with_evidence_check(findings.raw_findings(files, WINDOW), files)
-    return big(metrics.evaluate(found.withColumn("case", F.col("path")), expected(spark, sf_dir),
-                                files))
+    found = findings.checked_findings(files, WINDOW).withColumn("case", F.col("path"))
+    return big(metrics.evaluate(found, expected(spark, sf_dir), files))
 
 
 def _evaluate_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = code_files(spark, sf_dir)
-    found = findings.raw_findings(files, WINDOW).selectExpr(
-        "path AS case", "rule_id", "line", "true AS evidence_valid")
-    return big(metrics.ratios(metrics.confusion(found, expected(spark, sf_dir)), "rule_id"))
+    found = findings.checked_findings(files, WINDOW).withColumn("case", F.col("path"))
+    pairs = metrics.confusion(found, expected(spark, sf_dir))
+    return big(metrics.ratios(metrics.totals(pairs, "rule_id"), "rule_id"))
+
+
+def _evidence_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = code_files(spark, sf_dir)
+    found = landed(findings.raw_findings(files, WINDOW), "findings")
+    return big(metrics.with_evidence_check(found, files).select("path", "rule_id", "line",
+                                                                "message", "evidence_valid"))
 
 
 def _first_snippets(files: DataFrame) -> DataFrame:
@@ -252,8 +256,8 @@ def _response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return external.judge(external.parse_responses(responses(spark, sf_dir)),
-                          code_files(spark, sf_dir), built_in_catalog(spark), WINDOW)
+    proposals = landed(external.parse_responses(responses(spark, sf_dir)), "proposals")
+    return external.judge(proposals, code_files(spark, sf_dir), built_in_catalog(spark), WINDOW)
 
 
 def _validate_external(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,7 +324,8 @@ def _report(kind: str) -> Query:
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         catalog = built_in_catalog(spark)
-        found, total = _enriched(spark, sf_dir, SCOPED), _summary(spark, sf_dir, SCOPED)
+        found = landed(_enriched(spark, sf_dir, SCOPED), "findings")
+        total = landed(_summary(spark, sf_dir, SCOPED), "summary")
         if kind == "json":
             out = exports.export_json(found, total, catalog, SCOPED, generated_at=at)
         elif kind == "sarif":
@@ -343,13 +348,12 @@ def _scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "documents").schema
     # A pattern, so that a single file and a directory of files both serve as the source.
     docs = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")
+    docs = spread(docs, "doc_id", like=table(spark, sf_dir, "documents"))
     raw = as_code(docs).selectExpr(
         "repo", "path", "encode(text, 'UTF-8') AS content").selectExpr(
         "repo", "path", "cast(length(content) AS bigint) AS length", "content")
     found = stream.stream_findings(raw, ScanOptions(max_file_bytes=1 << 30))
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    folder = stream.shared_folder(spark, None if named else tempfile.mkdtemp(prefix="run-"))
-    run = f"{folder}/scan-stream-{uuid.uuid4().hex}"
+    run = run_folder(spark, "scan-stream")
     query = stream.run_available(found, f"{run}/out", f"{run}/state")
     query.awaitTermination()
     rows = spark.read.schema(found.schema).parquet(f"{run}/out")
@@ -443,6 +447,7 @@ def queries() -> dict[str, Query]:
             _enriched(s, d, WINDOW), code_files(s, d), "high")),
         "evaluate": _evaluate,
         "evaluate_by_rule": _evaluate_by_rule,
+        "evidence_check": _evidence_check,
         # reports
         "source_links": _source_links,
         "export_json": _report("json"),

@@ -43,20 +43,29 @@ SENSITIVE = Pattern(
     r"(password|passwd|pwd|secret|token|api[_-]?key|authorization|cookie|session[_-]?id|"
     r"session|ssn|social[_-]?security|credit[_-]?card|cardholder|card_number|cvv|"
     r"connection[_-]?string|private[_-]?key)",
+    needs=("password", "passwd", "pwd", "secret", "token", "api", "authorization", "cookie",
+           "session", "ssn", "social", "credit", "cardholder", "card_number", "cvv",
+           "connection", "private"),
 )
 SAFE_TRANSFORM = Pattern(
     "safe_transform",
     r"(mask|masked|redact|redacted|hash|hashed|tokenize|scrub|sanitize|pseudonym|"
     r"anonym|obfuscate)",
+    needs=("mask", "redact", "hash", "tokenize", "scrub", "sanitize", "pseudonym", "anonym",
+           "obfuscate"),
 )
 UNTRUSTED_INPUT = Pattern(
     "untrusted_input",
     r"(request|headers?|params?|query|payload|body|input|user_agent|cookie|filename|path|"
     r"external|client|form|args)",
+    needs=("request", "header", "param", "query", "payload", "body", "input", "user_agent",
+           "cookie", "filename", "path", "external", "client", "form", "args"),
 )
 SANITIZER = Pattern(
     "sanitizer",
     r"(sanitize|escape|encode|normalize|replace|strip|validate|structured|extra=|MDC\.put)",
+    needs=("sanitize", "escape", "encode", "normalize", "replace", "strip", "validate",
+           "structured", "extra=", "mdc.put"),
 )
 DISABLE_LOGGING = Pattern(
     "disable_logging",
@@ -147,27 +156,32 @@ class Redaction:
     joint: str = ""           # text between that group and the mark
     ignore_case: bool = True
     dot_all: bool = False
+    needs: tuple[str, ...] = ()  # as for a Pattern, in lower case
 
 
 # Applied one after the other, in this order.
 REDACTIONS = (
-    Redaction(r"(password|passwd|pwd|secret)\s*[:=]\s*['\"]?[^'\"\s,;]+", SECRET_MARK, True, "="),
-    Redaction(r"(api[_-]?key)\s*[:=]\s*['\"]?[^'\"\s,;]+", SECRET_MARK, True, "="),
-    Redaction(r"(authorization)\s*[:=]\s*['\"]?[^'\"\r\n]+", TOKEN_MARK, True, "="),
-    Redaction(r"(cookie|session[_-]?id)\s*[:=]\s*['\"]?[^'\"\s,;]+", TOKEN_MARK, True, "="),
+    Redaction(r"(password|passwd|pwd|secret)\s*[:=]\s*['\"]?[^'\"\s,;]+", SECRET_MARK, True, "=",
+              needs=("password", "passwd", "pwd", "secret")),
+    Redaction(r"(api[_-]?key)\s*[:=]\s*['\"]?[^'\"\s,;]+", SECRET_MARK, True, "=",
+              needs=("api",)),
+    Redaction(r"(authorization)\s*[:=]\s*['\"]?[^'\"\r\n]+", TOKEN_MARK, True, "=",
+              needs=("authorization",)),
+    Redaction(r"(cookie|session[_-]?id)\s*[:=]\s*['\"]?[^'\"\s,;]+", TOKEN_MARK, True, "=",
+              needs=("cookie", "session")),
     Redaction(
         r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
-        TOKEN_MARK, ignore_case=False,
+        TOKEN_MARK, ignore_case=False, needs=("eyj",),
     ),
-    Redaction(r"(bearer\s+)[A-Za-z0-9._~+/=-]{12,}", TOKEN_MARK, True),
+    Redaction(r"(bearer\s+)[A-Za-z0-9._~+/=-]{12,}", TOKEN_MARK, True, needs=("bearer",)),
     Redaction(
         r"(jdbc:[^'\"\s]+|postgres(?:ql)?://[^'\"\s]+|mysql://[^'\"\s]+|"
         r"mongodb(?:\+srv)?://[^'\"\s]+)",
-        CONNECTION_MARK,
+        CONNECTION_MARK, needs=("jdbc:", "postgres", "mysql:", "mongodb"),
     ),
     Redaction(
         r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----",
-        KEY_MARK, ignore_case=False, dot_all=True,
+        KEY_MARK, ignore_case=False, dot_all=True, needs=("-----begin ",),
     ),
     Redaction(r"\b(?:\d[ -]*?){13,19}\b", SECRET_MARK, ignore_case=False),
 )

@@ -118,11 +118,26 @@ def redaction_java(rule: Redaction) -> str:
 
 
 def redact(text: str) -> str:
-    """Replace secret shapes by marks; the rules run in their given order."""
-    for rule in REDACTIONS:
+    """Replace secret shapes by marks; the rules run in their given order.
+
+    A rule runs only on a text that holds one of its literals. No mark contains a literal of a later
+    rule, so looking at the text before all replacements is enough.
+    """
+    def apply(current: str, rules: tuple[Redaction, ...], p: Probe) -> str:
+        if not rules:
+            return current
+        rule = rules[0]
         mark = ("$1" + rule.joint if rule.keeps_name else "") + rule.mark
-        text = f"regexp_replace({text}, {lit(redaction_java(rule))}, {lit(mark)})"
-    return text
+        masked = f"regexp_replace({current}, {lit(redaction_java(rule))}, {lit(mark)})"
+        if rule.needs:
+            possible = contains_any(p.low, rule.needs)
+            if rule.ignore_case:
+                possible = f"({possible} OR {p.odd})"
+            masked = when(possible, masked, current)
+        return let(masked, lambda m: apply(m, rules[1:], p))
+
+    return let(text, lambda t: let(f"lower({t})", lambda low: let(
+        has_folding_letters(t), lambda odd: apply(t, REDACTIONS, Probe(t, low, odd)))))
 
 
 def fingerprint(rule_id: str, path: str, line: str, evidence: str) -> str:

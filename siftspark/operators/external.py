@@ -175,9 +175,8 @@ def review_facts(files: DataFrame, options: ScanOptions) -> DataFrame:
     """What a proposal is tested against, one row per file."""
     rule_ids = "array(" + ", ".join(
         lit(e.rule.rule_id) for e in emissions(options.custom_rules)) + ")"
-    shown = each(snippet_array(options), lambda s: struct(
-        start_line=f"{s}.start_line", end_line=f"{s}.end_line",
-        text=T.redact(f"{s}.text") if options.redact else f"{s}.text"))
+    shown = each(snippet_array(options, bodies=False), lambda s: struct(
+        start_line=f"{s}.start_line", end_line=f"{s}.end_line", text=f"{s}.text"))
     own = each(deduped_array(options), lambda c:
                f"concat(element_at({rule_ids}, {c}.hit + 1), '@', {c}.line)")
     return files.selectExpr(
@@ -186,7 +185,7 @@ def review_facts(files: DataFrame, options: ScanOptions) -> DataFrame:
 
 
 # Reasons in the order they are tested; the first that applies counts.
-def _verdict(options: ScanOptions) -> str:
+def _verdict(options: ScanOptions, snippet_text: str) -> str:
     return (
         "CASE WHEN severity IS NULL THEN 'unknown_rule'"
         " WHEN file_lines IS NULL THEN 'path_not_scanned'"
@@ -194,8 +193,8 @@ def _verdict(options: ScanOptions) -> str:
         " WHEN line < 1 OR line > file_lines THEN 'line_outside_file'"
         " WHEN line < snippet.start_line OR line > snippet.end_line THEN 'line_outside_snippet'"
         " WHEN severity IN ('critical', 'high', 'medium') AND evidence = '' THEN 'no_evidence'"
-        " WHEN evidence != '' AND NOT contains(snippet.text, evidence)"
-        "  AND NOT contains(file_text, evidence) THEN 'evidence_not_found'"
+        " WHEN evidence != '' AND NOT contains(file_text, evidence)"
+        f"  AND NOT contains({snippet_text}, evidence) THEN 'evidence_not_found'"
         f" WHEN least(greatest(confidence, 0D), 1D) < {options.min_confidence}D"
         "  THEN 'low_confidence'"
         " WHEN array_contains(own, concat(rule_id, '@', line)) THEN 'duplicate'"
@@ -232,8 +231,13 @@ def judge(proposals: DataFrame, files: DataFrame, catalog: DataFrame,
     s = fresh("s")
     first = first_of(f"filter(shown, {s} -> {s}.start_line <= line AND line <= {s}.end_line)")
     joined = asked.join(facts, ["repo", "path"], "left").join(rules, "rule_id", "left")
+    # Windows overlap, so their texts would be many times the file; the one that is needed is cut
+    # from the file here, and only looked at if the evidence is not found in the file as it is.
+    body = T.clip("coalesce(snippet.text, array_join(slice(" + T.split_lines("file_text")
+                  + ", snippet.start_line, snippet.end_line - snippet.start_line + 1), '\\n'))",
+                  options.clip_chars)
     judged = joined.withColumn("snippet", F.expr(first)).withColumn(
-        "reason", F.expr(_verdict(options)))
+        "reason", F.expr(_verdict(options, T.redact(body) if options.redact else body)))
     cases = " ".join(f"WHEN {lit(k)} THEN concat('Semantic finding rejected: ', {v})"
                      for k, v in NOTES.items())
     return judged.withColumn("verdict_note", F.expr(f"CASE reason {cases} END")).drop(

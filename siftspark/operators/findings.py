@@ -105,19 +105,30 @@ def raw_findings(files: DataFrame, options: ScanOptions = ScanOptions()) -> Data
     return _describe(X.rows(files, deduped_array(options)), options)
 
 
+def checked_findings(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """``raw_findings`` with ``evidence_valid``: the first line of the evidence is in the file.
+
+    The file is at hand where its findings are made, so no join brings the text back."""
+    hits = X.rows(files, deduped_array(options), "text")
+    first_line = "regexp_extract(evidence, '^[^\\n]*', 0)"
+    checked = hits.selectExpr("*", f"contains(text, {first_line}) AS evidence_valid")
+    return _describe(checked, options, "evidence_valid")
+
+
 # ------------------------------------------------------------------------------------ suppression
 
 def suppression_array(lines_: str, directive: str) -> str:
     """``struct<line, rule_id, scope>``; ``line`` is the suppressed one, or that of the comment."""
-    def directives(kind: str, scope: str, shift: int) -> str:
-        mark = f"{directive}-disable-{kind}"
+    def directives(marked: str, kind: str, scope: str, shift: int) -> str:
         # The prefix is an option and may hold characters with a meaning in expressions.
-        expression = f"(?U)\\Q{mark}\\E\\s+([A-Z]+-\\d+)"
-        found = each(X.numbered(lines_, lambda x: f"contains({x}, {lit(mark)})"), lambda h: struct(
+        expression = f"(?U)\\Q{directive}-disable-{kind}\\E\\s+([A-Z]+-\\d+)"
+        found = each(marked, lambda h: struct(
             line=f"{h}.line + {shift}",
             rule_id=f"regexp_extract({h}.text, {lit(expression)}, 1)", scope=lit(scope)))
         return keep(found, lambda s: f"{s}.rule_id != ''")
-    return f"concat({directives('file', 'file', 0)}, {directives('next-line', 'line', 1)})"
+    marked = X.numbered(lines_, lambda x: f"contains({x}, {lit(directive + '-disable-')})")
+    return let(marked, lambda m: f"concat({directives(m, 'file', 'file', 0)},"
+                                 f" {directives(m, 'next-line', 'line', 1)})")
 
 
 def _marked(options: ScanOptions, text: str, body) -> str:

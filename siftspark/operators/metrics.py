@@ -87,13 +87,16 @@ def confusion(actual: DataFrame, expected: DataFrame) -> DataFrame:
         F.max("evidence_valid").alias("evidence_valid"))
 
 
-def ratios(pairs: DataFrame, *keys: str) -> DataFrame:
-    """Precision, recall and the derived rates, over everything or per key."""
-    totals = pairs.groupBy(*keys).agg(
+def totals(pairs: DataFrame, *keys: str) -> DataFrame:
+    return pairs.groupBy(*keys).agg(
         F.sum("reported").alias("actual_total"), F.sum("wanted").alias("expected_total"),
         F.sum(F.col("reported") * F.col("wanted")).alias("matched_total"),
         F.count_if(F.col("evidence_valid") & (F.col("reported") == 1)).alias("valid_total"))
-    shares = totals.selectExpr(
+
+
+def ratios(counted: DataFrame, *keys: str) -> DataFrame:
+    """Precision, recall and the derived rates of ``totals``."""
+    shares = counted.selectExpr(
         *keys, "actual_total", "expected_total", "matched_total",
         "CASE WHEN actual_total > 0 THEN matched_total / actual_total ELSE 1D END AS p",
         "CASE WHEN expected_total > 0 THEN matched_total / expected_total ELSE 1D END AS r",
@@ -110,24 +113,29 @@ def ratios(pairs: DataFrame, *keys: str) -> DataFrame:
 
 
 def evaluate(actual: DataFrame, expected: DataFrame, files: DataFrame) -> DataFrame:
-    """One row: the ratios plus rule coverage, line accuracy and findings per thousand lines."""
-    pairs = confusion(actual, expected)
-    rules = pairs.groupBy("rule_id").agg(
-        F.max(F.col("reported") * F.col("wanted")).alias("hit"), F.max("wanted").alias("wanted")
-    ).agg(F.sum(F.col("hit") * F.col("wanted")).alias("hit"), F.sum("wanted").alias("rules"))
-    loc = total_loc(files).scalar()
-    return ratios(pairs).selectExpr("*", "recall AS line_accuracy").withColumns({
-        "rule_coverage": F.round(rules.selectExpr(
-            "CASE WHEN rules > 0 THEN hit / rules ELSE 1D END AS share").scalar(), 4),
-        "findings_per_kloc": F.round(
-            F.col("actual_total") / F.greatest(loc / F.lit(1000.0), F.lit(0.001)), 2),
-    })
+    """One row: the ratios plus rule coverage, line accuracy and findings per thousand lines.
+
+    Totals are taken per rule and then over the few rules, so pairs are built once for both the
+    ratios and the coverage.
+    """
+    per_rule = totals(confusion(actual, expected), "rule_id")
+    counted = per_rule.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c)
+          for c in ("actual_total", "expected_total", "matched_total", "valid_total")],
+        F.count_if(F.col("matched_total") > 0).alias("hit_rules"),
+        F.count_if(F.col("expected_total") > 0).alias("rules"))
+    coverage = "round(CASE WHEN rules > 0 THEN hit_rules / rules ELSE 1D END, 4) AS rule_coverage"
+    return ratios(counted.selectExpr("*", coverage), "rule_coverage").selectExpr(
+        "*", "recall AS line_accuracy").withColumn(
+        "findings_per_kloc", F.round(F.col("actual_total") / F.greatest(
+            total_loc(files).scalar() / F.lit(1000.0), F.lit(0.001)), 2))
 
 
 def with_evidence_check(found: DataFrame, files: DataFrame) -> DataFrame:
-    """Share of findings whose evidence is in the file: the first evidence line has to occur.
+    """Add ``evidence_valid`` to findings that come without their file: the first line of the
+    evidence occurs in it. Only files named by a finding keep their text for the join.
 
-    Files are the large side; only those named by a finding keep their text for the join.
+    Findings that the scan makes itself carry the flag from ``findings.checked_findings``.
     """
     named = found.select("repo", "path").distinct()
     texts = files.join(named, ["repo", "path"], "left_semi").select("repo", "path", "text")

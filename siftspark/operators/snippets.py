@@ -61,8 +61,12 @@ def hotspot_array(lines_: str, odd: str, language: str, options: ScanOptions) ->
     return _hot_spans(lines_, odd, language)
 
 
-def snippet_array(options: ScanOptions, text: str = "text", language: str = "language") -> str:
-    """``struct<line, phase, seq, start_line, end_line, reason, text>``, first per line range."""
+def snippet_array(options: ScanOptions, text: str = "text", language: str = "language",
+                  bodies: bool = True) -> str:
+    """``struct<line, phase, seq, start_line, end_line, reason, text>``, first per line range.
+
+    Without ``bodies`` the text of line windows stays null: it can be cut from the file again.
+    """
     rule_ids = strings(e.rule.rule_id for e in emissions(options.custom_rules))
 
     def around_findings(lines_: str) -> str:
@@ -84,6 +88,8 @@ def snippet_array(options: ScanOptions, text: str = "text", language: str = "lan
         every = f"concat({around_findings(lines_)}, {hotspots_(lines_, odd)})"
         first = let(every, lambda a: keep_first_in_row(a, each(
             a, lambda s: f"{s}.start_line * 4294967296L + {s}.end_line")))
+        if not bodies:
+            return first
         return each(first, lambda s: struct(
             line=f"{s}.line", phase=f"{s}.phase", seq=f"{s}.seq", start_line=f"{s}.start_line",
             end_line=f"{s}.end_line", reason=f"{s}.reason",

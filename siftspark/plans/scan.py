@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siftspark.operators import exports, external, findings, metrics, snippets
 from siftspark.options import ScanOptions
 from siftspark.sources import files as S
+from siftspark.sources.landing import landed
 
 
 @dataclass(frozen=True)
@@ -24,6 +25,11 @@ class Scan:
     catalog: DataFrame
     options: ScanOptions
 
+    def settled(self) -> Scan:
+        """The same scan with its findings written once: reports read them several times."""
+        return replace(self, findings=landed(self.findings, "findings"),
+                       skipped=landed(self.skipped, "skipped"))
+
     def summary(self) -> DataFrame:
         return metrics.scan_summary(self.files, self.skipped, self.options)
 
@@ -38,7 +44,7 @@ class Scan:
         return metrics.severity_gate(found, self.files, self.options.fail_on_severity)
 
     def reports(self, notes: DataFrame | None = None) -> dict[str, DataFrame]:
-        total = self.summary()
+        total = landed(self.summary(), "summary")
         return {
             "json": exports.export_json(self.findings, total, self.catalog, self.options, notes,
                                         self.skipped),
@@ -74,8 +80,9 @@ def with_external(result: Scan, responses: DataFrame) -> tuple[DataFrame, DataFr
     External findings enter before suppression, as the scan's own do, so the merged rows pass
     through suppression and fingerprints once more on the table side.
     """
-    proposals = external.parse_responses(responses)
-    judged = external.judge(proposals, result.files, result.catalog, result.options)
+    proposals = landed(external.parse_responses(responses), "proposals")
+    judged = landed(external.judge(proposals, result.files, result.catalog, result.options),
+                    "judged")
     merged = findings.merge_findings(result.raw_findings, external.accepted(judged))
     marks = findings.suppressions(result.files, result.options)
     kept = findings.fingerprint_dedupe(findings.suppress(merged, marks))

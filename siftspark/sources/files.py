@@ -63,7 +63,7 @@ def glob_body(glob: str) -> str:
         char = glob[i]
         i += 1
         if char == "*":
-            out += ".*"
+            out += "" if out.endswith(".*") else ".*"   # a run of stars is one star
         elif char == "?":
             out += "."
         elif char == "[" and "]" in glob[i + 1:]:
@@ -85,15 +85,14 @@ def ignored(path: str, globs: tuple[str, ...]) -> str:
     globs = tuple(g for g in (g.replace("\\", "/").strip() for g in globs) if g)
     if not globs:
         return "false"
-    whole = "|".join(["/?" + glob_body(g) if not g.startswith("/") else glob_body(g)
-                      for g in globs])
+    # A pattern is tried on the path and on the path after a slash; the optional slash does both.
+    whole = "|".join(glob_body(g) if g.startswith("/") else "/?" + glob_body(g) for g in globs)
     literal = "|".join(re.sub(r"([^A-Za-z0-9_/ -])", r"\\\1", g.rstrip("/")) + "/.*"
                        for g in globs if g.endswith("/"))
     names = "|".join(glob_body(g) for g in globs if "/" not in g)
 
     def hit(s: str) -> str:
-        tests = [rlike(f"concat('/', {s})", f"(?s)^(?:{whole})\\z"),
-                 rlike(s, f"(?s)^(?:{whole})\\z")]
+        tests = [rlike(f"concat('/', {s})", f"(?s)^(?:{whole})\\z")]
         if literal:
             tests.append(rlike(s, f"(?s)^(?:{literal})\\z"))
         if names:
