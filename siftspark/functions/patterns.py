@@ -11,6 +11,24 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+# Letters outside ASCII that fold to an ASCII letter under Unicode case rules.
+FOLDS = {"i": "\u0130\u0131", "s": "\u017f", "k": "\u212a"}
+
+
+def guard(starts: str, ignore_case: bool) -> str:
+    """Look-ahead for the first character of a match.
+
+    It changes no result. At most positions one table look-up takes the place of the word boundary
+    and the alternatives of the expression behind it.
+    """
+    if not starts:
+        return ""
+    if starts == "\\d":
+        return "(?U)(?=\\d)"
+    chars = "".join(c + c.upper() + FOLDS.get(c, "") if ignore_case and c.isalpha() else c
+                    for c in starts)
+    return f"(?=[{chars}])"
+
 
 @dataclass(frozen=True)
 class Pattern:
@@ -18,11 +36,13 @@ class Pattern:
     body: str
     needs: tuple[str | tuple[str, ...], ...] = ()
     ignore_case: bool = True
+    starts: str = ""             # characters, in lower case, one of which begins every match
 
     @property
     def java(self) -> str:
         """Java form: Unicode classes and, if asked for, Unicode case folding."""
-        return ("(?iU)" if self.ignore_case else "(?U)") + self.body
+        flags = "(?iU)" if self.ignore_case else "(?U)"
+        return guard(self.starts, self.ignore_case) + flags + self.body
 
     @property
     def re2(self) -> str:
@@ -37,6 +57,7 @@ LOG_CALL = Pattern(
     r"\b(?:logging|logger|log|auditLogger|audit_logger|audit|LOGGER|LOG)"
     r"\s*(?:\.\s*[A-Za-z_][A-Za-z0-9_]*)?\s*\(",
     needs=("log", "audit"),
+    starts="la",
 )
 SENSITIVE = Pattern(
     "sensitive",
@@ -46,6 +67,7 @@ SENSITIVE = Pattern(
     needs=("password", "passwd", "pwd", "secret", "token", "api", "authorization", "cookie",
            "session", "ssn", "social", "credit", "cardholder", "card_number", "cvv",
            "connection", "private"),
+    starts="pstac",
 )
 SAFE_TRANSFORM = Pattern(
     "safe_transform",
@@ -53,6 +75,7 @@ SAFE_TRANSFORM = Pattern(
     r"anonym|obfuscate)",
     needs=("mask", "redact", "hash", "tokenize", "scrub", "sanitize", "pseudonym", "anonym",
            "obfuscate"),
+    starts="mrhtspao",
 )
 UNTRUSTED_INPUT = Pattern(
     "untrusted_input",
@@ -60,22 +83,26 @@ UNTRUSTED_INPUT = Pattern(
     r"external|client|form|args)",
     needs=("request", "header", "param", "query", "payload", "body", "input", "user_agent",
            "cookie", "filename", "path", "external", "client", "form", "args"),
+    starts="rhpqbiucfea",
 )
 SANITIZER = Pattern(
     "sanitizer",
     r"(sanitize|escape|encode|normalize|replace|strip|validate|structured|extra=|MDC\.put)",
     needs=("sanitize", "escape", "encode", "normalize", "replace", "strip", "validate",
            "structured", "extra=", "mdc.put"),
+    starts="senrvm",
 )
 DISABLE_LOGGING = Pattern(
     "disable_logging",
     r"(logging\.disable\s*\(|\.disabled\s*=\s*True\b|Level\.OFF\b|level\s*=\s*[\"']OFF[\"'])",
     needs=("disable", "level"),
+    starts="l.",
 )
 CONSOLE_LOG = Pattern(
     "console_log",
     r"\b(?:System\.(?:out|err)\.println|printStackTrace|traceback\.print_exc|print)\s*\(",
     needs=("print",),
+    starts="spt",
 )
 TECHNICAL_RESPONSE = Pattern(
     "technical_response",
@@ -87,9 +114,10 @@ TECHNICAL_RESPONSE = Pattern(
     r"traceback\.format_exc\s*\(|stackTrace)",
     needs=(("return", "str"), ("detail", "str"), "jsonify", "getmessage", "format_exc",
            "stacktrace"),
+    starts="rdjst",
 )
 PROPAGATION = Pattern(
-    "propagation", r"\b(raise|throw)\b", needs=("raise", "throw"), ignore_case=False
+    "propagation", r"\b(raise|throw)\b", needs=("raise", "throw"), ignore_case=False, starts="rt"
 )
 STACK_LOGGED = Pattern(
     "stack_logged",
@@ -101,12 +129,14 @@ LOG_AT_LEVEL = Pattern(
     r"\b(?:logger|log|logging)\s*\.\s*(?:error|warning|warn|critical)\s*\(",
     needs=("error", "warn", "critical"),
     ignore_case=False,
+    starts="l",
 )
 MESSAGE_ONLY = Pattern(
     "message_only",
     r"(str\s*\(\s*\w+\s*\)|\.getMessage\s*\(\)|\bargs\b)",
     needs=("str", "getmessage", "args"),
     ignore_case=False,
+    starts="s.a",
 )
 COMMENT_LINE = Pattern("comment_line", r"^\s*(?:#|//|\*|$)", ignore_case=False)
 
@@ -156,34 +186,36 @@ class Redaction:
     joint: str = ""           # text between that group and the mark
     ignore_case: bool = True
     dot_all: bool = False
-    needs: tuple[str, ...] = ()  # as for a Pattern, in lower case
+    needs: tuple[str, ...] = ()  # as for a Pattern
+    starts: str = ""             # as for a Pattern
 
 
 # Applied one after the other, in this order.
 REDACTIONS = (
     Redaction(r"(password|passwd|pwd|secret)\s*[:=]\s*['\"]?[^'\"\s,;]+", SECRET_MARK, True, "=",
-              needs=("password", "passwd", "pwd", "secret")),
+              needs=("password", "passwd", "pwd", "secret"), starts="ps"),
     Redaction(r"(api[_-]?key)\s*[:=]\s*['\"]?[^'\"\s,;]+", SECRET_MARK, True, "=",
-              needs=("api",)),
+              needs=("api",), starts="a"),
     Redaction(r"(authorization)\s*[:=]\s*['\"]?[^'\"\r\n]+", TOKEN_MARK, True, "=",
-              needs=("authorization",)),
+              needs=("authorization",), starts="a"),
     Redaction(r"(cookie|session[_-]?id)\s*[:=]\s*['\"]?[^'\"\s,;]+", TOKEN_MARK, True, "=",
-              needs=("cookie", "session")),
+              needs=("cookie", "session"), starts="cs"),
     Redaction(
         r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
         TOKEN_MARK, ignore_case=False, needs=("eyj",),
     ),
-    Redaction(r"(bearer\s+)[A-Za-z0-9._~+/=-]{12,}", TOKEN_MARK, True, needs=("bearer",)),
+    Redaction(r"(bearer\s+)[A-Za-z0-9._~+/=-]{12,}", TOKEN_MARK, True, needs=("bearer",),
+              starts="b"),
     Redaction(
         r"(jdbc:[^'\"\s]+|postgres(?:ql)?://[^'\"\s]+|mysql://[^'\"\s]+|"
         r"mongodb(?:\+srv)?://[^'\"\s]+)",
-        CONNECTION_MARK, needs=("jdbc:", "postgres", "mysql:", "mongodb"),
+        CONNECTION_MARK, needs=("jdbc:", "postgres", "mysql:", "mongodb"), starts="jpm",
     ),
     Redaction(
         r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----",
         KEY_MARK, ignore_case=False, dot_all=True, needs=("-----begin ",),
     ),
-    Redaction(r"\b(?:\d[ -]*?){13,19}\b", SECRET_MARK, ignore_case=False),
+    Redaction(r"\b(?:\d[ -]*?){13,19}\b", SECRET_MARK, ignore_case=False, starts="\\d"),
 )
 # ------------------------------------------------------------------------ end of fixed values
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from siftspark.functions.patterns import REDACTIONS, Pattern, Redaction
+from siftspark.functions.patterns import FOLDS, REDACTIONS, Pattern, Redaction, guard
 from siftspark.functions.sql import both, each, either, let, lit, when
 
 # The characters Python counts as white space, so that strip() means the same on both sides.
@@ -15,8 +15,7 @@ WHITESPACE = (
 )
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x85\\u2028\\u2029]"
 RARE_BREAKS = ("\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
-# Letters outside ASCII that fold to an ASCII letter under Unicode case rules.
-FOLDING_LETTERS = ("\u0130", "\u0131", "\u017f", "\u212a")
+FOLDING_LETTERS = tuple("".join(FOLDS.values()))
 
 SEVERITIES = ("critical", "high", "medium", "low", "info")  # fixed order, worst first
 SARIF_LEVELS = {"critical": "error", "high": "error", "medium": "warning",
@@ -114,7 +113,7 @@ def shorten(text: str, max_lines: int = 12) -> str:
 
 def redaction_java(rule: Redaction) -> str:
     flags = "U" + ("i" if rule.ignore_case else "") + ("s" if rule.dot_all else "")
-    return f"(?{flags}){rule.body}"
+    return f"{guard(rule.starts, rule.ignore_case)}(?{flags}){rule.body}"
 
 
 def redact(text: str) -> str:

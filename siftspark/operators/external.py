@@ -79,10 +79,9 @@ def prompt_batches(files: DataFrame, catalog: DataFrame,
     parts = X.rows(files, found)
     # The rules are one small row: read once as values instead of joined to every request.
     rules = review_rules(catalog)
-    ids = rules.select("rule_ids").scalar()
-    key = F.to_json(F.struct(
-        F.lit(options.catalog_version).alias("catalog_version"), F.lit(options.model).alias("model"),
-        ids.alias("rules"), F.col("payload").alias("snippets")))
+    # Same catalog, model, rules and snippets give the same key; the payload is JSON already.
+    key = F.concat_ws("\n", F.lit(options.catalog_version), F.lit(options.model),
+                      rules.select(F.array_join("rule_ids", ",")).scalar(), F.col("payload"))
     prompt = F.concat(F.lit(INSTRUCTIONS + "\n\nRules:\n"), rules.select("rules_json").scalar(),
                       F.lit("\n\nSnippets:\n"), F.col("payload"))
     return parts.select("repo", "path", F.sha2(key, 256).alias("request_id"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siftspark.functions import patterns as P
 from siftspark.functions import text as T
-from siftspark.functions.sql import each, each_at, keep, let, lit, strings, struct, when
+from siftspark.functions.sql import any_of, each, each_at, keep, let, lit, strings, struct, when
 from siftspark.functions.text import contains_any, has_folding_letters, rlike, split_lines
 from siftspark.operators import extract as X
 from siftspark.operators.findings import candidate_array, deduped_array, keep_first_in_row
@@ -36,23 +36,43 @@ def _window(lines_: str, line: str, radius: int) -> tuple[str, str]:
 def _hot_lines(lines_: str, odd: str, radius: int) -> str:
     def window(h: str) -> str:
         start, end = _window(lines_, f"{h}.line", radius)
-        return struct(start_line=start, end_line=end, text="cast(NULL AS string)")
+        return struct(start_line=start, end_line=end, text="cast(NULL AS string)", strip="false")
     return each(X.numbered(lines_, lambda x: is_hot(x, odd)), window)
 
 
 def _hot_spans(lines_: str, odd: str, language: str) -> str:
-    """Functions, classes, methods and clauses that hold a hot word, in line order."""
-    declared = each(
+    """Functions, classes, methods and clauses that hold a hot word, in line order.
+
+    Symbols nest, so their texts together may be many times the file. No hot word holds a line
+    break: a symbol is hot if one of its lines is, and no text is cut to find that out. A clause
+    opens with a hot word and always is.
+    """
+    hot = each(X.numbered(lines_, lambda x: is_hot(x, odd)), lambda h: f"{h}.line")
+    declared = let(hot, lambda hs: each(
         keep(X.symbol_array(lines_), lambda s:
-             f"({language} = 'python' AND {s}.end_line >= {s}.start_line)"
-             f" OR ({language} = 'java' AND {s}.kind = 'method')"),
+             f"({language} = 'python' OR ({language} = 'java' AND {s}.kind = 'method')) AND "
+             + any_of(hs, lambda at: f"{at} BETWEEN {s}.start_line AND {s}.end_line")),
         lambda s: struct(start_line=f"{s}.start_line", end_line=f"{s}.end_line",
-                         text=T.lstrip(X.join_lines(
-                             lines_, f"{s}.start_line",
-                             f"{s}.end_line - {s}.start_line + 1"))))
+                         text="cast(NULL AS string)", strip="true")))
     clauses = each(X.block_array(lines_, language, "scoped"), lambda b: struct(
-        start_line=f"{b}.line", end_line=f"{b}.end_line", text=f"{b}.text"))
-    return keep(f"array_sort(concat({declared}, {clauses}))", lambda s: is_hot(f"{s}.text", odd))
+        start_line=f"{b}.line", end_line=f"{b}.end_line", text=f"{b}.text", strip="false"))
+    return f"array_sort(concat({declared}, {clauses}))"
+
+
+FIRST_LINES = 200
+
+
+def _body(lines_: str, s: str, clip_chars: int) -> str:
+    """Clipped text of a span. The first lines are mostly enough to fill it; the rest of a long span
+    is only joined where they are not."""
+    count = f"{s}.end_line - {s}.start_line + 1"
+
+    def cut(lines: str) -> str:
+        return let(X.join_lines(lines_, f"{s}.start_line", lines), lambda t: when(
+            f"{s}.strip", T.lstrip(t), t))
+    own = let(cut(f"least({count}, {FIRST_LINES})"), lambda t: when(
+        f"length({t}) > {clip_chars} OR {count} <= {FIRST_LINES}", t, cut(count)))
+    return let(f"coalesce({s}.text, {own})", lambda t: T.clip(t, clip_chars))
 
 
 def hotspot_array(lines_: str, odd: str, language: str, options: ScanOptions) -> str:
@@ -75,14 +95,14 @@ def snippet_array(options: ScanOptions, text: str = "text", language: str = "lan
             rule = f"element_at({rule_ids}, {c}.hit + 1)"
             return struct(line=f"{c}.line", phase="0", seq=f"{c}.ord", start_line=start,
                           end_line=end, reason=f"concat('deterministic finding ', {rule})",
-                          text="cast(NULL AS string)")
+                          text="cast(NULL AS string)", strip="false")
         return each(deduped_array(options, text, language), window)
 
     def hotspots_(lines_: str, odd: str) -> str:
         return each_at(hotspot_array(lines_, odd, language, options), lambda s, i: struct(
             line=f"{s}.start_line", phase="1", seq=f"cast({i} AS bigint)",
             start_line=f"{s}.start_line", end_line=f"{s}.end_line",
-            reason="'semantic hotspot'", text=f"{s}.text"))
+            reason="'semantic hotspot'", text=f"{s}.text", strip=f"{s}.strip"))
 
     def build(lines_: str, odd: str) -> str:
         every = f"concat({around_findings(lines_)}, {hotspots_(lines_, odd)})"
@@ -93,9 +113,7 @@ def snippet_array(options: ScanOptions, text: str = "text", language: str = "lan
         return each(first, lambda s: struct(
             line=f"{s}.line", phase=f"{s}.phase", seq=f"{s}.seq", start_line=f"{s}.start_line",
             end_line=f"{s}.end_line", reason=f"{s}.reason",
-            text=T.clip(f"coalesce({s}.text, " + X.join_lines(
-                lines_, f"{s}.start_line", f"{s}.end_line - {s}.start_line + 1") + ")",
-                options.clip_chars)))
+            text=_body(lines_, s, options.clip_chars)))
 
     return let(split_lines(text), lambda ls: let(
         has_folding_letters(text), lambda odd: build(ls, odd)))
@@ -117,9 +135,7 @@ def hotspots(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFram
     def build(lines_: str, odd: str) -> str:
         return each(hotspot_array(lines_, odd, "language", options), lambda s: struct(
             line=f"{s}.start_line", start_line=f"{s}.start_line", end_line=f"{s}.end_line",
-            text=T.clip(f"coalesce({s}.text, " + X.join_lines(
-                lines_, f"{s}.start_line", f"{s}.end_line - {s}.start_line + 1") + ")",
-                options.clip_chars)))
+            text=_body(lines_, s, options.clip_chars)))
     found = X.with_lines(lambda ls: let(has_folding_letters("text"), lambda odd: build(ls, odd)))
     return X.rows(files, found).select(*X.KEYS, "start_line", "end_line", "text")
 
