@@ -44,7 +44,8 @@ def let(value: str, body: Callable[[str], str]) -> str:
 
     Catalyst may copy an expression into each place that names it, and a lambda body is evaluated
     once per element. A one-element ``transform`` binds the value to a lambda variable instead, so
-    that it is computed once.
+    that it is computed once. The analyzer resolves one level of lambdas per iteration and has a
+    limit on iterations, so bindings that depend on each other should stay few.
     """
     name = fresh()
     return f"get(transform(array({value}), {name} -> {body(name)}), 0)"
@@ -66,6 +67,12 @@ def keep(array: str, test: Callable[[str], str]) -> str:
     return f"filter({array}, {name} -> {test(name)})"
 
 
+def keep_at(array: str, test: Callable[[str, str], str]) -> str:
+    """``test`` gets the element and its zero-based position."""
+    name, at = fresh(), fresh("i")
+    return f"filter({array}, ({name}, {at}) -> {test(name, at)})"
+
+
 def any_of(array: str, test: Callable[[str], str]) -> str:
     name = fresh()
     return f"exists({array}, {name} -> {test(name)})"
@@ -76,7 +83,7 @@ def first_of(array: str) -> str:
 
 
 def last_of(array: str) -> str:
-    return let(array, lambda a: f"get({a}, size({a}) - 1)")
+    return f"try_element_at({array}, -1)"
 
 
 def either(tests: Iterable[str]) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from siftspark.functions.patterns import FOLDS, REDACTIONS, Pattern, Redaction, guard
-from siftspark.functions.sql import both, each, either, let, lit, when
+from siftspark.functions.sql import both, each, either, fresh, let, lit, struct, when
 
 # The characters Python counts as white space, so that strip() means the same on both sides.
 WHITESPACE = (
@@ -104,11 +104,10 @@ def clip(text: str, max_chars: int = 5000) -> str:
 def shorten(text: str, max_lines: int = 12) -> str:
     """First lines of a stripped block, each right-stripped, with a mark if some were left out."""
     def cut(lines: str) -> str:
-        kept = each(f"slice({lines}, 1, {max_lines})", rstrip)
-        return let(kept, lambda k: "array_join(" + when(
-            f"size({lines}) <= {max_lines}", k, f"array_append({k}, '...')")
-            + f", {lit(chr(10))})")
-    return let(strip(text), lambda t: let(split_lines(t), cut))
+        kept = f"array_join({each(f'slice({lines}, 1, {max_lines})', rstrip)}, {lit(chr(10))})"
+        more = when(f"size({lines}) > {max_lines}", lit("\n..."), "''")
+        return f"concat({kept}, {more})"
+    return let(split_lines(strip(text)), cut)
 
 
 def redaction_java(rule: Redaction) -> str:
@@ -120,23 +119,22 @@ def redact(text: str) -> str:
     """Replace secret shapes by marks; the rules run in their given order.
 
     A rule runs only on a text that holds one of its literals. No mark contains a literal of a later
-    rule, so looking at the text before all replacements is enough.
+    rule, so looking at the text before all replacements is enough. The rules that remain are folded
+    over the text: nine replacements inside each other would be tried one by one on every text.
     """
-    def apply(current: str, rules: tuple[Redaction, ...], p: Probe) -> str:
-        if not rules:
-            return current
-        rule = rules[0]
-        mark = ("$1" + rule.joint if rule.keeps_name else "") + rule.mark
-        masked = f"regexp_replace({current}, {lit(redaction_java(rule))}, {lit(mark)})"
-        if rule.needs:
-            possible = contains_any(p.low, rule.needs)
-            if rule.ignore_case:
-                possible = f"({possible} OR {p.odd})"
-            masked = when(possible, masked, current)
-        return let(masked, lambda m: apply(m, rules[1:], p))
-
-    return let(text, lambda t: let(f"lower({t})", lambda low: let(
-        has_folding_letters(t), lambda odd: apply(t, REDACTIONS, Probe(t, low, odd)))))
+    def folded(t: str, low: str) -> str:
+        odd = has_folding_letters(t)
+        steps = []
+        for rule in REDACTIONS:
+            mark = ("$1" + rule.joint if rule.keeps_name else "") + rule.mark
+            possible = contains_any(low, rule.needs) if rule.needs else "true"
+            if rule.needs and rule.ignore_case:
+                possible = f"({possible} OR {odd})"
+            steps.append(when(possible, struct(find=lit(redaction_java(rule)), mark=lit(mark))))
+        acc, rule_ = fresh("a"), fresh("r")
+        return (f"aggregate(array_compact(array({', '.join(steps)})), {t}, ({acc}, {rule_}) ->"
+                f" regexp_replace({acc}, {rule_}.find, {rule_}.mark))")
+    return let(text, lambda t: let(f"lower({t})", lambda low: folded(t, low)))
 
 
 def fingerprint(rule_id: str, path: str, line: str, evidence: str) -> str:

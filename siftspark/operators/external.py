@@ -74,9 +74,9 @@ def prompt_batches(files: DataFrame, catalog: DataFrame,
                 line=f"{i} + 1", snippets=f"size({part})",
                 payload=f"to_json({part}, map('ignoreNullFields', 'false'))"))
 
-    found = let(each(snippet_array(options), payload), lambda a: when(
-        f"size({a}) > 0", batches(a)))
-    parts = X.rows(files, found)
+    cut = files.select(*X.KEYS, F.expr(snippet_array(options)).alias("cut"))
+    found = let(each("cut", payload), lambda a: when(f"size({a}) > 0", batches(a)))
+    parts = X.rows(cut, found)
     # The rules are one small row: read once as values instead of joined to every request.
     rules = review_rules(catalog)
     # Same catalog, model, rules and snippets give the same key; the payload is JSON already.

@@ -89,10 +89,9 @@ def brace_profile(lines_: str) -> str:
     """``struct<line, depth, opens>`` of the lines holding a brace; depth is that after the line."""
     braced = numbered(lines_, lambda x: f"(contains({x}, '{{') OR contains({x}, '}}'))")
     acc, h = fresh("a"), fresh("h")
-    step = let(f"{acc}.depth + {brace_delta(f'{h}.text')}", lambda depth: struct(
-        depth=depth,
-        seen=f"array_append({acc}.seen, " + struct(
-            line=f"{h}.line", depth=depth, opens=f"contains({h}.text, '{{')") + ")"))
+    depth = f"{acc}.depth + {brace_delta(f'{h}.text')}"
+    step = struct(depth=depth, seen=f"array_append({acc}.seen, " + struct(
+        line=f"{h}.line", depth=depth, opens=f"contains({h}.text, '{{')") + ")")
     start = struct(depth="0", seen=f"cast(array() AS {PROFILE_TYPE})")
     return f"aggregate({braced}, {start}, ({acc}, {h}) -> {step}, {acc} -> {acc}.seen)"
 
@@ -119,8 +118,8 @@ def _brace_close(profile: str, line: str, target: str, opened_here: str | None)
     else:
         later = first_of(keep(profile, lambda p: f"{p}.line > {line} AND {p}.opens")) + ".line"
         first = when(opened_here, line, later)
-    closed = let(first, lambda start: let(target, lambda depth: first_of(
-        keep(profile, lambda p: f"{p}.line >= {start} AND {p}.depth <= {depth}"))))
+    closed = let(struct(line=first, depth=target), lambda start: first_of(
+        keep(profile, lambda p: f"{p}.line >= {start}.line AND {p}.depth <= {start}.depth")))
     return f"{closed}.line"
 
 
@@ -272,12 +271,11 @@ def _clause_text(text: str) -> str:
     """From ``catch`` to the brace that closes it; null if none does."""
     start = struct(depth="0", seen="false", at="0", stop="0")
     acc, piece = fresh("a"), fresh("p")
-    step = let(count_of(piece, "{"), lambda opens: let(
-        f"{acc}.depth + {opens} - 1", lambda depth: let(
-            f"{acc}.seen OR {opens} > 0", lambda seen: struct(
-                depth=depth, seen=seen, at=f"{acc}.at + 1",
-                stop=when(f"{acc}.stop = 0 AND {seen} AND {depth} <= 0",
-                          f"{acc}.at + 1", f"{acc}.stop")))))
+    opens = count_of(piece, "{")
+    depth, seen = f"{acc}.depth + {opens} - 1", f"({acc}.seen OR {opens} > 0)"
+    step = struct(depth=depth, seen=seen, at=f"{acc}.at + 1",
+                  stop=when(f"{acc}.stop = 0 AND {seen} AND {depth} <= 0",
+                            f"{acc}.at + 1", f"{acc}.stop"))
 
     def cut(pieces: str) -> str:
         # The piece after the last closing brace closes nothing.

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.functions import text as T
-from siftspark.functions.sql import each, each_at, keep, let, lit, strings, struct, when
+from siftspark.functions.sql import each, each_at, keep, keep_at, let, lit, strings, struct, when
 from siftspark.functions.text import Probe, has_folding_letters, shorten, split_lines, strip
 from siftspark.operators import extract as X
 from siftspark.operators.rules import Emission, emissions, language_mask, rule_mask
@@ -59,8 +59,9 @@ def candidate_array(options: ScanOptions, text: str = "text", language: str = "l
             each(line_hits, lambda h: _emit(h, strip(f"{h}.text"), table)),
             each(blocks, lambda h: _emit(h, shorten(f"{h}.text"), table)))
 
-    return let(split_lines(text), lambda ls: let(has_folding_letters(text), lambda odd: let(
-        language_mask(table, language), lambda allowed: build(ls, odd, allowed))))
+    known = struct(lines=split_lines(text), odd=has_folding_letters(text),
+                   allowed=language_mask(table, language))
+    return let(known, lambda k: build(f"{k}.lines", f"{k}.odd", f"{k}.allowed"))
 
 
 def _describe(hits: DataFrame, options: ScanOptions, *extra: str) -> DataFrame:
@@ -84,11 +85,8 @@ def candidates(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFr
 
 def keep_first_in_row(array: str, keys: str) -> str:
     """Elements whose key has not occurred before; both arrays run in parallel."""
-    def first(ks: str) -> str:
-        at = each_at(array, lambda c, i: struct(
-            item=c, first=f"array_position({ks}, get({ks}, {i})) = {i} + 1"))
-        return each(keep(at, lambda c: f"{c}.first"), lambda c: f"{c}.item")
-    return let(keys, first)
+    return let(keys, lambda ks: keep_at(
+        array, lambda c, i: f"array_position({ks}, get({ks}, {i})) = {i} + 1"))
 
 
 def deduped_array(options: ScanOptions, text: str = "text", language: str = "language") -> str:

@@ -115,8 +115,8 @@ def snippet_array(options: ScanOptions, text: str = "text", language: str = "lan
             end_line=f"{s}.end_line", reason=f"{s}.reason",
             text=_body(lines_, s, options.clip_chars)))
 
-    return let(split_lines(text), lambda ls: let(
-        has_folding_letters(text), lambda odd: build(ls, odd)))
+    known = struct(lines=split_lines(text), odd=has_folding_letters(text))
+    return let(known, lambda k: build(f"{k}.lines", f"{k}.odd"))
 
 
 def snippets(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
@@ -163,21 +163,25 @@ def candidate_snippets(files: DataFrame, options: ScanOptions = ScanOptions()) -
         capped = f"slice({first}, 1, {options.max_snippets_per_file})"
 
         def finish(s: str, syms: str) -> str:
-            body = X.join_lines(lines_, f"{s}.start_line",
-                                f"{s}.end_line - {s}.start_line + 1")
-            return let(T.redact(body) if options.redact else body, lambda text: struct(
+            return struct(
                 line=f"{s}.line", start_line=f"{s}.start_line", end_line=f"{s}.end_line",
-                text=T.clip(text, options.clip_chars),
-                reason=f"concat('candidate rules: ', {s}.fact.rule_id)",
-                snippet_id=T.snippet_id("path", f"{s}.start_line", f"{s}.end_line", text),
+                text=X.join_lines(lines_, f"{s}.start_line",
+                                  f"{s}.end_line - {s}.start_line + 1"),
+                rule_id=f"{s}.fact.rule_id",
                 symbol=when(f"{s}.fact.named", X.innermost(syms, f"{s}.line")),
-                candidate_rule_ids=f"array({s}.fact.rule_id)",
-                signals=f"{s}.fact.signals", seq=f"{s}.ord"))
+                signals=f"{s}.fact.signals", seq=f"{s}.ord")
         return let(capped, lambda cs: let(
             when(f"exists({cs}, x -> x.fact.named)", X.symbol_array(lines_)),
             lambda syms: each(cs, lambda s: finish(s, syms))))
 
-    return X.rows(files, X.with_lines(build)).drop("line")
+    cut = X.rows(files, X.with_lines(build))
+    if options.redact:
+        cut = cut.withColumn("text", F.expr(T.redact("text")))
+    return cut.selectExpr(
+        *X.KEYS, "start_line", "end_line", f"{T.clip('text', options.clip_chars)} AS text",
+        "concat('candidate rules: ', rule_id) AS reason",
+        f"{T.snippet_id('path', 'start_line', 'end_line', 'text')} AS snippet_id", "symbol",
+        "array(rule_id) AS candidate_rule_ids", "signals", "seq")
 
 
 def redact_snippets(found: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:

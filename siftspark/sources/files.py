@@ -1,15 +1,18 @@
 """Corpus sources: raw files to accepted code files, with a ledger of the ones left out.
 
-A corpus is any table of (repo, path, length, content): a directory read as binary files, or a table
-landed once. Every test is an expression over one row, so selecting files shuffles nothing; only a
+A corpus is any table of (repo, path, length, content): a directory read by tasks, or a table landed
+once. Every test is an expression over one row, so selecting files shuffles nothing; only a
 file limit needs an order, and that is taken over paths without their content.
 """
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Callable, Iterator
 
-from pyspark.errors import AnalysisException
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,22 +27,117 @@ MINIFIED_BYTES = 20_000
 MINIFIED_LINE = 1000
 
 
-def read_directory(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame:
+def read_directory(spark: SparkSession, root: str, repo: str | None = None,
+                   options: ScanOptions = ScanOptions(),
+                   globs: tuple[str, ...] | None = None) -> DataFrame:
     """raw(repo, path, length, content) of a directory tree or a single file.
 
-    Only supported suffixes are listed; ``content`` is read for the rows and plans that ask for it.
+    Spark's own file readers leave out every name that starts with ``_`` or ``.``, and with them
+    each ``__init__.py``. So tasks list and read here: subtrees are listed in parallel, the files
+    found are spread evenly, and each task reads its share. Ignored directories are not entered,
+    ignored files and the content of oversized ones are not read.
     """
-    base = root.rstrip("/")
-    clean = re.sub(r"^[a-z0-9+.-]+:(//[^/]*)?", "", base)
-    if re.search(r"[^/]\.(py|java)$", clean, re.IGNORECASE):
-        clean = clean.rsplit("/", 1)[0]
-    raw = (spark.read.format("binaryFile")
-           .option("recursiveFileLookup", True)
-           .option("pathGlobFilter", "*.{[pP][yY],[jJ][aA][vV][aA]}")
-           .load(base))
-    below = f"substring(path, instr(path, {lit(clean + '/')}) + {len(clean) + 1})"
-    return raw.selectExpr(f"{lit(repo or clean)} AS repo", f"{below} AS path",
-                          "length", "content")
+    system, base = _open(root)
+    single = system.get_file_info(base).type == pafs.FileType.File
+    top = base.rsplit("/", 1)[0] if single else base
+    chosen = load_ignores(spark, root, options) if globs is None else globs
+    prune = _directory_filter(chosen)
+    cores = spark.sparkContext.defaultParallelism
+    starts = [(base, False)] if single else _subtrees(system, base, prune, 4 * cores)
+    limit = options.max_file_bytes
+
+    def list_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, _ = _open(root)
+        for batch in batches:
+            for start, is_directory in zip(batch["start"], batch["is_directory"]):
+                found = _walk(fs, start, top, prune) if is_directory else [
+                    fs.get_file_info(start)]
+                rows = [(i.path, i.size) for i in found if _SUFFIX.search(i.path)]
+                for at in range(0, len(rows), 10_000):
+                    yield pd.DataFrame(rows[at:at + 10_000], columns=["file", "length"])
+
+    def read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, _ = _open(root)
+        for batch in batches:
+            rows, held = [], 0
+            for file, length in zip(batch["file"], batch["length"]):
+                content = None
+                if length <= limit:
+                    with fs.open_input_stream(file) as source:
+                        content = source.read()
+                    held += len(content)
+                rows.append((file[len(top):].lstrip("/"), length, content))
+                if held > _READ_BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=["path", "length", "content"])
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=["path", "length", "content"])
+
+    listing = (spark.createDataFrame(starts, "start string, is_directory boolean")
+               .repartition(min(len(starts), 4 * cores) or 1, "start")
+               .mapInPandas(list_files, "file string, length bigint"))
+    below = listing.withColumn("path", F.expr(f"ltrim('/', substring(file, {len(top) + 1}))"))
+    content = ignore_filter(below, chosen).select("file", "length").repartition(
+        "file").mapInPandas(read_files, "path string, length bigint, content binary")
+    return content.selectExpr(f"{lit(repo or top)} AS repo", "path", "length", "content")
+
+
+_SUFFIX = re.compile(r"[.](py|java)$", re.IGNORECASE)
+_READ_BATCH_BYTES = 32 << 20
+
+
+def _open(root: str) -> tuple[pafs.FileSystem, str]:
+    if "://" in root or root.startswith("file:"):
+        system, path = pafs.FileSystem.from_uri(root)
+    else:
+        system, path = pafs.LocalFileSystem(), os.path.abspath(root)
+    return system, path.rstrip("/") or "/"
+
+
+def _directory_filter(globs: tuple[str, ...]) -> Callable[[str], bool]:
+    """Whether a directory, as a path below the root, is covered by a pattern."""
+    # An empty expression stands for no pattern of its kind.
+    tests = [re.compile(e or "(?!)") for e in _ignore_expressions(globs)]
+
+    def covered(path: str) -> bool:
+        name = path.rsplit("/", 1)[-1]
+        subjects = ("/" + path + "/", path + "/", name)
+        return any(t.search(s) for t, s in zip(tests, subjects))
+    return covered
+
+
+def _children(fs: pafs.FileSystem, directory: str) -> list[pafs.FileInfo]:
+    return fs.get_file_info(pafs.FileSelector(directory, recursive=False))
+
+
+def _walk(fs: pafs.FileSystem, start: str, top: str,
+          prune: Callable[[str], bool]) -> Iterator[pafs.FileInfo]:
+    open_directories = [start]
+    while open_directories:
+        for info in _children(fs, open_directories.pop()):
+            if info.type == pafs.FileType.File:
+                yield info
+            elif info.type == pafs.FileType.Directory and not prune(
+                    info.path[len(top):].lstrip("/")):
+                open_directories.append(info.path)
+
+
+def _subtrees(fs: pafs.FileSystem, top: str, prune: Callable[[str], bool],
+              wanted: int) -> list[tuple[str, bool]]:
+    """Starting points for parallel listing: directories are opened until there are enough."""
+    files: list[tuple[str, bool]] = []
+    directories = [top]
+    while directories and len(directories) < wanted:
+        deeper = []
+        for directory in directories:
+            for info in _children(fs, directory):
+                if info.type == pafs.FileType.File and _SUFFIX.search(info.path):
+                    files.append((info.path, False))
+                elif info.type == pafs.FileType.Directory and not prune(
+                        info.path[len(top):].lstrip("/")):
+                    deeper.append(info.path)
+        directories = deeper
+    return files + [(d, True) for d in directories]
 
 
 def language_of(path: str) -> str:
@@ -72,32 +170,41 @@ def glob_body(glob: str) -> str:
             out += "[" + ("^" + inside[1:] if inside.startswith("!") else inside) + "]"
             i = end + 1
         else:
-            out += re.sub(r"([^A-Za-z0-9_/ -])", r"\\\1", char)
+            out += _literal(char)
     return out
 
 
-def ignored(path: str, globs: tuple[str, ...]) -> str:
-    """The path, or a directory above it, is covered by a pattern.
+def _literal(text: str) -> str:
+    return re.sub(r"([^A-Za-z0-9_/ -])", r"\\\1", text)
 
-    A directory is tested with a slash at its end. All patterns together make two expressions, one
-    for whole paths and one for base names, however many there are.
-    """
+
+def _ignore_expressions(globs: tuple[str, ...]) -> tuple[str, str, str]:
+    """Expressions for a path after a slash, for a path as it is, and for a base name."""
     globs = tuple(g for g in (g.replace("\\", "/").strip() for g in globs) if g)
-    if not globs:
-        return "false"
     # A pattern is tried on the path and on the path after a slash; the optional slash does both.
     whole = "|".join(glob_body(g) if g.startswith("/") else "/?" + glob_body(g) for g in globs)
-    literal = "|".join(re.sub(r"([^A-Za-z0-9_/ -])", r"\\\1", g.rstrip("/")) + "/.*"
-                       for g in globs if g.endswith("/"))
+    below = "|".join(_literal(g.rstrip("/")) + "/" for g in globs if g.endswith("/"))
     names = "|".join(glob_body(g) for g in globs if "/" not in g)
+    return (f"(?s)^(?:{whole})$(?![\\r\\n])" if whole else "", f"(?s)^(?:{below})" if below else "",
+            f"(?s)^(?:{names})$(?![\\r\\n])" if names else "")
+
+
+def ignored(path: str, globs: tuple[str, ...]) -> str:
+    """The path, or a directory above it, is covered by a pattern.
+
+    A directory is tested with a slash at its end. All patterns together make three expressions,
+    for whole paths, for their beginnings and for base names, however many there are.
+    """
+    whole, below, names = _ignore_expressions(globs)
+    if not whole:
+        return "false"
 
     def hit(s: str) -> str:
-        tests = [rlike(f"concat('/', {s})", f"(?s)^(?:{whole})\\z")]
-        if literal:
-            tests.append(rlike(s, f"(?s)^(?:{literal})\\z"))
+        tests = [rlike(f"concat('/', {s})", whole)]
+        if below:
+            tests.append(rlike(s, below))
         if names:
-            base = f"regexp_extract({s}, {lit('([^/]+)/?$')}, 1)"
-            tests.append(rlike(base, f"(?s)^(?:{names})\\z"))
+            tests.append(rlike(f"regexp_extract({s}, {lit('([^/]+)/?$')}, 1)", names))
         return either(tests)
 
     # The path and each prefix that ends in a slash.
@@ -115,13 +222,16 @@ def ignore_filter(df: DataFrame, globs: tuple[str, ...]) -> DataFrame:
 def load_ignores(spark: SparkSession, root: str, options: ScanOptions) -> tuple[str, ...]:
     """Default patterns, those of the options, and those of the ignore files at the root."""
     globs = [*options.default_ignores, *options.ignore_patterns]
-    for name in options.ignore_files:
-        try:
-            text = spark.read.text(f"{root.rstrip('/')}/{name}")
-            found = text.selectExpr("trim(value) AS g").where("g != '' AND NOT startswith(g, '#')")
-            globs += [row.g for row in found.collect()]  # a configuration file, not data
-        except AnalysisException:
+    system, base = _open(root)
+    if system.get_file_info(base).type == pafs.FileType.File:
+        base = base.rsplit("/", 1)[0]
+    for name in options.ignore_files:      # configuration, not data
+        if system.get_file_info(f"{base}/{name}").type != pafs.FileType.File:
             continue
+        with system.open_input_stream(f"{base}/{name}") as source:
+            text = source.read().decode("utf-8", "replace")
+        entries = (line.strip() for line in text.splitlines())
+        globs += [entry for entry in entries if entry and not entry.startswith("#")]
     return tuple(globs)
 
 

@@ -54,11 +54,27 @@ def test_single_file_root(spark, tree):
     assert [r.path for r in rows] == ["app.py"]
 
 
-def test_oversized_content_is_not_read_for_the_ledger(spark, tree):
-    raw = S.read_directory(spark, str(tree))
-    plan = S.supported(raw, SMALL).where("length > 1024").select("path")
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThan(length,1024)" in text and "content" not in text.split("ReadSchema")[1][:80]
+def test_oversized_content_is_not_read(spark, tree):
+    rows = {r.path: r.content for r in S.read_directory(spark, str(tree), options=SMALL).collect()}
+    assert rows["large.py"] is None and bytes(rows["app.py"]) == b"print('ok')\n"
+
+
+def test_names_spark_readers_skip(spark, tmp_path):
+    for name in ("__init__.py", "_p/x.py", ".hidden/y.py", ".git/z.py", "node_modules/q.py"):
+        target = tmp_path / name
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text("x = 1\n")
+    rows = S.collect_files(S.read_directory(spark, str(tmp_path))).collect()
+    assert sorted(r.path for r in rows) == [".hidden/y.py", "__init__.py", "_p/x.py"]
+
+
+def test_many_directories(spark, tmp_path):
+    for i in range(60):
+        folder = tmp_path / f"d{i % 7}" / f"e{i % 3}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"f{i}.py").write_text("x = 1\n" * (i + 1))
+    rows = S.read_directory(spark, f"file://{tmp_path}", "r").collect()
+    assert len(rows) == 60 and {r.length for r in rows} == {6 * (i + 1) for i in range(60)}
 
 
 def test_file_limit(spark, tree):
@@ -135,7 +151,7 @@ def test_labels(spark, tmp_path):
 def test_whole_scan_of_a_directory(spark, tree):
     result = scan(S.read_directory(spark, str(tree), "demo"), built_in_catalog(spark), SMALL)
     total = result.summary().head()
-    assert (total.repo, total.files_scanned, total.skipped_files) == ("demo", 4, 2)
+    assert (total.repo, total.files_scanned, total.skipped_files) == ("demo", 3, 2)
 
 
 def test_unscanned(spark):
