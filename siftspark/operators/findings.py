@@ -187,8 +187,11 @@ def fingerprint_dedupe(df: DataFrame, order: tuple[str, ...] = ORDER) -> DataFra
 # ------------------------------------------------------------------------------------- the result
 
 def finding_array(options: ScanOptions, text: str = "text", path: str = "path",
-                  language: str = "language") -> str:
-    """De-duplicated, unsuppressed candidates with fingerprints, first per fingerprint."""
+                  language: str = "language", hits: str | None = None) -> str:
+    """De-duplicated, unsuppressed candidates with fingerprints, first per fingerprint.
+
+    ``hits`` names a column that holds ``deduped_array`` already.
+    """
     rule_ids = strings(e.rule.rule_id for e in emissions(options.custom_rules))
 
     def rule_of(c: str) -> str:
@@ -207,14 +210,19 @@ def finding_array(options: ScanOptions, text: str = "text", path: str = "path",
             ord=f"{c}.ord", hit=f"{c}.hit", line=f"{c}.line", evidence=f"{c}.evidence",
             fingerprint=T.fingerprint(rule_of(c), path, f"{c}.line", f"{c}.evidence")))
 
-    deduped = deduped_array(options, text, language)
+    deduped = hits or deduped_array(options, text, language)
     return let(let(let(deduped, unsuppressed), printed),
                lambda ps: keep_first_in_row(ps, each(ps, lambda p: f"{p}.fingerprint")))
 
 
 def findings(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """The processed result of a scan, one narrow stage over the files. Not yet enriched."""
-    return _describe(X.rows(files, finding_array(options)), options, "fingerprint")
+    """The processed result of a scan, one narrow stage over the files. Not yet enriched.
+
+    Two steps, because the analyzer has a limit on how deep one expression may nest lambdas.
+    """
+    matched = files.selectExpr(*X.KEYS, "text", f"{deduped_array(options)} AS hits")
+    found = finding_array(options, hits="hits")
+    return _describe(X.rows(matched, found), options, "fingerprint")
 
 
 def enrich(found: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -230,6 +238,11 @@ def enrich(found: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def ordered(found: DataFrame) -> DataFrame:
-    """Report order: worst first, then path, line and rule. A range-partitioned sort."""
-    return found.orderBy(F.expr(T.severity_rank("severity")), "path", "line", "rule_id", "repo",
-                         *ORDER)
+    """Report order: worst first, then path, line and rule. A range-partitioned sort.
+
+    The sort samples its input before it shuffles it. The findings are put behind an exchange by
+    file first, so that both passes read its output and the corpus is scanned once.
+    """
+    spread = found.repartition("repo", "path")
+    return spread.orderBy(F.expr(T.severity_rank("severity")), "path", "line", "rule_id", "repo",
+                          *ORDER)
