@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from siftspark.llm import toxicity
 from siftspark.llm.sentencepiece_codec import coded
 from siftspark.llm.token_counts import token_counts
 
@@ -26,8 +27,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded(table(spark, sf_dir, "documents"), PIECES, digests=True)
 
 
+HELD_OUT = "crc32(cast(doc_id AS string)) % 5 = 0"
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels").filter(f"NOT ({HELD_OUT})"), "toxic")
+    return toxicity.scored(docs, model).selectExpr(
+        "doc_id", f"{HELD_OUT} AS held_out", "score", "cast(score >= 0.5 AS int) AS predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op10_sentencepiece)}
+    return {f.__name__: f for f in (op4_token_counts, op8_toxicity, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
