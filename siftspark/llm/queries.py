@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from siftspark.llm import toxicity
+from siftspark.llm.packing import packed
 from siftspark.llm.sentencepiece_codec import coded
 from siftspark.llm.token_counts import token_counts
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 TOKEN_LIMIT = 4096
 
 
@@ -27,6 +29,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded(table(spark, sf_dir, "documents"), PIECES, digests=True)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), WORDS, end_id=2, capacity=4096)
+
+
 HELD_OUT = "crc32(cast(doc_id AS string)) % 5 = 0"
 
 
@@ -38,7 +44,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op8_toxicity, op10_sentencepiece)}
+    return {f.__name__: f for f in (op4_token_counts, op5_packing, op8_toxicity, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
