@@ -31,6 +31,7 @@ from siftspark.llm.shared import keyed_text, ranges, written
 UNIT = 8
 PARTS = 256  # of each length class, for ranking
 MAX_COLUMNS = 6_000
+BATCH = 40  # columns of a solved knapsack
 GAP = 1e-3  # proven distance from the program's optimum at which no more columns are made
 CACHED_CHUNKS = 600_000
 
@@ -134,44 +135,80 @@ class Plan:
     copies: np.ndarray
 
 
-def best_pattern(prices: np.ndarray, units: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The pattern of greatest price (an unbounded knapsack), by dynamic programming over the capacity."""
+def knapsack(prices: np.ndarray, units: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Greatest price of pieces for each room, and the class to take next there (-1: leave a unit empty)."""
     worth, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     usable = prices > 1e-12
     sizes, values, names = units[usable], prices[usable], np.flatnonzero(usable)
+    fitting = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
     for room in range(1, capacity + 1):
-        n = np.searchsorted(sizes, room, side="right")
-        worth[room], choice[room] = worth[room - 1], -1
+        worth[room], n = worth[room - 1], fitting[room]
         if n:
             tried = values[:n] + worth[room - sizes[:n]]
             k = int(tried.argmax())
             if tried[k] > worth[room]:
                 worth[room], choice[room] = tried[k], names[k]
-    pattern, room = np.zeros(len(units), np.int64), capacity
-    while room > 0:
-        if choice[room] < 0:
-            room -= 1
-        else:
-            pattern[choice[room]] += 1
-            room -= int(units[choice[room]])
-    return float(worth[capacity]), pattern
+    return worth, choice
+
+
+def priced_patterns(prices: np.ndarray, units: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The greatest price of a pattern, and patterns worth more than a sequence: best ones for chosen firsts."""
+    worth, choice = knapsack(prices, units, capacity)
+    by_first = prices + worth[capacity - units]
+    firsts = [k for k in np.argsort(-by_first)[:BATCH].tolist() if by_first[k] > 1 + 1e-9]
+    out = {}
+    for k in firsts:
+        pattern, room = np.zeros(len(units), np.int64), capacity - int(units[k])
+        pattern[k] = 1
+        while room > 0:
+            if choice[room] < 0:
+                room -= 1
+            else:
+                pattern[choice[room]] += 1
+                room -= int(units[choice[room]])
+        out[pattern.tobytes()] = pattern
+    return float(worth[capacity]), np.array(list(out.values()), np.int64).reshape(len(out), len(units))
+
+
+def first_fit(units: np.ndarray, left: np.ndarray, capacity: int) -> tuple[list[np.ndarray], list[int]]:
+    """Patterns, with their uses, that take up ``left``: the largest pieces first, each where it fits."""
+    left, chosen, copies = left.copy(), [], []
+    while left.any():
+        pattern, room = np.zeros(len(units), np.int64), capacity
+        for k in range(len(units) - 1, -1, -1):
+            take = min(int(left[k]), room // int(units[k]))
+            pattern[k], room = take, room - take * int(units[k])
+        on = pattern > 0
+        times = int((left[on] // pattern[on]).min())
+        chosen.append(pattern)
+        copies.append(times)
+        left -= times * pattern
+    return chosen, copies
 
 
 def solved(units: np.ndarray, counts: np.ndarray, capacity: int, max_columns: int = MAX_COLUMNS) -> tuple[np.ndarray, np.ndarray]:
-    """Basis patterns and (fractional) uses of the relaxed cutting-stock program, by revised simplex."""
-    n = len(units)
+    """Basis patterns and (fractional) uses of the relaxed cutting-stock program, by revised simplex.
+
+    First-fit patterns are offered first; then each solution of the knapsack adds a batch of columns.
+    """
     patterns = np.diag(capacity // units)
     inverse = np.diag(1.0 / (capacity // units))
-    uses = inverse @ counts
+    # Slightly uneven demands, so that no pivot is without progress and the simplex cannot cycle.
+    uses, bound = inverse @ (counts + np.random.default_rng(1).uniform(0, 1e-2, len(counts))), 0.0
+    pool = np.array(first_fit(units, counts.astype(np.int64), capacity)[0], np.int64)
     for _ in range(max_columns):
-        prices = np.maximum(inverse.sum(axis=0), 0)
-        worth, pattern = best_pattern(prices, units, capacity)
-        if worth <= 1 + GAP:  # the optimum is at least the sum of ``uses`` over ``worth``
-            break
+        prices = inverse.sum(axis=0)
+        gains = pool @ prices
+        if not len(gains) or gains.max() <= 1 + 1e-7:
+            worth, fresh = priced_patterns(prices, units, capacity)
+            bound = max(bound, uses.sum() / max(worth, 1.0))  # no plan needs fewer sequences
+            if not len(fresh) or uses.sum() <= bound * (1 + GAP):
+                break
+            pool = np.concatenate([pool[gains > 0.9], fresh])
+            gains = pool @ prices
+        pattern = pool[int(gains.argmax())]
         change = inverse @ pattern
         rows = np.flatnonzero(change > 1e-9)
-        if not len(rows):
-            break
         leaves = rows[np.argmin(uses[rows] / change[rows])]
         step = uses[leaves] / change[leaves]
         uses = np.maximum(uses - step * change, 0)
@@ -180,7 +217,7 @@ def solved(units: np.ndarray, counts: np.ndarray, capacity: int, max_columns: in
         inverse -= np.outer(change, row)
         inverse[leaves] = row
         patterns[leaves] = pattern
-    return patterns.reshape(n, n), uses
+    return patterns, uses
 
 
 def planned(units: np.ndarray, counts: np.ndarray, capacity: int) -> Plan:
@@ -192,21 +229,13 @@ def planned(units: np.ndarray, counts: np.ndarray, capacity: int) -> Plan:
         for k in np.argsort(-uses):
             pattern = patterns[k]
             on = pattern > 0
-            times = min(int(uses[k] + 1e-6), int((left[on] // pattern[on]).min()))
+            times = min(int(uses[k] + 1e-2), int((left[on] // pattern[on]).min()))
             if times > 0:
                 chosen.append(pattern)
                 copies.append(times)
                 left -= times * pattern
-    while left.any():  # first fit, the largest pieces first, as patterns too
-        pattern, room = np.zeros(len(units), np.int64), capacity
-        for k in range(len(units) - 1, -1, -1):
-            take = min(int(left[k]), room // int(units[k]))
-            pattern[k], room = take, room - take * int(units[k])
-        on = pattern > 0
-        times = int((left[on] // pattern[on]).min())
-        chosen.append(pattern)
-        copies.append(times)
-        left -= times * pattern
+    more, times = first_fit(units, left, capacity)  # what rounding down has left
+    chosen, copies = chosen + more, copies + times
     return Plan(np.array(chosen, np.int64).reshape(len(chosen), len(units)), np.array(copies, np.int64))
 
 

@@ -28,7 +28,7 @@ MIN_TEXTS = 4
 PRIOR_WORDS = 8  # neutral words added to each text, so that very short ones stay near the base rate
 DECAY = 1e-6
 STEP = 4.0
-MAX_ROWS = 8_000
+MAX_ROWS = 6_000
 CACHED_WORDS = 400_000
 _EDGES = b".,;:!?\"'()[]{}|"
 _STEPS = mixed(np.arange(1, max(SIZES) + 1, dtype=np.uint64)) | np.uint64(1)
