@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.llm import simhash, substring_dedup, toxicity
+from siftspark.llm import quality_rules, simhash, substring_dedup, toxicity
 from siftspark.llm.packing import packed
 from siftspark.llm.sentencepiece_codec import coded
 from siftspark.llm.token_counts import token_counts
@@ -29,6 +29,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicated(table(spark, sf_dir, "documents"), window=13, digests=True)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judged(docs, quality_rules.fitted(docs, table(spark, sf_dir, "labels"), "quality"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), PIECES, TOKEN_LIMIT)
 
@@ -52,7 +57,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_substring_dedup, op4_token_counts, op5_packing, op8_toxicity, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_simhash, op2_substring_dedup, op3_quality_rules, op4_token_counts, op5_packing, op8_toxicity, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
