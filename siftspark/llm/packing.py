@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,12 +34,26 @@ PARTS = 256  # of each length class, for ranking
 MAX_COLUMNS = 6_000
 BATCH = 40  # columns of a solved knapsack
 GAP = 1e-3  # proven distance from the program's optimum at which no more columns are made
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 900_000
+CACHED_PARTS = 300_000
 
-# The pattern of the tokenizer whose texts may be encoded chunk by chunk, and what it means
-# for lower-case ASCII, as bytes.
+# Fixed value: the pattern of the tokenizer whose texts may be encoded chunk by chunk.
 CHUNK_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-ASCII_PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+
+# Chunks of Latin letters only (below U+0250, no white space) are cut here: the same pattern, spelled out.
+_LETTERS, _NUMBERS = (
+    "".join(re.escape(chr(c)) for c in range(0x21, 0x250) if unicodedata.category(chr(c))[0] == k) for k in "LN")
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+
+
+def _byte_characters() -> list[str]:
+    """The visible character that byte-level models use for each byte: itself, or one from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(0x100 + others.index(b)) for b in range(256)]
+
+
+_CHARACTERS = _byte_characters()
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -67,33 +82,41 @@ class Encoder:
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]
                         or any(c.isspace() for c in t["content"]) for t in rules["added_tokens"])
         )
-        # A chunk that may hold an added token is left to the library whole.
-        self.markers = tuple({t["content"][:2].encode() for t in rules["added_tokens"]})
+        # A chunk that may hold an added token, or characters of other rules, is left to the library whole.
+        markers = {re.escape(t["content"][:2]) for t in rules["added_tokens"]}
+        self.special = re.compile("|".join(["[\x00-\x20\x7f-\xa0\u0130\u0250-\U0010ffff]", *sorted(markers)])).search
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.parts: dict[bytes, list[int]] = {}
+        self.parts: dict[str, list[int]] = {}
         self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _by_library(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tool.encode_batch(texts, add_special_tokens=False)]
+        return [x.ids for x in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[bytes]) -> None:
-        plan, missing = [], {}
+        plan: list[list[str]] = []
+        special = self.special
+        if len(self.parts) > CACHED_PARTS:
+            self.parts = {}
+        whole: list[str] = []
         for chunk in new:
-            if chunk.isascii() and not any(m in chunk for m in self.markers):
-                found = ASCII_PARTS.findall(chunk.lower())
+            text = chunk.decode()
+            if not special(text):
+                found = _PARTS.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
             else:
-                found = [chunk]
+                found = ["\n" + text]  # white space is in no part: such a key is the library's whole chunk
+                whole.append(text)
             plan.append(found)
-            for part in found:
-                if part not in self.parts:
-                    missing[part] = None
-        names = list(missing)
-        for at in range(0, len(names), 4096):
-            part = names[at:at + 4096]
-            self.parts.update(zip(part, self._by_library([x.decode() for x in part]), strict=True))
+        tokenize = self.tool.model.tokenize
+        for part in dict.fromkeys(filterfalse(self.parts.__contains__, chain.from_iterable(plan))):
+            if part[0] != "\n":
+                spelled = part if part.isascii() else "".join(map(_CHARACTERS.__getitem__, part.encode()))
+                self.parts[part] = [t.id for t in tokenize(spelled)]
+        for at in range(0, len(whole), 4096):
+            part = whole[at:at + 4096]
+            self.parts.update(zip(["\n" + x for x in part], self._by_library(part), strict=True))
         rows = [list(chain.from_iterable(map(self.parts.__getitem__, found))) for found in plan]
         base = len(self.starts) - 1
         self.known.update(zip(new, range(base, base + len(new)), strict=True))
