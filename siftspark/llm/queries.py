@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.llm import fingerprints, quality_rules, simhash, substring_dedup, toxicity
+from siftspark.llm import fingerprints, quality_rules, secret_scan, simhash, substring_dedup, toxicity
 from siftspark.llm.packing import packed
 from siftspark.llm.sentencepiece_codec import coded
 from siftspark.llm.token_counts import token_counts
@@ -50,6 +50,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 HELD_OUT = "crc32(cast(doc_id AS string)) % 5 = 0"
 
 
@@ -61,7 +65,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_substring_dedup, op3_quality_rules, op4_token_counts, op5_packing, op6_fingerprints, op8_toxicity, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_simhash, op2_substring_dedup, op3_quality_rules, op4_token_counts, op5_packing, op6_fingerprints, op7_secret_scan, op8_toxicity, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
