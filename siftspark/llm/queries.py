@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.llm import fingerprints, quality_rules, secret_scan, simhash, substring_dedup, toxicity
+from siftspark.llm import fingerprints, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup, toxicity
 from siftspark.llm.packing import packed
 from siftspark.llm.sentencepiece_codec import coded
 from siftspark.llm.token_counts import token_counts
@@ -38,6 +38,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), PIECES, TOKEN_LIMIT)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"), length=100, digests=True)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded(table(spark, sf_dir, "documents"), PIECES, digests=True)
 
@@ -65,7 +69,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_substring_dedup, op3_quality_rules, op4_token_counts, op5_packing, op6_fingerprints, op7_secret_scan, op8_toxicity, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_simhash, op2_substring_dedup, op3_quality_rules, op4_token_counts, op5_packing, op6_fingerprints, op7_secret_scan, op8_toxicity, op9_suffix_dedup, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
