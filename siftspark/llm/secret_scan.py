@@ -130,9 +130,10 @@ def _tests(f: str) -> str:
     return let(sizes, battery)
 
 
-def candidates(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """Every row with ``base`` (spans), ``tokens`` (spans with scores) and ``n_tokens`` (all tokens tested)."""
+def candidates(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
+    """Every row with ``base`` (spans) and ``tokens`` (spans with scores), and its columns as ``row`` if asked."""
     text = "text"
+    more = [f"struct({', '.join(f'`{c}`' for c in docs.columns)}) AS row"] if carry else []
     base = f"array_sort(concat({', '.join(_spans(text, *b) for b in BASE)}))"
     found = _spans(text, "random", TOKEN, 0, 20)
     row = docs.selectExpr(*more, f"`{id_col}` AS id", f"coalesce(`{text_col}`, '') AS text")
@@ -159,15 +160,15 @@ def threshold(found: DataFrame, share: float = FALSE_DISCOVERIES) -> float:
     return chosen
 
 
-def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
-    """(more..., id_col, base, spans): arrays of (s, e, k) with k the place in ``KINDS``, in code points.
+def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """([row,] id_col, base, spans): arrays of (s, e, k) with k the place in ``KINDS``, in code points.
 
     ``spans`` holds the base spans and the tokens that the tests find, but for those inside a base span.
     Null and empty texts have none. Rows that repeat are scanned each; null ids stay null; other columns
     are ignored; an empty table gives an empty result. Spans with their scores are written once.
     """
-    found = candidates(docs, id_col, text_col, *more)
-    held = written(found.select(*more, "id", "base", "tokens"), "spans")
+    more = ["row"] if carry else []
+    held = written(candidates(docs, id_col, text_col, carry).select(*more, "id", "base", "tokens"), "spans")
     least = threshold(held)
     limit = f"{least!r}D" if math.isfinite(least) else "double('Infinity')"
     new = (f"transform(filter(tokens, t -> t.score >= {limit} AND NOT exists(base, b -> b.s < t.e AND t.s < b.e)),"
@@ -190,6 +191,15 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         f"sha2({spelled('base')}, 256) AS base_sha256", f"{spelled('spans')} AS spans")
 
 
+def without_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns, every span in the text replaced by a mask. Null texts stay null."""
+    found = scanned(docs, id_col, text_col, carry=True)
+    # Spans in the order of their starts; the text is taken from the row that was scanned.
+    text = masked(f"row.`{text_col}`", "spans")
+    return found.selectExpr(*(
+        f"{text} AS `{c}`" if c == text_col else f"row.`{c}` AS `{c}`" for c in docs.columns))
+
+
 def masked(text: str, spans: str, mask: str = "[secret]") -> str:
     """SQL: a text with its spans, overlapping ones as one, replaced by ``mask``."""
     return (

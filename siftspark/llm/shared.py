@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 WORD_BREAKS = " \t\n\x0b\x0c\r"
@@ -38,6 +40,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Write ``df`` as a table bucketed by ``key``: joins on it then move the other side only."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under fixed names, so other columns can't clash; null text is empty."""
     return docs.selectExpr(f"`{id_col}` AS id", f"coalesce(`{text_col}`, '') AS text")
@@ -64,3 +75,22 @@ def ranges(lengths: np.ndarray) -> np.ndarray:
     lengths = np.asarray(lengths, dtype=np.int64)
     ends = np.cumsum(lengths)
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], column: str, rows: int = 20_000) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows that never part equal values of ``column`` (the input is sorted by it)."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            values = table.column(column).to_numpy()
+            edge = int(np.searchsorted(values, values[-1])) if len(values) else 0
+            if edge:
+                yield table.slice(0, edge)
+                table = table.slice(edge)
+            held, count = table.to_batches(), 0
+    if count:
+        yield pa.Table.from_batches(held).combine_chunks()

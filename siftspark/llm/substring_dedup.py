@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 from pyspark.sql.window import Window
 
 from siftspark.llm.shared import mixed, ranges, words_of
@@ -206,9 +207,12 @@ def repeated_windows(source: DataFrame, window: int) -> DataFrame:
 
 def deduplicated(
     docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", digests: bool = False,
+    carry: bool = False,
 ) -> DataFrame:
     """(id_col, n_words, n_removed, kept string) for each row; with ``digests`` the SHA-256 of ``kept``.
 
+    With ``carry`` a column ``rest`` holds the row's own columns but id and text.
+
     Removed is each word under a window whose words also start in a document with a smaller id; windows
     are judged on the input. ``kept`` joins the other words by one space where anything was removed and is
     the text itself otherwise; its digest is always over the words joined by one space. Null and empty
@@ -218,12 +222,15 @@ def deduplicated(
     """
     if window < PERIOD:
         raise ValueError(f"windows have at least {PERIOD} words")
-    plain = docs.selectExpr(f"`{id_col}` AS id", f"coalesce(`{text_col}`, '') AS text")
+    others = [f"`{c}`" for c in docs.columns if c not in (id_col, text_col)]
+    rest = [f"named_struct({', '.join(f"'{c[1:-1]}', {c}" for c in others) or "'none', 0"}) AS rest"] if carry else []
+    plain = docs.selectExpr(f"`{id_col}` AS id", f"coalesce(`{text_col}`, '') AS text", *rest)
     source = plain.filter("id IS NOT NULL")
     removed = repeated_windows(source, window)
-    kind = plain.schema["id"].dataType.simpleString()
-    rows = source.join(removed, "id", "left").select("id", "text", "places", "lists").union(
-        plain.filter("id IS NULL").selectExpr("id", "text", "cast(NULL AS array<int>)", "cast(NULL AS array<array<int>>)"))
+    more = ["rest"] if carry else []
+    rows = source.join(removed, "id", "left").select("id", "text", *more, "places", "lists").union(
+        plain.filter("id IS NULL").selectExpr(
+            "id", "text", *more, "cast(NULL AS array<int>)", "cast(NULL AS array<array<int>>)"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups_of(batches):
@@ -247,8 +254,18 @@ def deduplicated(
                 else:
                     kept.append(b" ".join(words).decode() if gone[-1] else text)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
-                ["id", "n_words", "n_removed", name])
+                [batch.column("id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()),
+                 *(batch.column(c) for c in more)], ["id", "n_words", "n_removed", name, *more])
 
     name = "kept_sha256" if digests else "kept"
-    return rows.mapInArrow(cut, f"id {kind}, n_words bigint, n_removed bigint, {name} string").withColumnRenamed("id", id_col)
+    schema = ST.StructType([
+        plain.schema["id"], ST.StructField("n_words", ST.LongType()), ST.StructField("n_removed", ST.LongType()),
+        ST.StructField(name, ST.StringType()), *(plain.schema[c] for c in more)])
+    return rows.mapInArrow(cut, schema).withColumnRenamed("id", id_col)
+
+
+def without_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns, texts without their repeated windows. Null texts become empty."""
+    found = deduplicated(docs, window, id_col, text_col, carry=True)
+    return found.selectExpr(*(
+        f"`{id_col}`" if c == id_col else f"kept AS `{c}`" if c == text_col else f"rest.`{c}` AS `{c}`" for c in docs.columns))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftspark.llm.shared import mixed, ranges
+from siftspark.llm.shared import mixed, ranges, whole_groups
 from siftspark.llm.substring_dedup import groups_of, places_of, runs_of
 
 LENGTH = 100
@@ -248,25 +248,6 @@ def segment_rows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     ], ["h", "id", "pos", "lead", "bytes", "runs"])
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
-    """Tables of about ``rows`` rows that never part the rows of one ``h`` (the input is sorted by it)."""
-    held: list[pa.RecordBatch] = []
-    count = 0
-    for batch in batches:
-        held.append(batch)
-        count += batch.num_rows
-        if count >= rows:
-            table = pa.Table.from_batches(held).combine_chunks()
-            h = table.column("h").to_numpy()
-            edge = int(np.searchsorted(h, h[-1])) if len(h) else 0
-            if edge:
-                yield table.slice(0, edge)
-                table = table.slice(edge)
-            held, count = table.to_batches(), 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 def group_rows(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     """Rows (a, b, id, pos, runs): settled runs, and the single strings of crowded anchors by their hash."""
     settled = table.filter(pc.is_null(table.column("bytes")))
@@ -328,7 +309,7 @@ def repeated_strings(source: DataFrame, length: int) -> DataFrame:
             yield segment_rows(batch, length)
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches):
+        for table in whole_groups(batches, "h"):
             yield from group_rows(table, length)
 
     found = source.mapInArrow(anchors, f"h bigint, id {kind}, pos int, n bigint, runs array<int>")

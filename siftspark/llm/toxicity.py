@@ -206,3 +206,16 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     source = keyed_text(docs, id_col, text_col)
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows, with all columns, whose score is below ``limit``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[bytes, float] = {}
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            for at in range(0, batch.num_rows, 1_000):
+                scores = model.scores([t or "" for t in texts.slice(at, 1_000).to_pylist()], cache)
+                yield batch.slice(at, 1_000).filter(pa.array([x < limit for x in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
