@@ -125,7 +125,9 @@ def anchor_rows(batch: pa.RecordBatch, window: int, names: list[str]) -> pa.Reco
         mark = first[low != high]
     else:
         shared, mark = np.zeros(0, bool), np.zeros(0, np.int64)
-    open_ = ~shared
+    # In the order of the text: neighbouring rows of a shuffle file then differ little but for the hash.
+    open_ = np.flatnonzero(~shared)
+    open_ = open_[np.argsort(order[open_])]
     return _rows(
         batch.column("id"), [np.concatenate([h[open_], h[mark]]).view(np.int64)],
         np.concatenate([doc[open_], doc[mark]]), np.concatenate([pos[open_], np.full(len(mark), _MARK)]),
@@ -162,7 +164,8 @@ def window_rows(batch: pa.RecordBatch, window: int, names: list[str]) -> pa.Reco
         settled = rank[doc] > low
     else:
         settled = np.zeros(0, bool)
-    open_ = ~settled
+    open_ = np.flatnonzero(~settled)
+    open_ = open_[np.argsort(order[open_])]
     return _rows(
         batch.column("id"), [h1[open_].view(np.int64), h2[open_].view(np.int32)], doc[open_], pos[open_],
         doc[settled], pos[settled], names)

@@ -200,15 +200,18 @@ def anchor_rows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     sizes = np.diff(np.r_[first, len(h)])
     doc = np.searchsorted(ends, at, side="right")
     pos = at - np.r_[0, ends][doc]
-    alone = np.repeat(sizes == 1, sizes)
+    again = np.repeat(sizes > 1, sizes)
     mark = first[sizes > 1]
-    owners, lists, keys = _settled(batch.column("id"), doc[~alone], pos[~alone])
+    owners, lists, keys = _settled(batch.column("id"), doc[again], pos[again])
+    # In the order of the text: neighbouring rows of a shuffle file then differ little but for the hash.
+    alone = np.flatnonzero(~again)
+    alone = alone[np.argsort(at[alone])]
     return pa.RecordBatch.from_arrays([
         pa.array(np.concatenate([h[alone].view(np.int64), h[mark].view(np.int64), keys])),
         batch.column("id").take(pa.array(np.concatenate([doc[alone], doc[mark], owners]))),
         pa.array(np.concatenate([pos[alone], np.full(len(mark), _MARK), np.full(len(owners), _SETTLED)]).astype(np.int32)),
-        pa.array(np.concatenate([np.ones(int(alone.sum()), np.int64), sizes[sizes > 1], np.zeros(len(owners), np.int64)])),
-        pa.array([None] * (int(alone.sum()) + len(mark)) + lists, pa.list_(pa.int32())),
+        pa.array(np.concatenate([np.ones(len(alone), np.int64), sizes[sizes > 1], np.zeros(len(owners), np.int64)])),
+        pa.array([None] * (len(alone) + len(mark)) + lists, pa.list_(pa.int32())),
     ], ["h", "id", "pos", "n", "runs"])
 
 
