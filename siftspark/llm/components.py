@@ -23,7 +23,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable from each node that has an edge.
+    """(node, component): the smallest node reachable from each node that has an edge, itself included.
 
     ``edges`` has the columns ``a`` and ``b`` of one ordered type without nulls. Each round is written to
     the shared folder; the rounds end when every edge leads to the smallest node of its component, after
@@ -38,5 +38,6 @@ def components(edges: DataFrame) -> DataFrame:
         new = following.agg(
             F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(new) == state:
-            return following.selectExpr("u AS node", "v AS component")
+            roots = following.select("v").distinct().selectExpr("v AS node", "v AS component")
+            return following.selectExpr("u AS node", "v AS component").union(roots)
         current, state = following, tuple(new)
