@@ -121,8 +121,8 @@ class Suffixes:
             at, width = merged, width * 2
         return at
 
-    def repeated(self, at: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
-        """Whether an earlier element of ``at`` has the same ``length`` bytes; equal strings have equal keys."""
+    def repeated(self, at: np.ndarray, key: np.ndarray, when: np.ndarray, length: int) -> np.ndarray:
+        """Whether the same ``length`` bytes start at a place of smaller ``when``; equal strings have equal keys."""
         out = np.zeros(len(at), bool)
         order = np.argsort(key, kind="stable")
         ordered = key[order]
@@ -143,7 +143,12 @@ class Suffixes:
         same = self.hashes(places[later], length) == self.hashes(places[later - 1], length)
         later = later[same]
         later = later[self.confirmed(places[later], places[later - 1], length)]
-        out[element[places[later]]] = True
+        opens = np.ones(len(places), bool)
+        opens[later] = False
+        first = np.flatnonzero(opens)
+        found = element[places]
+        earliest = np.repeat(np.minimum.reduceat(when[found], first), np.diff(np.r_[first, len(found)]))
+        out[found] = when[found] > earliest
         return out
 
 
@@ -181,6 +186,9 @@ def _settled(ids: pa.Array, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndar
     """Documents, the runs of their places, and keys that spread them."""
     order = np.lexsort((place, doc))
     doc, place = doc[order], place[order]
+    if len(doc):  # rows that repeat an id may name a place twice
+        fresh = np.r_[True, (np.diff(doc) != 0) | (np.diff(place) != 0)]
+        doc, place = doc[fresh], place[fresh]
     owners, first = np.unique(doc, return_index=True)
     lists = [runs_of(x) for x in np.split(place, first[1:])] if len(owners) else []
     salt = np.uint64(int(place.sum()) & 0xFFFFFFFF)
@@ -217,8 +225,6 @@ def anchor_rows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
 
 def segment_rows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     """Segments (h, id, pos, lead, bytes) of strings that are first in the batch, and settled runs."""
-    # Rows in the order of their ids, so that an earlier place is an earlier element.
-    batch = batch.take(pc.sort_indices(batch.column("id")))
     data, ends = _joined(batch)
     text = Suffixes(data)
     starts, place, grams = anchors_of(text, ends, length)
@@ -232,8 +238,10 @@ def segment_rows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     near = shared[place]
     starts, place = starts[near], place[near]
     h = grams[place] if len(place) else np.zeros(0, np.uint64)
-    again = text.repeated(starts, mixed(h + (place - starts).astype(np.uint64)), length)
     doc = np.searchsorted(ends, starts, side="right")
+    rank = pc.rank(batch.column("id"), tiebreaker="dense").to_numpy().astype(np.int64)
+    again = text.repeated(
+        starts, mixed(h + (place - starts).astype(np.uint64)), (rank[doc] << 32) + starts - begins[doc], length)
     owners, runs, keys = _settled(batch.column("id"), doc[again], (starts - begins[doc])[again])
     starts, place, h, doc = (x[~again] for x in (starts, place, h, doc))
     cut = np.flatnonzero(np.r_[True, (np.diff(starts) != 1) | (np.diff(place) != 0) | (np.diff(doc) != 0)]) \
@@ -262,7 +270,6 @@ def group_rows(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     table = table.filter(pc.is_valid(table.column("bytes")))
     if not table.num_rows:
         return
-    table = table.take(pc.sort_indices(table, sort_keys=[("id", "ascending"), ("pos", "ascending")]))
     ids = table.column("id").combine_chunks()
     raw = table.column("bytes").to_pylist()
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -277,9 +284,8 @@ def group_rows(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     h = table.column("h").to_numpy().view(np.uint64)[owner]
     lead = (table.column("lead").to_numpy().astype(np.int64)[owner] - inside).astype(np.uint64)
     cold = np.flatnonzero(~crowd)
-    again = cold[text.repeated(starts[cold], mixed(h[cold] + lead[cold]), length)]
-    # Segments of one document lie together, so its runs are found per stretch of equal ids.
     doc = pc.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64)[owner]
+    again = cold[text.repeated(starts[cold], mixed(h[cold] + lead[cold]), ((doc << 32) + pos)[cold], length)]
     head = np.zeros(int(doc.max()) + 1, np.int64)
     head[doc[::-1]] = owner[::-1]
     owners, runs, keys = _settled(ids, doc[again], pos[again])
