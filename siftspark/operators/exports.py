@@ -38,10 +38,13 @@ def _finding_place() -> dict[str, str]:
 def _comma_but_first(fragments: DataFrame, *order: str) -> DataFrame:
     """Put a comma before every fragment but the first of its repo.
 
-    The first place of each repo comes from an aggregate, one row per repo, and is joined back.
+    Fragments equal in place and text become one row that repeats the text, so no two rows are equal.
+    The first of each repo comes from an aggregate, one row per repo, and is joined back.
     """
-    first = fragments.groupBy("repo").agg(F.min(F.struct(*order)).alias("first"))
-    comma = F.when(F.struct(*order) == F.col("first"), "").otherwise(",")
+    fragments = fragments.groupBy("repo", *order, "text").agg(F.count("*").alias("n")).withColumn(
+        "text", F.expr("array_join(array_repeat(text, cast(n AS int)), ',')")).drop("n")
+    first = fragments.groupBy("repo").agg(F.min(F.struct(*order, "text")).alias("first"))
+    comma = F.when(F.struct(*order, "text") == F.col("first"), "").otherwise(",")
     return fragments.join(first, "repo").withColumn("text", F.concat(comma, "text")).drop("first")
 
 

@@ -23,15 +23,18 @@ from siftspark.options import ScanOptions
 
 ANALYZER = "semantic"
 EXTERNAL_ORD = 1000        # after every analyzer of the scan itself
-# The shape and the limits an answer has to keep to.
-INSTRUCTIONS = (
-    "Review the snippets for logging and exception handling only. Use only the rule ids listed. "
-    "Do not invent rules, paths, line numbers, or facts. If evidence is insufficient, return no "
-    "finding.\n\nReturn strict JSON with this shape:\n"
+# Fixed value: the JSON shape an answer has to keep to.
+SHAPE = (
     '{"findings":[{"rule_id":"LOG-001","path":"file.py","line":12,"message":"short problem",'
     '"evidence":"short evidence from snippet","recommendation":"specific fix",'
     '"confidence":0.0}]}'
 )
+INSTRUCTIONS = (
+    "Below are rules on logging and on the handling of exceptions, and excerpts of source files. "
+    "Name each place where an excerpt breaks one of these rules. A finding needs a rule from the "
+    "list, a path and a line of the excerpts, and a quotation that proves it; leave out whatever "
+    f"you cannot prove.\n\nAnswer with one JSON object like this and nothing else:\n{SHAPE}"
+)
 DEFAULT_MESSAGE = "Semantic rule matched."
 
 

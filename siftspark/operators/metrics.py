@@ -16,11 +16,12 @@ def by_severity(enriched: DataFrame) -> DataFrame:
     return enriched.groupBy("severity").agg(F.count("*").alias("findings"))
 
 
-def by_severity_filled(enriched: DataFrame) -> DataFrame:
-    """Five rows per repo, zero where nothing was found: one count per severity, then unpivoted."""
+def by_severity_filled(enriched: DataFrame, repos: DataFrame) -> DataFrame:
+    """Five rows for each repo of ``repos``, zero where nothing was found."""
     counts = enriched.groupBy("repo").agg(
         *[F.count_if(F.col("severity") == name).alias(name) for name in SEVERITIES])
-    return counts.unpivot(["repo"], list(SEVERITIES), "severity", "findings")
+    whole = repos.select("repo").distinct().join(counts, "repo", "left").fillna(0, list(SEVERITIES))
+    return whole.unpivot(["repo"], list(SEVERITIES), "severity", "findings")
 
 
 def by_rule(found: DataFrame) -> DataFrame:
@@ -132,13 +133,12 @@ def evaluate(actual: DataFrame, expected: DataFrame, files: DataFrame) -> DataFr
 
 
 def with_evidence_check(found: DataFrame, files: DataFrame) -> DataFrame:
-    """Add ``evidence_valid`` to findings that come without their file: the first line of the
+    """Add ``evidence_valid`` to findings that come without their file: every line of the
     evidence occurs in it. Only files named by a finding keep their text for the join.
 
     Findings that the scan makes itself carry the flag from ``findings.checked_findings``.
     """
     named = found.select("repo", "path").distinct()
     texts = files.join(named, ["repo", "path"], "left_semi").select("repo", "path", "text")
-    first_line = "regexp_extract(evidence, '^[^\\n]*', 0)"
     return found.join(texts, ["repo", "path"], "left").withColumn(
-        "evidence_valid", F.expr(f"coalesce(contains(text, {first_line}), false)")).drop("text")
+        "evidence_valid", F.expr(f"coalesce({T.occurs('evidence', 'text')}, false)")).drop("text")

@@ -11,13 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors see, as the session names it in ``spark.checkpoint.dir``.
 
-    Where that is unset, as in local tests, a new local folder is made and set for the session.
+    Where that is unset, a local session gets a folder of its own, since its tasks share this machine.
+    Any other session raises: files in a machine-local folder would be lost to the other machines.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="siftspark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="siftspark-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def run_folder(spark: SparkSession, name: str) -> str:

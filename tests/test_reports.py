@@ -27,7 +27,7 @@ def documents(folder):
 
 
 def test_written_reports(spark, tmp_path):
-    notes = spark.createDataFrame([("one", "first note"), ("one", 'second "note"')],
+    notes = spark.createDataFrame([("one", "first note"), ("one", 'second "note"'), ("one", "first note")],
                                   "repo string, note string")
     reports = sample(spark).settled().reports(notes)
     paths = exports.write_exports(reports, str(tmp_path), ("json", "SARIF ", "markdown", "html", "x"))
@@ -35,24 +35,24 @@ def test_written_reports(spark, tmp_path):
 
     docs = documents(paths["json"])
     one, two = json.loads(docs["one"]), json.loads(docs["two"])
-    assert one["summary"]["findings"] == len(one["findings"]) == 15 and two["findings"] == []
-    assert one["notes"] == ["first note", 'second "note"'] and one["skipped"] == ['z.py: "binary"']
+    assert one["summary"]["findings"] == len(one["findings"]) == 11 and two["findings"] == []
+    assert one["notes"] == ["first note", "first note", 'second "note"'] and one["skipped"] == ['z.py: "binary"']
     assert [r["id"] for r in one["rules"]][0] == "ERR-001" and len(one["rules"]) == 10
-    assert one["summary"]["findings_by_severity"] == {"high": 10, "medium": 5}
-    assert "secret-value" not in docs["one"] and one["metrics"]["total_loc"] == 59
+    assert one["summary"]["findings_by_severity"] == {"high": 7, "medium": 4}
+    assert "secret-value" not in docs["one"] and one["metrics"]["total_loc"] == 55
     ranks = [["critical", "high", "medium"].index(f["severity"]) for f in one["findings"]]
     assert ranks == sorted(ranks)
 
     sarif = json.loads(documents(paths["sarif"])["one"])
     assert sarif["version"] == "2.1.0"
     results = sarif["runs"][0]["results"]
-    assert len(results) == 15 and {r["level"] for r in results} == {"error", "warning"}
+    assert len(results) == 11 and {r["level"] for r in results} == {"error", "warning"}
     assert all(r["partialFingerprints"]["primaryLocationLineHash"] for r in results)
     assert len(sarif["runs"][0]["tool"]["driver"]["rules"]) == 10
 
     markdown = documents(paths["markdown"])
     assert markdown["one"].startswith("# ") and "## Rule Catalog" in markdown["one"]
-    assert "- High: `10`" in markdown["one"] and "- Low: `0`" in markdown["one"]
+    assert "- High: `7`" in markdown["one"] and "- Low: `0`" in markdown["one"]
     assert "No findings were detected" in markdown["two"] and "secret-value" not in markdown["one"]
     order = [markdown["one"].index(h) for h in (
         "## Notes", "## Summary", "## Findings", "### HIGH", "### MEDIUM", "## Rule Catalog",
@@ -60,7 +60,7 @@ def test_written_reports(spark, tmp_path):
     assert order == sorted(order)
 
     html = documents(paths["html"])
-    assert html["one"].count("<section>") == 15 and "&lt;b&gt;" in html["one"]
+    assert html["one"].count("<section>") == 11 and "&lt;b&gt;" in html["one"]
     assert html["one"].endswith("</html>\n") and "secret-value" not in html["one"]
     assert "No findings were detected" in html["two"]
 
@@ -69,13 +69,13 @@ def test_parquet_sink(spark, tmp_path):
     result = sample(spark)
     exports.write_findings(result.findings, str(tmp_path / "f"))
     back = spark.read.parquet(str(tmp_path / "f"))
-    assert back.count() == 15 and {r.repo for r in back.select("repo").distinct().collect()} == {"one"}
+    assert back.count() == 11 and {r.repo for r in back.select("repo").distinct().collect()} == {"one"}
 
 
 def test_summary_and_gate(spark):
     result = sample(spark)
     rows = {r.repo: r for r in result.summary().collect()}
-    assert (rows["one"].files_scanned, rows["one"].findings, rows["one"].skipped_files) == (3, 15, 1)
+    assert (rows["one"].files_scanned, rows["one"].findings, rows["one"].skipped_files) == (3, 11, 1)
     assert rows["two"].findings == 0
     for threshold, expected in (("high", {"one": 1, "two": 0}), ("critical", {"one": 0, "two": 0}),
                                 ("bogus", {"one": 2, "two": 2}), (None, {"one": 0, "two": 0})):
@@ -90,8 +90,8 @@ def test_evaluation(spark):
         spark.createDataFrame([("a.py", "LOG-001", 1)], "case string, rule_id string, line int"))
     row = metrics.evaluate(found, wanted, result.files).head()
     assert (row.expected_total, row.matched_total, row.recall) == (5, 4, 0.8)
-    assert row.precision == round(4 / 15, 4) and row.rule_coverage == 0.75
-    assert row.evidence_validity == 1.0 and row.findings_per_kloc == 250.0
+    assert row.precision == round(4 / 11, 4) and row.rule_coverage == 0.75
+    assert row.evidence_validity == 1.0 and row.findings_per_kloc == 196.43
     empty = metrics.evaluate(found.limit(0), wanted.limit(0), result.files).head()
     assert (empty.precision, empty.recall, empty.f1, empty.false_positive_rate) == (1.0, 1.0, 1.0, 0.0)
 
@@ -108,3 +108,24 @@ def test_stream_equals_batch(spark, tmp_path):
         query.awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 6 * 4 and out.select("fingerprint").distinct().count() == 6 * 4
+
+
+def test_severities_of_a_repo_without_findings(spark):
+    found = spark.createDataFrame([("one", "high")], "repo string, severity string")
+    repos = spark.createDataFrame([("one",), ("two",), ("two",)], "repo string")
+    rows = metrics.by_severity_filled(found, repos).collect()
+    assert len(rows) == 10 and sum(r.findings for r in rows if r.repo == "two") == 0
+
+
+def test_every_line_of_the_evidence_counts(spark):
+    files = spark.createDataFrame([("r", "a.py", "x = 1\ny = 2\n")], "repo string, path string, text string")
+    found = spark.createDataFrame(
+        [("r", "a.py", k, e) for k, e in enumerate(("x = 1\ny = 2\n...", "x = 1\ny = 3", "y = 2"))],
+        "repo string, path string, k int, evidence string")
+    rows = metrics.with_evidence_check(found, files).collect()
+    assert {r.k: r.evidence_valid for r in rows} == {0: True, 1: False, 2: True}
+
+
+def test_results_are_written_without_a_setting(spark):
+    from siftspark.sources.landing import landed, shared_folder
+    assert landed(spark.range(5)).count() == 5 and shared_folder(spark)
