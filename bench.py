@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -35,6 +36,17 @@ def spent(df: DataFrame) -> float:
     return time.perf_counter() - start
 
 
+def spread_copy(spark: SparkSession, sf_dir: str, files: int) -> str:
+    """The tables with ``documents`` in several files: here it is one row group, which one task would read."""
+    folder = tempfile.mkdtemp(prefix="siftspark-bench-")
+    for path in Path(sf_dir).glob("*.parquet"):
+        if path.stem != "documents":
+            (Path(folder) / path.name).symlink_to(path)
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(files, "doc_id").write.parquet(
+        f"{folder}/documents.parquet")
+    return folder
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -48,6 +60,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
+    sf_dir, given = spread_copy(spark, sf_dir, 2 * int(cpus)), sf_dir
     registered = queries()
     spent(registered["findings_scoped"](spark, sf_dir))
     times = {}
@@ -60,7 +73,7 @@ def main() -> None:
     scan = times["findings_scoped"]
     print(json.dumps({
         "metric": "total_query_time", "value": round(sum(times.values()), 3), "unit": "sec",
-        "queries": times, "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1],
+        "queries": times, "sf": given.rstrip("/").rsplit("sf", 1)[-1],
         "files": n_files, "lines": n_lines,
         "scan_files_per_sec": round(n_files / scan, 1),
         "scan_lines_per_sec": round(n_lines / scan, 1),

@@ -65,20 +65,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str, like: DataFrame | None = None) -> DataFrame:
-    """Spread rows over the cores if the input has fewer splits than there are cores.
-
-    ``like`` is a batch read of the same input, for a stream, whose splits are not known.
-
-    A table of many files has more splits than cores and is left as it is. A small one in a single
-    row group would run in one task, and is cheap to shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if (df if like is None else like).rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(2 * cores, *keys)
-
-
 def _code_line(doc_id: Column, line: Column, position: Column) -> Column:
     templates = F.array(*[F.lit(t) for t in TEMPLATES])
     slot = (doc_id * 37 + position * 11 + F.length(line) * 5) % SLOTS
@@ -103,7 +89,7 @@ def as_code(docs: DataFrame) -> DataFrame:
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return as_code(spread(docs, "doc_id"))
+    return as_code(docs)
 
 
 def _quote(text: str) -> str:

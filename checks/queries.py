@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
-from checks.corpus import as_code, code_files, spread, table
+from checks.corpus import as_code, code_files, table
 from siftspark.functions import patterns as P
 from siftspark.functions import text as T
 from siftspark.operators import exports, external, extract, findings, metrics, snippets
@@ -46,7 +46,7 @@ def big(df: DataFrame) -> DataFrame:
 def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as raw files in varied folders, some of them ignored, foreign or binary."""
     docs = table(spark, sf_dir, "documents")
-    return spread(docs, "doc_id").selectExpr(
+    return docs.selectExpr(
         "source AS repo",
         "concat(CASE doc_id % 7 WHEN 0 THEN 'build/out/' WHEN 1 THEN 'app/.venv/lib/'"
         " WHEN 2 THEN 'legacy/' ELSE 'src/main/' END, 'd', doc_id,"
@@ -68,7 +68,7 @@ def notes_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                      "0L AS part", "html AS text")
     talks = table(spark, sf_dir, "conversations").selectExpr(
         "'conversations' AS origin", "conv_id AS id", "turn AS part", "text")
-    return spread(docs.unionByName(pages).unionByName(talks), "origin", "id", "part")
+    return docs.unionByName(pages).unionByName(talks)
 
 
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,7 +351,6 @@ def _scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "documents").schema
     # A pattern, so that a single file and a directory of files both serve as the source.
     docs = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")
-    docs = spread(docs, "doc_id", like=table(spark, sf_dir, "documents"))
     raw = as_code(docs).selectExpr(
         "repo", "path", "encode(text, 'UTF-8') AS content").selectExpr(
         "repo", "path", "cast(length(content) AS bigint) AS length", "content")

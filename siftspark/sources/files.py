@@ -32,6 +32,9 @@ def read_directory(spark: SparkSession, root: str, repo: str | None = None,
                    globs: tuple[str, ...] | None = None) -> DataFrame:
     """raw(repo, path, length, content) of a directory tree or a single file.
 
+    Linked directories are not entered; a linked file that leads out of the root has length -1 and, like a
+    file that cannot be read, no content: both get a row in the skip ledger.
+
     Spark's own file readers leave out every name that starts with ``_`` or ``.``, and with them
     each ``__init__.py``. So tasks list and read here: subtrees are listed in parallel, the files
     found are spread evenly, and each task reads its share. Ignored directories are not entered,
@@ -52,7 +55,8 @@ def read_directory(spark: SparkSession, root: str, repo: str | None = None,
             for start, is_directory in zip(batch["start"], batch["is_directory"]):
                 found = _walk(fs, start, top, prune) if is_directory else [
                     fs.get_file_info(start)]
-                rows = [(i.path, i.size) for i in found if _SUFFIX.search(i.path)]
+                rows = [(i.path, -1 if _leaves(fs, i.path, top) else i.size)
+                        for i in found if i.path and _SUFFIX.search(i.path)]
                 for at in range(0, len(rows), 10_000):
                     yield pd.DataFrame(rows[at:at + 10_000], columns=["file", "length"])
 
@@ -62,10 +66,13 @@ def read_directory(spark: SparkSession, root: str, repo: str | None = None,
             rows, held = [], 0
             for file, length in zip(batch["file"], batch["length"]):
                 content = None
-                if length <= limit:
-                    with fs.open_input_stream(file) as source:
-                        content = source.read()
-                    held += len(content)
+                if 0 <= length <= limit:
+                    try:
+                        with fs.open_input_stream(file) as source:
+                            content = source.read()
+                        held += len(content)
+                    except OSError:  # gone or not readable: a row of the ledger, not the end of the scan
+                        content = None
                 rows.append((file[len(top):].lstrip("/"), length, content))
                 if held > _READ_BATCH_BYTES:
                     yield pd.DataFrame(rows, columns=["path", "length", "content"])
@@ -107,7 +114,22 @@ def _directory_filter(globs: tuple[str, ...]) -> Callable[[str], bool]:
 
 
 def _children(fs: pafs.FileSystem, directory: str) -> list[pafs.FileInfo]:
-    return fs.get_file_info(pafs.FileSelector(directory, recursive=False))
+    """Entries of a directory but linked directories, which may lead in circles; none if it can't be listed."""
+    try:
+        found = fs.get_file_info(pafs.FileSelector(directory, recursive=False))
+    except OSError:
+        return []
+    local = isinstance(fs, pafs.LocalFileSystem)
+    return [i for i in found if not (
+        local and i.type == pafs.FileType.Directory and os.path.islink(i.path))]
+
+
+def _leaves(fs: pafs.FileSystem, path: str, top: str) -> bool:
+    """Whether a local file is a link out of the folder that is scanned."""
+    if not isinstance(fs, pafs.LocalFileSystem) or not os.path.islink(path):
+        return False
+    root = os.path.realpath(top)
+    return os.path.commonpath([root, os.path.realpath(path)]) != root
 
 
 def _walk(fs: pafs.FileSystem, start: str, top: str,
@@ -243,7 +265,9 @@ def skip_reason(options: ScanOptions) -> str:
     long_line = any_of(f"split({sample}, {lit('[' + chr(92) + 'r' + chr(92) + 'n]')}, -1)",
                        lambda x: f"length({x}) > {MINIFIED_LINE}")
     return (
-        f"CASE WHEN length > {options.max_file_bytes} THEN 'size'"
+        "CASE WHEN length < 0 THEN 'outside'"
+        f" WHEN length > {options.max_file_bytes} THEN 'size'"
+        " WHEN content IS NULL THEN 'unreadable'"
         f" WHEN contains(substring(content, 1, {BINARY_PROBE_BYTES}), X'00') THEN 'binary'"
         f" WHEN length >= {MINIFIED_BYTES} AND {long_line} THEN 'minified' END"
     )
@@ -252,6 +276,8 @@ def skip_reason(options: ScanOptions) -> str:
 def reason_note(options: ScanOptions) -> str:
     return (
         "concat(path, CASE skip_reason"
+        " WHEN 'outside' THEN ': skipped because it leads out of the scanned folder'"
+        " WHEN 'unreadable' THEN ': skipped because it could not be read'"
         f" WHEN 'size' THEN ': skipped because size exceeds {options.max_file_bytes} bytes'"
         " WHEN 'binary' THEN ': skipped because it appears to be binary'"
         " WHEN 'minified' THEN ': skipped because it appears to be minified' END)"

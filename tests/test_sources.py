@@ -158,3 +158,24 @@ def test_unscanned(spark):
     files = spark.createDataFrame([("h1",), ("h2",)], "file_hash string")
     seen = spark.createDataFrame([("h1",), ("h1",)], "file_hash string")
     assert [r.file_hash for r in S.unscanned(files, seen).collect()] == ["h2"]
+
+
+def test_links_and_unreadable_files(spark, tmp_path):
+    root, other = tmp_path / "root", tmp_path / "other"
+    (root / "sub").mkdir(parents=True)
+    other.mkdir()
+    (root / "a.py").write_text("x = 1\n")
+    (root / "sub" / "b.py").write_text("y = 2\n")
+    (other / "c.py").write_text("z = 3\n")
+    (root / "sub" / "up").symlink_to(root)
+    (root / "far").symlink_to(other)
+    (root / "out.py").symlink_to(other / "c.py")
+    (root / "in.py").symlink_to(root / "a.py")
+    (root / "gone.py").symlink_to(root / "missing.py")
+    raw = S.read_directory(spark, str(root), "r")
+    rows = {r.path: (r.length, r.content) for r in raw.collect()}
+    assert set(rows) - {"gone.py"} == {"a.py", "in.py", "out.py", "sub/b.py"}
+    assert rows["out.py"] == (-1, None) and bytes(rows["in.py"][1]) == b"x = 1\n"
+    odd = spark.createDataFrame([("r", "q.py", 5, None)], "repo string, path string, length bigint, content binary")
+    reasons = {r.path: r.skip_reason for r in S.file_quality(raw.unionByName(odd)).collect()}
+    assert reasons["out.py"] == "outside" and reasons["q.py"] == "unreadable" and reasons["a.py"] is None
