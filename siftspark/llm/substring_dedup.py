@@ -32,7 +32,11 @@ from siftspark.llm.shared import mixed, ranges, words_of
 
 PERIOD = 7
 COVER = (1, 2, 4)
-_MARK, _SETTLED = -1, -2  # in ``pos``: a row that only says "shared"; a row that holds runs
+# Open rows are narrow, for there is one for three of seven words: 48 bits of the anchor's hash, which only
+# picks candidates, share a number with the low bits of its place. A place that is known only modulo 65,536
+# stands for all such places; it makes a few candidates more. A row without an id marks a hash as shared,
+# one with runs holds places that are settled.
+PLACE_BITS = 16
 _GROUP_BYTES = 24_000_000
 _STEPS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -79,22 +83,34 @@ def places_of(runs: list[int] | np.ndarray) -> np.ndarray:
     return np.repeat(pairs[:, 0], pairs[:, 1]) + ranges(pairs[:, 1])
 
 
-def _rows(ids: pa.Array, keys: list[np.ndarray], doc: np.ndarray, pos: np.ndarray,
-          settled_doc: np.ndarray, settled_pos: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    """Open rows (keys, id, pos) and, per document, one row with the runs of settled places."""
-    order = np.lexsort((settled_pos, settled_doc))
-    settled_doc, settled_pos = settled_doc[order], settled_pos[order]
-    owners, first = np.unique(settled_doc, return_index=True)
-    lists = [runs_of(x) for x in np.split(settled_pos, first[1:])] if len(owners) else []
-    # A settled row meets nothing: its key only spreads it.
-    spread = mixed(owners.astype(np.uint64) + xxhash.xxh64_intdigest(str(settled_pos.sum())) % (1 << 40))
-    n = len(doc)
-    columns = [pa.array(np.concatenate([k, spread.astype(np.uint64).view(np.int64).astype(k.dtype)])) for k in keys]
-    return pa.RecordBatch.from_arrays([
-        *columns, ids.take(pa.array(np.concatenate([doc, owners]).astype(np.int64))),
-        pa.array(np.concatenate([pos, np.full(len(owners), _SETTLED)]).astype(np.int32)),
-        pa.array([None] * n + lists, pa.list_(pa.int32())),
-    ], names)
+def settled_rows(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Documents, the runs of their places, and keys that spread them: a settled row meets nothing."""
+    order = np.lexsort((place, doc))
+    doc, place = doc[order], place[order]
+    if len(doc):  # rows that repeat an id may name a place twice
+        fresh = np.r_[True, (np.diff(doc) != 0) | (np.diff(place) != 0)]
+        doc, place = doc[fresh], place[fresh]
+    owners, first = np.unique(doc, return_index=True)
+    lists = [runs_of(x) for x in np.split(place, first[1:])] if len(owners) else []
+    salt = np.uint64(int(place.sum()) & 0xFFFFFFFF)
+    return owners, lists, mixed(owners.astype(np.uint64) * np.uint64(2654435761) + salt).view(np.int64)
+
+
+def with_place(h: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """The upper 48 bits of a hash with the low bits of a place."""
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    return ((h & ~low) | (pos.astype(np.uint64) & low)).view(np.int64)
+
+
+def all_places(low: np.ndarray, n: int) -> np.ndarray:
+    """Places below ``n`` with these low bits."""
+    step = 1 << PLACE_BITS
+    out = (np.asarray(low, np.int64)[:, None] + np.arange(0, max(n, 1), step)).ravel()
+    return out[out < n]
+
+
+HASH = f"shiftrightunsigned(hp, {PLACE_BITS})"
+PLACE = f"cast(hp & {(1 << PLACE_BITS) - 1} AS int)"
 
 
 def _ordered(ids: pa.Array) -> np.ndarray:
@@ -102,8 +118,8 @@ def _ordered(ids: pa.Array) -> np.ndarray:
     return pc.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64)
 
 
-def anchor_rows(batch: pa.RecordBatch, window: int, names: list[str]) -> pa.RecordBatch:
-    """Anchors of a batch: open ones by hash, a mark for each that the batch itself shows to be shared."""
+def anchor_rows(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
+    """Anchors (hp, id, runs) of a batch: open ones by hash, a mark for each that the batch itself shows to be shared."""
     size = window - PERIOD + 1
     rank = _ordered(batch.column("id"))
     hashes, docs, places = [], [], []
@@ -128,21 +144,25 @@ def anchor_rows(batch: pa.RecordBatch, window: int, names: list[str]) -> pa.Reco
     # In the order of the text: neighbouring rows of a shuffle file then differ little but for the hash.
     open_ = np.flatnonzero(~shared)
     open_ = open_[np.argsort(order[open_])]
-    return _rows(
-        batch.column("id"), [np.concatenate([h[open_], h[mark]]).view(np.int64)],
-        np.concatenate([doc[open_], doc[mark]]), np.concatenate([pos[open_], np.full(len(mark), _MARK)]),
-        doc[shared], pos[shared], names)
+    owners, runs, keys = settled_rows(doc[shared], pos[shared])
+    ids = batch.column("id")
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.concatenate([with_place(h[open_], pos[open_]), with_place(h[mark], np.zeros(len(mark), np.int64)), keys])),
+        pa.concat_arrays([ids.take(pa.array(doc[open_])), pa.nulls(len(mark), ids.type), ids.take(pa.array(owners))]),
+        pa.array([None] * (len(open_) + len(mark)) + runs, pa.list_(pa.int32())),
+    ], ["hp", "id", "runs"])
 
 
-def window_rows(batch: pa.RecordBatch, window: int, names: list[str]) -> pa.RecordBatch:
-    """Windows around the shared anchors: settled where the batch holds a smaller document with the same."""
+def window_rows(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
+    """Windows (a, b, id, runs) around the shared anchors: settled where the batch holds a smaller document with the same."""
     rank = _ordered(batch.column("id"))
     texts, lists, singles = batch.column("text"), batch.column("lists"), batch.column("places")
     ones, twos, docs, places = [], [], [], []
     for k in range(batch.num_rows):
-        anchors = np.concatenate([*(places_of(x) for x in lists[k].as_py()), np.array(singles[k].as_py(), np.int64)])
         words = word_hashes(texts[k].as_py())
         n = len(words) - window + 1
+        anchors = np.concatenate([
+            *(places_of(x) for x in lists[k].as_py()), all_places(singles[k].as_py(), len(words))])
         if n <= 0:
             continue
         near = np.zeros(n, bool)
@@ -166,15 +186,19 @@ def window_rows(batch: pa.RecordBatch, window: int, names: list[str]) -> pa.Reco
         settled = np.zeros(0, bool)
     open_ = np.flatnonzero(~settled)
     open_ = open_[np.argsort(order[open_])]
-    return _rows(
-        batch.column("id"), [h1[open_].view(np.int64), h2[open_].view(np.int32)], doc[open_], pos[open_],
-        doc[settled], pos[settled], names)
+    owners, runs, keys = settled_rows(doc[settled], pos[settled])
+    tail = ((h2[open_].astype(np.uint64) << np.uint64(32)) | pos[open_].astype(np.uint64)).view(np.int64)
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.concatenate([h1[open_].view(np.int64), keys])), pa.array(np.concatenate([tail, keys])),
+        batch.column("id").take(pa.array(np.concatenate([doc[open_], owners]).astype(np.int64))),
+        pa.array([None] * len(open_) + runs, pa.list_(pa.int32())),
+    ], ["a", "b", "id", "runs"])
 
 
-def _by_document(rows: DataFrame) -> DataFrame:
+def by_document(rows: DataFrame) -> DataFrame:
     """(id, places, lists) of the rows that a document gets back."""
     return rows.groupBy("id").agg(
-        F.collect_list(F.when(F.col("pos") >= 0, F.col("pos"))).alias("places"),
+        F.collect_list(F.when(F.col("runs").isNull(), F.col("pos"))).alias("places"),
         F.collect_list("runs").alias("lists"))
 
 
@@ -187,25 +211,28 @@ def repeated_windows(source: DataFrame, window: int) -> DataFrame:
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups_of(batches):
-            yield anchor_rows(batch, window, ["h", "id", "pos", "runs"])
+            yield anchor_rows(batch, window)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups_of(batches):
-            yield window_rows(batch, window, ["h", "g", "id", "pos", "runs"])
+            yield window_rows(batch, window)
 
-    found = source.mapInArrow(anchors, f"h bigint, id {kind}, pos int, runs array<int>")
+    # Dealt by an expression over the packed number, so that the rows carry nothing but it.
+    found = source.mapInArrow(anchors, f"hp bigint, id {kind}, runs array<int>").repartition(F.expr(HASH))
     same = Window.partitionBy("h")
-    open_id = F.when(F.col("pos") != _SETTLED, F.col("id"))
-    shared = found.select(
+    open_id = F.when(F.col("runs").isNull(), F.col("id"))
+    mark = F.col("runs").isNull() & F.col("id").isNull()
+    shared = found.selectExpr("id", f"{PLACE} AS pos", "runs", f"{HASH} AS h").select(
         "id", "pos", "runs", F.min(open_id).over(same).alias("low"), F.max(open_id).over(same).alias("high"),
-        F.min(F.when(F.col("pos") != _SETTLED, F.col("pos"))).over(same).alias("mark"),
-    ).filter(f"pos = {_SETTLED} OR pos >= 0 AND (low <> high OR mark = {_MARK})")
-    joined = source.join(_by_document(shared), "id")
-    extended = joined.mapInArrow(windows, f"h bigint, g int, id {kind}, pos int, runs array<int>")
-    same = Window.partitionBy("h", "g")
-    repeated = extended.select("id", "pos", "runs", F.min(open_id).over(same).alias("low")).filter(
-        f"pos = {_SETTLED} OR low < id")
-    return _by_document(repeated)
+        F.max(mark).over(same).alias("mark"),
+    ).filter("runs IS NOT NULL OR id IS NOT NULL AND (low <> high OR mark)")
+    joined = source.join(by_document(shared), "id")
+    extended = joined.mapInArrow(windows, f"a bigint, b bigint, id {kind}, runs array<int>").repartition(
+        F.col("a"), F.expr("shiftrightunsigned(b, 32)"))
+    same = Window.partitionBy("a", "g")
+    repeated = extended.selectExpr("a", "shiftrightunsigned(b, 32) AS g", "id", "if(runs IS NULL, cast(b & 4294967295 AS int), 0) AS pos", "runs").select(
+        "id", "pos", "runs", F.min(open_id).over(same).alias("low")).filter("runs IS NOT NULL OR low < id")
+    return by_document(repeated)
 
 
 def deduplicated(

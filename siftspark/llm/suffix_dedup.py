@@ -33,12 +33,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siftspark.llm.shared import mixed, ranges, whole_groups
-from siftspark.llm.substring_dedup import groups_of, places_of, runs_of
+from siftspark.llm.substring_dedup import (
+    HASH,
+    PLACE,
+    PLACE_BITS,
+    all_places,
+    by_document,
+    groups_of,
+    places_of,
+    settled_rows,
+    with_place,
+)
 
 LENGTH = 100
 GRAM = 36
 CROWD = 2_000
-_MARK, _SETTLED = -1, -2
 _BATCH_BYTES = 4_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -182,21 +191,8 @@ def _joined(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8), ends
 
 
-def _settled(ids: pa.Array, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Documents, the runs of their places, and keys that spread them."""
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    if len(doc):  # rows that repeat an id may name a place twice
-        fresh = np.r_[True, (np.diff(doc) != 0) | (np.diff(place) != 0)]
-        doc, place = doc[fresh], place[fresh]
-    owners, first = np.unique(doc, return_index=True)
-    lists = [runs_of(x) for x in np.split(place, first[1:])] if len(owners) else []
-    salt = np.uint64(int(place.sum()) & 0xFFFFFFFF)
-    return owners, lists, mixed(owners.astype(np.uint64) * np.uint64(2654435761) + salt).view(np.int64)
-
-
 def anchor_rows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
-    """Anchors (h, id, pos, n, runs) of a batch; those it holds twice are settled, with a mark that counts them."""
+    """Anchors (hp, id, n, runs) of a batch; those it holds twice are settled, with a mark that counts them."""
     data, ends = _joined(batch)
     text = Suffixes(data)
     _, place, grams = anchors_of(text, ends, length)
@@ -210,17 +206,17 @@ def anchor_rows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     pos = at - np.r_[0, ends][doc]
     again = np.repeat(sizes > 1, sizes)
     mark = first[sizes > 1]
-    owners, lists, keys = _settled(batch.column("id"), doc[again], pos[again])
+    owners, lists, keys = settled_rows(doc[again], pos[again])
     # In the order of the text: neighbouring rows of a shuffle file then differ little but for the hash.
     alone = np.flatnonzero(~again)
     alone = alone[np.argsort(at[alone])]
+    ids = batch.column("id")
     return pa.RecordBatch.from_arrays([
-        pa.array(np.concatenate([h[alone].view(np.int64), h[mark].view(np.int64), keys])),
-        batch.column("id").take(pa.array(np.concatenate([doc[alone], doc[mark], owners]))),
-        pa.array(np.concatenate([pos[alone], np.full(len(mark), _MARK), np.full(len(owners), _SETTLED)]).astype(np.int32)),
-        pa.array(np.concatenate([np.ones(len(alone), np.int64), sizes[sizes > 1], np.zeros(len(owners), np.int64)])),
+        pa.array(np.concatenate([with_place(h[alone], pos[alone]), with_place(h[mark], np.zeros(len(mark), np.int64)), keys])),
+        pa.concat_arrays([ids.take(pa.array(doc[alone])), pa.nulls(len(mark), ids.type), ids.take(pa.array(owners))]),
+        pa.array(np.concatenate([np.ones(len(alone)), sizes[sizes > 1], np.zeros(len(owners))]).astype(np.int32)),
         pa.array([None] * (len(alone) + len(mark)) + lists, pa.list_(pa.int32())),
-    ], ["h", "id", "pos", "n", "runs"])
+    ], ["hp", "id", "n", "runs"])
 
 
 def segment_rows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
@@ -234,7 +230,7 @@ def segment_rows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     for k in range(batch.num_rows):
         for runs in lists[k].as_py():
             shared[begins[k] + places_of(runs)] = True
-        shared[begins[k] + np.array(singles[k].as_py(), np.int64)] = True
+        shared[begins[k] + all_places(singles[k].as_py(), int(ends[k] - begins[k]))] = True
     near = shared[place]
     starts, place = starts[near], place[near]
     h = grams[place] if len(place) else np.zeros(0, np.uint64)
@@ -242,7 +238,7 @@ def segment_rows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     rank = pc.rank(batch.column("id"), tiebreaker="dense").to_numpy().astype(np.int64)
     again = text.repeated(
         starts, mixed(h + (place - starts).astype(np.uint64)), (rank[doc] << 32) + starts - begins[doc], length)
-    owners, runs, keys = _settled(batch.column("id"), doc[again], (starts - begins[doc])[again])
+    owners, runs, keys = settled_rows(doc[again], (starts - begins[doc])[again])
     starts, place, h, doc = (x[~again] for x in (starts, place, h, doc))
     cut = np.flatnonzero(np.r_[True, (np.diff(starts) != 1) | (np.diff(place) != 0) | (np.diff(doc) != 0)]) \
         if len(starts) else np.zeros(0, np.int64)
@@ -250,9 +246,10 @@ def segment_rows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     segments = [data[a:b + length].tobytes() for a, b in zip(starts[cut].tolist(), starts[last].tolist() if len(cut) else [], strict=True)]
     n = len(owners)
     return pa.RecordBatch.from_arrays([
-        pa.array(np.concatenate([h[cut].view(np.int64), keys])),
+        # The hash as the anchors were dealt by it.
+        pa.array(np.concatenate([(h[cut] >> np.uint64(PLACE_BITS)).view(np.int64), keys])),
         batch.column("id").take(pa.array(np.concatenate([doc[cut], owners]))),
-        pa.array(np.concatenate([(starts - begins[doc])[cut], np.full(n, _SETTLED)]).astype(np.int32)),
+        pa.array(np.concatenate([(starts - begins[doc])[cut], np.zeros(n, np.int64)]).astype(np.int32)),
         pa.array(np.concatenate([(place - starts)[cut], np.zeros(n, np.int64)]).astype(np.int32)),
         pa.array(segments + [None] * n, pa.binary()),
         pa.array([None] * len(cut) + runs, pa.list_(pa.int32())),
@@ -265,7 +262,7 @@ def group_rows(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     if settled.num_rows:
         keys = mixed(settled.column("h").to_numpy().astype(np.int64).view(np.uint64)).view(np.int64)
         yield pa.RecordBatch.from_arrays([
-            pa.array(keys), pa.array(keys), settled.column("id").combine_chunks(), pa.array(np.full(len(keys), _SETTLED, np.int32)),
+            pa.array(keys), pa.array(keys), settled.column("id").combine_chunks(), pa.array(np.zeros(len(keys), np.int32)),
             settled.column("runs").combine_chunks()], ["a", "b", "id", "pos", "runs"])
     table = table.filter(pc.is_valid(table.column("bytes")))
     if not table.num_rows:
@@ -288,7 +285,7 @@ def group_rows(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     again = cold[text.repeated(starts[cold], mixed(h[cold] + lead[cold]), ((doc << 32) + pos)[cold], length)]
     head = np.zeros(int(doc.max()) + 1, np.int64)
     head[doc[::-1]] = owner[::-1]
-    owners, runs, keys = _settled(ids, doc[again], pos[again])
+    owners, runs, keys = settled_rows(doc[again], pos[again])
     hot = np.flatnonzero(crowd)
     one = text.hashes(starts[hot], length)
     two = mixed(text.hashes(starts[hot], GRAM) * np.uint64(3) + text.hashes(starts[hot] + length // 2, length - length // 2))
@@ -296,15 +293,10 @@ def group_rows(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([
         pa.array(np.concatenate([mixed(one).view(np.int64), keys])), pa.array(np.concatenate([two.view(np.int64), keys])),
         ids.take(pa.array(np.concatenate([owner[hot], head[owners]]))),
-        pa.array(np.concatenate([pos[hot], np.full(n, _SETTLED)]).astype(np.int32)),
+        pa.array(np.concatenate([pos[hot], np.zeros(n, np.int64)]).astype(np.int32)),
         pa.array([None] * len(hot) + runs, pa.list_(pa.int32()))], ["a", "b", "id", "pos", "runs"])
 
 
-def _by_document(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("id").agg(
-        F.collect_list(F.when(F.col("pos") >= 0, F.col("pos"))).alias("places"), F.collect_list("runs").alias("lists"))
-
-
 def repeated_strings(source: DataFrame, length: int) -> DataFrame:
     """(id, places, lists): starts of strings of ``length`` bytes that also start earlier."""
     kind = source.schema["id"].dataType.simpleString()
@@ -321,21 +313,21 @@ def repeated_strings(source: DataFrame, length: int) -> DataFrame:
         for table in whole_groups(batches, "h"):
             yield from group_rows(table, length)
 
-    found = source.mapInArrow(anchors, f"h bigint, id {kind}, pos int, n bigint, runs array<int>")
     # A hash has one row per batch at most, so dealing by it is even; both readers below share this shuffle.
-    found = found.repartition("h")
+    found = source.mapInArrow(anchors, f"hp bigint, id {kind}, n int, runs array<int>").repartition(F.expr(HASH))
+    found = found.selectExpr("id", f"{PLACE} AS pos", "n", "runs", f"{HASH} AS h")
     crowded = found.groupBy("h").agg(F.sum("n").alias("n")).filter(f"n > {CROWD}").select("h", F.lit(True).alias("crowd"))
-    same = Window.partitionBy("h")
-    shared = found.select("id", "pos", "runs", F.sum("n").over(same).alias("n")).filter(f"pos = {_SETTLED} OR pos >= 0 AND n > 1")
-    joined = source.join(_by_document(shared), "id").select("id", "text", "places", "lists")
+    shared = found.select("id", "pos", "runs", F.sum("n").over(Window.partitionBy("h")).alias("n")).filter(
+        "runs IS NOT NULL OR id IS NOT NULL AND n > 1")
+    joined = source.join(by_document(shared), "id").select("id", "text", "places", "lists")
     cut = joined.mapInArrow(segments, f"h bigint, id {kind}, pos int, lead int, bytes binary, runs array<int>")
     cut = cut.join(crowded, "h", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
     # Groups meet by anchor; strings of crowded anchors go anywhere.
     dealt = cut.repartition(F.when(F.col("crowd"), F.xxhash64("id", "pos")).otherwise(F.col("h"))).sortWithinPartitions("h")
     opened = dealt.mapInArrow(groups, f"a bigint, b bigint, id {kind}, pos int, runs array<int>")
-    least = F.min(F.when(F.col("pos") >= 0, F.struct("id", "pos"))).over(Window.partitionBy("a", "b"))
-    return _by_document(opened.select("id", "pos", "runs", least.alias("least")).filter(
-        f"pos = {_SETTLED} OR least.id < id OR least.id = id AND least.pos < pos"))
+    least = F.min(F.when(F.col("runs").isNull(), F.struct("id", "pos"))).over(Window.partitionBy("a", "b"))
+    return by_document(opened.select("id", "pos", "runs", least.alias("least")).filter(
+        "runs IS NOT NULL OR least.id < id OR least.id = id AND least.pos < pos"))
 
 
 def deduplicated(
