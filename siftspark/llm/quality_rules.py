@@ -196,8 +196,8 @@ def fitted(
         labels.selectExpr(f"`{id_col}` AS label_id", f"`{label_col}` AS label")
         .filter("label IN (0, 1) AND label_id IS NOT NULL").groupBy("label_id").agg(F.min("label").alias("label"))
         .orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows))
-    rows = docs.join(chosen, docs[id_col] == chosen["label_id"]).select(
-        docs[id_col].alias("id"), docs[text_col].alias("text"), "label")
+    rows = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text").join(
+        chosen, F.col("id") == F.col("label_id")).select("id", "text", "label")
     found = (
         statistics(rows, "text", "id", "label").filter(f"NOT ({BASE_FAILED})")
         .selectExpr("label", "xxhash64(id) AS place", *(f"{sql} AS {name}" for name, sql in FEATURES.items()))

@@ -9,14 +9,14 @@ A suffix array of the whole corpus would be one global sort of all bytes. Here s
 over ``length`` bytes meet in groups instead. Of the 36-byte grams in a string of 100 bytes the one with the
 least hash is its anchor; equal strings have the same anchor at the same offset.
 
-1. Each task sends the anchors of its documents by hash (about 3 in 100 bytes); an anchor seen twice in a
-   batch is known to be repeated and costs one row. One shuffle finds the repeated anchors.
+1. Each task sends the anchors of its documents by hash (about 3 in 100 bytes). An anchor that one batch
+   holds ``LOCAL_CROWD`` times is crowded and costs one row. One shuffle finds the repeated anchors.
 2. Documents get theirs back and the strings around them are suffix-sorted within the batch, per anchor
    and offset. Strings that also start earlier in the batch are settled. Neighbouring others travel as one
    segment to the group of their anchor, where all segments are suffix-sorted again.
-3. An anchor that occurs more than ``CROWD`` times (a third of all documents may share a line) forms no
-   group: its strings are spread by their own hash (128 bits), first in each batch only, and the earliest
-   of each is found by an aggregate that any number of tasks can share.
+3. A crowded anchor (a third of all documents may share a line), also one that occurs more than ``CROWD``
+   times in all, forms no group: its strings, those first in their batch only, are dealt anywhere and meet
+   by their own hash (128 bits), a row for each distinct string of a batch.
 4. Each document drops the bytes under its repeated strings.
 """
 
@@ -48,7 +48,8 @@ from siftspark.llm.substring_dedup import (
 LENGTH = 100
 GRAM = 36
 CROWD = 2_000
-_BATCH_BYTES = 4_000_000
+LOCAL_CROWD = 16
+_BATCH_BYTES = 3_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -86,7 +87,7 @@ class Suffixes:
         out[apart] = low
         return out
 
-    def less(self, a: np.ndarray, b: np.ndarray, most: int, or_equal: bool) -> np.ndarray:
+    def less(self, a: np.ndarray, b: np.ndarray, most: int, or_equal: np.ndarray) -> np.ndarray:
         common = self.extension(a, b, most)
         whole = common >= most
         rest = np.minimum(common, most - 1)
@@ -104,30 +105,28 @@ class Suffixes:
     def sorted_in_groups(self, at: np.ndarray, first: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
         """Merge sort of each group of suffixes (``at[first:first + size]``), all groups in step, stable."""
         at = at.copy()
-        place = ranges(sizes)
-        group_first, group_size = np.repeat(first, sizes), np.repeat(sizes, sizes)
         width = 1
         while len(sizes) and width < sizes.max():
+            first, sizes = first[sizes > width], sizes[sizes > width]  # smaller groups are in order
+            place = ranges(sizes)
+            group_first, group_size = np.repeat(first, sizes), np.repeat(sizes, sizes)
+            inside = group_first + place
             block = place // width
             sibling = (block ^ 1) * width  # where the block to merge with begins
-            n = np.clip(group_size - sibling, 0, width)
-            low, high = np.zeros(len(at), np.int64), n.copy()
+            low, high = np.zeros(len(place), np.int64), np.clip(group_size - sibling, 0, width)
             left = block % 2 == 0
             active = np.flatnonzero(high > low)
             while len(active):
                 middle = (low[active] + high[active]) // 2
                 other = at[group_first[active] + sibling[active] + middle]
-                own = at[active]
                 # Elements of the left block go before equal ones of the right block.
-                before = np.where(
-                    left[active], self.less(other, own, most, False), self.less(other, own, most, True))
+                before = self.less(other, at[inside[active]], most, ~left[active])
                 low[active] = np.where(before, middle + 1, low[active])
                 high[active] = np.where(before, high[active], middle)
                 active = active[high[active] > low[active]]
-            target = group_first + np.minimum(block, block ^ 1) * width + place % width + low
-            merged = np.empty_like(at)
-            merged[target] = at
-            at, width = merged, width * 2
+            merged = at[inside]
+            at[group_first + np.minimum(block, block ^ 1) * width + place % width + low] = merged
+            width *= 2
         return at
 
     def repeated(self, at: np.ndarray, key: np.ndarray, when: np.ndarray, length: int) -> np.ndarray:
@@ -192,7 +191,7 @@ def _joined(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchor_rows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
-    """Anchors (hp, id, n, runs) of a batch; those it holds twice are settled, with a mark that counts them."""
+    """Anchors (hp, id, runs) of a batch; those it holds very often are settled as crowded, with a mark."""
     data, ends = _joined(batch)
     text = Suffixes(data)
     _, place, grams = anchors_of(text, ends, length)
@@ -204,8 +203,8 @@ def anchor_rows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     sizes = np.diff(np.r_[first, len(h)])
     doc = np.searchsorted(ends, at, side="right")
     pos = at - np.r_[0, ends][doc]
-    again = np.repeat(sizes > 1, sizes)
-    mark = first[sizes > 1]
+    again = np.repeat(sizes >= LOCAL_CROWD, sizes)
+    mark = first[sizes >= LOCAL_CROWD]
     owners, lists, keys = settled_rows(doc[again], pos[again])
     # In the order of the text: neighbouring rows of a shuffle file then differ little but for the hash.
     alone = np.flatnonzero(~again)
@@ -214,23 +213,25 @@ def anchor_rows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
         pa.array(np.concatenate([with_place(h[alone], pos[alone]), with_place(h[mark], np.zeros(len(mark), np.int64)), keys])),
         pa.concat_arrays([ids.take(pa.array(doc[alone])), pa.nulls(len(mark), ids.type), ids.take(pa.array(owners))]),
-        pa.array(np.concatenate([np.ones(len(alone)), sizes[sizes > 1], np.zeros(len(owners))]).astype(np.int32)),
         pa.array([None] * (len(alone) + len(mark)) + lists, pa.list_(pa.int32())),
-    ], ["hp", "id", "n", "runs"])
+    ], ["hp", "id", "runs"])
 
 
 def segment_rows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
-    """Segments (h, id, pos, lead, bytes) of strings that are first in the batch, and settled runs."""
+    """Segments (h, id, pos, lead, crowd, bytes) of strings that are first in the batch, and settled runs."""
     data, ends = _joined(batch)
     text = Suffixes(data)
     starts, place, grams = anchors_of(text, ends, length)
     begins = np.r_[0, ends]
-    shared = np.zeros(len(data) + 1, bool)
-    lists, singles = batch.column("lists"), batch.column("places")
+    shared, crowd = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+    lists, singles, crowded = batch.column("lists"), batch.column("places"), batch.column("crowded")
     for k in range(batch.num_rows):
         for runs in lists[k].as_py():
-            shared[begins[k] + places_of(runs)] = True
-        shared[begins[k] + all_places(singles[k].as_py(), int(ends[k] - begins[k]))] = True
+            crowd[begins[k] + places_of(runs)] = True
+        n = int(ends[k] - begins[k])
+        shared[begins[k] + all_places(singles[k].as_py(), n)] = True
+        crowd[begins[k] + all_places(crowded[k].as_py(), n)] = True
+    shared |= crowd
     near = shared[place]
     starts, place = starts[near], place[near]
     h = grams[place] if len(place) else np.zeros(0, np.uint64)
@@ -251,9 +252,10 @@ def segment_rows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
         batch.column("id").take(pa.array(np.concatenate([doc[cut], owners]))),
         pa.array(np.concatenate([(starts - begins[doc])[cut], np.zeros(n, np.int64)]).astype(np.int32)),
         pa.array(np.concatenate([(place - starts)[cut], np.zeros(n, np.int64)]).astype(np.int32)),
+        pa.array(np.concatenate([crowd[place[cut]], np.ones(n, bool)])),
         pa.array(segments + [None] * n, pa.binary()),
         pa.array([None] * len(cut) + runs, pa.list_(pa.int32())),
-    ], ["h", "id", "pos", "lead", "bytes", "runs"])
+    ], ["h", "id", "pos", "lead", "crowd", "bytes", "runs"])
 
 
 def group_rows(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
@@ -313,17 +315,20 @@ def repeated_strings(source: DataFrame, length: int) -> DataFrame:
         for table in whole_groups(batches, "h"):
             yield from group_rows(table, length)
 
-    # A hash has one row per batch at most, so dealing by it is even; both readers below share this shuffle.
-    found = source.mapInArrow(anchors, f"hp bigint, id {kind}, n int, runs array<int>").repartition(F.expr(HASH))
-    found = found.selectExpr("id", f"{PLACE} AS pos", "n", "runs", f"{HASH} AS h")
-    crowded = found.groupBy("h").agg(F.sum("n").alias("n")).filter(f"n > {CROWD}").select("h", F.lit(True).alias("crowd"))
-    shared = found.select("id", "pos", "runs", F.sum("n").over(Window.partitionBy("h")).alias("n")).filter(
-        "runs IS NOT NULL OR id IS NOT NULL AND n > 1")
-    joined = source.join(by_document(shared), "id").select("id", "text", "places", "lists")
-    cut = joined.mapInArrow(segments, f"h bigint, id {kind}, pos int, lead int, bytes binary, runs array<int>")
-    cut = cut.join(crowded, "h", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
+    found = source.mapInArrow(anchors, f"hp bigint, id {kind}, runs array<int>").repartition(F.expr(HASH))
+    same = Window.partitionBy("h")
+    mark = F.col("id").isNull() & F.col("runs").isNull()
+    shared = found.selectExpr("id", f"{PLACE} AS pos", "runs", f"{HASH} AS h").select(
+        "id", "pos", "runs", F.count(F.when(F.col("runs").isNull(), 1)).over(same).alias("n"), F.max(mark).over(same).alias("mark")
+    ).filter("runs IS NOT NULL OR id IS NOT NULL AND n > 1").withColumn("crowd", F.expr(f"mark OR n > {CROWD}"))
+    places = shared.groupBy("id").agg(
+        F.collect_list(F.expr("if(runs IS NULL AND NOT crowd, pos, NULL)")).alias("places"),
+        F.collect_list(F.expr("if(runs IS NULL AND crowd, pos, NULL)")).alias("crowded"),
+        F.collect_list("runs").alias("lists"))
+    joined = source.join(places, "id").select("id", "text", "places", "crowded", "lists")
+    cut = joined.mapInArrow(segments, f"h bigint, id {kind}, pos int, lead int, crowd boolean, bytes binary, runs array<int>")
     # Groups meet by anchor; strings of crowded anchors go anywhere.
-    dealt = cut.repartition(F.when(F.col("crowd"), F.xxhash64("id", "pos")).otherwise(F.col("h"))).sortWithinPartitions("h")
+    dealt = cut.repartition(F.expr("if(crowd, xxhash64(id, pos), h)")).sortWithinPartitions("h")
     opened = dealt.mapInArrow(groups, f"a bigint, b bigint, id {kind}, pos int, runs array<int>")
     least = F.min(F.when(F.col("runs").isNull(), F.struct("id", "pos"))).over(Window.partitionBy("a", "b"))
     return by_document(opened.select("id", "pos", "runs", least.alias("least")).filter(
