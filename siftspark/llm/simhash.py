@@ -337,5 +337,6 @@ def without_near_duplicates(
     ids = texts.select("d", "digest", F.col(f"row.`{id_col}`").alias("id")).join(groups, F.col("digest") == F.col("node"))
     order = F.struct(F.isnull("id"), F.col("id"), F.col("digest"))
     best = ids.groupBy("component").agg(F.min(order).getField("digest").alias("best"))
-    gone = ids.join(best, "component").filter("digest <> best").select("d", "digest")
-    return texts.join(gone, ["d", "digest"], "left_anti").select("row.*")
+    gone = ids.join(best, "component").filter("digest <> best").groupBy("d").agg(F.collect_set("digest").alias("gone"))
+    # On the bucketed key alone, so that no text moves; equal keys of different digests are told apart behind it.
+    return texts.join(gone, "d", "left").filter("gone IS NULL OR NOT array_contains(gone, digest)").select("row.*")
