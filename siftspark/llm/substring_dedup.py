@@ -10,7 +10,7 @@ is enough to hash 7 words at three places of seven.
    documents hold costs one row per batch. One shuffle by hash finds the other shared anchors.
 2. Extension. Documents get their shared anchors back and extend each to the windows around it. Windows
    whose words also start in a smaller document of the batch are settled there; the first ones of each
-   batch meet in a second shuffle by the hash of the whole window (96 bits).
+   batch meet in a second shuffle by the hash of the whole window (80 bits).
 3. Each document removes the words under its repeated windows.
 """
 
@@ -154,7 +154,7 @@ def anchor_rows(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
 
 
 def window_rows(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
-    """Windows (a, b, id, runs) around the shared anchors: settled where the batch holds a smaller document with the same."""
+    """Windows (a, b, c, id, runs) around the shared anchors: settled where the batch holds a smaller document with the same."""
     rank = _ordered(batch.column("id"))
     texts, lists, singles = batch.column("text"), batch.column("lists"), batch.column("places")
     ones, twos, docs, places = [], [], [], []
@@ -187,12 +187,15 @@ def window_rows(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
     open_ = np.flatnonzero(~settled)
     open_ = open_[np.argsort(order[open_])]
     owners, runs, keys = settled_rows(doc[settled], pos[settled])
-    tail = ((h2[open_].astype(np.uint64) << np.uint64(32)) | pos[open_].astype(np.uint64)).view(np.int64)
+    # 16 of the second hash's bits share a number with the low bits of the place; the rest is mostly zero.
+    tail = ((h2[open_] << np.uint32(16)) | (pos[open_].astype(np.uint32) & np.uint32(0xFFFF))).view(np.int32)
     return pa.RecordBatch.from_arrays([
-        pa.array(np.concatenate([h1[open_].view(np.int64), keys])), pa.array(np.concatenate([tail, keys])),
+        pa.array(np.concatenate([h1[open_].view(np.int64), keys])),
+        pa.array(np.concatenate([tail, keys.astype(np.int32)])),
+        pa.array(np.concatenate([pos[open_] >> 16, np.zeros(len(owners), np.int64)]).astype(np.int32)),
         batch.column("id").take(pa.array(np.concatenate([doc[open_], owners]).astype(np.int64))),
         pa.array([None] * len(open_) + runs, pa.list_(pa.int32())),
-    ], ["a", "b", "id", "runs"])
+    ], ["a", "b", "c", "id", "runs"])
 
 
 def by_document(rows: DataFrame) -> DataFrame:
@@ -227,10 +230,11 @@ def repeated_windows(source: DataFrame, window: int) -> DataFrame:
         F.max(mark).over(same).alias("mark"),
     ).filter("runs IS NOT NULL OR id IS NOT NULL AND (low <> high OR mark)")
     joined = source.join(by_document(shared), "id")
-    extended = joined.mapInArrow(windows, f"a bigint, b bigint, id {kind}, runs array<int>").repartition(
-        F.col("a"), F.expr("shiftrightunsigned(b, 32)"))
+    extended = joined.mapInArrow(windows, f"a bigint, b int, c int, id {kind}, runs array<int>").repartition(
+        F.col("a"), F.expr("shiftrightunsigned(b, 16)"))
     same = Window.partitionBy("a", "g")
-    repeated = extended.selectExpr("a", "shiftrightunsigned(b, 32) AS g", "id", "if(runs IS NULL, cast(b & 4294967295 AS int), 0) AS pos", "runs").select(
+    repeated = extended.selectExpr(
+        "a", "shiftrightunsigned(b, 16) AS g", "id", "shiftleft(c, 16) | (b & 65535) AS pos", "runs").select(
         "id", "pos", "runs", F.min(open_id).over(same).alias("low")).filter("runs IS NOT NULL OR low < id")
     return by_document(repeated)
 
