@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry_points
+from checks import oracle, queries
 from checks.compare import connect, difference
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, SQL = queries.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -14,6 +15,10 @@ def con():
     return connect(SF)
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(entry_points.queries()) and set(SQL) <= set(entry_points.oracle_sql())
+
+
 def test_every_statement_has_a_query():
     assert set(SQL) <= set(QUERIES)
     assert set(QUERIES) - set(SQL) == {
