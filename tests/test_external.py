@@ -132,7 +132,7 @@ def test_requests(spark, make_files):
     rows = first.collect()
     assert max(r.snippets for r in rows) == 4 and len({r.request_id for r in rows}) == len(rows)
     assert "leave out whatever you cannot prove" in rows[0].prompt
-    assert "Return strict JSON" in rows[0].prompt and '"snippet_id"' in rows[0].prompt
+    assert "Answer with one JSON object" in rows[0].prompt and '"snippet_id"' in rows[0].prompt
     again = external.prompt_batches(files, built_in_catalog(spark), options)
     assert {r.request_id for r in again.collect()} == {r.request_id for r in rows}
     known = first.limit(2).selectExpr("request_id", "'{}' AS text", "repo")
