@@ -16,7 +16,7 @@ least hash is its anchor; equal strings have the same anchor at the same offset.
    segment to the group of their anchor, where all segments are suffix-sorted again.
 3. A crowded anchor (a third of all documents may share a line), also one that occurs more than ``CROWD``
    times in all, forms no group: its strings, those first in their batch only, are dealt anywhere and meet
-   by their own hash (128 bits), a row for each distinct string of a batch.
+   by their own hash (96 bits), a row for each distinct string of a batch.
 4. Each document drops the bytes under its repeated strings.
 """
 
@@ -94,12 +94,13 @@ class Suffixes:
         return np.where(whole, or_equal, self.data[a + rest] < self.data[b + rest])
 
     def confirmed(self, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-        """Whether the bytes are equal."""
+        """Whether the bytes are equal, compared in words of eight (the last one may overlap)."""
         out = np.zeros(len(a), bool)
-        steps = np.arange(length)
+        words = np.ndarray(max(0, len(self.data) - 7), "<u8", self.data, strides=(1,))
+        steps = np.r_[np.arange(0, length - 7, 8), length - 8]
         for k in range(0, len(a), 100_000):
             part = slice(k, k + 100_000)
-            out[part] = (self.data[a[part, None] + steps] == self.data[b[part, None] + steps]).all(axis=1)
+            out[part] = (words[a[part, None] + steps] == words[b[part, None] + steps]).all(axis=1)
         return out
 
     def sorted_in_groups(self, at: np.ndarray, first: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
@@ -264,7 +265,7 @@ def group_rows(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     if settled.num_rows:
         keys = mixed(settled.column("h").to_numpy().astype(np.int64).view(np.uint64)).view(np.int64)
         yield pa.RecordBatch.from_arrays([
-            pa.array(keys), pa.array(keys), settled.column("id").combine_chunks(), pa.array(np.zeros(len(keys), np.int32)),
+            pa.array(keys), pa.array(keys.astype(np.int32)), settled.column("id").combine_chunks(), pa.array(np.zeros(len(keys), np.int32)),
             settled.column("runs").combine_chunks()], ["a", "b", "id", "pos", "runs"])
     table = table.filter(pc.is_valid(table.column("bytes")))
     if not table.num_rows:
@@ -293,7 +294,7 @@ def group_rows(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     two = mixed(text.hashes(starts[hot], GRAM) * np.uint64(3) + text.hashes(starts[hot] + length // 2, length - length // 2))
     n = len(owners)
     yield pa.RecordBatch.from_arrays([
-        pa.array(np.concatenate([mixed(one).view(np.int64), keys])), pa.array(np.concatenate([two.view(np.int64), keys])),
+        pa.array(np.concatenate([mixed(one).view(np.int64), keys])), pa.array(np.concatenate([(two >> np.uint64(32)).astype(np.uint32).view(np.int32), keys.astype(np.int32)])),
         ids.take(pa.array(np.concatenate([owner[hot], head[owners]]))),
         pa.array(np.concatenate([pos[hot], np.zeros(n, np.int64)]).astype(np.int32)),
         pa.array([None] * len(hot) + runs, pa.list_(pa.int32()))], ["a", "b", "id", "pos", "runs"])
@@ -329,7 +330,7 @@ def repeated_strings(source: DataFrame, length: int) -> DataFrame:
     cut = joined.mapInArrow(segments, f"h bigint, id {kind}, pos int, lead int, crowd boolean, bytes binary, runs array<int>")
     # Groups meet by anchor; strings of crowded anchors go anywhere.
     dealt = cut.repartition(F.expr("if(crowd, xxhash64(id, pos), h)")).sortWithinPartitions("h")
-    opened = dealt.mapInArrow(groups, f"a bigint, b bigint, id {kind}, pos int, runs array<int>")
+    opened = dealt.mapInArrow(groups, f"a bigint, b int, id {kind}, pos int, runs array<int>")
     least = F.min(F.when(F.col("runs").isNull(), F.struct("id", "pos"))).over(Window.partitionBy("a", "b"))
     return by_document(opened.select("id", "pos", "runs", least.alias("least")).filter(
         "runs IS NOT NULL OR least.id < id OR least.id = id AND least.pos < pos"))
