@@ -21,10 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siftspark.llm.components import components
-from siftspark.llm.shared import bucketed, keyed_text, mixed, whole_groups, written
+from siftspark.llm.shared import bucketed, keyed_text, mixed, ranges, whole_groups, written
 
 SEED = 42
 _BLOCK = 20_000  # shingles whose bits are unpacked at once
@@ -182,108 +181,173 @@ def near_duplicates(
 
 # ------------------------------------------------------------------- similar texts, one kept of each group
 #
-# A similarity of 0.8 over five-word shingles leaves about one word in forty-five changed. Of a 64-bit
-# fingerprint of shingles ten bits differ then, more than an index of eight bytes can bridge. So here the
-# fingerprint is of the distinct words, which few changed words move far less, and has 128 bytes: about half
-# of its positional bytes stay. The index keys are four bytes at fixed positions; under each key pairs are
-# made with the most central text only, their shared bytes are tallied against the guaranteed minimum, and
-# what passes is verified on the shingles themselves.
-
-WIDE = 16  # 64-bit parts of a wide fingerprint
-LEAST_SHARED = 20  # of 128 positional bytes; texts of similarity 0.8 share 64 on average, with deviation 6
-BLOCK = 4_096  # members of a key that one group holds; more are dealt over blocks whose centres meet again
-_ORDERS = (np.arange(8 * WIDE), np.random.default_rng(11).permutation(8 * WIDE))
-_SALTS = mixed(np.arange(101, 101 + WIDE, dtype=np.uint64))
-
-
-def wide_fingerprint(words: list[bytes]) -> np.ndarray:
-    """128 bytes: each bit set if it is set in over half of the hashes of the distinct words."""
-    digest = xxhash.xxh64_intdigest
-    distinct = np.array([digest(w, SEED) for w in set(words)], np.uint64)
-    ones = np.zeros(64 * WIDE, np.int64)
-    for at in range(0, len(distinct), 2_000):
-        hashes = mixed((distinct[at:at + 2_000, None] ^ _SALTS[None, :]).ravel()).reshape(-1, WIDE)
-        ones += np.unpackbits(hashes.astype("<u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(distinct))
+# Texts are sets of shingles. All sets are put in one order, frequent shingles last. If two sets have a
+# similarity of s, their first (1 - s) n + 1 shingles share one; so an index of these prefixes meets every
+# similar pair, whatever kind of edit lies between them. Under the first shingle that two prefixes share,
+# what is left of both sets must still be enough: other meetings are dropped by their places alone.
+#
+# Few texts under a shingle are paired off. Where a shingle has many, a few centres per round are compared
+# with all others; texts that links already connect need no comparison of their own. A text is done when it
+# was a centre or belongs to the largest component of the list, so links between any two are never lost:
+# the rounds end when all are done. A family of near copies costs its length, not its square.
+#
+# Frequencies come from a sample of the texts. They decide on the order, so on the work, never on the result.
+
+LIST = 32  # texts under a shingle that are paired off
+SAMPLED = 8  # one text of so many is counted
+KNOWN = 500_000  # frequent shingles that all tasks know, at most
+GROWTH = 8  # of the number of centres, from round to round
+_SLACK = 1e-6  # bounds from rounded products let rather too much through
+
+
+def shingle_set(text: str, size: int) -> np.ndarray:
+    words = text.lower().encode().split()
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in _shingles(words, size)], np.uint64))
+
 
+def frequent_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending shingles that the sample holds four times or more, and how often; at most ``KNOWN``."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), size) for t in batch.column("text")]
+            k, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], ["k", "n"])
+
+    sample = texts.filter(f"pmod(d, {SAMPLED}) = 0").select("text").mapInArrow(counted, "k bigint, n bigint")
+    counts = written(sample.groupBy("k").agg(F.sum("n").alias("n")).filter("n >= 4"), "frequent")
+    classes = counts.groupBy(F.expr("cast(log2(n) AS int)").alias("c")).count().collect()  # some thirty at most
+    total, least = 0, 63
+    for row in sorted(classes, key=lambda r: -r["c"]):
+        total += row["count"]
+        if total > KNOWN:
+            break
+        least = row["c"]
+    known = counts.filter(F.expr("cast(log2(n) AS int)") >= least).toArrow().sort_by("k")
+    k, n = (known.column(c).to_numpy().astype(np.int64) for c in ("k", "n"))
+    order = np.argsort(k.view(np.uint64))
+    return k.view(np.uint64)[order], n[order]
+
+
+def prefix(shingles: np.ndarray, known: np.ndarray, times: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in the common order: two similar sets share one of them."""
+    weight = np.zeros(len(shingles), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        weight = np.where(known[at] == shingles, times[at], 0)
+    keep = len(shingles) - int(np.ceil(similarity * len(shingles) - _SLACK)) + 1
+    return shingles[np.lexsort((mixed(shingles), weight))[:keep]]
+
+
+def postings_of(texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(k, d, n, i): shingle ``i`` of the prefix of a text with ``n`` distinct ones. Texts without words have none."""
+    known, times = frequent_shingles(texts, size)
 
-def _index_keys(prints: np.ndarray) -> np.ndarray:
-    """row x key: the place of the key and its four bytes in one number."""
-    parts = [prints[:, order].reshape(len(prints), -1, 4) for order in _ORDERS]
-    values = np.concatenate([np.ascontiguousarray(x).view("<u4")[:, :, 0] for x in parts], axis=1).astype(np.int64)
-    return values | (np.arange(values.shape[1], dtype=np.int64) << 32)
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1_000):
+                part = batch.slice(at, 1_000)
+                sets = [shingle_set(t.as_py(), size) for t in part.column("text")]
+                firsts = [prefix(s, known, times, similarity) if len(s) else s for s in sets]
+                lengths = np.array([len(x) for x in firsts], np.int64)
+                k = np.concatenate([np.zeros(0, np.uint64), *firsts]).view(np.int64)
+                n = np.repeat(np.array([len(s) for s in sets], np.int32), lengths)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(k), pa.array(np.repeat(part.column("d").to_numpy(), lengths)), pa.array(n),
+                    pa.array(ranges(lengths).astype(np.int32))], ["k", "d", "n", "i"])
 
+    return texts.select("d", "text").mapInArrow(post, "k bigint, d bigint, n int, i int")
 
-def central_pairs(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(member, centre) places that share enough bytes, and all centres.
 
-    The centre is the print nearest to the bitwise majority; who shares enough with it is done, the others
-    go on with a centre of their own. The work is the members times the number of centres.
+def pairs_of_lists(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a > b: pairs of each list that can be similar if this is the first shingle they share."""
+    share = similarity / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "k"):
+            k, d, n, i = (table.column(c).to_numpy() for c in ("k", "d", "n", "i"))
+            a, b = [], []
+            for step in range(1, len(k)):
+                first = np.flatnonzero(k[step:] == k[:-step])
+                if not len(first):
+                    break
+                second = first + step
+                enough = np.minimum(n[first] - i[first], n[second] - i[second]) >= share * (n[first] + n[second]) - _SLACK
+                x, y = d[first[enough]], d[second[enough]]
+                a.append(np.maximum(x, y)[x != y])
+                b.append(np.minimum(x, y)[x != y])
+            a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return rows.repartition("k").sortWithinPartitions("k").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b, x, y): the pairs whose shingle sets are similar, with the digests of both texts.
+
+    ``b`` may be the same text for a great many ``a``; ``texts`` is bucketed by ``d``, for ``a`` alone.
     """
-    left = np.arange(len(prints))
-    members, centres, every = [], [], []
-    while len(left):
-        own = prints[left]
-        majority = np.packbits(np.unpackbits(own, axis=1).sum(axis=0, dtype=np.int64) * 2 > len(own))
-        centre = int((own == majority).sum(axis=1).argmax())
-        near = (own == own[centre]).sum(axis=1) >= LEAST_SHARED
-        near[centre] = False
-        members.append(left[near])
-        centres.append(np.full(int(near.sum()), left[centre]))
-        every.append(left[centre])
-        near[centre] = True
-        left = left[~near]
-    return np.concatenate(members), np.concatenate(centres), np.array(every)
-
-
-def _pairs_of_groups(rows: DataFrame) -> DataFrame:
-    """(a, b, k): pairs of each group (k, block), and (a, null, k) for each centre."""
+    pairs = written(pairs, "pairs")
+    one = texts.select(F.col("d").alias("a"), F.col("digest").alias("x"), F.col("text").alias("left"))
+    heads = written(texts.join(pairs.selectExpr("b AS d").distinct(), "d").select(
+        F.col("d").alias("b"), F.col("digest").alias("y"), F.col("text").alias("right")), "heads")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "g"):
-            group = table.column("g").to_numpy()
-            member = table.column("d").to_numpy()
-            key = table.column("k").to_numpy()
-            prints = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
-            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            a, b, k = [], [], []
-            for start, stop in zip(first.tolist(), [*first[1:].tolist(), len(group)], strict=True):
-                m, c, every = central_pairs(prints[start:stop])
-                a += [member[start + m], member[start + every]]
-                b += [member[start + c], np.zeros(len(every), np.int64)]
-                k += [np.full(len(m), -1), key[start + every]]
-            a, b, k = (np.concatenate(x).astype(np.int64) for x in (a, b, k))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=k >= 0), pa.array(k)], ["a", "b", "k"])
-
-    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint, k bigint")
-
-
-def candidate_pairs(prints: DataFrame) -> DataFrame:
-    """(a, b) of ``d`` whose wide fingerprints meet under a key and share enough positional bytes."""
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                part = batch.slice(at, 2_000)
-                keys = _index_keys(np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8).reshape(-1, 8 * WIDE))
-                d = np.repeat(part.column("d").to_numpy(), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(d)], ["k", "d"])
-
-    postings = prints.select("d", "fp").mapInArrow(post, "k bigint, d bigint")
-    met = postings.withColumn("n", F.count("*").over(Window.partitionBy("k"))).filter("n > 1")
-    dealt = met.selectExpr("k", "d", f"xxhash64(k, if(n > {BLOCK}, pmod(xxhash64(d), ceil(n / {BLOCK})), 0)) AS g", f"n > {BLOCK} AS many")
-    with_print = written(dealt.join(prints.select("d", "fp"), "d"), "members")
-    first = written(_pairs_of_groups(with_print.select("g", "k", "d", "fp")), "pairs")
-    # Where a key had several blocks, their centres meet once more.
-    crowded = with_print.filter("many").select("k").distinct()
-    centres = first.filter("b IS NULL").join(crowded, "k", "left_semi").selectExpr("k AS g", "k", "a AS d").join(
-        prints.select("d", "fp"), "d").select("g", "k", "d", "fp")
-    second = _pairs_of_groups(centres)
-    return first.union(second).filter("b IS NOT NULL AND a <> b").selectExpr(
-        "greatest(a, b) AS a", "least(a, b) AS b").distinct()
+            keep = []
+            x, y, name = batch.column("left"), batch.column("right"), batch.column("y")
+            for k in range(batch.num_rows):
+                a, right = shingle_set(x[k].as_py(), size), name[k].as_py()
+                if right not in held:
+                    if len(held) > 200:
+                        held.clear()
+                    held[right] = shingle_set(y[k].as_py(), size)
+                b = held[right]
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(common >= similarity * (len(a) + len(b) - common))
+            yield batch.select(["a", "b", "x", "y"]).filter(pa.array(keep, pa.bool_()))
 
+    both = pairs.join(one, "a").join(heads, "b").select("a", "b", "x", "y", "left", "right")
+    return written(both.mapInArrow(run, "a bigint, b bigint, x string, y string"), "similar")
 
-def shingle_set(text: str, size: int) -> np.ndarray:
-    words = text.lower().encode().split()
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in _shingles(words, size)], np.uint64))
+
+def links_of_long_lists(
+    rows: DataFrame, links: DataFrame, texts: DataFrame, size: int, similarity: float,
+) -> DataFrame:
+    """``links`` (a, b, x, y) and those that connect whatever is similar in lists too long to be paired off."""
+    share = similarity / (1 + similarity)
+    width, done = 1, None
+    while True:
+        labels = components(links.select("a", "b")).withColumnRenamed("node", "d")
+        state = written(rows.join(labels, "d", "left").selectExpr("k", "d", "n", "i", "coalesce(component, d) AS label"), "state")
+        largest = written(state.groupBy("k", "label").count().groupBy("k").agg(
+            F.max_by("label", F.struct("count", "label")).alias("largest")), "largest")
+        open_ = state.join(largest, "k").filter("label <> largest")
+        if done is not None:
+            open_ = open_.join(done, ["k", "d"], "left_anti")
+        centres = written(open_.groupBy("k", F.expr(f"pmod(xxhash64(d, {width}), {width})").alias("g")).agg(
+            F.min_by(F.struct("d", "n", "i", "label"), "d").alias("c")).select("k", "c"), "centres")
+        if centres.isEmpty():
+            return links
+        pairs = state.join(centres, "k").filter(
+            f"d <> c.d AND label <> c.label AND least(n - i, c.n - c.i) >= {share!r}D * (n + c.n) - {_SLACK!r}D"
+        ).selectExpr("d AS a", "c.d AS b").distinct()
+        links = links.union(verified(pairs, texts, size, similarity))
+        once = centres.selectExpr("k", "c.d AS d")
+        done = once if done is None else done.union(once)
+        width *= GROWTH
+
+
+def similar_links(texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b, x, y): verified pairs that connect all texts of a group; ``texts`` has d, digest and text."""
+    postings = written(postings_of(texts, size, similarity), "postings")
+    # Counts are summed in the tasks first; only the keys of long lists go back to the postings.
+    long = written(postings.groupBy("k").count().filter(f"count > {LIST}").select("k"), "long")
+    links = verified(pairs_of_lists(postings.join(long, "k", "left_anti"), similarity), texts, size, similarity)
+    if long.isEmpty():
+        return links
+    rows = written(postings.join(long, "k", "left_semi"), "lists")
+    return links_of_long_lists(rows, links, texts, size, similarity)
 
 
 def without_near_duplicates(
@@ -292,10 +356,9 @@ def without_near_duplicates(
     """One row, with all columns, of each group of equal or similar texts: the one with the smallest id.
 
     Two texts are similar if their sets of ``shingle`` words have a Jaccard similarity of at least
-    ``similarity``; groups are what such pairs connect. Equal texts collapse first, in the tasks before any
-    shuffle. Texts without words group with their equals only, null with the empty text. A null id counts as
-    the largest. Other columns come along; an empty table gives an empty result. Verified pairs are exact;
-    a similar pair is found with a probability of about 98 % at 0.8, and more above.
+    ``similarity``; groups are what such pairs connect, all of them. Equal texts collapse first, in the tasks
+    before any shuffle. Texts without words group with their equals only, null with the empty text. A null id
+    counts as the largest. Other columns come along; an empty table gives an empty result.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -304,35 +367,7 @@ def without_near_duplicates(
         .groupBy("d", "digest").agg(F.min_by("row", F.struct(F.isnull("id"), F.col("id"))).alias("row"))
     texts = bucketed(single, "d", "texts")
     body = F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).alias("text")
-
-    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column, d, out = batch.column("text"), [], []
-            for k in range(batch.num_rows):
-                words = column[k].as_py().lower().encode().split()
-                if words:
-                    d.append(k)
-                    out.append(wide_fingerprint(words).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("d").take(pa.array(d, pa.int64())), pa.array(out, pa.binary())], ["d", "fp"])
-
-    prints = written(texts.select("d", body).mapInArrow(printed, "d bigint, fp binary"), "prints")
-    pairs = candidate_pairs(prints)
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            x, y = batch.column("left"), batch.column("right")
-            for k in range(batch.num_rows):
-                a, b = shingle_set(x[k].as_py(), shingle), shingle_set(y[k].as_py(), shingle)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(common >= similarity * (len(a) + len(b) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    one = texts.select(F.col("d").alias("a"), F.col("digest").alias("x"), body.alias("left"))
-    two = texts.select(F.col("d").alias("b"), F.col("digest").alias("y"), body.alias("right"))
-    both = pairs.join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"), "left", "right")
-    groups = components(both.mapInArrow(verified, "a string, b string"))
+    groups = components(similar_links(texts.select("d", "digest", body), shingle, similarity).selectExpr("x AS a", "y AS b"))
     # The smallest id of each group stays; the others' digests go.
     ids = texts.select("d", "digest", F.col(f"row.`{id_col}`").alias("id")).join(groups, F.col("digest") == F.col("node"))
     order = F.struct(F.isnull("id"), F.col("id"), F.col("digest"))

@@ -169,6 +169,37 @@ def test_similar_texts_leave_one(table, odd_rows):
     assert kept[0].asDict().keys() == set(docs.columns)
 
 
+def kept_by_definition(rows):
+    """Ids that stay: the smallest of each component of texts with a similarity of 0.8 or more."""
+    sets = [{tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for _, t in rows)]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    found = groups(len(rows), links)
+    return sorted({min(rows[j][0] for j in range(len(rows)) if found[j] == k) for k in set(found)}), len(links)
+
+
+def test_similar_texts_by_kind_of_edit(table):
+    rng = random.Random(12)
+
+    def words(n):
+        return [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows = []
+    for g in range(80):
+        n = rng.choice([60, 120, 200])
+        base, block = words(n), int(n * rng.uniform(0.17, 0.24))
+        at = rng.randrange(n - n // 10)
+        edited = {
+            "appended": base + words(block), "truncated": base[:n - block],
+            "replaced": base[:at] + words(n // 10) + base[at + n // 10:], "scattered": list(base),
+        }[("appended", "truncated", "replaced", "scattered")[g % 4]]
+        if g % 4 == 3:
+            for p in rng.sample(range(n), max(1, n // 50)):
+                edited[p] = "x"
+        rows += [(10 * g, " ".join(base)), (10 * g + 1, " ".join(edited))]
+    expected, links = kept_by_definition(rows)
+    assert links > 30
+    assert sorted(r["doc_id"] for r in simhash.without_near_duplicates(table(rows)).collect()) == expected
+
+
 @pytest.mark.parametrize("name", ["op1_simhash", "op2_substring_dedup", "op9_suffix_dedup"])
 def test_empty_tables(table, tmp_path, llm_spark, name):
     table([(1, "x")], extra=False).filter("false").write.parquet(f"{tmp_path}/documents.parquet")
