@@ -200,6 +200,28 @@ def test_similar_texts_by_kind_of_edit(table):
     assert sorted(r["doc_id"] for r in simhash.without_near_duplicates(table(rows)).collect()) == expected
 
 
+@pytest.mark.parametrize("most", [32, 3])
+def test_families_of_similar_texts(table, most, monkeypatch):
+    monkeypatch.setattr(simhash, "LIST", most, raising=False)
+    rng = random.Random(21)
+    rows = []
+    for f, edits in enumerate([2, 3, 4]):  # copies of one lost original: many pairs on either side of the bound
+        base = [f"f{f}w{k}" for k in range(200)]
+        for c in range(45):
+            copy = list(base)
+            for p in rng.sample(range(200), edits - c % 2):
+                copy[p] = f"x{rng.randrange(10 ** 6)}"
+            rows.append((1000 * f + c, " ".join(copy)))
+    template = [f"t{k}" for k in range(120)]
+    for c in range(40):  # a common template, and pairs that are similar to each other alone
+        own = template + [f"o{c // 2}w{k}" for k in range(60)]
+        own[150 + c % 2] = f"y{c}"
+        rows.append((9000 + c, " ".join(own)))
+    expected, links = kept_by_definition(rows)
+    assert links > 500 and len(expected) > 20
+    assert sorted(r["doc_id"] for r in simhash.without_near_duplicates(table(rows)).collect()) == expected
+
+
 @pytest.mark.parametrize("name", ["op1_simhash", "op2_substring_dedup", "op9_suffix_dedup"])
 def test_empty_tables(table, tmp_path, llm_spark, name):
     table([(1, "x")], extra=False).filter("false").write.parquet(f"{tmp_path}/documents.parquet")
