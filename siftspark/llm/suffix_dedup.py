@@ -231,7 +231,14 @@ def segment_rows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
             crowd[begins[k] + places_of(runs)] = True
         n = int(ends[k] - begins[k])
         shared[begins[k] + all_places(singles[k].as_py(), n)] = True
-        crowd[begins[k] + all_places(crowded[k].as_py(), n)] = True
+        # A place is known modulo 65,536 only: of all such places those with the anchor's hash are crowded.
+        packed = np.array(crowded[k].as_py(), np.int64).view(np.uint64)
+        low = (packed & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        for step in range(0, n, 1 << PLACE_BITS):
+            inside = low + step < len(grams) - begins[k]
+            at = begins[k] + low[inside] + step
+            at, wanted = at[at < ends[k]], packed[inside][at < ends[k]]
+            crowd[at[grams[at] >> np.uint64(PLACE_BITS) == wanted >> np.uint64(PLACE_BITS)]] = True
     shared |= crowd
     near = shared[place]
     starts, place = starts[near], place[near]
@@ -319,12 +326,12 @@ def repeated_strings(source: DataFrame, length: int) -> DataFrame:
     found = source.mapInArrow(anchors, f"hp bigint, id {kind}, runs array<int>").repartition(F.expr(HASH))
     same = Window.partitionBy("h")
     mark = F.col("id").isNull() & F.col("runs").isNull()
-    shared = found.selectExpr("id", f"{PLACE} AS pos", "runs", f"{HASH} AS h").select(
-        "id", "pos", "runs", F.count(F.when(F.col("runs").isNull(), 1)).over(same).alias("n"), F.max(mark).over(same).alias("mark")
+    shared = found.selectExpr("id", "hp", f"{PLACE} AS pos", "runs", f"{HASH} AS h").select(
+        "id", "hp", "pos", "runs", F.count(F.when(F.col("runs").isNull(), 1)).over(same).alias("n"), F.max(mark).over(same).alias("mark")
     ).filter("runs IS NOT NULL OR id IS NOT NULL AND n > 1").withColumn("crowd", F.expr(f"mark OR n > {CROWD}"))
     places = shared.groupBy("id").agg(
         F.collect_list(F.expr("if(runs IS NULL AND NOT crowd, pos, NULL)")).alias("places"),
-        F.collect_list(F.expr("if(runs IS NULL AND crowd, pos, NULL)")).alias("crowded"),
+        F.collect_list(F.expr("if(runs IS NULL AND crowd, hp, NULL)")).alias("crowded"),
         F.collect_list("runs").alias("lists"))
     joined = source.join(places, "id").select("id", "text", "places", "crowded", "lists")
     cut = joined.mapInArrow(segments, f"h bigint, id {kind}, pos int, lead int, crowd boolean, bytes binary, runs array<int>")

@@ -133,6 +133,26 @@ def test_suffix_dedup_of_repeated_ids_and_nulls(table, odd_rows):
     assert got == sorted([(1, 300, 300 - 1, 1)] * 2 + [(None, 300, 0, 0), (2, 150, 150, 1)], key=str)
 
 
+def test_suffix_dedup_tells_crowded_places_from_others_of_long_texts(table, llm_spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWD", 3)
+    rng = random.Random(31)
+
+    def line(n):
+        return "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    crowded, cold = [line(150) for _ in range(300)], [line(150) for _ in range(240)]
+    many = "".join(crowded)
+    rows = [(1, many + line(66_000 - len(many)) + "".join(x + line(9) for x in cold))]
+    rows += [(k, many) for k in (2, 3, 4)]
+    rows += [(10 + k, "".join(x + line(7) for x in cold[k::8])) for k in range(8)]
+    # Small tables would share one batch, where nothing is dealt.
+    llm_spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = suffix_dedup.deduplicated(table(rows), digests=True).collect()
+    finally:
+        llm_spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(tuple, got)) == sorted(bytes_removed(rows, 100))
+
+
 def test_suffix_sort_is_a_sort():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 4000, dtype=np.uint8)
