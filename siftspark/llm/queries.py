@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.llm import fingerprints, quality_rules, secret_scan, simhash, substring_dedup, suffix_dedup, toxicity
+from siftspark.llm import (
+    fingerprints, licenses, quality_rules, secret_scan, simhash, sql, substring_dedup, suffix_dedup, toxicity,
+)
 from siftspark.llm.packing import packed
 from siftspark.llm.sentencepiece_codec import coded
 from siftspark.llm.token_counts import token_counts
@@ -68,9 +70,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", f"{HELD_OUT} AS held_out", "score", "cast(score >= 0.5 AS int) AS predicted")
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_substring_dedup, op3_quality_rules, op4_token_counts, op5_packing, op6_fingerprints, op7_secret_scan, op8_toxicity, op9_suffix_dedup, op10_sentencepiece)}
+    return {f.__name__: f for f in (
+        op1_simhash, op2_substring_dedup, op3_quality_rules, op4_token_counts, op5_packing, op6_fingerprints,
+        op7_secret_scan, op8_toxicity, op9_suffix_dedup, op10_sentencepiece, op13_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
