@@ -61,5 +61,38 @@ FROM texts LEFT JOIN base USING (r) LEFT JOIN found USING (r) LEFT JOIN labelled
 """
 
 
+_TERMS = """regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\\x{80}-\\x{10FFFF}]+')"""
+
+RANKED_SEARCH = f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents),
+known AS (SELECT r, doc_id, len(terms)::BIGINT AS n FROM texts WHERE len(terms) > 0),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM known),
+items AS (
+  SELECT DISTINCT i, item_id, term FROM (
+    SELECT i, item_id, unnest(terms) AS term FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS terms FROM benchmark))
+),
+bags AS (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM texts)
+  WHERE term IN (SELECT term FROM items) GROUP BY r, term
+),
+weighed AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM bags, totals GROUP BY term, docs
+),
+scored AS (
+  SELECT i, item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length))))::BIGINT AS score
+  FROM items JOIN bags USING (term) JOIN weighed USING (term) JOIN known USING (r), totals
+  GROUP BY i, item_id, doc_id, r
+),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op13_license_scan": _license_scan()}
+    return {"op12_ranked_search": RANKED_SEARCH, "op13_license_scan": _license_scan()}
