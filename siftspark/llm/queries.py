@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from siftspark.llm import (
-    fingerprints, licenses, quality_rules, ranked_search, secret_scan, simhash, sql, substring_dedup, suffix_dedup,
-    toxicity,
+    conversation_trie, fingerprints, licenses, quality_rules, ranked_search, secret_scan, simhash, sql, substring_dedup,
+    suffix_dedup, toxicity,
 )
 from siftspark.llm.packing import packed
 from siftspark.llm.sentencepiece_codec import coded
@@ -71,6 +71,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", f"{HELD_OUT} AS held_out", "score", "cast(score >= 0.5 AS int) AS predicted")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
@@ -82,7 +86,8 @@ def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_simhash, op2_substring_dedup, op3_quality_rules, op4_token_counts, op5_packing, op6_fingerprints,
-        op7_secret_scan, op8_toxicity, op9_suffix_dedup, op10_sentencepiece, op12_ranked_search, op13_license_scan)}
+        op7_secret_scan, op8_toxicity, op9_suffix_dedup, op10_sentencepiece, op11_conversation_trie,
+        op12_ranked_search, op13_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
