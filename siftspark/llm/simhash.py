@@ -2,12 +2,12 @@
 
 Two fingerprints of 64 bits that differ in at most ``d`` bits agree in at least ``8 - d`` of their eight
 bytes. A list of all fingerprints with one value of one byte would be far too long at scale, so the index
-joins positions: its keys are the ``8 - d`` bytes at each choice of ``8 - d`` positions. A pair found
-under one key shares at least the guaranteed number of positional bytes; the bytes that a key leaves out
-take ``256 ** d`` values, so a list holds no more distinct fingerprints than that, whatever the input
-(65,536 for d = 2). Inside a list no pairs are spelled out: each fingerprint looks up those at most ``d``
-bits away. For each pair found so the shared bytes are tallied, and those with too few are dropped before
-the bits are verified.
+joins positions: its keys are the ``7 - d`` bytes at each choice of ``7 - d`` positions (five for d = 2). For
+each pair of a list the shared positional bytes are tallied; pairs that share no more than the key, fewer than
+the guaranteed ``8 - d``, are dropped, and the bits of the others are verified.
+A list of more than ``LONG`` fingerprints is split: a pair of it that counts shares one position more, so the
+fingerprints go on under the joined keys of one position more. Such a list holds at most ``256 ** d`` of them
+(65,536 for d = 2), whatever the input, and its tallies are made in strips.
 Equal fingerprints are one node throughout. Links leave a list as a forest, which joins the same nodes.
 """
 
@@ -21,12 +21,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from siftspark.llm.components import components
-from siftspark.llm.shared import bucketed, keyed_text, mixed, ranges, whole_groups, written
+from siftspark.llm.shared import keyed_text, ranges, written
 
 SEED = 42
 _BLOCK = 20_000  # shingles whose bits are unpacked at once
+LONG = 4_096  # fingerprints of a list that is split
+SHORT = 48  # lists up to this length are tallied side by side, longer ones each in strips
+_STRIP = 4_000_000  # pairs of a strip
 
 
 def _shingles(words: list[bytes], size: int) -> list[bytes]:
@@ -48,330 +52,200 @@ def fingerprint(words: list[bytes], size: int) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp bigint): ASCII letters lower-cased, words between ASCII white space; null text has none."""
-    source = keyed_text(docs, id_col, text_col)
-    kind = source.schema["id"].dataType.simpleString()
+def with_fingerprints(texts: DataFrame, shingle: int) -> DataFrame:
+    """``texts``, which has a column text without nulls, with fp bigint in its place."""
+    kept = [c for c in texts.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
+            column = batch.column("text")
             # bytes.lower() changes A-Z alone
-            found = [fingerprint(texts[k].as_py().encode().lower().split(), shingle) for k in range(len(texts))]
+            found = [fingerprint(column[k].as_py().encode("utf-8", "surrogatepass").lower().split(), shingle) for k in range(len(column))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(np.array(found, np.uint64).view(np.int64))], ["id", "fp"])
+                [*(batch.column(c) for c in kept), pa.array(np.array(found, np.uint64).view(np.int64))], [*kept, "fp"])
 
-    return source.mapInArrow(run, f"id {kind}, fp bigint")
+    return texts.mapInArrow(run, ST.StructType([*(texts.schema[c] for c in kept), ST.StructField("fp", ST.LongType())]))
 
 
-def _masks(distance: int) -> np.ndarray:
-    """For each choice of bytes that a key keeps, the mask that blots out the others."""
-    out = []
-    for left_out in combinations(range(8), distance):
-        out.append(~sum(0xFF << (8 * p) for p in left_out) & 0xFFFFFFFFFFFFFFFF)
-    return np.array(out, np.uint64)
-
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """(id, fp bigint): ASCII letters lower-cased, words between ASCII white space; null text has none."""
+    return with_fingerprints(keyed_text(docs, id_col, text_col), shingle)
 
-def _flips(distance: int, mask: np.ndarray) -> np.ndarray:
-    """All differences of 1 to ``distance`` bits inside the bytes that a mask leaves out."""
-    bits = [1 << b for b in range(64) if not int(mask) >> b & 1]
-    return np.array([sum(c) for n in range(1, distance + 1) for c in combinations(bits, n)], np.uint64)
 
+def masks(positions: int) -> np.ndarray:
+    """For each choice of so many byte positions, the mask that keeps them."""
+    return np.array([sum(0xFF << (8 * p) for p in kept) for kept in combinations(range(8), positions)], np.uint64)
 
-def links_in_lists(fps: np.ndarray, lengths: np.ndarray, masks: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that link all fingerprints of each list which are near each other (a spanning forest).
 
-    ``fps`` holds the lists one after another, without repeats inside a list; ``masks`` names for each list
-    the bytes of its key. A list costs its length times the number of differences, not its square.
-    """
-    a_out, b_out = [], []
-    for mask in np.unique(masks):
-        chosen = masks == mask
-        member = np.repeat(chosen, lengths)
-        own = fps[member]
-        group = np.repeat(np.arange(int(chosen.sum())), lengths[chosen])
-        # Within a list only the bytes left out differ: with the list's number they are one sortable key.
-        left_out = [p for p in range(8) if not int(mask) >> (8 * p) & 0xFF]
-
-        def packed(x: np.ndarray, left_out: list[int] = left_out) -> np.ndarray:
-            return sum(((x >> np.uint64(8 * p)) & np.uint64(0xFF)) << np.uint64(8 * k) for k, p in enumerate(left_out))
-
-        key = (group.astype(np.uint64) << np.uint64(8 * distance)) | packed(own)
-        order = np.argsort(key)
-        key, own = key[order], own[order]
-        label = np.arange(len(key))
-        low, high = [], []
-        for flip in _flips(distance, mask):
-            wanted = key ^ packed(np.array([flip], np.uint64))[0]
-            at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
-            hit = np.flatnonzero((key[at] == wanted) & (at > label))
-            low.append(hit)
-            high.append(at[hit])
-        low, high = np.concatenate(low), np.concatenate(high)
-        # Count filtering, then the bits themselves.
-        shared = _shared_bytes(own[low], own[high])
-        near = (shared >= 8 - distance) & (np.bitwise_count(own[low] ^ own[high]) <= distance)
-        low, high = low[near], high[near]
-        while len(low):  # labels sink to the smallest of each component
-            new = label.copy()
-            np.minimum.at(new, high, label[low])
-            np.minimum.at(new, low, label[high])
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        moved = np.flatnonzero(label != np.arange(len(label)))
-        a_out.append(own[label[moved]])
-        b_out.append(own[moved])
-    return (np.concatenate(a_out), np.concatenate(b_out)) if a_out else (np.zeros(0, np.uint64),) * 2
-
-
-def _shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """At how many of the eight positions both have the same byte."""
     return ((a ^ b).astype("<u8").view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
 
 
-def linked(prints: DataFrame, distance: int = 2) -> DataFrame:
-    """(a, b) of distinct values of ``fp``: a set of links that connects whatever is near each other."""
-    masks = _masks(distance)
-    values = prints.select("fp").distinct()
-    postings = values.select("fp", F.explode(F.array(*(
-        F.struct(F.lit(k).cast("tinyint").alias("choice"), F.col("fp").bitwiseAND(F.lit(int(m.view(np.int64)))).alias("bytes"))
-        for k, m in enumerate(masks)))).alias("key"))
-    lists = postings.groupBy("key").agg(F.collect_list("fp").alias("fps")).filter("size(fps) > 1")
+def _side_by_side(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of short lists, which lie one after another: first each with the next, and so on."""
+    for step in range(1, len(group)):
+        low = np.flatnonzero(group[step:] == group[:-step])
+        if not len(low):
+            return
+        yield low, low + step
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                part = batch.slice(at, 2_000)
-                column = part.column("fps")
-                lengths = column.value_lengths().to_numpy().astype(np.int64)
-                fps = column.flatten().to_numpy().view(np.uint64)
-                a, b = links_in_lists(fps, lengths, masks[part.column("choice").to_numpy()], distance)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return lists.selectExpr("key.choice AS choice", "fps").mapInArrow(run, "a bigint, b bigint")
+def retained(fps: np.ndarray, low: np.ndarray, high: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Count filtering, then verification: pairs with enough shared bytes, of these the ones near each other."""
+    enough = shared_bytes(fps[low], fps[high]) >= 8 - distance
+    low, high = low[enough], high[enough]
+    near = np.bitwise_count(fps[low] ^ fps[high]) <= distance
+    return low[near], high[near]
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2,
-) -> DataFrame:
-    """(id_col, fingerprint, component_id) for each row.
+def _in_strips(fps: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one long list that share enough bytes, tallied strip by strip."""
+    columns = np.ascontiguousarray(fps.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    varied = [c for c in columns if (c != c[0]).any()]  # all pairs share the other positions
+    width = max(1, _STRIP // len(fps))
+    for at in range(0, len(fps), width):
+        tally = np.full((min(width, len(fps) - at), len(fps) - at), 8 - len(varied), np.uint8)
+        for c in varied:
+            tally += c[at:at + width, None] == c[None, at:]
+        low, high = np.nonzero(tally >= least)
+        later = high > low
+        yield low[later] + at, high[later] + at
 
-    Fingerprints that differ in at most ``distance`` bits link; ``component_id`` is the smallest id that
-    links lead to. Null, empty and blank texts have the fingerprint 0 and link like any other. Rows with a
-    null id get a fingerprint and no component. Rows that repeat come out as often as they come in; other
-    columns are ignored; an empty table gives an empty result.
-    """
-    prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    owners = prints.filter("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("own"))
-    owners = written(owners, "owners")
-    links = linked(owners, distance)
-    found = components(links)
-    # Of each component of fingerprints the smallest id.
-    best = found.join(owners, found["node"] == owners["fp"]).groupBy("component").agg(F.min("own").alias("best"))
-    of_fp = (
-        owners.join(found, owners["fp"] == found["node"], "left").join(best, "component", "left")
-        .select("fp", F.coalesce("best", "own").alias("component_id"))
-    )
-    return prints.join(of_fp, "fp", "left").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
+def links_in_lists(fps: np.ndarray, lengths: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that link all fingerprints of each list which are near each other (a spanning forest).
 
-# ------------------------------------------------------------------- similar texts, one kept of each group
-#
-# Texts are sets of shingles. All sets are put in one order, frequent shingles last. If two sets have a
-# similarity of s, their first (1 - s) n + 1 shingles share one; so an index of these prefixes meets every
-# similar pair, whatever kind of edit lies between them. Under the first shingle that two prefixes share,
-# what is left of both sets must still be enough: other meetings are dropped by their places alone.
-#
-# Few texts under a shingle are paired off. Where a shingle has many, a few centres per round are compared
-# with all others; texts that links already connect need no comparison of their own. A text is done when it
-# was a centre or belongs to the largest component of the list, so links between any two are never lost:
-# the rounds end when all are done. A family of near copies costs its length, not its square.
-#
-# Frequencies come from a sample of the texts. They decide on the order, so on the work, never on the result.
+    ``fps`` holds the lists one after another, without repeats inside a list.
+    """
+    starts = np.cumsum(lengths) - lengths
+    short = lengths <= SHORT
+    place = np.flatnonzero(np.repeat(short, lengths))
+    group = np.repeat(np.arange(len(lengths)), lengths)[place]
+    found = [retained(fps, place[a], place[b], distance) for a, b in _side_by_side(group)]
+    for at, n in zip(starts[~short], lengths[~short], strict=True):
+        found += [retained(fps, a + at, b + at, distance) for a, b in _in_strips(fps[at:at + n], 8 - distance)]
+    low, high = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
+    label = np.arange(len(fps))
+    while len(low):  # labels sink to the smallest of each component
+        new = label.copy()
+        np.minimum.at(new, high, label[low])
+        np.minimum.at(new, low, label[high])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return fps[label[moved]], fps[moved]
 
-LIST = 32  # texts under a shingle that are paired off
-SAMPLED = 8  # one text of so many is counted
-KNOWN = 500_000  # frequent shingles that all tasks know, at most
-GROWTH = 8  # of the number of centres, from round to round
-_SLACK = 1e-6  # bounds from rounded products let rather too much through
 
+def _postings(values: DataFrame, positions: int) -> DataFrame:
+    """(choice, bytes, fp): each fingerprint under the joined bytes of every choice of positions."""
+    keys = F.array(*(F.struct(F.lit(k).cast("int").alias("choice"), F.col("fp").bitwiseAND(F.lit(int(m.view(np.int64)))).alias("bytes"))
+                     for k, m in enumerate(masks(positions))))
+    return values.select("fp", F.explode(keys).alias("key")).select("key.choice", "key.bytes", "fp")
 
-def shingle_set(text: str, size: int) -> np.ndarray:
-    words = text.lower().encode().split()
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in _shingles(words, size)], np.uint64))
 
+def _meet(postings: DataFrame, distance: int, split: bool) -> DataFrame:
+    """(a, b, choice): links of each list, choice null; with ``split``, the longest lists' fingerprints under
+    their keys of one position more instead, as fp, bytes and choice."""
+    kept, finer = masks(7 - distance), masks(8 - distance)
 
-def frequent_shingles(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending shingles that the sample holds four times or more, and how often; at most ``KNOWN``."""
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), size) for t in batch.column("text")]
-            k, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], ["k", "n"])
-
-    sample = texts.filter(f"pmod(d, {SAMPLED}) = 0").select("text").mapInArrow(counted, "k bigint, n bigint")
-    counts = written(sample.groupBy("k").agg(F.sum("n").alias("n")).filter("n >= 4"), "frequent")
-    classes = counts.groupBy(F.expr("cast(log2(n) AS int)").alias("c")).count().collect()  # some thirty at most
-    total, least = 0, 63
-    for row in sorted(classes, key=lambda r: -r["c"]):
-        total += row["count"]
-        if total > KNOWN:
-            break
-        least = row["c"]
-    known = counts.filter(F.expr("cast(log2(n) AS int)") >= least).toArrow().sort_by("k")
-    k, n = (known.column(c).to_numpy().astype(np.int64) for c in ("k", "n"))
-    order = np.argsort(k.view(np.uint64))
-    return k.view(np.uint64)[order], n[order]
+    def links(fps: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+        a, b = links_in_lists(fps, lengths, distance)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.int32())], ["a", "b", "choice"])
 
+    def refined(choice: int, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in np.flatnonzero((finer & kept[choice]) == kept[choice]):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(fps.view(np.int64)), pa.array((fps & finer[k]).view(np.int64)), pa.array(np.full(len(fps), k, np.int32))],
+                ["a", "b", "choice"])
 
-def prefix(shingles: np.ndarray, known: np.ndarray, times: np.ndarray, similarity: float) -> np.ndarray:
-    """The first shingles of a set in the common order: two similar sets share one of them."""
-    weight = np.zeros(len(shingles), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
-        weight = np.where(known[at] == shingles, times[at], 0)
-    keep = len(shingles) - int(np.ceil(similarity * len(shingles) - _SLACK)) + 1
-    return shingles[np.lexsort((mixed(shingles), weight))[:keep]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        passing = None  # the key of a list that is too long, while it lasts
+
+        def settle(choice: np.ndarray, key: np.ndarray, fps: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, passing
+            edge = np.flatnonzero(np.r_[True, (choice[1:] != choice[:-1]) | (key[1:] != key[:-1])]) if len(key) else np.zeros(0, np.int64)
+            lengths = np.diff(np.r_[edge, len(key)])
+            long = lengths > LONG if split else np.zeros(len(edge), bool)
+            if len(edge) and (choice[0], key[0]) == passing:
+                long[0] = True
+            for at, n in zip(edge[long], lengths[long], strict=True):
+                yield from refined(int(choice[at]), fps[at:at + n])
+            stays = not last and len(edge) and not long[-1]  # the last list may go on
+            passing = (choice[-1], key[-1]) if len(edge) and long[-1] else None
+            whole = ~long & (lengths > 1)
+            if stays:
+                whole[-1] = False
+            yield links(fps[np.repeat(whole, lengths)], lengths[whole])
+            begun = edge[-1] if stays else len(key)
+            held = (choice[begun:], key[begun:], fps[begun:])
 
+        for batch in batches:
+            new = (batch.column("choice").to_numpy(), batch.column("bytes").to_numpy(), batch.column("fp").to_numpy().view(np.uint64))
+            yield from settle(*(np.concatenate(x) for x in zip(held, new, strict=True)), False)
+        yield from settle(*held, True)
 
-def postings_of(texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(k, d, n, i): shingle ``i`` of the prefix of a text with ``n`` distinct ones. Texts without words have none."""
-    known, times = frequent_shingles(texts, size)
+    spread = postings.repartition("choice", "bytes").sortWithinPartitions("choice", "bytes")
+    return spread.mapInArrow(run, "a bigint, b bigint, choice int")
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
-                part = batch.slice(at, 1_000)
-                sets = [shingle_set(t.as_py(), size) for t in part.column("text")]
-                firsts = [prefix(s, known, times, similarity) if len(s) else s for s in sets]
-                lengths = np.array([len(x) for x in firsts], np.int64)
-                k = np.concatenate([np.zeros(0, np.uint64), *firsts]).view(np.int64)
-                n = np.repeat(np.array([len(s) for s in sets], np.int32), lengths)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(k), pa.array(np.repeat(part.column("d").to_numpy(), lengths)), pa.array(n),
-                    pa.array(ranges(lengths).astype(np.int32))], ["k", "d", "n", "i"])
 
-    return texts.select("d", "text").mapInArrow(post, "k bigint, d bigint, n int, i int")
+def linked(prints: DataFrame, distance: int = 2) -> DataFrame:
+    """(a, b) of distinct values of ``fp``: a set of links that connects whatever is near each other."""
+    # Every fingerprint becomes dozens of rows: a written table of them would be read by few tasks.
+    values = prints.select("fp").distinct().repartition("fp")
+    first = written(_meet(_postings(values, 7 - distance), distance, split=True), "links")
+    again = first.filter("choice IS NOT NULL").selectExpr("choice", "b AS bytes", "a AS fp").distinct()
+    finer = _meet(again, distance, split=False)
+    return first.filter("choice IS NULL").select("a", "b").unionByName(finer.select("a", "b"))
 
 
-def pairs_of_lists(rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a > b: pairs of each list that can be similar if this is the first shingle they share."""
-    share = similarity / (1 + similarity)
+def _components(owners: DataFrame, distance: int) -> DataFrame:
+    """(fp, own, component_id) of (fp, own): the smallest id of each fingerprint and that of its component."""
+    found = components(linked(owners, distance))
+    best = found.join(owners, found["node"] == owners["fp"]).groupBy("component").agg(F.min("own").alias("best"))
+    return (
+        owners.join(found, owners["fp"] == found["node"], "left").join(best, "component", "left")
+        .select("fp", "own", F.coalesce("best", "own").alias("component_id"))
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "k"):
-            k, d, n, i = (table.column(c).to_numpy() for c in ("k", "d", "n", "i"))
-            a, b = [], []
-            for step in range(1, len(k)):
-                first = np.flatnonzero(k[step:] == k[:-step])
-                if not len(first):
-                    break
-                second = first + step
-                enough = np.minimum(n[first] - i[first], n[second] - i[second]) >= share * (n[first] + n[second]) - _SLACK
-                x, y = d[first[enough]], d[second[enough]]
-                a.append(np.maximum(x, y)[x != y])
-                b.append(np.minimum(x, y)[x != y])
-            a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return rows.repartition("k").sortWithinPartitions("k").mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(a, b, x, y): the pairs whose shingle sets are similar, with the digests of both texts.
-
-    ``b`` may be the same text for a great many ``a``; ``texts`` is bucketed by ``d``, for ``a`` alone.
-    """
-    pairs = written(pairs, "pairs")
-    one = texts.select(F.col("d").alias("a"), F.col("digest").alias("x"), F.col("text").alias("left"))
-    heads = written(texts.join(pairs.selectExpr("b AS d").distinct(), "d").select(
-        F.col("d").alias("b"), F.col("digest").alias("y"), F.col("text").alias("right")), "heads")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
-        for batch in batches:
-            keep = []
-            x, y, name = batch.column("left"), batch.column("right"), batch.column("y")
-            for k in range(batch.num_rows):
-                a, right = shingle_set(x[k].as_py(), size), name[k].as_py()
-                if right not in held:
-                    if len(held) > 200:
-                        held.clear()
-                    held[right] = shingle_set(y[k].as_py(), size)
-                b = held[right]
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(common >= similarity * (len(a) + len(b) - common))
-            yield batch.select(["a", "b", "x", "y"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(one, "a").join(heads, "b").select("a", "b", "x", "y", "left", "right")
-    return written(both.mapInArrow(run, "a bigint, b bigint, x string, y string"), "similar")
-
-
-def links_of_long_lists(
-    rows: DataFrame, links: DataFrame, texts: DataFrame, size: int, similarity: float,
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2,
 ) -> DataFrame:
-    """``links`` (a, b, x, y) and those that connect whatever is similar in lists too long to be paired off."""
-    share = similarity / (1 + similarity)
-    width, done = 1, None
-    while True:
-        labels = components(links.select("a", "b")).withColumnRenamed("node", "d")
-        state = written(rows.join(labels, "d", "left").selectExpr("k", "d", "n", "i", "coalesce(component, d) AS label"), "state")
-        largest = written(state.groupBy("k", "label").count().groupBy("k").agg(
-            F.max_by("label", F.struct("count", "label")).alias("largest")), "largest")
-        open_ = state.join(largest, "k").filter("label <> largest")
-        if done is not None:
-            open_ = open_.join(done, ["k", "d"], "left_anti")
-        centres = written(open_.groupBy("k", F.expr(f"pmod(xxhash64(d, {width}), {width})").alias("g")).agg(
-            F.min_by(F.struct("d", "n", "i", "label"), "d").alias("c")).select("k", "c"), "centres")
-        if centres.isEmpty():
-            return links
-        pairs = state.join(centres, "k").filter(
-            f"d <> c.d AND label <> c.label AND least(n - i, c.n - c.i) >= {share!r}D * (n + c.n) - {_SLACK!r}D"
-        ).selectExpr("d AS a", "c.d AS b").distinct()
-        links = links.union(verified(pairs, texts, size, similarity))
-        once = centres.selectExpr("k", "c.d AS d")
-        done = once if done is None else done.union(once)
-        width *= GROWTH
-
-
-def similar_links(texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(a, b, x, y): verified pairs that connect all texts of a group; ``texts`` has d, digest and text."""
-    postings = written(postings_of(texts, size, similarity), "postings")
-    # Counts are summed in the tasks first; only the keys of long lists go back to the postings.
-    long = written(postings.groupBy("k").count().filter(f"count > {LIST}").select("k"), "long")
-    links = verified(pairs_of_lists(postings.join(long, "k", "left_anti"), similarity), texts, size, similarity)
-    if long.isEmpty():
-        return links
-    rows = written(postings.join(long, "k", "left_semi"), "lists")
-    return links_of_long_lists(rows, links, texts, size, similarity)
+    """(id_col, fingerprint, component_id) for each row.
+
+    Fingerprints that differ in at most ``distance`` bits link; ``component_id`` is the smallest id that
+    links lead to. Null, empty and blank texts have the fingerprint 0 and link like any other. Rows with a
+    null id get a fingerprint and no component. Rows that repeat come out as often as they come in; other
+    columns are ignored; an empty table gives an empty result.
+    """
+    prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    owners = prints.filter("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("own"))
+    of_fp = _components(written(owners, "owners"), distance)
+    return prints.join(of_fp, "fp", "left").select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def without_near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2,
 ) -> DataFrame:
-    """One row, with all columns, of each group of equal or similar texts: the one with the smallest id.
+    """One row, with all columns, of each group that ``near_duplicates`` finds: the one with the smallest id.
 
-    Two texts are similar if their sets of ``shingle`` words have a Jaccard similarity of at least
-    ``similarity``; groups are what such pairs connect, all of them. Equal texts collapse first, in the tasks
-    before any shuffle. Texts without words group with their equals only, null with the empty text. A null id
-    counts as the largest. Other columns come along; an empty table gives an empty result.
+    Null, empty and blank texts have the fingerprint 0 and are grouped like any other. Of rows that repeat an id
+    and a fingerprint the one with the least text stays. Rows with a null id belong to no group and stay. Other
+    columns come along; an empty table gives an empty result.
     """
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    ident = F.col(f"`{id_col}`")
-    single = docs.select(F.xxhash64(text).alias("d"), F.md5(text.cast("binary")).alias("digest"), row.alias("row"), ident.alias("id")) \
-        .groupBy("d", "digest").agg(F.min_by("row", F.struct(F.isnull("id"), F.col("id"))).alias("row"))
-    texts = bucketed(single, "d", "texts")
-    body = F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).alias("text")
-    groups = components(similar_links(texts.select("d", "digest", body), shingle, similarity).selectExpr("x AS a", "y AS b"))
-    # The smallest id of each group stays; the others' digests go.
-    ids = texts.select("d", "digest", F.col(f"row.`{id_col}`").alias("id")).join(groups, F.col("digest") == F.col("node"))
-    order = F.struct(F.isnull("id"), F.col("id"), F.col("digest"))
-    best = ids.groupBy("component").agg(F.min(order).getField("digest").alias("best"))
-    gone = ids.join(best, "component").filter("digest <> best").groupBy("d").agg(F.collect_set("digest").alias("gone"))
-    # On the bucketed key alone, so that no text moves; equal keys of different digests are told apart behind it.
-    return texts.join(gone, "d", "left").filter("gone IS NULL OR NOT array_contains(gone, digest)").select("row.*")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = written(with_fingerprints(docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("id"), text.alias("text")), shingle), "rows")
+    known = rows.filter("id IS NOT NULL")
+    owners = written(known.groupBy("fp").agg(F.min("id").alias("own")), "owners")
+    kept = _components(owners, distance).filter("own = component_id").groupBy(F.col("own").alias("id")).agg(F.min("fp").alias("fp"))
+    body = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
+    single = known.join(kept, ["id", "fp"], "left_semi").groupBy("id", "fp").agg(F.min_by("row", body).alias("row"))
+    return single.select("row.*").union(rows.filter("id IS NULL").select("row.*"))
