@@ -35,8 +35,8 @@ def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones: five-word shingles, a similarity of 0.8 or more."""
-    return simhash.without_near_duplicates(docs, shingle=5, similarity=0.8)
+    """One document of each group whose fingerprints of three-word shingles differ in at most two bits."""
+    return simhash.without_near_duplicates(docs, shingle=3, distance=2)
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
