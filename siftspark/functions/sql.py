@@ -86,6 +86,34 @@ def last_of(array: str) -> str:
     return f"try_element_at({array}, -1)"
 
 
+CHUNK = 256
+
+
+def folded(array: str, state: str, kind: str, body: Callable[[str, str], str]) -> str:
+    """One pass over ``array`` with a state; ``body`` gives ``struct<state, out>``, nulls of ``out`` are left out.
+
+    Each ``array_append`` copies what there is already. Outputs are gathered in chunks and the chunks in
+    a list, so that the copies of a pass over n elements stay far below n squared. ``kind`` is the type
+    of ``out``.
+    """
+    outer, at, inner, x = fresh("a"), fresh("k"), fresh("b"), fresh("x")
+    none = f"cast(array() AS array<{kind}>)"
+
+    def pass_over(items: str) -> str:
+        step = let(body(f"{inner}.state", x), lambda r: struct(
+            state=f"{r}.state",
+            seen=when(f"{r}.out IS NULL", f"{inner}.seen", f"array_append({inner}.seen, {r}.out)")))
+        part = (f"aggregate(slice({items}, {at} * {CHUNK} + 1, {CHUNK}), "
+                + struct(state=f"{outer}.state", seen=none) + f", ({inner}, {x}) -> {step})")
+        chunk = let(part, lambda r: struct(
+            state=f"{r}.state", seen=f"array_append({outer}.seen, {r}.seen)"))
+        start = struct(state=state, seen=f"cast(array() AS array<array<{kind}>>)")
+        chunks = f"sequence(0, greatest(0, cast((size({items}) - 1) div {CHUNK} AS int)))"
+        return (f"flatten(aggregate({chunks}, {start}, ({outer}, {at}) -> {chunk},"
+                f" {outer} -> {outer}.seen))")
+    return let(array, pass_over)
+
+
 def either(tests: Iterable[str]) -> str:
     return "(" + " OR ".join(tests) + ")"
 

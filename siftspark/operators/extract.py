@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from siftspark.functions import patterns as P
 from siftspark.functions.sql import (
-    any_of, each, each_at, either, first_of, fresh, keep, last_of, let, lit, struct, when,
+    each, each_at, either, folded, fresh, keep, let, lit, struct, when,
 )
 from siftspark.functions.text import (
     Probe, contains_any, has_folding_letters, indent_of, lstrip, matches, probe, rlike,
@@ -64,6 +64,16 @@ def join_lines(lines_: str, start: str, count: str | int) -> str:
 
 
 # ------------------------------------------------------------------------------ indent and braces
+#
+# Where a block ends is a question for the nearest later line with a level that is small enough. Heads
+# and the lines that have a level are sorted together and passed over once, from the last line to the
+# first. A stack holds the later lines that can still be an answer: each is less deep than all between
+# it and the line at hand. It grows with the nesting of the file, not with its length.
+
+STACK = "array<struct<line:int,level:int,at:int>>"
+ENDS = "struct<idx:int,line:int,at:int>"
+PASSED = "struct<line:int,kind:int,idx:int,level:int,opens:boolean,after:int,at:int>"
+
 
 def indent_marks(lines_: str) -> str:
     """``struct<line, indent>`` of the lines that can end an indented block: no blanks, no #."""
@@ -82,45 +92,116 @@ def brace_delta(text: str) -> str:
     return f"({count_of(text, '{')} - {count_of(text, '}')})"
 
 
-PROFILE_TYPE = "array<struct<line:int,depth:int,opens:boolean>>"
-
-
-def brace_profile(lines_: str) -> str:
-    """``struct<line, depth, opens>`` of the lines holding a brace; depth is that after the line."""
-    braced = numbered(lines_, lambda x: f"(contains({x}, '{{') OR contains({x}, '}}'))")
-    acc, h = fresh("a"), fresh("h")
-    depth = f"{acc}.depth + {brace_delta(f'{h}.text')}"
-    step = struct(depth=depth, seen=f"array_append({acc}.seen, " + struct(
-        line=f"{h}.line", depth=depth, opens=f"contains({h}.text, '{{')") + ")")
-    start = struct(depth="0", seen=f"cast(array() AS {PROFILE_TYPE})")
-    return f"aggregate({braced}, {start}, ({acc}, {h}) -> {step}, {acc} -> {acc}.seen)"
-
+def _pushed(stack: str, line: str, level: str, at: str) -> str:
+    """The stack with one more line on it. Later lines that are as deep or deeper are no answer now."""
+    s = fresh("s")
+    return (f"array_prepend(filter({stack}, {s} -> {s}.level < {level}), "
+            + struct(line=line, level=level, at=at) + ")")
 
-def _indent_end(marks: str, line: str, indent: str, count: str) -> str:
-    """Last line before the first later mark that is not deeper; the last line if there is none."""
-    stop = let(indent, lambda own: first_of(
-        keep(marks, lambda m: f"{m}.line > {line} AND {m}.indent <= {own}")))
-    return f"coalesce({stop}.line - 1, {count})"
 
+def _first_below(stack: str, level: str) -> str:
+    s = fresh("s")
+    return f"get(filter({stack}, {s} -> {s}.level <= {level}), 0)"
 
-def _depth_before(profile: str, line: str) -> str:
-    return f"coalesce({last_of(keep(profile, lambda p: f'{p}.line < {line}'))}.depth, 0)"
 
+def indent_ends(marks: str, heads: str) -> str:
+    """``struct<idx, line, at>``: for each head (line, indent, idx) the next mark that is not deeper.
 
-def _brace_close(profile: str, line: str, target: str, opened_here: str | None) -> str:
-    """First line from ``line`` on, once a brace was opened, where the depth is back at target.
+    ``at`` is the place of that mark among the marks; both are null where no mark follows.
+    """
+    def event(line: str, kind: int, level: str, idx: str, at: str) -> str:
+        return struct(line=line, kind=str(kind), level=level, idx=idx, at=at)
+    # Backwards a head comes before the mark of its own line, which is no answer.
+    events = "reverse(sort_array(concat({}, {})))".format(
+        each_at(marks, lambda m, i: event(f"{m}.line", 0, f"{m}.indent", "-1", i)),
+        each(heads, lambda h: event(f"{h}.line", 1, f"{h}.indent", f"{h}.idx", "-1")))
+
+    def step(stack: str, e: str) -> str:
+        found = let(_first_below(stack, f"{e}.level"), lambda f: struct(
+            idx=f"{e}.idx", line=f"{f}.line", at=f"{f}.at"))
+        return struct(
+            state=when(f"{e}.kind = 1", stack,
+                       _pushed(stack, f"{e}.line", f"{e}.level", f"{e}.at")),
+            out=when(f"{e}.kind = 1", found))
+    return folded(events, f"cast(array() AS {STACK})", ENDS, step)
+
+
+def brace_marks(lines_: str) -> str:
+    """``struct<line, delta, opens, low, after>`` of the lines holding a brace.
+
+    ``low`` is the least depth behind a closing brace of the line, ``after`` the least behind one that
+    follows an opening brace, both against the depth before the line; null without such a brace.
+    """
+    braced = numbered(lines_, lambda x: f"(contains({x}, '{{') OR contains({x}, '}}'))")
 
-    Whatever the inner filters compare with is bound first: inside their lambdas it would be
-    computed once per brace line.
+    def mark(h: str) -> str:
+        acc, piece = fresh("a"), fresh("p")
+        opens = count_of(piece, "{")
+        depth, seen = f"{acc}.depth + {opens} - 1", f"({acc}.seen OR {opens} > 0)"
+        lower = struct(depth=depth, seen=seen, low=f"least({acc}.low, {depth})",
+                       after=when(seen, f"least({acc}.after, {depth})", f"{acc}.after"))
+        start = struct(depth="0", seen="false", low="cast(NULL AS int)", after="cast(NULL AS int)")
+        # The piece behind the last closing brace closes nothing.
+        lows = let(f"split({h}.text, {lit('[}]')}, -1)", lambda ps: (
+            f"aggregate(slice({ps}, 1, size({ps}) - 1), {start}, ({acc}, {piece}) -> {lower})"))
+        return let(lows, lambda low: struct(
+            line=f"{h}.line", delta=brace_delta(f"{h}.text"), opens=f"contains({h}.text, '{{')",
+            low=f"{low}.low", after=f"{low}.after"))
+    return each(braced, mark)
+
+
+def brace_ends(marks: str, heads: str, exact: bool) -> str:
+    """``struct<idx, line, at>``: for each head the line that closes the braces opened at it.
+
+    Heads are (line, more, here, idx). The depth to come back to is that before the head's line and
+    ``more``. With ``exact`` the closing brace itself counts and is looked for behind the head's line if
+    that opens one (``here``), else from the next opening brace on; otherwise the depth at the ends of
+    lines counts, from the first line that opens a brace, the head's own included.
     """
-    if opened_here is None:
-        first = first_of(keep(profile, lambda p: f"{p}.line >= {line} AND {p}.opens")) + ".line"
-    else:
-        later = first_of(keep(profile, lambda p: f"{p}.line > {line} AND {p}.opens")) + ".line"
-        first = when(opened_here, line, later)
-    closed = let(struct(line=first, depth=target), lambda start: first_of(
-        keep(profile, lambda p: f"{p}.line >= {start}.line AND {p}.depth <= {start}.depth")))
-    return f"{closed}.line"
+    order = (1, 0) if exact else (0, 1)      # of heads and marks in one line
+
+    def event(line: str, kind: int, idx: str, delta: str, opens: str, low: str, after: str) -> str:
+        return struct(line=line, kind=str(kind), idx=idx, delta=delta, opens=opens, low=low,
+                      after=after)
+    no = "cast(NULL AS int)"
+    events = "sort_array(concat({}, {}))".format(
+        each(heads, lambda h: event(f"{h}.line", order[0], f"{h}.idx", f"{h}.more", f"{h}.here",
+                                    no, no)),
+        each(marks, lambda m: event(f"{m}.line", order[1], "-1", f"{m}.delta", f"{m}.opens",
+                                    f"{m}.low", f"{m}.after")))
+
+    # Forwards: the depth before each line, that of heads and the least of marks.
+    def depths(state: str, e: str) -> str:
+        before = when(f"{state}.line = {e}.line", f"{state}.before", f"{state}.depth")
+        moved = when(f"{e}.idx < 0", f"{state}.depth + {e}.delta", f"{state}.depth")
+        level = when(f"{e}.idx >= 0", f"{before} + {e}.delta",
+                     f"{before} + {e}.low" if exact else moved)
+        return struct(
+            state=struct(line=f"{e}.line", before=before, depth=moved),
+            out=struct(line=f"{e}.line", kind=f"{e}.kind", idx=f"{e}.idx", level=level,
+                       opens=f"{e}.opens", after=f"{before} + {e}.after", at="0"))
+
+    # Backwards: the stack of lines, and the stack as it was at the next opening brace.
+    def closes(state: str, e: str) -> str:
+        stack = f"{state}.stack"
+        grown = when(f"{e}.level IS NULL", stack, _pushed(stack, f"{e}.line", f"{e}.level", "0"))
+        if exact:
+            own = struct(line=f"{e}.line", level=f"{e}.after", at="0")
+            opened = when(f"{e}.after IS NULL", stack, f"array_prepend({stack}, {own})")
+            used = when(f"{e}.opens", stack, f"{state}.opened")
+        else:
+            opened, used = grown, f"{state}.opened"
+        found = let(_first_below(used, f"{e}.level"), lambda f: struct(
+            idx=f"{e}.idx", line=f"{f}.line", at="0"))
+        return struct(
+            state=when(f"{e}.idx >= 0", state, struct(
+                stack=grown, opened=when(f"{e}.opens", opened, f"{state}.opened"))),
+            out=when(f"{e}.idx >= 0", found))
+
+    start = struct(line="0", before="0", depth="0")
+    passed = folded(events, start, PASSED, depths)
+    empty = f"cast(array() AS {STACK})"
+    return folded(f"reverse({passed})", struct(stack=empty, opened=empty), ENDS, closes)
 
 
 # --------------------------------------------------------------------------------------- symbols
@@ -154,27 +235,52 @@ def symbol_array(lines_: str) -> str:
         lambda h: f"{h}.sym IS NOT NULL")
     count = f"size({lines_})"
 
-    def end(h: str, marks: str, profile: str) -> str:
-        line = f"{h}.line"
-        return when(f"{h}.sym.braces",
-                    f"coalesce({_brace_close(profile, line, _depth_before(profile, line), None)},"
-                    f" least({line} + {OPEN_END}, {count}))",
-                    _indent_end(marks, line, indent_of(f"{h}.text"), count))
+    def some(found: str, braces: bool, body: Callable[[str, str], str]) -> str:
+        def of(own: str) -> str:
+            return when(f"size({own}) > 0", body(own, lines_), f"cast(array() AS array<{ENDS}>)")
+        placed = each_at(found, lambda h, i: struct(
+            line=f"{h}.line", indent=indent_of(f"{h}.text"), idx=i, more="0", here="false",
+            braces=f"{h}.sym.braces"))
+        return let(keep(placed, lambda h: f"{h}.braces" if braces else f"NOT {h}.braces"), of)
 
     def with_ends(found: str) -> str:
-        profile = when(any_of(found, lambda h: f"{h}.sym.braces"), brace_profile(lines_))
-        return let(indent_marks(lines_), lambda marks: let(profile, lambda prof: each(
-            found, lambda h: struct(name=f"{h}.sym.name", kind=f"{h}.sym.kind",
-                                    start_line=f"{h}.line", end_line=end(h, marks, prof)))))
+        by_brace = some(found, True, lambda own, ls: brace_ends(brace_marks(ls), own, exact=False))
+        by_indent = some(found, False, lambda own, ls: let(
+            indent_marks(ls), lambda marks: indent_ends(marks, own)))
+        # Each head has one end; sorted by their numbers the ends stand beside the heads.
+        return let(f"sort_array(concat({by_brace}, {by_indent}))", lambda ends: each_at(
+            found, lambda h, i: struct(
+                name=f"{h}.sym.name", kind=f"{h}.sym.kind", start_line=f"{h}.line",
+                end_line=when(f"{h}.sym.braces",
+                              f"coalesce(get({ends}, {i}).line,"
+                              f" least({h}.line + {OPEN_END}, {count}))",
+                              f"coalesce(get({ends}, {i}).line - 1, {count})"))))
 
     return let(heads, lambda found: when(
         f"size({found}) = 0", f"cast(array() AS {SYMBOL_TYPE})", with_ends(found)))
 
 
-def innermost(symbols_: str, line: str) -> str:
-    """Name of the symbol around a line that starts last. Symbols come in start order."""
-    around = keep(symbols_, lambda s: f"{s}.start_line <= {line} AND {line} <= {s}.end_line")
-    return last_of(around) + ".name"
+def innermost(symbols_: str, lines_: str) -> str:
+    """For each of ``lines_`` the name of the symbol around it that starts last, or null, in order.
+
+    A sweep over starts and lines: symbols that have ended leave, the latest start is on top.
+    """
+    def event(line: str, kind: int, end: str, idx: str, name: str) -> str:
+        return struct(line=line, kind=str(kind), end=end, idx=idx, name=name)
+    events = "sort_array(concat({}, {}))".format(
+        each(symbols_, lambda s: event(f"{s}.start_line", 0, f"{s}.end_line", "-1", f"{s}.name")),
+        each_at(lines_, lambda x, i: event(x, 1, "0", i, "cast(NULL AS string)")))
+
+    def step(state: str, e: str) -> str:
+        s = fresh("s")
+        live = f"filter({state}, {s} -> {s}.end >= {e}.line)"
+        return let(live, lambda open_: struct(
+            state=when(f"{e}.kind = 1", open_,
+                       f"array_prepend({open_}, " + struct(end=f"{e}.end", name=f"{e}.name") + ")"),
+            out=when(f"{e}.kind = 1", struct(idx=f"{e}.idx", name=f"get({open_}, 0).name"))))
+    found = folded(events, "cast(array() AS array<struct<end:int,name:string>>)",
+                   "struct<idx:int,name:string>", step)
+    return each(f"sort_array({found})", lambda f: f"{f}.name")
 
 
 def symbols(files: DataFrame) -> DataFrame:
@@ -198,10 +304,12 @@ def imports(files: DataFrame) -> DataFrame:
 
 def _with_symbols(lines_: str, array: str, fields: tuple[str, ...]) -> str:
     """Add the innermost symbol to each element; symbols are only looked for if there are any."""
-    return let(array, lambda found: let(
-        when(f"size({found}) > 0", symbol_array(lines_)),
-        lambda syms: each(found, lambda e: struct(
-            **{f: f"{e}.{f}" for f in fields}, symbol=innermost(syms, f"{e}.line")))))
+    def named(found: str) -> str:
+        names = when(f"size({found}) > 0", let(symbol_array(lines_), lambda syms: innermost(
+            syms, each(found, lambda e: f"{e}.line"))))
+        return let(names, lambda ns: each_at(found, lambda e, i: struct(
+            **{f: f"{e}.{f}" for f in fields}, symbol=f"get({ns}, {i})")))
+    return let(array, named)
 
 
 def call_array(lines_: str, pattern: P.Pattern) -> str:
@@ -254,17 +362,21 @@ def window_block_array(lines_: str) -> str:
 def _python_clauses(lines_: str) -> str:
     heads = numbered(lines_, lambda x: f"(contains({x}, 'except') AND {rlike(x, PY_CLAUSE)})")
 
-    def cut(h: str, marks: str) -> str:
-        stop = _indent_end(marks, f"{h}.line", indent_of(f"{h}.text"), f"size({lines_})")
+    def cut(found: str, marks: str) -> str:
+        placed = each_at(found, lambda h, i: struct(
+            line=f"{h}.line", indent=indent_of(f"{h}.text"), idx=i))
+
         # The clause ends with its last statement: blank and comment lines after it are left out.
-        inside = let(stop, lambda last: last_of(keep(
-            marks, lambda m: f"{m}.line >= {h}.line AND {m}.line <= {last}")))
-        return let(f"{inside}.line", lambda end: struct(
-            line=f"{h}.line", end_line=end, kind="'exception'",
-            text=lstrip(join_lines(lines_, f"{h}.line", f"{end} - {h}.line + 1"))))
+        def clause(h: str, stop: str) -> str:
+            last = f"get({marks}, coalesce({stop}.at, size({marks})) - 1)"
+            return let(f"{last}.line", lambda end: struct(
+                line=f"{h}.line", end_line=end, kind="'exception'",
+                text=lstrip(join_lines(lines_, f"{h}.line", f"{end} - {h}.line + 1"))))
+        return let(f"sort_array({indent_ends(marks, placed)})", lambda ends: each_at(
+            found, lambda h, i: clause(h, f"get({ends}, {i})")))
 
     return let(heads, lambda found: when(f"size({found}) > 0", let(
-        indent_marks(lines_), lambda marks: each(found, lambda h: cut(h, marks)))))
+        indent_marks(lines_), lambda marks: cut(found, marks))))
 
 
 def _clause_text(text: str) -> str:
@@ -290,30 +402,32 @@ def _clause_text(text: str) -> str:
 def _java_clauses(lines_: str) -> str:
     heads = numbered(lines_, lambda x: f"(contains({x}, 'catch') AND {rlike(x, JAVA_CLAUSE)}"
                      f" AND NOT {rlike(x, P.COMMENT_LINE.java)})")
+    parts = each(heads, lambda h: let(f"regexp_instr({h}.text, {lit(JAVA_CLAUSE)})", lambda pos: struct(
+        line=f"{h}.line", before=f"substring({h}.text, 1, {pos} - 1)",
+        rest=f"substring({h}.text, {pos})")))
+
+    def cut(h: str, stop: str) -> str:
+        def up_to(last: str) -> str:
+            more = join_lines(lines_, f"{h}.line + 1", f"{last} - {h}.line")
+            return when(f"{last} > {h}.line", f"concat({h}.rest, {FEED}, {more})", f"{h}.rest")
+        # Closed in its own line, by the line found, or not at all.
+        open_end = let(f"least({h}.line + {OPEN_END}, size({lines_}))", up_to)
+        text = (f"coalesce({let(f'{h}.rest', _clause_text)},"
+                f" {when(f'{stop}.line IS NOT NULL', let(up_to(f'{stop}.line'), _clause_text))},"
+                f" {open_end})")
+        return let(text, lambda t: struct(
+            line=f"{h}.line", end_line=f"{h}.line + {count_of(t, chr(10))}", kind="'catch'",
+            text=t))
 
-    def cut(h: str, profile: str) -> str:
-        line = f"{h}.line"
-
-        def at(pos: str) -> str:
-            before = f"substring({h}.text, 1, {pos} - 1)"
-            after = f"substring({h}.text, {pos})"
-            target = f"{_depth_before(profile, line)} + {brace_delta(before)}"
-            close = _brace_close(profile, line, target, f"contains({after}, '{{')")
-
-            # Depth at line ends gives a line at or after the close; the exact brace is then
-            # looked for in that span only, or in the rest of the file if there is no such line.
-            def up_to(last: str) -> str:
-                more = join_lines(lines_, f"{line} + 1", f"{last} - {line}")
-                return when(f"{last} > {line}", f"concat({after}, {FEED}, {more})", after)
-            whole = let(f"coalesce({close}, size({lines_}))", up_to)
-            open_end = let(f"least({line} + {OPEN_END}, size({lines_}))", up_to)
-            text = f"coalesce({let(whole, _clause_text)}, {open_end})"
-            return let(text, lambda t: struct(
-                line=line, end_line=f"{line} + {count_of(t, chr(10))}", kind="'catch'", text=t))
-        return let(f"regexp_instr({h}.text, {lit(JAVA_CLAUSE)})", at)
-
-    return let(heads, lambda found: when(f"size({found}) > 0", let(
-        brace_profile(lines_), lambda profile: each(found, lambda h: cut(h, profile)))))
+    def with_ends(found: str) -> str:
+        placed = each_at(found, lambda h, i: struct(
+            line=f"{h}.line", more=brace_delta(f"{h}.before"), here=f"contains({h}.rest, '{{')",
+            idx=i))
+        ends = let(placed, lambda own: brace_ends(brace_marks(lines_), own, exact=True))
+        return let(f"sort_array({ends})", lambda es: each_at(
+            found, lambda h, i: cut(h, f"get({es}, {i})")))
+
+    return let(parts, lambda found: when(f"size({found}) > 0", with_ends(found)))
 
 
 def block_array(lines_: str, language: str, mode: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siftspark.functions import patterns as P
 from siftspark.functions import text as T
-from siftspark.functions.sql import any_of, each, each_at, keep, let, lit, strings, struct, when
+from siftspark.functions.sql import each, each_at, folded, keep, let, lit, strings, struct, when
 from siftspark.functions.text import contains_any, has_folding_letters, rlike, split_lines
 from siftspark.operators import extract as X
 from siftspark.operators.findings import candidate_array, deduped_array, keep_first_in_row
@@ -47,13 +47,24 @@ def _hot_spans(lines_: str, odd: str, language: str) -> str:
     break: a symbol is hot if one of its lines is, and no text is cut to find that out. A clause
     opens with a hot word and always is.
     """
-    hot = each(X.numbered(lines_, lambda x: is_hot(x, odd)), lambda h: f"{h}.line")
-    declared = let(hot, lambda hs: each(
-        keep(X.symbol_array(lines_), lambda s:
-             f"({language} = 'python' OR ({language} = 'java' AND {s}.kind = 'method')) AND "
-             + any_of(hs, lambda at: f"{at} BETWEEN {s}.start_line AND {s}.end_line")),
-        lambda s: struct(start_line=f"{s}.start_line", end_line=f"{s}.end_line",
-                         text="cast(NULL AS string)", strip="true")))
+    def event(line: str, kind: int, end: str) -> str:
+        return struct(line=line, kind=str(kind), end=end)
+
+    # Backwards over symbols and hot lines: a symbol is hot if the next hot line is inside it.
+    def step(state: str, e: str) -> str:
+        hot = f"{e}.kind = 0 AND {state} <= {e}.end"
+        return struct(state=when(f"{e}.kind = 1", f"{e}.line", state),
+                      out=when(hot, struct(line=f"{e}.line", end=f"{e}.end")))
+
+    wanted = keep(X.symbol_array(lines_), lambda s:
+                  f"{language} = 'python' OR ({language} = 'java' AND {s}.kind = 'method')")
+    hot_lines = X.numbered(lines_, lambda x: is_hot(x, odd))
+    events = "reverse(sort_array(concat({}, {})))".format(
+        each(wanted, lambda s: event(f"{s}.start_line", 0, f"{s}.end_line")),
+        each(hot_lines, lambda h: event(f"{h}.line", 1, "0")))
+    found = folded(events, f"{(1 << 31) - 1}", "struct<line:int,end:int>", step)
+    declared = each(found, lambda f: struct(
+        start_line=f"{f}.line", end_line=f"{f}.end", text="cast(NULL AS string)", strip="true"))
     clauses = each(X.block_array(lines_, language, "scoped"), lambda b: struct(
         start_line=f"{b}.line", end_line=f"{b}.end_line", text=f"{b}.text", strip="false"))
     return f"array_sort(concat({declared}, {clauses}))"
@@ -157,24 +168,29 @@ def candidate_snippets(files: DataFrame, options: ScanOptions = ScanOptions()) -
             start, end = _window(lines_, f"{c}.line", options.window_radius)
             return struct(line=f"{c}.line", ord=f"{c}.ord", start_line=start, end_line=end,
                           fact=f"element_at({facts}, {c}.hit + 1)")
-        every = each(candidate_array(options), window)
+        every = each("candidates", window)
         first = let(every, lambda a: keep_first_in_row(a, each(
             a, lambda s: f"{s}.start_line * 4294967296L + {s}.end_line")))
         capped = f"slice({first}, 1, {options.max_snippets_per_file})"
 
-        def finish(s: str, syms: str) -> str:
+        def finish(s: str, i: str, names: str) -> str:
             return struct(
                 line=f"{s}.line", start_line=f"{s}.start_line", end_line=f"{s}.end_line",
                 text=X.join_lines(lines_, f"{s}.start_line",
                                   f"{s}.end_line - {s}.start_line + 1"),
                 rule_id=f"{s}.fact.rule_id",
-                symbol=when(f"{s}.fact.named", X.innermost(syms, f"{s}.line")),
+                symbol=when(f"{s}.fact.named", f"get({names}, {i})"),
                 signals=f"{s}.fact.signals", seq=f"{s}.ord")
-        return let(capped, lambda cs: let(
-            when(f"exists({cs}, x -> x.fact.named)", X.symbol_array(lines_)),
-            lambda syms: each(cs, lambda s: finish(s, syms))))
-
-    cut = X.rows(files, X.with_lines(build))
+        def names_of(cs: str) -> str:
+            return when(f"exists({cs}, x -> x.fact.named)", let(
+                X.symbol_array(lines_), lambda syms: X.innermost(
+                    syms, each(cs, lambda s: f"{s}.line"))))
+        return let(capped, lambda cs: let(names_of(cs), lambda names: each_at(
+            cs, lambda s, i: finish(s, i, names))))
+
+    # Two steps, because the analyzer has a limit on how deep one expression may nest lambdas.
+    matched = files.select(*X.KEYS, "text", F.expr(candidate_array(options)).alias("candidates"))
+    cut = X.rows(matched, X.with_lines(build))
     if options.redact:
         cut = cut.withColumn("text", F.expr(T.redact("text")))
     return cut.selectExpr(
