@@ -34,8 +34,9 @@ PARTS = 256  # of each length class, for ranking
 MAX_COLUMNS = 6_000
 BATCH = 40  # columns of a solved knapsack
 GAP = 1e-3  # proven distance from the program's optimum at which no more columns are made
-CACHED_CHUNKS = 900_000
-CACHED_PARTS = 300_000
+# Of a task's process: some 50 MB in all.
+CACHED_CHUNKS = 250_000
+CACHED_PARTS = 100_000
 
 # Fixed value: the pattern of the tokenizer whose texts may be encoded chunk by chunk.
 CHUNK_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -85,11 +86,12 @@ class Encoder:
         # A chunk that may hold an added token, or characters of other rules, is left to the library whole.
         markers = {re.escape(t["content"][:2]) for t in rules["added_tokens"]}
         self.special = re.compile("|".join(["[\x00-\x20\x7f-\xa0\u0130\u0250-\U0010ffff]", *sorted(markers)])).search
+        self.parts: dict[str, list[int]] = {}
         self._forget()
 
     def _forget(self) -> None:
+        """Chunks are many and cheap to make again from their parts, which are few."""
         self.known: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {}
         self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _by_library(self, texts: list[str]) -> list[list[int]]:

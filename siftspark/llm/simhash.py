@@ -13,11 +13,12 @@ Equal fingerprints are one node throughout. Links leave a list as a forest, whic
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +29,10 @@ from siftspark.llm.shared import keyed_text, ranges, written
 
 SEED = 42
 _BLOCK = 20_000  # shingles whose bits are unpacked at once
+_ROWS = 500  # of which texts are unpacked at once
 LONG = 4_096  # fingerprints of a list that is split
 SHORT = 48  # lists up to this length are tallied side by side, longer ones each in strips
-_STRIP = 4_000_000  # pairs of a strip
+_STRIP = 500_000  # pairs of a strip
 
 
 def _shingles(words: list[bytes], size: int) -> list[bytes]:
@@ -52,24 +54,23 @@ def fingerprint(words: list[bytes], size: int) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(texts: DataFrame, shingle: int) -> DataFrame:
-    """``texts``, which has a column text without nulls, with fp bigint in its place."""
-    kept = [c for c in texts.columns if c != "text"]
-
+def with_fingerprints(rows: DataFrame, shingle: int, text: Callable[[pa.RecordBatch], pa.Array], kept: list[str]) -> DataFrame:
+    """The columns ``kept`` of ``rows`` and fp bigint; ``text`` finds the texts in a batch, null ones are empty."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("text")
-            # bytes.lower() changes A-Z alone
-            found = [fingerprint(column[k].as_py().encode("utf-8", "surrogatepass").lower().split(), shingle) for k in range(len(column))]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(np.array(found, np.uint64).view(np.int64))], [*kept, "fp"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(at, _ROWS)
+                # bytes.lower() changes A-Z alone
+                found = [fingerprint((t or "").encode("utf-8", "surrogatepass").lower().split(), shingle) for t in text(batch).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in kept), pa.array(np.array(found, np.uint64).view(np.int64))], [*kept, "fp"])
 
-    return texts.mapInArrow(run, ST.StructType([*(texts.schema[c] for c in kept), ST.StructField("fp", ST.LongType())]))
+    return rows.mapInArrow(run, ST.StructType([*(rows.schema[c] for c in kept), ST.StructField("fp", ST.LongType())]))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fp bigint): ASCII letters lower-cased, words between ASCII white space; null text has none."""
-    return with_fingerprints(keyed_text(docs, id_col, text_col), shingle)
+    return with_fingerprints(keyed_text(docs, id_col, text_col), shingle, lambda batch: batch.column("text"), ["id"])
 
 
 def masks(positions: int) -> np.ndarray:
@@ -99,8 +100,8 @@ def retained(fps: np.ndarray, low: np.ndarray, high: np.ndarray, distance: int)
     return low[near], high[near]
 
 
-def _in_strips(fps: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one long list that share enough bytes, tallied strip by strip."""
+def _in_strips(fps: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``retained`` for all pairs of one long list, strip by strip."""
     columns = np.ascontiguousarray(fps.astype("<u8").view(np.uint8).reshape(-1, 8).T)
     varied = [c for c in columns if (c != c[0]).any()]  # all pairs share the other positions
     width = max(1, _STRIP // len(fps))
@@ -108,9 +109,10 @@ def _in_strips(fps: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.nda
         tally = np.full((min(width, len(fps) - at), len(fps) - at), 8 - len(varied), np.uint8)
         for c in varied:
             tally += c[at:at + width, None] == c[None, at:]
-        low, high = np.nonzero(tally >= least)
-        later = high > low
-        yield low[later] + at, high[later] + at
+        low, high = np.nonzero(tally >= 8 - distance)
+        low, high = low + at, high + at
+        near = (high > low) & (np.bitwise_count(fps[low] ^ fps[high]) <= distance)
+        yield low[near], high[near]
 
 
 def links_in_lists(fps: np.ndarray, lengths: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +126,7 @@ def links_in_lists(fps: np.ndarray, lengths: np.ndarray, distance: int) -> tuple
     group = np.repeat(np.arange(len(lengths)), lengths)[place]
     found = [retained(fps, place[a], place[b], distance) for a, b in _side_by_side(group)]
     for at, n in zip(starts[~short], lengths[~short], strict=True):
-        found += [retained(fps, a + at, b + at, distance) for a, b in _in_strips(fps[at:at + n], 8 - distance)]
+        found += [(a + at, b + at) for a, b in _in_strips(fps[at:at + n], distance)]
     low, high = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
     label = np.arange(len(fps))
     while len(low):  # labels sink to the smallest of each component
@@ -240,9 +242,11 @@ def without_near_duplicates(
     and a fingerprint the one with the least text stays. Rows with a null id belong to no group and stay. Other
     columns come along; an empty table gives an empty result.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    rows = written(with_fingerprints(docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("id"), text.alias("text")), shingle), "rows")
+    place = docs.columns.index(text_col)
+    rows = written(with_fingerprints(
+        docs.select(row.alias("row"), F.col(f"`{id_col}`").alias("id")), shingle,
+        lambda batch: pc.struct_field(batch.column("row"), [place]), ["row", "id"]), "rows")
     known = rows.filter("id IS NOT NULL")
     owners = written(known.groupBy("fp").agg(F.min("id").alias("own")), "owners")
     kept = _components(owners, distance).filter("own = component_id").groupBy(F.col("own").alias("id")).agg(F.min("fp").alias("fp"))

@@ -29,7 +29,7 @@ PRIOR_WORDS = 8  # neutral words added to each text, so that very short ones sta
 DECAY = 1e-6
 STEP = 4.0
 MAX_ROWS = 6_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 _EDGES = b".,;:!?\"'()[]{}|"
 _STEPS = mixed(np.arange(1, max(SIZES) + 1, dtype=np.uint64)) | np.uint64(1)
 
