@@ -722,6 +722,11 @@ _MINIFIED = """
   WHERE total >= 20000 AND start < 20000 AND least(start + bytes, 20000) - start > 1000"""
 
 
+STREAMED = chain(*ALL, blocks="scoped_blocks") + (
+    "SELECT repo, path, rule_id, line::BIGINT AS line, message, evidence, confidence, fingerprint"
+    " FROM processed WHERE path NOT IN (" + _MINIFIED + ")")
+
+
 def oracle_sql() -> dict[str, str]:
     custom = (f"SELECT repo, path, {q(CUSTOM.rule_id)} AS rule_id, line::BIGINT AS line,"
               f" {q(CUSTOM.message)} AS message, stripped AS evidence, 0.5::DOUBLE AS confidence,"
@@ -885,8 +890,12 @@ LEFT JOIN (SELECT repo, count(*) AS n FROM snippets GROUP BY 1) s USING (repo)""
         "export_html_sections": chain(*ALL) + (
             "SELECT path, line::BIGINT AS line, rule_id, fingerprint, " + HTML_SECTION
             + " AS html FROM enriched"),
-        "scan_stream": chain(*ALL, blocks="scoped_blocks") + (
-            "SELECT repo, path, rule_id, line::BIGINT AS line, message, evidence, confidence,"
-            " fingerprint FROM processed WHERE path NOT IN ("
-            + _MINIFIED + ")"),
+        "scan_stream": STREAMED,
+        # What arrives a second time is not new; counts see it twice.
+        "stream_unseen": STREAMED,
+        "stream_counts": f"SELECT repo, rule_id, 2 * count(*) AS findings FROM ({STREAMED})"
+                         " GROUP BY repo, rule_id",
+        "unscanned": "SELECT DISTINCT sha256(text) AS file_hash, length(text) AS chars"
+                     " FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text)"
+                     " FROM documents JOIN labels USING (doc_id))",
     }

@@ -363,6 +363,67 @@ def _scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
                            "fingerprint"))
 
 
+DELIVERY_FILES = 6
+
+
+def _delivered_twice(spark: SparkSession, sf_dir: str, run: str, start: Callable) -> None:
+    """All documents arrive in several files, a stream reads them in batches and stops; then all arrive
+    again, and the stream is started anew on the state it left behind."""
+    docs = table(spark, sf_dir, "documents")
+    arrived = f"{run}/arrived"
+    for _ in range(2):
+        docs.repartition(DELIVERY_FILES, "doc_id").write.mode("append").parquet(arrived)
+        stream_ = (spark.readStream.schema(docs.schema)
+                   .option("maxFilesPerTrigger", DELIVERY_FILES // 2).parquet(arrived))
+        start(stream_).awaitTermination()
+
+
+def _streamed_findings(docs: DataFrame) -> DataFrame:
+    raw = as_code(docs).selectExpr(
+        "repo", "path", "encode(text, 'UTF-8') AS content").selectExpr(
+        "repo", "path", "cast(length(content) AS bigint) AS length", "content")
+    return stream.stream_findings(raw, ScanOptions(max_file_bytes=1 << 30))
+
+
+def _stream_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of documents that arrive twice: each fingerprint comes out once, across batches and a
+    restart."""
+    run = run_folder(spark, "stream-unseen")
+    _delivered_twice(spark, sf_dir, run, lambda docs: stream.run_available(
+        stream.first_seen(_streamed_findings(docs)), f"{run}/out", f"{run}/state"))
+    rows = spark.read.parquet(f"{run}/out")
+    return big(rows.select("repo", "path", "rule_id", "line", "message", "evidence", "confidence",
+                           "fingerprint"))
+
+
+def _stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running counts of findings by repo and rule, kept across batches and a restart."""
+    run = run_folder(spark, "stream-counts")
+    keys = ("repo", "rule_id")
+    _delivered_twice(spark, sf_dir, run, lambda docs: stream.run_counts(
+        _streamed_findings(docs), keys, f"{run}/out", f"{run}/state"))
+    return big(stream.latest_counts(spark, f"{run}/out", keys))
+
+
+def _unscanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents that no earlier scan has met. The labelled documents were scanned before; all documents
+    arrive twice, some of them copies of others."""
+    docs = table(spark, sf_dir, "documents")
+    hashes = "sha2(encode(text, 'UTF-8'), 256) AS file_hash"
+    before = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id",
+                       "left_semi").selectExpr(hashes)
+    run = run_folder(spark, "unscanned")
+    seen = landed(before, "hashes")
+
+    def start(arrived: DataFrame):
+        files = arrived.selectExpr("text", hashes)
+        return stream.run_available(
+            stream.new_files(files, seen).selectExpr("file_hash", "length(text) AS chars"),
+            f"{run}/out", f"{run}/state")
+    _delivered_twice(spark, sf_dir, run, start)
+    return big(spark.read.parquet(f"{run}/out"))
+
+
 def queries() -> dict[str, Query]:
     return {
         # sources
@@ -459,4 +520,7 @@ def queries() -> dict[str, Query]:
         "export_html": _report("html"),
         "export_html_sections": _export_html_sections,
         "scan_stream": _scan_stream,
+        "stream_unseen": _stream_unseen,
+        "stream_counts": _stream_counts,
+        "unscanned": _unscanned,
     }
