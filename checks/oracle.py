@@ -7,7 +7,7 @@ two agree only if both are right. Patterns and messages are shared as values; lo
 from __future__ import annotations
 
 from checks.corpus import CORPUS_SQL
-from checks.queries import CUSTOM, FILE_LIMIT, FINDING_COLUMNS
+from checks.queries import CUSTOM, FILE_LIMIT, FINDING_COLUMNS, MANY, REDACTION_TABLE
 from siftspark.functions import patterns as P
 from siftspark.operators import external, rules
 from siftspark.options import DEFAULT_IGNORES
@@ -722,6 +722,48 @@ _MINIFIED = """
   WHERE total >= 20000 AND start < 20000 AND least(start + bytes, 20000) - start > 1000"""
 
 
+LETTERS = f"""
+pairs AS (
+  SELECT id, chr((97 + id // 26)::INT) || chr((97 + id % 26)::INT) AS pair
+  FROM (SELECT unnest(range({MANY})) AS id)
+),
+lettered AS (
+  SELECT repo, path, 'CUS-' || id AS rule_id, line, 'log call with ' || pair AS message
+  FROM flags JOIN pairs ON contains(lower(text), pair)
+  WHERE code AND log_call AND regexp_matches(text, '(?i)' || pair || '[aeiou]')
+    AND NOT regexp_matches(text, '(?i)escape')
+)"""
+
+OWN = f"""
+own AS (
+  SELECT repo, path, 'OWN-1' AS rule_id, line, 'prints' AS message, text AS evidence
+  FROM lines WHERE contains(text, 'print')
+  UNION ALL
+  SELECT repo, path, 'OWN-2', line, 'prints where it catches', 'catch'
+  FROM blocks WHERE kind = 'catch' AND contains(text, 'print')
+),
+joint AS (
+  SELECT repo, path, rule_id, line, message, evidence, analyzer_ord, step, pos FROM deduped
+  UNION ALL SELECT *, 100, 0, 0 FROM own
+),
+unmarked AS (
+  SELECT d.* FROM joint d WHERE NOT EXISTS (
+    SELECT 1 FROM marks_ s WHERE s.repo = d.repo AND s.path = d.path AND s.rule_id = d.rule_id
+       AND (s.scope = 'file' OR s.line = d.line))
+),
+single AS (
+  SELECT *, {_PRINT} AS fingerprint FROM unmarked
+  QUALIFY row_number() OVER (PARTITION BY repo, fingerprint
+                             ORDER BY analyzer_ord, step, line, pos, message) = 1
+)"""
+
+
+def redact_custom(column: str) -> str:
+    for _, body, mark, _ in REDACTION_TABLE:
+        column = f"regexp_replace({column}, {q(body)}, {q(mark)}, 'gi')"
+    return column
+
+
 STREAMED = chain(*ALL, blocks="scoped_blocks") + (
     "SELECT repo, path, rule_id, line::BIGINT AS line, message, evidence, confidence, fingerprint"
     " FROM processed WHERE path NOT IN (" + _MINIFIED + ")")
@@ -738,6 +780,8 @@ def oracle_sql() -> dict[str, str]:
         "corpus_scan": RAW + "SELECT repo, path, language, sha256(text) AS file_hash,"
                              " length(text) AS chars FROM accepted",
         "language_filter": RAW + "SELECT repo, path, language FROM raw WHERE language = 'python'",
+        "language_custom": RAW + "SELECT repo, path, CASE doc_id % 5 WHEN 3 THEN 'text' ELSE"
+                                 " 'python' END AS language FROM raw WHERE doc_id % 5 IN (0, 2, 3)",
         "ignore_filter": RAW + "SELECT repo, path FROM judged WHERE NOT ignored",
         "file_quality": RAW + "SELECT repo, path, length, skip_reason FROM judged",
         "content_hash": "SELECT doc_id, sha256(text) AS file_hash FROM documents",
@@ -780,6 +824,11 @@ def oracle_sql() -> dict[str, str]:
         "all_candidates": chain() + f"SELECT {COLUMNS}, analyzer_ord::BIGINT AS analyzer_ord"
                                     " FROM candidates",
         "custom_rule": corpus(FLAGS) + custom,
+        "custom_rules_many": chain(DEDUPED, LETTERS) + (
+            "SELECT repo, path, rule_id, line::BIGINT AS line, message, confidence FROM deduped"
+            " UNION ALL SELECT repo, path, rule_id, line, message, 0.4 FROM lettered"),
+        "custom_analyzer": chain(DEDUPED, MARKS, OWN) + (
+            "SELECT repo, path, rule_id, line::BIGINT AS line, message, fingerprint FROM single"),
         "dedupe_candidates": chain(DEDUPED) + f"SELECT {COLUMNS}, analyzer_ord::BIGINT AS"
                                               " analyzer_ord FROM deduped",
         "raw_findings": chain(DEDUPED) + f"SELECT {COLUMNS}, analyzer_ord::BIGINT AS"
@@ -802,6 +851,8 @@ def oracle_sql() -> dict[str, str]:
         "ordered_findings": chain(*ALL) + (
             "SELECT repo, path, line::BIGINT AS line, rule_id, severity, message, fingerprint"
             " FROM enriched ORDER BY rank, path, line, rule_id"),
+        "redact_custom": NOTES_TEXT + SECRETS + "SELECT origin, id, part, "
+        + redact_custom("text") + " AS redacted FROM every",
         "redact_text": NOTES_TEXT + SECRETS + "SELECT origin, id, part, " + redact("text")
         + " AS redacted FROM every",
         "clip_text": NOTES_TEXT + f""",

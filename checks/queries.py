@@ -12,7 +12,7 @@ from checks.corpus import as_code, code_files, table
 from siftspark.functions import patterns as P
 from siftspark.functions import text as T
 from siftspark.operators import exports, external, extract, findings, metrics, snippets
-from siftspark.operators.rules import Rule
+from siftspark.operators.rules import Rule, read_redactions, read_rules
 from siftspark.options import ScanOptions
 from siftspark.plans.scan import scan_files, with_external
 from siftspark.sources import files as S
@@ -154,6 +154,66 @@ def _custom_rule(files: DataFrame) -> DataFrame:
         *FINDING_COLUMNS)
 
 
+MANY = 500
+
+
+def rule_table(spark: SparkSession) -> DataFrame:
+    """Five hundred rules as a table: log calls that hold two letters and a vowel behind them."""
+    pair = "concat(char(97 + cast(id div 26 AS int)), char(97 + cast(id % 26 AS int)))"
+    return spark.range(MANY).selectExpr(
+        "id AS ord", "concat('CUS-', id) AS rule_id", "'line' AS scope",
+        "array('python', 'java') AS languages", f"{pair} AS pair").selectExpr(
+        "*", f"array(concat(pair, '[aeiou]'), {T.lit(P.LOG_CALL.body)}) AS must",
+        "array('escape') AS must_not", "array(pair) AS needs",
+        "concat('log call with ', pair) AS message", "0.4D AS confidence",
+        "array('letters') AS signals", "true AS skip_comments")
+
+
+def _custom_rules_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of rules far longer than the built-in one; built-in hits come out as before."""
+    options = ScanOptions(block_mode="window", custom_rules=read_rules(rule_table(spark)))
+    found = findings.raw_findings(code_files(spark, sf_dir), options)
+    return big(found.select("repo", "path", "rule_id", "line", "message", "confidence"))
+
+
+def _shouted(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """A user's analyzer: lines and blocks that print."""
+    near = lines.where("contains(text, 'print')").selectExpr(
+        "repo", "path", "language", "'OWN-1' AS rule_id", "line", "'prints' AS message",
+        "text AS evidence", "0.3D AS confidence", "array('own') AS signals")
+    around = blocks.where("kind = 'catch' AND contains(text, 'print')").selectExpr(
+        "repo", "path", "language", "'OWN-2' AS rule_id", "start_line AS line",
+        "'prints where it catches' AS message", "'catch' AS evidence", "0.3D AS confidence",
+        "array('own') AS signals")
+    return near.unionByName(around)
+
+
+def _custom_analyzer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = findings.analyzed(code_files(spark, sf_dir), (_shouted,), WINDOW)
+    return big(found.select("repo", "path", "rule_id", "line", "message", "fingerprint"))
+
+
+REDACTION_TABLE = (   # order, expression, mark, a literal of each match
+    (1, "th[a-z]+ing", "<THING>", ["th"]), (2, "[0-9]+-[0-9]+", "<RANGE>", None),
+    (3, "(password|secret) *[:=] *[^ ,]+", "<GONE>", ["password", "secret"]),
+)
+
+
+def _redact_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks of a user's own table in place of the built-in ones."""
+    own = read_redactions(spark.createDataFrame(
+        REDACTION_TABLE, "ord int, body string, mark string, needs array<string>"))
+    shapes = secrets(spark, sf_dir).selectExpr("'customer' AS origin", "c_custkey AS id", "0L AS part", "text")
+    text = notes_text(spark, sf_dir).unionByName(shapes)
+    return text.selectExpr("origin", "id", "part", f"{T.redact('text', own)} AS redacted")
+
+
+def _language_custom(raw: DataFrame) -> DataFrame:
+    options = ScanOptions(suffixes=((".txt", "text"), (".py", "python")),
+                          languages_include=("text", "python"))
+    return S.language_filter(raw, options).select("repo", "path", "language")
+
+
 def _corpus_scan(raw: DataFrame) -> DataFrame:
     return S.collect_files(raw, RAW_OPTIONS, RAW_GLOBS).selectExpr(
         "repo", "path", "language", "file_hash", "length(text) AS chars")
@@ -430,6 +490,7 @@ def queries() -> dict[str, Query]:
         "corpus_scan": _raw_query(_corpus_scan),
         "language_filter": _raw_query(lambda raw: S.language_filter(
             raw, ScanOptions(languages_exclude=("java",))).select("repo", "path", "language")),
+        "language_custom": _raw_query(_language_custom),
         "ignore_filter": _raw_query(lambda raw: S.ignore_filter(raw, RAW_GLOBS).select(
             "repo", "path")),
         "file_quality": _raw_query(lambda raw: S.file_quality(raw, RAW_OPTIONS).select(
@@ -468,6 +529,8 @@ def queries() -> dict[str, Query]:
         "all_candidates": _file_query(lambda f: findings.candidates(f, WINDOW).select(
             *FINDING_COLUMNS, "analyzer_ord")),
         "custom_rule": _file_query(_custom_rule),
+        "custom_rules_many": _custom_rules_many,
+        "custom_analyzer": _custom_analyzer,
         # findings
         "dedupe_candidates": _file_query(lambda f: findings.dedupe_candidates(
             findings.candidates(f, WINDOW)).select(*FINDING_COLUMNS, "analyzer_ord")),
@@ -483,6 +546,7 @@ def queries() -> dict[str, Query]:
         "ordered_findings": _ordered,
         # text
         "redact_text": _redact_text,
+        "redact_custom": _redact_custom,
         "clip_text": _clip_text,
         # snippets
         "hotspots": _file_query(lambda f: snippets.hotspots(f, WINDOW).drop("repo", "language")),

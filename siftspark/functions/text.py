@@ -120,23 +120,25 @@ def redaction_java(rule: Redaction) -> str:
     return f"{guard(rule.starts, rule.ignore_case)}(?{flags}){rule.body}"
 
 
-def redact(text: str) -> str:
+def redact(text: str, rules: tuple[Redaction, ...] = REDACTIONS) -> str:
     """Replace secret shapes by marks; the rules run in their given order.
 
-    A rule runs only on a text that holds one of its literals. No mark contains a literal of a later
+    Marks of a user's own rules must not hold literals of later ones. A rule runs only on a text that holds one of its literals. No mark contains a literal of a later
     rule, so looking at the text before all replacements is enough. The rules that remain are folded
     over the text: nine replacements inside each other would be tried one by one on every text.
     """
     def folded(t: str, low: str) -> str:
         odd = has_folding_letters(t)
         steps = []
-        for rule in REDACTIONS:
+        for rule in rules:
             mark = ("$1" + rule.joint if rule.keeps_name else "") + rule.mark
             possible = contains_any(low, rule.needs) if rule.needs else "true"
             if rule.needs and rule.ignore_case:
                 possible = f"({possible} OR {odd})"
             steps.append(when(possible, struct(find=lit(redaction_java(rule)), mark=lit(mark))))
         acc, rule_ = fresh("a"), fresh("r")
+        if not steps:
+            return t
         return (f"aggregate(array_compact(array({', '.join(steps)})), {t}, ({acc}, {rule_}) ->"
                 f" regexp_replace({acc}, {rule_}.find, {rule_}.mark))")
     return let(text, lambda t: let(f"lower({t})", lambda low: folded(t, low)))

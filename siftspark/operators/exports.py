@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.functions import text as T
-from siftspark.functions.sql import let, lit
+from siftspark.functions.patterns import REDACTIONS, Redaction
+from siftspark.functions.sql import let, lit, struct
 from siftspark.functions.text import SEVERITIES
 from siftspark.options import ScanOptions
 
@@ -19,8 +20,8 @@ TOOL, VERSION = "siftspark", "0.1.0"
 TITLE = "Code Hygiene Report"
 FORMATS = ("markdown", "json", "sarif", "html")
 EXTENSION = {"markdown": "md", "json": "json", "sarif": "sarif", "html": "html"}
-PLACE = ("repo", "section", "rank", "path", "line", "rule_id", "seq")
-_EMPTY = {"rank": "0", "path": "''", "line": "0", "rule_id": "''", "seq": "0L"}
+PLACE = ("repo", "section", "rank", "path", "line", "rule_id", "seq", "fingerprint")
+_EMPTY = {"rank": "0", "path": "''", "line": "0", "rule_id": "''", "seq": "0L", "fingerprint": "''"}
 _FEED = lit("\n")
 
 
@@ -32,23 +33,27 @@ def _fragment(df: DataFrame, section: int, text: str, **place: str) -> DataFrame
 
 def _finding_place() -> dict[str, str]:
     return {"rank": T.severity_rank("severity"), "path": "path", "line": "line",
-            "rule_id": "rule_id", "seq": "cast(analyzer_ord AS bigint) * 1099511627776L + seq"}
+            "rule_id": "rule_id", "seq": "cast(analyzer_ord AS bigint) * 1099511627776L + seq",
+            "fingerprint": "coalesce(fingerprint, '')"}
 
 
-def _comma_but_first(fragments: DataFrame, *order: str) -> DataFrame:
-    """Put a comma before every fragment but the first of its repo.
+def _listed(rows: DataFrame, section: int, text: str, **place: str) -> DataFrame:
+    """Fragments of a list: a comma before each but the first of its repo.
 
-    Fragments equal in place and text become one row that repeats the text, so no two rows are equal.
-    The first of each repo comes from an aggregate, one row per repo, and is joined back.
+    Which is the first is told by places alone, one row per repo after a partial minimum; ``place`` has to
+    tell all rows of a repo apart. No text is grouped or compared.
     """
-    fragments = fragments.groupBy("repo", *order, "text").agg(F.count("*").alias("n")).withColumn(
-        "text", F.expr("array_join(array_repeat(text, cast(n AS int)), ',')")).drop("n")
-    first = fragments.groupBy("repo").agg(F.min(F.struct(*order, "text")).alias("first"))
-    comma = F.when(F.struct(*order, "text") == F.col("first"), "").otherwise(",")
-    return fragments.join(first, "repo").withColumn("text", F.concat(comma, "text")).drop("first")
+    fields = {**_EMPTY, **place}
+    order = struct(**{k: fields[k] for k in PLACE[2:]})
+    first = rows.groupBy("repo").agg(F.min(F.expr(order)).alias("first_place"))
+    comma = f"CASE WHEN {order} = first_place THEN '' ELSE ',' END"
+    return _fragment(rows.join(first, "repo"), section, f"concat({comma}, {text})", **place)
 
 
-_ORDER = PLACE[1:]
+def _told_apart(notes: DataFrame, *columns: str) -> DataFrame:
+    """Notes with a number among those that are equal."""
+    counted = notes.groupBy("repo", *columns, "note").agg(F.count("*").alias("n"))
+    return counted.select("repo", *columns, "note", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
 
 
 def _union(*parts: DataFrame) -> DataFrame:
@@ -65,18 +70,18 @@ def _severity_counts(enriched: DataFrame, repos: DataFrame) -> DataFrame:
     return repos.join(counts, "repo", "left").na.fill(0)
 
 
-def finding_json(text: str = "evidence") -> str:
+def finding_json(text: str = "evidence", redactions: tuple[Redaction, ...] = REDACTIONS) -> str:
     return (
         "named_struct('rule_id', rule_id, 'rule_title', rule_title, 'severity', severity,"
         " 'category', category, 'analyzer', analyzer, 'path', path, 'line', line,"
-        f" 'message', message, 'evidence', {T.redact(text)}, 'recommendation', recommendation,"
+        f" 'message', message, 'evidence', {T.redact(text, redactions)}, 'recommendation', recommendation,"
         " 'confidence', confidence, 'fingerprint', fingerprint, 'source_refs', source_refs)"
     )
 
 
-def finding_lines(enriched: DataFrame) -> DataFrame:
+def finding_lines(enriched: DataFrame, redactions: tuple[Redaction, ...] = REDACTIONS) -> DataFrame:
     """Findings as JSON lines, evidence masked: the form other jobs read."""
-    return enriched.selectExpr("repo", f"to_json({finding_json()}) AS json")
+    return enriched.selectExpr("repo", f"to_json({finding_json('evidence', redactions)}) AS json")
 
 
 T_ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
@@ -116,19 +121,20 @@ def export_json(enriched: DataFrame, summary: DataFrame, catalog: DataFrame,
     footer = F.concat(F.lit('],"rules":['), rules.scalar(), F.lit("]}"))
     parts = [
         _fragment(counted, 0, header),
-        _comma_but_first(_fragment(enriched, 1, f"to_json({finding_json()})",
-                                   **_finding_place()), *_ORDER),
+        _listed(enriched, 1, f"to_json({finding_json('evidence', options.redactions)})",
+                **_finding_place()),
         _fragment(summary, 2, "'],\"notes\":['"),
         _fragment(summary, 4, "'],\"skipped\":['"),
         _fragment(summary, 6, "''").withColumn("text", footer),
     ]
     if notes is not None:
-        parts.append(_comma_but_first(_fragment(
-            notes, 3, f"concat('\"', {_json_escape('note')}, '\"')", path="note"), *_ORDER))
+        parts.append(_listed(
+            _told_apart(notes), 3, f"concat('\"', {_json_escape('note')}, '\"')", path="note",
+            seq="cast(copy AS bigint)"))
     if skipped is not None:
-        parts.append(_comma_but_first(_fragment(
-            skipped, 5, f"concat('\"', {_json_escape('note')}, '\"')",
-            path="coalesce(path, '')", rule_id="note"), *_ORDER))
+        parts.append(_listed(
+            _told_apart(skipped, "path"), 5, f"concat('\"', {_json_escape('note')}, '\"')",
+            path="coalesce(path, '')", rule_id="note", seq="cast(copy AS bigint)"))
     return _union(*parts)
 
 
@@ -137,7 +143,8 @@ def _json_escape(text: str) -> str:
     return f"regexp_extract(to_json(named_struct('v', {text})), {lit('(?s)^.{6}(.*).{2}$')}, 1)"
 
 
-def export_sarif(enriched: DataFrame, repos: DataFrame, catalog: DataFrame) -> DataFrame:
+def export_sarif(enriched: DataFrame, repos: DataFrame, catalog: DataFrame,
+                 redactions: tuple[Redaction, ...] = REDACTIONS) -> DataFrame:
     """SARIF 2.1.0, one document per repo, messages masked and no evidence."""
     rule = F.to_json(F.struct(
         "id", F.col("title").alias("name"),
@@ -152,7 +159,7 @@ def export_sarif(enriched: DataFrame, repos: DataFrame, catalog: DataFrame) -> D
     result = (
         "to_json(named_struct('ruleId', rule_id,"
         f" 'level', {T.sarif_level('severity')},"
-        f" 'message', named_struct('text', {T.redact('message')}),"
+        f" 'message', named_struct('text', {T.redact('message', redactions)}),"
         " 'locations', array(named_struct('physicalLocation', named_struct("
         "'artifactLocation', named_struct('uri', path),"
         " 'region', named_struct('startLine', line)))),"
@@ -165,13 +172,13 @@ def export_sarif(enriched: DataFrame, repos: DataFrame, catalog: DataFrame) -> D
         "text", F.concat(F.lit(head), rules.scalar(), F.lit(']}},"results":[')))
     return _union(
         header,
-        _comma_but_first(_fragment(enriched, 1, result, **_finding_place()), *_ORDER),
+        _listed(enriched, 1, result, **_finding_place()),
         _fragment(repos, 2, "']}]}'"))
 
 
-def finding_markdown() -> str:
+def finding_markdown(redactions: tuple[Redaction, ...] = REDACTIONS) -> str:
     """The section of one finding."""
-    evidence = f"replace({T.redact('evidence')}, '```', {lit(chr(39) * 3)})"
+    evidence = f"replace({T.redact('evidence', redactions)}, '```', {lit(chr(39) * 3)})"
     parts = (
         "'### '", "upper(severity)", "' '", "rule_id", "': '", "rule_title", _FEED, _FEED,
         "'- Location: `'", "path", "':'", "line", "'`'", _FEED,
@@ -186,7 +193,8 @@ def finding_markdown() -> str:
 
 def export_markdown(enriched: DataFrame, summary: DataFrame, catalog: DataFrame,
                     notes: DataFrame | None = None, skipped: DataFrame | None = None,
-                    generated_at: str = "current_timestamp()") -> DataFrame:
+                    generated_at: str = "current_timestamp()",
+                    redactions: tuple[Redaction, ...] = REDACTIONS) -> DataFrame:
     counted = _severity_counts(enriched, summary)
     lines = [
         f"{lit('# ' + TITLE)}", "''", "concat('- Repository: `', repo, '`')",
@@ -210,7 +218,7 @@ def export_markdown(enriched: DataFrame, summary: DataFrame, catalog: DataFrame,
     parts = [
         _fragment(counted, 0, f"concat_ws({_FEED}, {', '.join(lines)})"),
         _fragment(counted, 3, f"concat_ws({_FEED}, {', '.join(totals)}, {none})"),
-        _fragment(enriched, 4, finding_markdown(), **_finding_place()),
+        _fragment(enriched, 4, finding_markdown(redactions), **_finding_place()),
         _fragment(summary, 5, "''").withColumn(
             "text", F.concat(F.lit("## Rule Catalog\n\n"), rules.scalar())),
     ]
@@ -223,15 +231,16 @@ def export_markdown(enriched: DataFrame, summary: DataFrame, catalog: DataFrame,
     return _union(*parts)
 
 
-def finding_html() -> str:
+def finding_html(redactions: tuple[Redaction, ...] = REDACTIONS) -> str:
     e = T.html_escape
     return (
         f"concat('<section><h2>', {e('upper(severity)')}, ' ', {e('rule_id')}, '</h2><p><strong>',"
         f" {e('path')}, ':', line, '</strong></p><p>', {e('message')}, '</p><pre>',"
-        f" {e(T.redact('evidence'))}, '</pre></section>')")
+        f" {e(T.redact('evidence', redactions))}, '</pre></section>')")
 
 
-def export_html(enriched: DataFrame, summary: DataFrame) -> DataFrame:
+def export_html(enriched: DataFrame, summary: DataFrame,
+                redactions: tuple[Redaction, ...] = REDACTIONS) -> DataFrame:
     counted = _severity_counts(enriched, summary)
     head = (
         f"concat({lit('<!doctype html><html><head><meta charset=' + chr(34) + 'utf-8' + chr(34))},"
@@ -241,7 +250,7 @@ def export_html(enriched: DataFrame, summary: DataFrame) -> DataFrame:
         " CASE WHEN n_findings = 0 THEN '<p>No findings were detected.</p>' ELSE '' END)")
     return _union(
         _fragment(counted, 0, head),
-        _fragment(enriched, 1, finding_html(), **_finding_place()),
+        _fragment(enriched, 1, finding_html(redactions), **_finding_place()),
         _fragment(summary, 2, "'</body></html>'"))
 
 

@@ -60,7 +60,9 @@ def prompt_batches(files: DataFrame, catalog: DataFrame,
     n = options.max_snippets
 
     def payload(s: str) -> str:
-        body = let(f"{s}.text", T.redact) if options.redact else f"{s}.text"
+        body = f"{s}.text"
+        if options.redact:
+            body = let(body, lambda t: T.redact(t, options.redactions))
         return struct(
             snippet_id=T.snippet_id("path", f"{s}.start_line", f"{s}.end_line", f"{s}.text"),
             path="path", language="language", start_line=f"{s}.start_line",
@@ -239,18 +241,18 @@ def judge(proposals: DataFrame, files: DataFrame, catalog: DataFrame,
                   + ", snippet.start_line, snippet.end_line - snippet.start_line + 1), '\\n'))",
                   options.clip_chars)
     judged = joined.withColumn("snippet", F.expr(first)).withColumn(
-        "reason", F.expr(_verdict(options, T.redact(body) if options.redact else body)))
+        "reason", F.expr(_verdict(options, T.redact(body, options.redactions) if options.redact else body)))
     cases = " ".join(f"WHEN {lit(k)} THEN concat('Semantic finding rejected: ', {v})"
                      for k, v in NOTES.items())
     return judged.withColumn("verdict_note", F.expr(f"CASE reason {cases} END")).drop(
         "snippet", "shown", "own", "file_text", "file_lines", "note")
 
 
-def accepted(judged: DataFrame) -> DataFrame:
+def accepted(judged: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """Accepted proposals as findings: catalog fields, masked evidence, bounded confidence."""
     return judged.where("reason = 'accepted'").selectExpr(
         "repo", "path", "file_language AS language", "rule_id", "line", "message",
-        f"{T.redact('evidence')} AS evidence", f"{lit(ANALYZER)} AS analyzer",
+        f"{T.redact('evidence', options.redactions)} AS evidence", f"{lit(ANALYZER)} AS analyzer",
         "least(greatest(confidence, 0D), 1D) AS confidence",
         "cast(array() AS array<string>) AS signals", f"{EXTERNAL_ORD} AS analyzer_ord",
         "cast(item_ord AS bigint) AS seq",

@@ -8,6 +8,8 @@ that come from elsewhere; they group with a partial aggregate, so copies collaps
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,10 @@ from siftspark.functions import text as T
 from siftspark.functions.sql import each, each_at, keep, keep_at, let, lit, strings, struct, when
 from siftspark.functions.text import Probe, has_folding_letters, shorten, split_lines, strip
 from siftspark.operators import extract as X
-from siftspark.operators.rules import Emission, emissions, language_mask, rule_mask
+from siftspark.operators.rules import (
+    EMISSIONS, Emission, custom_hits, custom_literal, custom_possible, emissions, language_mask,
+    rule_mask, table_width,
+)
 from siftspark.options import ScanOptions
 
 ANALYZER = "deterministic"
@@ -29,17 +34,42 @@ def _table_literal(table: tuple[Emission, ...]) -> str:
         for i, e in enumerate(table)) + ")"
 
 
-def _emit(hit: str, evidence: str, table: tuple[Emission, ...]) -> str:
-    """One struct per rule that holds for this line or block."""
+def _emit(hit: str, evidence: str, width: int) -> str:
+    """One struct per built-in rule that holds for this line or block."""
     return let(evidence, lambda ev: each(
-        keep(_table_literal(table), lambda b: f"({hit}.mask & {b}.bit) != 0"),
-        lambda b: struct(ord=f"{b}.base + {hit}.line * 64L", hit=f"{b}.hit", line=f"{hit}.line",
-                         evidence=ev)))
+        keep(_table_literal(EMISSIONS), lambda b: f"({hit}.mask & {b}.bit) != 0"),
+        lambda b: struct(ord=f"{b}.base + {hit}.line * {width}L", hit=f"{b}.hit",
+                         line=f"{hit}.line", evidence=ev)))
+
+
+def _custom_array(options: ScanOptions, lines_: str, text: str, language: str, odd: str) -> str:
+    """Hits on the user's rules, for files that hold literals of any."""
+    width = table_width(options.custom_rules)
+
+    def emitted(found: str, line: str, evidence: str) -> str:
+        return let(evidence, lambda ev: each(found, lambda r: struct(
+            ord=f"{r}.base + {line} * {width}L", hit=f"{r}.hit", line=line, evidence=ev)))
+
+    def of(x: str, line: str, rules: str, block: bool, evidence: str) -> str:
+        hits = let(f"lower({x})", lambda low: custom_hits(rules, Probe(x, low, odd), block))
+        none = "cast(array() AS array<struct<ord:bigint,hit:int,line:int,evidence:string>>)"
+        return let(hits, lambda found: when(
+            f"size({found}) > 0", emitted(found, line, evidence), none))
+
+    def hits(rules: str) -> str:
+        by_line = each_at(lines_, lambda x, i: of(x, f"({i} + 1)", rules, False, strip(x)))
+        by_block = each(X.block_array(lines_, language, options.block_mode), lambda b: of(
+            f"{b}.text", f"{b}.line", rules, True, shorten(f"{b}.text")))
+        blocks = when(f"exists({rules}, r -> r.block)", by_block)
+        return f"concat(flatten({by_line}), coalesce(flatten({blocks}), array()))"
+    literal = custom_literal(options.custom_rules, _STEP)
+    rules = let(f"lower({text})", lambda low: custom_possible(literal, low, odd, language))
+    return let(rules, lambda rs: when(f"size({rs}) > 0", hits(rs), "array()"))
 
 
 def candidate_array(options: ScanOptions, text: str = "text", language: str = "language") -> str:
     """``struct<ord, hit, line, evidence>`` in emission order; ``hit`` indexes the rule table."""
-    table = emissions(options.custom_rules)
+    table, width = EMISSIONS, table_width(options.custom_rules)
 
     def mask(x: str, scopes: tuple[str, ...], odd: str, allowed: str) -> str:
         bits = let(f"lower({x})", lambda low: rule_mask(table, scopes, Probe(x, low, odd)))
@@ -55,9 +85,12 @@ def candidate_array(options: ScanOptions, text: str = "text", language: str = "l
                 line=f"{b}.line", text=f"{b}.text",
                 mask=mask(f"{b}.text", ("block",), odd, allowed))),
             lambda h: f"{h}.mask != 0")
-        return "array_sort(flatten(concat({}, {})))".format(
-            each(line_hits, lambda h: _emit(h, strip(f"{h}.text"), table)),
-            each(blocks, lambda h: _emit(h, shorten(f"{h}.text"), table)))
+        found = "flatten(concat({}, {}))".format(
+            each(line_hits, lambda h: _emit(h, strip(f"{h}.text"), width)),
+            each(blocks, lambda h: _emit(h, shorten(f"{h}.text"), width)))
+        if options.custom_rules:
+            found = f"concat({found}, {_custom_array(options, lines_, text, language, odd)})"
+        return f"array_sort({found})"
 
     known = struct(lines=split_lines(text), odd=has_folding_letters(text),
                    allowed=language_mask(table, language))
@@ -100,7 +133,8 @@ def deduped_array(options: ScanOptions, text: str = "text", language: str = "lan
     ids = ", ".join(str(groups.setdefault((e.rule.rule_id, e.rule.message), len(groups)))
                     for e in emissions(options.custom_rules))
     return let(candidate_array(options, text, language), lambda cs: keep_first_in_row(
-        cs, each(cs, lambda c: f"{c}.line * 64L + element_at(array({ids}), {c}.hit + 1)")))
+        cs, each(cs, lambda c: f"{c}.line * {table_width(options.custom_rules)}L"
+                               f" + element_at(array({ids}), {c}.hit + 1)")))
 
 
 def raw_findings(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
@@ -108,6 +142,29 @@ def raw_findings(files: DataFrame, options: ScanOptions = ScanOptions()) -> Data
     return _describe(X.rows(files, deduped_array(options)), options)
 
 
+def analyzed(files: DataFrame, analyzers: tuple[Callable[[DataFrame, DataFrame], DataFrame], ...],
+             options: ScanOptions = ScanOptions()) -> DataFrame:
+    """Processed findings of the rule table and of a user's own analyzers, not yet enriched.
+
+    An analyzer gets ``lines`` (repo, path, language, line, text) and ``blocks`` (start_line, end_line, kind,
+    text besides) and returns (repo, path, language, rule_id, line, message, evidence, confidence, signals).
+    Its hits come behind those of the table, in the order of the analyzers, then of lines and messages; from
+    there on they are treated alike: repeats go, suppressed ones go, one of each fingerprint stays.
+    """
+    lines, blocks = X.lines(files), X.exception_blocks(files, options.block_mode)
+    found = raw_findings(files, options)
+    behind = max(e.analyzer_ord for e in emissions(options.custom_rules)) + 1
+    for at, analyzer in enumerate(analyzers):
+        own = analyzer(lines, blocks).select(
+            *X.KEYS, "rule_id", F.col("line").cast("int").alias("line"), "message", "evidence",
+            F.lit(ANALYZER).alias("analyzer"), F.col("confidence").cast("double").alias("confidence"),
+            "signals", F.lit(behind + at).alias("analyzer_ord"), F.col("line").cast("bigint").alias("seq"))
+        found = found.unionByName(own)
+    order = (*ORDER, "message", "rule_id", "evidence")
+    single = keep_first(found, ("repo", "rule_id", "path", "line", "message"), order)
+    return fingerprint_dedupe(suppress(single, suppressions(files, options)), order)
+
+
 def checked_findings(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """``raw_findings`` with ``evidence_valid``: every line of the evidence is in the file.
 

@@ -1,16 +1,20 @@
 """The rule table: what is reported, where it is looked for, and in which order.
 
 A rule is data: patterns that must and must not occur in a line, a console call or an exception
-block. The table is compiled into one bit mask per text, so that every pattern is matched once and
-all rules read the same answers. A user adds a rule by adding a row (``ScanOptions.custom_rules``).
+block. The built-in table is compiled into one bit mask per text, so that every pattern is matched
+once and all rules read the same answers. A user adds rules by adding rows (``ScanOptions.custom_rules``,
+``read_rules``), as many as they like: these stay a table that each file narrows to the rules whose literals
+it holds, and a text's hits on them are indexes into it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+
 from siftspark.functions import patterns as P
-from siftspark.functions.sql import both, lit, when
+from siftspark.functions.sql import both, keep, lit, strings, struct, when
 from siftspark.functions.text import Probe, matches
 
 BOTH = ("python", "java")
@@ -117,10 +121,85 @@ def emissions(custom_rules: tuple[Rule, ...] = ()) -> tuple[Emission, ...]:
         item if isinstance(item, Emission) else Emission(item, BOTH, 4 + position)
         for position, item in enumerate(custom_rules)
     )
-    table = EMISSIONS + extra
-    if len(table) > 62:
-        raise ValueError("a rule table holds at most 62 emissions")
-    return table
+    return EMISSIONS + extra
+
+
+def table_width(custom_rules: tuple[Rule, ...]) -> int:
+    """A power of two with room for every place in the table."""
+    return max(64, 1 << (len(emissions(custom_rules)) - 1).bit_length())
+
+
+def read_rules(rules: DataFrame) -> tuple[Emission, ...]:
+    """Rules of a table, ordered by ``ord``, for ``ScanOptions.custom_rules``.
+
+    Columns: ord, rule_id, scope, languages, must, must_not (arrays of expressions), needs (literals in lower
+    case, one of which each match of all of ``must`` holds; may be empty), message, confidence, signals,
+    skip_comments. The table is configuration: it becomes part of the plan of every scan.
+    """
+    def pattern(body: str, needs: list[str]) -> P.Pattern:
+        return P.Pattern("custom", body, tuple(needs or ()))
+
+    out = []
+    for at, r in enumerate(rules.orderBy("ord").collect()):
+        if r["scope"] not in ("line", "call", "block"):
+            raise ValueError(f"unknown scope of a rule: {r['scope']}")
+        # All of ``must`` holds or no match: the literals may stand with the first expression.
+        must = tuple(pattern(p, r["needs"] if k == 0 else []) for k, p in enumerate(r["must"] or ()))
+        rule = Rule(r["rule_id"], r["scope"], must, tuple(pattern(p, []) for p in r["must_not"] or ()), r["message"],
+                    r["confidence"], tuple(r["signals"] or ()), bool(r["skip_comments"]))
+        out.append(Emission(rule, tuple(r["languages"] or BOTH), 4 + at))
+    return tuple(out)
+
+
+def read_redactions(table: DataFrame) -> tuple[P.Redaction, ...]:
+    """Redactions of a table with ord, body, mark and needs, for ``ScanOptions.redactions``."""
+    return tuple(P.Redaction(r["body"], r["mark"], needs=tuple(r["needs"] or ())) for r in table.orderBy("ord").collect())
+
+
+def custom_literal(custom_rules: tuple[Rule, ...], step: int) -> str:
+    """The user's rules as a constant array: place in the table, order, scope, languages, patterns."""
+    def test(p: P.Pattern) -> str:
+        groups = [(n,) if isinstance(n, str) else n for n in p.needs]
+        needs = ", ".join(strings(g) for g in groups)
+        return struct(java=lit(p.java), folds=str(p.ignore_case).lower(),
+                      needs=f"array({needs})" if groups else "cast(array() AS array<array<string>>)")
+
+    def tests(patterns: tuple[P.Pattern, ...]) -> str:
+        if patterns:
+            return f"array({', '.join(map(test, patterns))})"
+        return "cast(array() AS array<struct<java:string,folds:boolean,needs:array<array<string>>>>)"
+
+    built = len(EMISSIONS)
+    return "array(" + ", ".join(
+        struct(hit=str(built + i), base=f"{(e.analyzer_ord * 2 + e.step) * step + built + i}L",
+               block=str(e.rule.scope == "block").lower(), languages=strings(e.languages),
+               must=tests(e.rule.must), must_not=tests(e.rule.must_not),
+               code=str(e.rule.skip_comments).lower())
+        for i, e in enumerate(emissions(custom_rules)[built:])) + ")"
+
+
+def _possible(pattern: str, low: str, odd: str) -> str:
+    """The text, lower-cased, holds literals of a pattern, or letters that fold outside ASCII."""
+    held = f"exists({pattern}.needs, g -> forall(g, n -> contains({low}, n)))"
+    return f"(size({pattern}.needs) = 0 OR {held} OR ({pattern}.folds AND {odd}))"
+
+
+def custom_possible(literal: str, low: str, odd: str, language: str) -> str:
+    """The user's rules that a file with this lower-cased text and language can break."""
+    return keep(literal, lambda r: f"array_contains({r}.languages, {language})"
+                                   f" AND forall({r}.must, p -> {_possible('p', low, odd)})")
+
+
+def custom_hits(rules: str, probe: Probe, block: bool) -> str:
+    """The rules that apply to one text. All literals are looked for before any expression runs."""
+    comment = matches(probe, P.COMMENT_LINE)
+    return keep(rules, lambda r: (
+        f"{'' if block else 'NOT '}{r}.block"
+        f" AND forall({r}.must, p -> {_possible('p', probe.low, probe.odd)})"
+        f" AND forall({r}.must, p -> rlike({probe.raw}, p.java))"
+        f" AND NOT exists({r}.must_not, p -> {_possible('p', probe.low, probe.odd)}"
+        f" AND rlike({probe.raw}, p.java))"
+        f" AND NOT ({r}.code AND {comment})"))
 
 
 def holds(rule: Rule, probe: Probe, lead: bool = True) -> str:

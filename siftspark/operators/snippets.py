@@ -192,7 +192,7 @@ def candidate_snippets(files: DataFrame, options: ScanOptions = ScanOptions()) -
     matched = files.select(*X.KEYS, "text", F.expr(candidate_array(options)).alias("candidates"))
     cut = X.rows(matched, X.with_lines(build))
     if options.redact:
-        cut = cut.withColumn("text", F.expr(T.redact("text")))
+        cut = cut.withColumn("text", F.expr(T.redact("text", options.redactions)))
     return cut.selectExpr(
         *X.KEYS, "start_line", "end_line", f"{T.clip('text', options.clip_chars)} AS text",
         "concat('candidate rules: ', rule_id) AS reason",
@@ -208,5 +208,5 @@ def redact_snippets(found: DataFrame, options: ScanOptions = ScanOptions()) -> D
     identity = T.snippet_id("path", "start_line", "end_line", "text")
     return found.withColumns({
         "snippet_id": F.expr(f"coalesce({known}, {identity})"),
-        "text": F.expr(T.redact("text")),
+        "text": F.expr(T.redact("text", options.redactions)),
     })

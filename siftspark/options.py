@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from siftspark.functions.patterns import REDACTIONS, Redaction
+
 # Directories never scanned.
 DEFAULT_IGNORES = (
     ".git/**", "**/.git/**", ".hg/**", "**/.hg/**", ".svn/**", "**/.svn/**",
@@ -17,8 +19,13 @@ DEFAULT_IGNORES = (
 )
 
 
+# The supported languages by suffix.
+SUFFIXES = ((".py", "python"), (".java", "java"))
+
+
 @dataclass(frozen=True)
 class ScanOptions:
+    suffixes: tuple[tuple[str, str], ...] = SUFFIXES          # lower case, with the dot
     languages_include: tuple[str, ...] = ("python", "java")
     languages_exclude: tuple[str, ...] = ()
     ignore_patterns: tuple[str, ...] = ()
@@ -34,6 +41,7 @@ class ScanOptions:
     max_snippets_per_file: int = 20
     min_confidence: float = 0.70
     redact: bool = True
+    redactions: tuple[Redaction, ...] = REDACTIONS            # one after the other, in this order
     model: str = "external"
     catalog_version: str = "owasp-logging-exception-v1"
     report_formats: tuple[str, ...] = ("markdown",)

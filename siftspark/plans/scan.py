@@ -45,13 +45,14 @@ class Scan:
 
     def reports(self, notes: DataFrame | None = None) -> dict[str, DataFrame]:
         total = landed(self.summary(), "summary")
+        masks = self.options.redactions
         return {
             "json": exports.export_json(self.findings, total, self.catalog, self.options, notes,
                                         self.skipped),
-            "sarif": exports.export_sarif(self.findings, total, self.catalog),
+            "sarif": exports.export_sarif(self.findings, total, self.catalog, masks),
             "markdown": exports.export_markdown(self.findings, total, self.catalog, notes,
-                                                self.skipped),
-            "html": exports.export_html(self.findings, total),
+                                                self.skipped, redactions=masks),
+            "html": exports.export_html(self.findings, total, masks),
         }
 
 
@@ -83,7 +84,7 @@ def with_external(result: Scan, responses: DataFrame) -> tuple[DataFrame, DataFr
     proposals = landed(external.parse_responses(responses), "proposals")
     judged = landed(external.judge(proposals, result.files, result.catalog, result.options),
                     "judged")
-    merged = findings.merge_findings(result.raw_findings, external.accepted(judged))
+    merged = findings.merge_findings(result.raw_findings, external.accepted(judged, result.options))
     marks = findings.suppressions(result.files, result.options)
     kept = findings.fingerprint_dedupe(findings.suppress(merged, marks))
     enriched = findings.enrich(kept, result.catalog).withColumn(

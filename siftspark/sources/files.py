@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 
 from siftspark.functions.sql import any_of, either, let, lit, strings
 from siftspark.functions.text import rlike
-from siftspark.options import ScanOptions
+from siftspark.options import SUFFIXES, ScanOptions
 
-# The supported languages by suffix, and the bounds of the content tests.
-LANGUAGES = {".py": "python", ".java": "java"}
+# The bounds of the content tests.
 BINARY_PROBE_BYTES = 4096
 MINIFIED_BYTES = 20_000
 MINIFIED_LINE = 1000
@@ -45,8 +44,9 @@ def read_directory(spark: SparkSession, root: str, repo: str | None = None,
     top = base.rsplit("/", 1)[0] if single else base
     chosen = load_ignores(spark, root, options) if globs is None else globs
     prune = _directory_filter(chosen)
+    wanted = _suffix_test(options)
     cores = spark.sparkContext.defaultParallelism
-    starts = [(base, False)] if single else _subtrees(system, base, prune, 4 * cores)
+    starts = [(base, False)] if single else _subtrees(system, base, prune, wanted, 4 * cores)
     limit = options.max_file_bytes
 
     def list_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -56,7 +56,7 @@ def read_directory(spark: SparkSession, root: str, repo: str | None = None,
                 found = _walk(fs, start, top, prune) if is_directory else [
                     fs.get_file_info(start)]
                 rows = [(i.path, -1 if _leaves(fs, i.path, top) else i.size)
-                        for i in found if i.path and _SUFFIX.search(i.path)]
+                        for i in found if i.path and wanted(i.path)]
                 for at in range(0, len(rows), 10_000):
                     yield pd.DataFrame(rows[at:at + 10_000], columns=["file", "length"])
 
@@ -89,7 +89,11 @@ def read_directory(spark: SparkSession, root: str, repo: str | None = None,
     return content.selectExpr(f"{lit(repo or top)} AS repo", "path", "length", "content")
 
 
-_SUFFIX = re.compile(r"[.](py|java)$", re.IGNORECASE)
+def _suffix_test(options: ScanOptions) -> Callable[[str], bool]:
+    suffixes = tuple(s for s, _ in options.suffixes)
+    return lambda path: path.lower().endswith(suffixes)
+
+
 _READ_BATCH_BYTES = 32 << 20
 
 
@@ -145,7 +149,7 @@ def _walk(fs: pafs.FileSystem, start: str, top: str,
 
 
 def _subtrees(fs: pafs.FileSystem, top: str, prune: Callable[[str], bool],
-              wanted: int) -> list[tuple[str, bool]]:
+              supported_: Callable[[str], bool], wanted: int) -> list[tuple[str, bool]]:
     """Starting points for parallel listing: directories are opened until there are enough."""
     files: list[tuple[str, bool]] = []
     directories = [top]
@@ -153,7 +157,7 @@ def _subtrees(fs: pafs.FileSystem, top: str, prune: Callable[[str], bool],
         deeper = []
         for directory in directories:
             for info in _children(fs, directory):
-                if info.type == pafs.FileType.File and _SUFFIX.search(info.path):
+                if info.type == pafs.FileType.File and supported_(info.path):
                     files.append((info.path, False))
                 elif info.type == pafs.FileType.Directory and not prune(
                         info.path[len(top):].lstrip("/")):
@@ -162,16 +166,16 @@ def _subtrees(fs: pafs.FileSystem, top: str, prune: Callable[[str], bool],
     return files + [(d, True) for d in directories]
 
 
-def language_of(path: str) -> str:
+def language_of(path: str, suffixes: tuple[tuple[str, str], ...] = SUFFIXES) -> str:
     """Language by lower-case suffix; a name that is only a suffix has none."""
-    cases = " ".join(f"WHEN {lit(s)} THEN {lit(n)}" for s, n in LANGUAGES.items())
+    cases = " ".join(f"WHEN {lit(s)} THEN {lit(n)}" for s, n in suffixes)
     return f"CASE regexp_extract(lower({path}), {lit('[^/]([.][^./]*)$')}, 1) {cases} END"
 
 
 def language_filter(df: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     wanted = [n for n in options.languages_include if n not in options.languages_exclude]
     names = ", ".join(lit(n) for n in wanted) or "NULL"
-    return df.withColumn("language", F.expr(language_of("path"))).where(f"language IN ({names})")
+    return df.withColumn("language", F.expr(language_of("path", options.suffixes))).where(f"language IN ({names})")
 
 
 # ----------------------------------------------------------------------------------------- ignores
