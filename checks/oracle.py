@@ -770,13 +770,15 @@ STREAMED = chain(*ALL, blocks="scoped_blocks") + (
 
 
 def oracle_sql() -> dict[str, str]:
+    from checks.report_sql import report_sql
+
     custom = (f"SELECT repo, path, {q(CUSTOM.rule_id)} AS rule_id, line::BIGINT AS line,"
               f" {q(CUSTOM.message)} AS message, stripped AS evidence, 0.5::DOUBLE AS confidence,"
               " 'bare_message' AS signals FROM flags"
               " WHERE code AND log_call AND message_only AND NOT sensitive")
     span = ("repo, path, language, kind, line::BIGINT AS start_line, end_line::BIGINT AS end_line,"
             " text")
-    return {
+    return report_sql() | {
         "corpus_scan": RAW + "SELECT repo, path, language, sha256(text) AS file_hash,"
                              " length(text) AS chars FROM accepted",
         "language_filter": RAW + "SELECT repo, path, language FROM raw WHERE language = 'python'",

@@ -390,7 +390,8 @@ def _report(kind: str) -> Query:
         found = landed(_enriched(spark, sf_dir, SCOPED), "findings")
         total = landed(_summary(spark, sf_dir, SCOPED), "summary")
         if kind == "json":
-            out = exports.export_json(found, total, catalog, SCOPED, generated_at=at)
+            out = exports.export_json(found, total, catalog, SCOPED, generated_at=at,
+                                      languages=metrics.files_by_language(code_files(spark, sf_dir)))
         elif kind == "sarif":
             out = exports.export_sarif(found, total, catalog)
         elif kind == "markdown":

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siftspark.functions import text as T
 from siftspark.functions.patterns import REDACTIONS, Redaction
-from siftspark.functions.sql import let, lit, struct
+from siftspark.functions.sql import let, lit, strings, struct
 from siftspark.functions.text import SEVERITIES
 from siftspark.options import ScanOptions
 
@@ -63,10 +63,13 @@ def _union(*parts: DataFrame) -> DataFrame:
     return out.select(*PLACE, "text")
 
 
-def _severity_counts(enriched: DataFrame, repos: DataFrame) -> DataFrame:
-    counts = enriched.groupBy("repo").agg(
-        *[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in SEVERITIES],
-        F.count("*").alias("n_findings"))
+def _counts(enriched: DataFrame, repos: DataFrame) -> DataFrame:
+    """Findings by severity and by rule beside each repo, from one small table of counts."""
+    small = enriched.groupBy("repo", "severity", "rule_id").agg(F.count("*").alias("n"))
+    counts = small.groupBy("repo").agg(
+        *[F.sum(F.when(F.col("severity") == s, F.col("n")).otherwise(0)).alias(f"n_{s}") for s in SEVERITIES],
+        F.sum("n").alias("n_findings"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("rule_id", "n")))).alias("by_rule"))
     return repos.join(counts, "repo", "left").na.fill(0)
 
 
@@ -89,12 +92,22 @@ T_ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 def export_json(enriched: DataFrame, summary: DataFrame, catalog: DataFrame,
                 options: ScanOptions = ScanOptions(), notes: DataFrame | None = None,
-                skipped: DataFrame | None = None, generated_at: str = "current_timestamp()"
-                ) -> DataFrame:
-    """One JSON document per repo. ``summary`` has a row per repo (``metrics.scan_summary``)."""
-    counted = _severity_counts(enriched, summary)
+                skipped: DataFrame | None = None, generated_at: str = "current_timestamp()",
+                languages: DataFrame | None = None, reviewed: bool = False) -> DataFrame:
+    """One JSON document per repo. ``summary`` has a row per repo (``metrics.scan_summary``).
+
+    ``languages`` is ``metrics.files_by_language``; ``reviewed`` says that an external review took part.
+    """
+    counted = _counts(enriched, summary)
     per_severity = "map_filter(map(" + ", ".join(
         f"{lit(s)}, n_{s}" for s in SEVERITIES) + "), (k, v) -> v > 0)"
+    if languages is None:
+        counted = counted.withColumn("files_by_language", F.expr("cast(map() AS map<string,bigint>)"))
+    else:
+        counted = counted.join(languages, "repo", "left")
+
+    def either(value: object) -> str:
+        return "cast(NULL AS string)" if value is None else lit(value) if isinstance(value, str) else str(value)
     # Without its last brace the object stays open for the lists that follow.
     body = (
         "to_json(named_struct("
@@ -102,16 +115,24 @@ def export_json(enriched: DataFrame, summary: DataFrame, catalog: DataFrame,
         " 'repository', repo,"
         f" 'generated_at', date_format({generated_at}, {lit(T_ISO)}),"
         " 'summary', named_struct('repo_path', repo, 'files_scanned', files_scanned,"
-        " 'total_loc_scanned', total_loc, 'findings', n_findings, 'snippets_sent', snippets,"
-        " 'skipped_files', skipped_files,"
-        f" 'semantic_enabled', false, 'findings_by_severity', {per_severity}),"
+        " 'total_loc_scanned', total_loc, 'findings', n_findings,"
+        f" 'snippets_sent', least(snippets, {options.max_snippets}), 'skipped_files', skipped_files,"
+        f" 'semantic_enabled', {str(reviewed).lower()}, 'findings_by_severity', {per_severity}),"
         " 'config_summary', named_struct("
-        f"'languages_include', array({', '.join(map(lit, options.languages_include))}),"
-        f" 'max_file_bytes', {options.max_file_bytes}, 'max_snippets', {options.max_snippets},"
+        f"'languages_include', {strings(options.languages_include)},"
+        f" 'languages_exclude', {strings(options.languages_exclude)},"
+        f" 'max_file_bytes', {options.max_file_bytes}, 'max_files', {either(options.max_files)},"
+        f" 'max_snippets', {options.max_snippets},"
         f" 'max_snippets_per_file', {options.max_snippets_per_file},"
+        f" 'semantic_provider', {lit(options.model)},"
         f" 'semantic_min_confidence', {options.min_confidence}D,"
-        f" 'report_formats', array({', '.join(map(lit, options.report_formats))})),"
-        " 'metrics', named_struct('total_loc', total_loc)))"
+        f" 'redact_before_llm', {str(options.redact).lower()},"
+        f" 'report_formats', {strings(options.report_formats)},"
+        f" 'fail_on_severity', {either(options.fail_on_severity)}),"
+        f" 'metrics', named_struct('findings_by_severity', {per_severity},"
+        " 'findings_by_rule', coalesce(by_rule, cast(map() AS map<string,bigint>)),"
+        " 'files_by_language', coalesce(files_by_language, cast(map() AS map<string,bigint>)),"
+        " 'total_loc', total_loc)), map('ignoreNullFields', 'false'))"
     )
     header = let(body, lambda h: f"concat(left({h}, length({h}) - 1), ',\"findings\":[')")
     rules = catalog.select("id", F.to_json(F.struct(
@@ -194,15 +215,16 @@ def finding_markdown(redactions: tuple[Redaction, ...] = REDACTIONS) -> str:
 def export_markdown(enriched: DataFrame, summary: DataFrame, catalog: DataFrame,
                     notes: DataFrame | None = None, skipped: DataFrame | None = None,
                     generated_at: str = "current_timestamp()",
-                    redactions: tuple[Redaction, ...] = REDACTIONS) -> DataFrame:
-    counted = _severity_counts(enriched, summary)
+                    redactions: tuple[Redaction, ...] = REDACTIONS,
+                    max_snippets: int = ScanOptions.max_snippets) -> DataFrame:
+    counted = _counts(enriched, summary)
     lines = [
         f"{lit('# ' + TITLE)}", "''", "concat('- Repository: `', repo, '`')",
         f"concat('- Generated: `', date_format({generated_at}, {lit(T_ISO)}), '`')",
         "concat('- Files scanned: `', files_scanned, '`')",
         "concat('- LOC scanned: `', total_loc, '`')",
         "concat('- Findings: `', n_findings, '`')",
-        "concat('- Snippets sent to semantic analyzer: `', snippets, '`')", "''",
+        f"concat('- Snippets sent to semantic analyzer: `', least(snippets, {max_snippets}), '`')", "''",
     ]
     totals = ["'## Summary'", "''"]
     totals += [f"concat('- {s.title()}: `', n_{s}, '`')" for s in SEVERITIES]
@@ -241,7 +263,7 @@ def finding_html(redactions: tuple[Redaction, ...] = REDACTIONS) -> str:
 
 def export_html(enriched: DataFrame, summary: DataFrame,
                 redactions: tuple[Redaction, ...] = REDACTIONS) -> DataFrame:
-    counted = _severity_counts(enriched, summary)
+    counted = _counts(enriched, summary)
     head = (
         f"concat({lit('<!doctype html><html><head><meta charset=' + chr(34) + 'utf-8' + chr(34))},"
         f" '><title>{TITLE}</title></head><body><h1>{TITLE}</h1><p>Repository: ',"

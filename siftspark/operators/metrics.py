@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftspark.functions import text as T
 from siftspark.functions.text import SEVERITIES
-from siftspark.operators.findings import finding_array
+from siftspark.operators.findings import deduped_array, finding_array
 from siftspark.operators.snippets import snippet_array
 from siftspark.options import ScanOptions
 
@@ -28,6 +28,13 @@ def by_rule(found: DataFrame) -> DataFrame:
     return found.groupBy("rule_id").agg(F.count("*").alias("findings"))
 
 
+def files_by_language(files: DataFrame) -> DataFrame:
+    """(repo, files_by_language): a map with as many entries as there are languages."""
+    counts = files.groupBy("repo", "language").agg(F.count("*").alias("files"))
+    return counts.groupBy("repo").agg(F.map_from_entries(F.sort_array(F.collect_list(
+        F.struct("language", "files")))).alias("files_by_language"))
+
+
 def by_language(files: DataFrame) -> DataFrame:
     return files.groupBy("language").agg(F.count("*").alias("files"))
 
@@ -41,13 +48,15 @@ def scan_summary(files: DataFrame, ledger: DataFrame | None = None,
                  options: ScanOptions = ScanOptions()) -> DataFrame:
     """One row per repo: files, lines, findings, snippets, skipped files.
 
-    Each file is reduced to four numbers in the scan itself; the text is read once and nothing but
-    the numbers is shuffled.
+    Each file is reduced to four numbers in the scan itself; the text is read once, its hits are found
+    once, and nothing but the numbers is shuffled.
     """
-    numbers = files.selectExpr(
+    matched = files.selectExpr("repo", "path", "language", "text", f"{deduped_array(options)} AS hits")
+    numbers = matched.selectExpr(
         "repo", "1L AS files", f"cast(size({T.split_lines('text')}) AS bigint) AS loc",
-        f"cast(size({finding_array(options)}) AS bigint) AS found",
-        f"cast(size({snippet_array(options)}) AS bigint) AS snips", "0L AS skipped")
+        f"cast(size({finding_array(options, hits='hits')}) AS bigint) AS found",
+        f"cast(size({snippet_array(options, bodies=False, hits='hits')}) AS bigint) AS snips",
+        "0L AS skipped")
     if ledger is not None:
         numbers = numbers.unionByName(ledger.selectExpr(
             "repo", "0L AS files", "0L AS loc", "0L AS found", "0L AS snips", "1L AS skipped"))

@@ -93,10 +93,11 @@ def hotspot_array(lines_: str, odd: str, language: str, options: ScanOptions) ->
 
 
 def snippet_array(options: ScanOptions, text: str = "text", language: str = "language",
-                  bodies: bool = True) -> str:
+                  bodies: bool = True, hits: str | None = None) -> str:
     """``struct<line, phase, seq, start_line, end_line, reason, text>``, first per line range.
 
-    Without ``bodies`` the text of line windows stays null: it can be cut from the file again.
+    Without ``bodies`` the text of line windows stays null: it can be cut from the file again. ``hits``
+    names a column that holds ``deduped_array`` already.
     """
     rule_ids = strings(e.rule.rule_id for e in emissions(options.custom_rules))
 
@@ -107,7 +108,7 @@ def snippet_array(options: ScanOptions, text: str = "text", language: str = "lan
             return struct(line=f"{c}.line", phase="0", seq=f"{c}.ord", start_line=start,
                           end_line=end, reason=f"concat('deterministic finding ', {rule})",
                           text="cast(NULL AS string)", strip="false")
-        return each(deduped_array(options, text, language), window)
+        return each(hits or deduped_array(options, text, language), window)
 
     def hotspots_(lines_: str, odd: str) -> str:
         return each_at(hotspot_array(lines_, odd, language, options), lambda s, i: struct(

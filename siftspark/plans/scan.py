@@ -48,10 +48,12 @@ class Scan:
         masks = self.options.redactions
         return {
             "json": exports.export_json(self.findings, total, self.catalog, self.options, notes,
-                                        self.skipped),
+                                        self.skipped, languages=metrics.files_by_language(
+                                            self.files)),
             "sarif": exports.export_sarif(self.findings, total, self.catalog, masks),
             "markdown": exports.export_markdown(self.findings, total, self.catalog, notes,
-                                                self.skipped, redactions=masks),
+                                                self.skipped, redactions=masks,
+                                                max_snippets=self.options.max_snippets),
             "html": exports.export_html(self.findings, total, masks),
         }
 
