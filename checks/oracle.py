@@ -538,7 +538,7 @@ FROM cand_named"""
 
 RESPONSES = """
 shaped AS (
-  SELECT c.repo, c.path, c.language, c.doc % 8 AS k,
+  SELECT c.repo, c.path, c.language, c.doc % 10 AS k,
          regexp_extract(c.full_text, '[a-z]+', 0) AS first_word
   FROM (
     SELECT repo, path, language, regexp_extract(path, '[0-9]+', 0)::BIGINT AS doc,
@@ -547,13 +547,15 @@ shaped AS (
 ),
 answers AS (
   SELECT repo, path, language, 'req-' || path AS request_id, k, first_word,
-         CASE WHEN k = 1 THEN 'XXX-9' ELSE 'LOG-001' END AS rule_id,
+         CASE WHEN k = 1 THEN 'XXX-9' WHEN k = 9 THEN coalesce(own_rule, 'LOG-001') ELSE 'LOG-001' END AS rule_id,
          CASE WHEN k = 2 THEN 'no/such.py' ELSE path END AS said_path,
-         CASE WHEN k = 3 THEN 99999 ELSE 1 END AS line,
+         CASE WHEN k = 3 THEN 99999 WHEN k = 9 THEN coalesce(own_line, 1) ELSE 1 END AS line,
          CASE WHEN k = 4 THEN 'Semantic rule matched.' ELSE 'odd' END AS message,
-         CASE WHEN k = 5 THEN 'zzz-not-there' ELSE first_word END AS evidence,
+         CASE WHEN k = 5 THEN 'zzz-not-there' WHEN k = 8 THEN '' ELSE first_word END AS evidence,
          CASE WHEN k = 6 THEN 0.5 ELSE 1.5 END AS confidence
-  FROM shaped
+  FROM shaped LEFT JOIN (
+    SELECT repo, path, rule_id AS own_rule, line AS own_line FROM deduped
+    QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY line, rule_id) = 1) USING (repo, path)
 )"""
 JUDGED = f"""
 facts AS (
@@ -590,7 +592,7 @@ verdicts AS (
 REVIEW = (DEDUPED, SNIPPET_ROWS, _catalog(), RESPONSES, JUDGED)
 BAD_JSON = "'Semantic analysis response was not valid JSON.'"
 ODD_ITEM = "'Semantic finding skipped because it was not an object.'"
-RESPONSE_PARSE = corpus(RESPONSES) + f"""
+RESPONSE_PARSE = chain(DEDUPED, RESPONSES) + f"""
 SELECT repo, request_id, k != 7 AS valid_json, CASE WHEN k != 7 THEN 1 END::BIGINT AS item_ord,
        CASE WHEN k = 7 THEN {BAD_JSON} END AS note,
        CASE WHEN k != 7 THEN rule_id END AS rule_id, CASE WHEN k != 7 THEN said_path END AS path,
@@ -894,7 +896,7 @@ SELECT path, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line,
         "snippet_ids": chain(DEDUPED, SNIPPET_ROWS) + (
             "SELECT path, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, "
             + snippet_hash("text") + " AS snippet_id, " + redact("text") + " AS text FROM snippets"),
-        "cache_misses": corpus(RESPONSES) + (
+        "cache_misses": chain(DEDUPED, RESPONSES) + (
             "SELECT request_id, path FROM answers WHERE k = 7 OR path NOT LIKE '%.py'"),
         "response_parse": RESPONSE_PARSE,
         "validate_external": chain(*REVIEW, ACCEPTED) + (

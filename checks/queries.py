@@ -88,20 +88,24 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One answer per file of the corpus, eight kinds in turn: good, wrong in one way, or no JSON."""
+    """One answer per file of the corpus, ten kinds in turn: good, wrong in one way, or no JSON. One kind
+    repeats a finding of the scan's own, the first of the file."""
     files = code_files(spark, sf_dir)
-    kind = "(cast(regexp_extract(path, '[0-9]+', 0) AS bigint) % 8)"
+    own = findings.raw_findings(files, WINDOW).groupBy("repo", "path").agg(
+        F.min(F.struct("line", "rule_id")).alias("own"))
+    kind = "(cast(regexp_extract(path, '[0-9]+', 0) AS bigint) % 10)"
     item = (
-        "concat('{\"rule_id\":\"', CASE WHEN k = 1 THEN 'XXX-9' ELSE 'LOG-001' END,"
+        "concat('{\"rule_id\":\"', CASE WHEN k = 1 THEN 'XXX-9' WHEN k = 9 THEN coalesce(own.rule_id, 'LOG-001')"
+        " ELSE 'LOG-001' END,"
         " '\",\"path\":\"', CASE WHEN k = 2 THEN 'no/such.py' ELSE path END,"
-        " '\",\"line\":', CASE WHEN k = 3 THEN '99999' WHEN k = 0 THEN '\"1\"' ELSE '1' END,"
+        " '\",\"line\":', CASE WHEN k = 3 THEN '99999' WHEN k = 0 THEN '\"1\"'"
+        " WHEN k = 9 THEN string(coalesce(own.line, 1)) ELSE '1' END,"
         " ',\"message\":', CASE WHEN k = 4 THEN 'null' ELSE '\" odd \"' END,"
-        " ',\"evidence\":\"', CASE WHEN k = 5 THEN 'zzz-not-there' ELSE first_word END,"
+        " ',\"evidence\":\"', CASE WHEN k = 5 THEN 'zzz-not-there' WHEN k = 8 THEN '' ELSE first_word END,"
         " '\",\"confidence\":', CASE WHEN k = 6 THEN '0.5' ELSE '1.5' END, '}')"
     )
-    return files.selectExpr(
-        "repo", "path", f"{kind} AS k", "regexp_extract(text, '[a-z]+', 0) AS first_word",
-    ).selectExpr(
+    words = files.selectExpr("repo", "path", f"{kind} AS k", "regexp_extract(text, '[a-z]+', 0) AS first_word")
+    return words.join(own, ["repo", "path"], "left").selectExpr(
         "repo", "concat('req-', path) AS request_id",
         f"CASE WHEN k = 7 THEN concat('no json for ', path)"
         f" ELSE concat('```json\\n{{\"findings\":[', {item}, ',\"odd\"]}}\\n```') END AS text")

@@ -20,6 +20,7 @@ from siftspark.operators.findings import deduped_array
 from siftspark.operators.rules import emissions
 from siftspark.operators.snippets import snippet_array
 from siftspark.options import ScanOptions
+from siftspark.sources.landing import bucketed, landed
 
 ANALYZER = "semantic"
 EXTERNAL_ORD = 1000        # after every analyzer of the scan itself
@@ -175,33 +176,89 @@ def parse_responses(responses: DataFrame) -> DataFrame:
 
 # -------------------------------------------------------------------------------------- validation
 
+BLOOM_BITS = 1 << 22      # half a megabyte, whatever the number of keys
+BLOOM_SEEDS = (11, 23, 47)
+
+
+def _bloom_places(keys: tuple[str, ...]) -> str:
+    hashes = ", ".join(f"pmod(xxhash64({seed}, {', '.join(keys)}), {BLOOM_BITS})" for seed in BLOOM_SEEDS)
+    return f"array({hashes})"
+
+
+def bloom_filter(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """One row with ``words``: a Bloom filter of the keys as a dense array of 64-bit words.
+
+    Bits are joined by word in the tasks, so at most ``BLOOM_BITS / 64`` short rows meet, for any input.
+    """
+    spark = rows.sparkSession
+    places = rows.select(F.explode(F.expr(_bloom_places(keys))).alias("place"))
+    words = places.selectExpr("place div 64 AS word", "shiftleft(1L, cast(place % 64 AS int)) AS bit").groupBy(
+        "word").agg(F.expr("bit_or(bit)").alias("bits"))
+    dense = spark.range(BLOOM_BITS // 64).withColumnRenamed("id", "word").join(words, "word", "left")
+    pairs = F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits"))))
+    return dense.agg(F.transform(pairs, lambda p: p["bits"]).alias("words"))
+
+
+def named_files(files: DataFrame, named: DataFrame, keys: tuple[str, ...] = ("repo", "path")) -> DataFrame:
+    """Files whose key a row of ``named`` may have. A few others pass, none of these is lost; nothing moves
+    but the filter, which is a value of fixed size in the plan."""
+    held = landed(bloom_filter(named, keys), "bloom").scalar()
+    tests = F.lit(True)
+    for seed in BLOOM_SEEDS:
+        place = F.expr(f"pmod(xxhash64({seed}, {', '.join(keys)}), {BLOOM_BITS})")
+        bit = F.get(held, (place / 64).cast("int"))
+        tests &= F.getbit(bit, (place % 64).cast("int")) == 1
+    return files.where(tests)
+
+
 def review_facts(files: DataFrame, options: ScanOptions) -> DataFrame:
     """What a proposal is tested against, one row per file."""
     rule_ids = "array(" + ", ".join(
         lit(e.rule.rule_id) for e in emissions(options.custom_rules)) + ")"
-    shown = each(snippet_array(options, bodies=False), lambda s: struct(
+    matched = files.select("repo", "path", "language", "text", F.expr(deduped_array(options)).alias("hits"))
+    shown = each(snippet_array(options, bodies=False, hits="hits"), lambda s: struct(
         start_line=f"{s}.start_line", end_line=f"{s}.end_line", text=f"{s}.text"))
-    own = each(deduped_array(options), lambda c:
-               f"concat(element_at({rule_ids}, {c}.hit + 1), '@', {c}.line)")
-    return files.selectExpr(
+    own = each("hits", lambda c: struct(
+        line=f"{c}.line", rule_id=f"element_at({rule_ids}, {c}.hit + 1)"))
+    return matched.selectExpr(
         "repo", "path", "language AS file_language", "text AS file_text",
         f"size({T.split_lines('text')}) AS file_lines", f"{shown} AS shown", f"{own} AS own")
 
 
+def answered(questions: DataFrame, facts: DataFrame, options: ScanOptions) -> DataFrame:
+    """(repo, path, line, evidence) with what the file says to it, without its text.
+
+    ``facts`` is bucketed by file: the questions move, texts stay where they were written.
+    """
+    s, o = fresh("s"), fresh("o")
+    first = first_of(f"filter(shown, {s} -> {s}.start_line <= line AND line <= {s}.end_line)")
+    joined = questions.join(facts, ["repo", "path"]).withColumn("snippet", F.expr(first))
+    # Windows overlap, so their texts would be many times the file; the one that is needed is cut
+    # from the file here, and only looked at if the evidence is not found in the file as it is.
+    body = T.clip("coalesce(snippet.text, array_join(slice(" + T.split_lines("file_text")
+                  + ", snippet.start_line, snippet.end_line - snippet.start_line + 1), '\n'))",
+                  options.clip_chars)
+    shown_text = T.redact(body, options.redactions) if options.redact else body
+    return joined.selectExpr(
+        "repo", "path", "line", "evidence", "file_language", "file_lines",
+        "snippet IS NOT NULL AS in_snippet", "snippet.start_line AS snippet_start", "snippet.end_line AS snippet_end",
+        f"transform(filter(own, {o} -> {o}.line = line), {o} -> {o}.rule_id) AS own_rules",
+        f"evidence = '' OR contains(file_text, evidence) OR contains({shown_text}, evidence) AS quoted")
+
+
 # Reasons in the order they are tested; the first that applies counts.
-def _verdict(options: ScanOptions, snippet_text: str) -> str:
+def _verdict(options: ScanOptions) -> str:
     return (
         "CASE WHEN severity IS NULL THEN 'unknown_rule'"
         " WHEN file_lines IS NULL THEN 'path_not_scanned'"
-        " WHEN snippet IS NULL THEN 'no_snippet'"
+        " WHEN NOT in_snippet THEN 'no_snippet'"
         " WHEN line < 1 OR line > file_lines THEN 'line_outside_file'"
-        " WHEN line < snippet.start_line OR line > snippet.end_line THEN 'line_outside_snippet'"
+        " WHEN line < snippet_start OR line > snippet_end THEN 'line_outside_snippet'"
         " WHEN severity IN ('critical', 'high', 'medium') AND evidence = '' THEN 'no_evidence'"
-        " WHEN evidence != '' AND NOT contains(file_text, evidence)"
-        f"  AND NOT contains({snippet_text}, evidence) THEN 'evidence_not_found'"
+        " WHEN NOT quoted THEN 'evidence_not_found'"
         f" WHEN least(greatest(confidence, 0D), 1D) < {options.min_confidence}D"
         "  THEN 'low_confidence'"
-        " WHEN array_contains(own, concat(rule_id, '@', line)) THEN 'duplicate'"
+        " WHEN array_contains(own_rules, rule_id) THEN 'duplicate'"
         " ELSE 'accepted' END"
     )
 
@@ -223,29 +280,24 @@ def judge(proposals: DataFrame, files: DataFrame, catalog: DataFrame,
           options: ScanOptions = ScanOptions()) -> DataFrame:
     """Every proposal with its verdict and note.
 
-    Only files named by a proposal are prepared: the semi join comes before the work on their text.
-    Proposals pile up on few files, so the join keeps them on the side that Spark splits when a key
-    is hot; a file's own row stays single.
+    Files that no proposal names are left out by a Bloom filter before anything moves. The others are
+    prepared and written bucketed by file, each task its own ones, so no exchange holds a text. Proposals
+    that ask the same (file, line, evidence) are one question; the answers, a few numbers each, go back to
+    the proposals through a join that Spark can split where a file is named very often.
     """
     asked = proposals.where("note IS NULL")
-    named = asked.select("repo", "path").distinct()
-    facts = review_facts(files.join(named, ["repo", "path"], "left_semi"), options)
+    question = ("repo", "path", "line", "evidence")
+    questions = asked.select(*question).distinct()
+    facts = bucketed(review_facts(named_files(files, questions), options), ("repo", "path"), "facts")
+    answers = landed(answered(questions, facts, options), "answers")
     rules = catalog.selectExpr("id AS rule_id", "severity", "title AS rule_title", "category",
                                "recommendation AS rule_recommendation", "source_refs")
-    s = fresh("s")
-    first = first_of(f"filter(shown, {s} -> {s}.start_line <= line AND line <= {s}.end_line)")
-    joined = asked.join(facts, ["repo", "path"], "left").join(rules, "rule_id", "left")
-    # Windows overlap, so their texts would be many times the file; the one that is needed is cut
-    # from the file here, and only looked at if the evidence is not found in the file as it is.
-    body = T.clip("coalesce(snippet.text, array_join(slice(" + T.split_lines("file_text")
-                  + ", snippet.start_line, snippet.end_line - snippet.start_line + 1), '\\n'))",
-                  options.clip_chars)
-    judged = joined.withColumn("snippet", F.expr(first)).withColumn(
-        "reason", F.expr(_verdict(options, T.redact(body, options.redactions) if options.redact else body)))
+    joined = asked.join(answers, list(question), "left").join(rules, "rule_id", "left")
+    judged = joined.withColumn("reason", F.expr(_verdict(options)))
     cases = " ".join(f"WHEN {lit(k)} THEN concat('Semantic finding rejected: ', {v})"
                      for k, v in NOTES.items())
     return judged.withColumn("verdict_note", F.expr(f"CASE reason {cases} END")).drop(
-        "snippet", "shown", "own", "file_text", "file_lines", "note")
+        "in_snippet", "snippet_start", "snippet_end", "own_rules", "quoted", "file_lines", "note")
 
 
 def accepted(judged: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
@@ -256,7 +308,7 @@ def accepted(judged: DataFrame, options: ScanOptions = ScanOptions()) -> DataFra
         "least(greatest(confidence, 0D), 1D) AS confidence",
         "cast(array() AS array<string>) AS signals", f"{EXTERNAL_ORD} AS analyzer_ord",
         "cast(item_ord AS bigint) AS seq",
-        "coalesce(nullif(recommendation, ''), rule_recommendation) AS own_recommendation")
+        "request_id", "coalesce(nullif(recommendation, ''), rule_recommendation) AS own_recommendation")
 
 
 def rejections(judged: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ from siftspark.options import ScanOptions
 
 ANALYZER = "deterministic"
 ORDER = ("analyzer_ord", "seq")
+MERGED_ORDER = (*ORDER, "request_id", "evidence")     # items of two requests may have one place
 _STEP = 1 << 40      # room for the line number and the rule position below one analyzer step
 
 
@@ -228,11 +229,12 @@ def dedupe_candidates(df: DataFrame) -> DataFrame:
 
 
 def merge_findings(own: DataFrame, external: DataFrame) -> DataFrame:
-    """Union of both sources, first per (rule, path, line, message, analyzer); own rows first."""
+    """Union of both sources, first per (rule, path, line, message, analyzer); own rows first, then
+    those of requests in the order of their ids."""
     both = own.withColumn("source_ord", F.lit(0)).unionByName(
         external.withColumn("source_ord", F.lit(1)), allowMissingColumns=True)
     merged = keep_first(both, ("repo", "rule_id", "path", "line", "message", "analyzer"),
-                        ("source_ord", *ORDER))
+                        ("source_ord", *MERGED_ORDER))
     return merged.drop("source_ord")
 
 

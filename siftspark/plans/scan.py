@@ -88,10 +88,10 @@ def with_external(result: Scan, responses: DataFrame) -> tuple[DataFrame, DataFr
                     "judged")
     merged = findings.merge_findings(result.raw_findings, external.accepted(judged, result.options))
     marks = findings.suppressions(result.files, result.options)
-    kept = findings.fingerprint_dedupe(findings.suppress(merged, marks))
+    kept = findings.fingerprint_dedupe(findings.suppress(merged, marks), findings.MERGED_ORDER)
     enriched = findings.enrich(kept, result.catalog).withColumn(
         "recommendation", F.expr("coalesce(own_recommendation, recommendation)")
-    ).drop("own_recommendation")
+    ).drop("own_recommendation", "request_id")
     notes = external.rejections(judged).selectExpr("repo", "note").unionByName(
         proposals.where("note IS NOT NULL").select("repo", "note"))
     return enriched, notes

@@ -30,6 +30,16 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def bucketed(df: DataFrame, keys: tuple[str, ...], name: str) -> DataFrame:
+    """Write ``df`` as a table bucketed by ``keys``, each task its own rows: a join on them then moves the
+    other side only."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, *keys).option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def landed(df: DataFrame, name: str = "landed") -> DataFrame:
     """Write ``df`` as parquet below the shared folder and read it from there.
 

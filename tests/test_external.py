@@ -7,6 +7,8 @@ from siftspark.operators import external, findings, snippets
 from siftspark.options import ScanOptions
 from siftspark.plans.scan import scan_files, with_external
 from siftspark.sources.catalog import built_in_catalog
+from siftspark.sources.landing import bucketed
+from tests.test_rules import PY_SAMPLE as PY
 
 WINDOW = ScanOptions(block_mode="window")
 SOURCE = "logging.info('password')\nlogin(user)\n"
@@ -156,3 +158,63 @@ def test_suppression_reaches_external_findings(spark, make_files):
     merged, _ = with_external(result, responses(spark, proposal(line=2)))
     assert [r.rule_id for r in merged.collect()] == ["LOG-003"]
     assert findings.findings(files, WINDOW).count() == 1
+
+
+def test_a_bloom_filter_loses_no_named_file(spark):
+    files = spark.range(20_000).selectExpr("concat('r', id % 3) AS repo", "concat('p', id) AS path", "id AS text")
+    named = files.where("text % 50 = 0").select("repo", "path").union(spark.createDataFrame([("x", "nowhere"), (None, None)], "repo string, path string"))
+    kept = {r["text"] for r in external.named_files(files, named).collect()}
+    assert set(range(0, 20_000, 50)) <= kept and len(kept) < 450
+    assert external.named_files(files, named.where("false")).count() == 0
+
+
+def test_no_exchange_holds_a_text(spark):
+    """The plan that answers questions moves the questions only."""
+    files = spark.createDataFrame([("r", f"f{k}.py", "python", PY) for k in range(40)], "repo string, path string, language string, text string")
+    questions = files.selectExpr("repo", "path", "1 AS line", "'logger' AS evidence")
+    facts = bucketed(external.review_facts(external.named_files(files, questions), ScanOptions()), ("repo", "path"), "facts")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        answers = external.answered(questions, facts, ScanOptions())
+        assert answers.count() == 40
+        plan = answers._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The side with the texts is scanned by buckets and has no exchange above it.
+    scan = next(k for k, line in enumerate(plan) if "FileScan" in line and "file_text" in line)
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+    above, least = [], depth[scan]
+    for k in range(scan - 1, -1, -1):      # the nodes that the scan's rows pass, up to the join
+        if depth[k] < least:
+            least = depth[k]
+            above.append(plan[k])
+            if "Join" in plan[k]:
+                break
+    assert "Bucketed: true" in plan[scan] and not any("Exchange" in line for line in above)
+
+
+def test_all_reachable_reasons(spark):
+    text = "import logging\nlogger.info(password)\n" + "x = 1\n" * 60 + "logger.info(token)\n"
+    files = spark.createDataFrame([("r", "a.py", "python", text)], "repo string, path string, language string, text string")
+
+    def item(rule, line, evidence, confidence=0.9, path="a.py"):
+        return json.dumps({"findings": [{"rule_id": rule, "path": path, "line": line, "message": "m", "evidence": evidence, "confidence": confidence}]})
+    cases = {
+        "unknown_rule": item("NO-1", 1, "import"), "path_not_scanned": item("LOG-001", 1, "import", path="b.py"),
+        "no_snippet": item("LOG-001", 35, "x = 1"), "no_evidence": item("LOG-001", 1, " "),
+        "evidence_not_found": item("LOG-001", 1, "nowhere"), "low_confidence": item("LOG-001", 1, "import", 0.1),
+        "duplicate": item("LOG-003", 2, "logger"), "accepted": item("LOG-001", 2, "logger.info(password)"),
+    }
+    answers = spark.createDataFrame([("r", k, v) for k, v in cases.items()], "repo string, request_id string, text string")
+    judged = external.judge(external.parse_responses(answers), files, built_in_catalog(spark), ScanOptions(block_mode="window"))
+    assert {r["request_id"]: r["reason"] for r in judged.collect()} == {k: k for k in cases}
+
+
+def test_two_requests_merge_in_the_order_of_their_ids(spark):
+    files = spark.createDataFrame([("r", "a.py", "python", "logger.info(x)\n")], "repo string, path string, language string, text string")
+    one = json.dumps({"findings": [{"rule_id": "LOG-001", "path": "a.py", "line": 1, "message": "m", "evidence": "logger", "confidence": 0.9, "recommendation": "first"}]})
+    two = one.replace("first", "second")
+    answers = spark.createDataFrame([("r", "b", two), ("r", "a", one)], "repo string, request_id string, text string").repartition(2, "request_id")
+    result = scan_files(files, files.selectExpr("repo", "path", "'' AS reason", "'' AS note").where("false"), built_in_catalog(spark), ScanOptions())
+    found, _ = with_external(result, answers)
+    assert [r["recommendation"] for r in found.where("analyzer = 'semantic'").collect()] == ["first"]
