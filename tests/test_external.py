@@ -215,6 +215,6 @@ def test_two_requests_merge_in_the_order_of_their_ids(spark):
     one = json.dumps({"findings": [{"rule_id": "LOG-001", "path": "a.py", "line": 1, "message": "m", "evidence": "logger", "confidence": 0.9, "recommendation": "first"}]})
     two = one.replace("first", "second")
     answers = spark.createDataFrame([("r", "b", two), ("r", "a", one)], "repo string, request_id string, text string").repartition(2, "request_id")
-    result = scan_files(files, files.selectExpr("repo", "path", "'' AS reason", "'' AS note").where("false"), built_in_catalog(spark), ScanOptions())
+    result = scan_files(files, files.selectExpr("repo", "path", "'' AS reason", "'' AS note").where("false"), built_in_catalog(spark), WINDOW)
     found, _ = with_external(result, answers)
     assert [r["recommendation"] for r in found.where("analyzer = 'semantic'").collect()] == ["first"]
