@@ -11,7 +11,7 @@ from pyspark.sql import types as ST
 from checks.corpus import as_code, code_files, table
 from siftspark.functions import patterns as P
 from siftspark.functions import text as T
-from siftspark.operators import exports, external, extract, findings, metrics, snippets
+from siftspark.operators import exchange, exports, external, extract, findings, metrics, snippets
 from siftspark.operators.rules import Rule, read_redactions, read_rules
 from siftspark.options import ScanOptions
 from siftspark.plans.scan import scan_files, with_external
@@ -310,6 +310,32 @@ def _prompt_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return external.prompt_batches(code_files(spark, sf_dir), built_in_catalog(spark), SCOPED)
 
 
+def _prompt_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return big(external.prompt_bins(code_files(spark, sf_dir), built_in_catalog(spark), WINDOW))
+
+
+def _reviewer(batches):
+    """Answers by the id of the request: some only when asked again, some never."""
+    for batch in batches:
+        wanting = batch["request_id"].str[0].isin(list("0123")) & (batch["attempt"] == 1)
+        never = batch["request_id"].str[0] == "f"
+        texts = ("{\"findings\":[], \"of\":\"" + batch["request_id"].str[:8] + "\"}").where(
+            ~(wanting | never), "no answer to " + batch["request_id"].str[:8])
+        yield batch[["request_id"]].assign(text=texts)
+
+
+def _review_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests over the corpus: some answered by an earlier run, the others asked, asked again, merged.
+    The second run over the same folder finds nothing to ask and changes nothing."""
+    requests = landed(external.prompt_bins(code_files(spark, sf_dir), built_in_catalog(spark), WINDOW), "requests")
+    earlier = requests.where("request_id LIKE 'a%' OR request_id LIKE 'b%'").selectExpr(
+        "request_id", "if(request_id LIKE 'b%', 'broken', '{\"findings\":[]}') AS text")
+    folder = run_folder(spark, "exchange")
+    for _ in range(2):
+        found = exchange.exchange(requests, _reviewer, folder, known=earlier)
+    return big(found.select("repo", "batch", "request_id", "state", "attempts", "text"))
+
+
 def _cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = code_files(spark, sf_dir).selectExpr(
         "repo", "path", "concat('req-', path) AS request_id")
@@ -563,6 +589,8 @@ def queries() -> dict[str, Query]:
         "snippet_ids": _file_query(_snippet_ids),
         # external review
         "prompt_batches": _prompt_batches,
+        "prompt_bins": _prompt_bins,
+        "review_exchange": _review_exchange,
         "cache_misses": _cache_misses,
         "response_parse": _response_parse,
         "validate_external": _validate_external,

@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import json
 
-from checks.oracle import ALL, HOT, HTML_SECTION, SYMBOLS, WS, chain, q, redact, window_rows
-from siftspark.operators import exports
+from checks.oracle import (
+    ALL, DEDUPED, HOT, HTML_SECTION, SNIPPET_ROWS, SYMBOLS, WS, chain, q, redact, snippet_hash, window_rows,
+)
+from siftspark.operators import exports, external
 from siftspark.options import ScanOptions
 from siftspark.sources.catalog_values import RULES
 
@@ -173,7 +175,45 @@ def _html() -> str:
     return "\nUNION ALL ".join((fragment(0, head), listed(1, HTML_SECTION), fragment(2, q("</body></html>"))))
 
 
+REVIEW_RULES = compact([{
+    **{k: r[k] for k in ("id", "title", "severity", "description")}, "semantic_check": r["semantic_prompt"],
+    **{k: r[k] for k in ("recommendation", "standards")}} for r in BY_ID if r["analysis_mode"] in ("semantic", "hybrid")])
+
+
+def _bins() -> str:
+    """Requests over the files of a repo, in window mode."""
+    payload = " || ".join((
+        q('{"snippet_id":'), j(snippet_hash("text")), q(',"path":'), j("path"), q(',"language":'), j("language"),
+        q(',"start_line":'), "start_line", q(',"end_line":'), "end_line",
+        q(',"symbol":null,"candidate_rule_ids":[],"deterministic_signals":[],"reason":'), j("reason"),
+        q(',"text":'), j(redact("text")), q("}")))
+    key = q(f"{OPTIONS.catalog_version}\n{OPTIONS.model}\n{','.join(r['id'] for r in BY_ID)}\n")
+    head = q(f"{external.INSTRUCTIONS}\n\nRules:\n{REVIEW_RULES}\n\nSnippets:\n")
+    return chain(DEDUPED, SNIPPET_ROWS) + f""",
+ranked AS (
+  SELECT repo, {payload} AS payload, row_number() OVER (
+           PARTITION BY repo ORDER BY phase, path, analyzer_ord, step, line, pos) - 1 AS rank
+  FROM snippets s JOIN (SELECT DISTINCT repo, path, language FROM coded) USING (repo, path)
+),
+bins AS (
+  SELECT repo, rank // {OPTIONS.max_snippets} + 1 AS batch, count(*) AS snippets,
+         '[' || string_agg(payload, ',' ORDER BY rank) || ']' AS payload
+  FROM ranked GROUP BY ALL
+),
+requests AS (SELECT repo, sha256({key} || payload) AS request_id, batch, snippets, {head} || payload AS prompt FROM bins)"""
+
+
+EXCHANGED = """
+SELECT repo, batch, request_id,
+       CASE WHEN request_id LIKE 'f%' THEN 'bad' ELSE 'answered' END AS state,
+       CASE WHEN request_id LIKE 'a%' THEN 0 WHEN regexp_matches(request_id, '^[0-3f]') THEN 2 ELSE 1 END AS attempts,
+       CASE WHEN request_id LIKE 'f%' THEN NULL WHEN request_id LIKE 'a%' THEN '{"findings":[]}'
+            ELSE '{"findings":[], "of":"' || substr(request_id, 1, 8) || '"}' END AS text
+FROM requests"""
+
+
 def report_sql() -> dict[str, str]:
     start = chain(SYMBOLS, *ALL, REPORTED, blocks="scoped_blocks")
     return {"export_json": start + _json(), "export_sarif": start + _sarif(), "export_markdown": start + _markdown(),
-            "export_html": start + _html()}
+            "export_html": start + _html(), "review_exchange": _bins() + EXCHANGED,
+            "prompt_bins": _bins() + "SELECT repo, request_id, batch, snippets, prompt FROM requests"}

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siftspark.functions import text as T
 from siftspark.functions.sql import (
@@ -52,6 +53,31 @@ def review_rules(catalog: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list("id")).alias("rule_ids"))
 
 
+def _payload(s: str, options: ScanOptions) -> str:
+    """What a request says of one snippet."""
+    body = f"{s}.text"
+    if options.redact:
+        body = let(body, lambda t: T.redact(t, options.redactions))
+    return struct(
+        snippet_id=T.snippet_id("path", f"{s}.start_line", f"{s}.end_line", f"{s}.text"),
+        path="path", language="language", start_line=f"{s}.start_line",
+        end_line=f"{s}.end_line", symbol="cast(NULL AS string)",
+        candidate_rule_ids="cast(array() AS array<string>)",
+        deterministic_signals="cast(array() AS array<string>)",
+        reason=f"{s}.reason", text=body)
+
+
+def _requests(parts: DataFrame, catalog: DataFrame, options: ScanOptions, *columns: str) -> DataFrame:
+    """``parts`` with a payload as requests: the id says what is asked, of which rules, of whom."""
+    # The rules are one small row: read once as values instead of joined to every request.
+    rules = review_rules(catalog)
+    key = F.concat_ws("\n", F.lit(options.catalog_version), F.lit(options.model),
+                      rules.select(F.array_join("rule_ids", ",")).scalar(), F.col("payload"))
+    prompt = F.concat(F.lit(INSTRUCTIONS + "\n\nRules:\n"), rules.select("rules_json").scalar(),
+                      F.lit("\n\nSnippets:\n"), F.col("payload"))
+    return parts.select(*columns, F.sha2(key, 256).alias("request_id"), "batch", "snippets", prompt.alias("prompt"))
+
+
 def prompt_batches(files: DataFrame, catalog: DataFrame,
                    options: ScanOptions = ScanOptions()) -> DataFrame:
     """Requests of at most ``max_snippets`` snippets of one file: (repo, path, request_id, ...).
@@ -60,18 +86,6 @@ def prompt_batches(files: DataFrame, catalog: DataFrame,
     """
     n = options.max_snippets
 
-    def payload(s: str) -> str:
-        body = f"{s}.text"
-        if options.redact:
-            body = let(body, lambda t: T.redact(t, options.redactions))
-        return struct(
-            snippet_id=T.snippet_id("path", f"{s}.start_line", f"{s}.end_line", f"{s}.text"),
-            path="path", language="language", start_line=f"{s}.start_line",
-            end_line=f"{s}.end_line", symbol="cast(NULL AS string)",
-            candidate_rule_ids="cast(array() AS array<string>)",
-            deterministic_signals="cast(array() AS array<string>)",
-            reason=f"{s}.reason", text=body)
-
     def batches(found: str) -> str:
         return each_at(
             f"transform(sequence(0, greatest(0, ceil(size({found}) / {n}) - 1)),"
@@ -81,17 +95,47 @@ def prompt_batches(files: DataFrame, catalog: DataFrame,
                 payload=f"to_json({part}, map('ignoreNullFields', 'false'))"))
 
     cut = files.select(*X.KEYS, F.expr(snippet_array(options)).alias("cut"))
-    found = let(each("cut", payload), lambda a: when(f"size({a}) > 0", batches(a)))
-    parts = X.rows(cut, found)
-    # The rules are one small row: read once as values instead of joined to every request.
-    rules = review_rules(catalog)
-    # Same catalog, model, rules and snippets give the same key; the payload is JSON already.
-    key = F.concat_ws("\n", F.lit(options.catalog_version), F.lit(options.model),
-                      rules.select(F.array_join("rule_ids", ",")).scalar(), F.col("payload"))
-    prompt = F.concat(F.lit(INSTRUCTIONS + "\n\nRules:\n"), rules.select("rules_json").scalar(),
-                      F.lit("\n\nSnippets:\n"), F.col("payload"))
-    return parts.select("repo", "path", F.sha2(key, 256).alias("request_id"),
-                        F.col("line").alias("batch"), "snippets", prompt.alias("prompt"))
+    found = let(each("cut", lambda s: _payload(s, options)), lambda a: when(f"size({a}) > 0", batches(a)))
+    parts = X.rows(cut, found).withColumnRenamed("line", "batch")
+    return _requests(parts, catalog, options, "repo", "path")
+
+
+def _begun(runs: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """``runs`` (order columns, n) with ``begin``: the sum of n over all earlier runs of the same repo.
+
+    Runs are sorted by ranges of ``order``, so a repo of any size spreads over many tasks. Sums are taken
+    inside each part; then the parts of a repo, a row each, are summed.
+    """
+    n = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = landed(runs.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "runs")
+    inside = Window.partitionBy("repo", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("repo").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy("repo", "part").agg(F.sum("n").alias("total")).select(
+        "repo", "part", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("ahead"))
+    summed = parts.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return summed.join(totals, ["repo", "part"]).selectExpr(*order, "ahead + before AS begin")
+
+
+def prompt_bins(files: DataFrame, catalog: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """Requests over several files: (repo, request_id, batch, snippets, prompt).
+
+    The snippets of a repo in rank order, windows around findings before hotspots and files by path, are cut
+    into bins of ``max_snippets``; bin 1 is what a run with a limit would send. Only counts are ranked; a
+    request gathers the snippets of one bin.
+    """
+    found = each(snippet_array(options), lambda s: struct(
+        line="1", phase=f"{s}.phase", seq=f"{s}.seq", payload=f"to_json({_payload(s, options)}, map('ignoreNullFields', 'false'))"))
+    rows = landed(X.rows(files, found).select("repo", "path", "phase", "seq", "payload"), "snippets")
+    order = ("repo", "phase", "path")
+    begun = _begun(rows.groupBy(*order).agg(F.count("*").alias("n")), order)
+    in_run = Window.partitionBy(*order).orderBy("seq")      # as many rows as a file has snippets
+    ranked = rows.withColumn("at", F.row_number().over(in_run) - 1).join(begun, list(order)).selectExpr(
+        "repo", "begin + at AS rank", f"(begin + at) div {options.max_snippets} AS bin", "payload")
+    bins = ranked.groupBy("repo", "bin").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "payload"))).alias("held")).selectExpr(
+        "repo", "bin + 1 AS batch", "size(held) AS snippets",
+        "concat('[', array_join(transform(held, h -> h.payload), ','), ']') AS payload")
+    return _requests(bins, catalog, options, "repo")
 
 
 def cache_misses(requests: DataFrame, responses: DataFrame) -> DataFrame:
