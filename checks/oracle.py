@@ -766,6 +766,33 @@ def redact_custom(column: str) -> str:
     return column
 
 
+NOTES = ("WITH raw_notes AS (" + RAW + """
+  SELECT repo, 'scan' AS stage, path, path || CASE skip_reason
+           WHEN 'size' THEN ': skipped because size exceeds 30000 bytes'
+           WHEN 'binary' THEN ': skipped because it appears to be binary'
+           ELSE ': skipped because it appears to be minified' END AS note
+  FROM known WHERE skip_reason IS NOT NULL
+  UNION ALL
+  SELECT repo, 'scan', NULL, 'No supported files were found.' FROM raw
+  GROUP BY repo HAVING repo NOT IN (SELECT repo FROM accepted)
+),
+""" + chain(*REVIEW, SCOPED).removeprefix("WITH ") + """
+SELECT * FROM raw_notes
+UNION ALL
+SELECT DISTINCT repo, 'scan', path, path || ': skipped because it appears to be minified'
+FROM coded WHERE path IN (""" + _MINIFIED + """)
+UNION ALL
+SELECT DISTINCT repo, 'fallback', path, path || ': no exact block was found; line windows used.'
+FROM window_blocks WHERE path NOT IN (""" + _MINIFIED + f""")
+UNION ALL
+SELECT repo, 'review', NULL, {BAD_JSON} FROM answers WHERE k = 7
+UNION ALL
+SELECT repo, 'review', NULL, {ODD_ITEM} FROM answers WHERE k != 7
+UNION ALL
+SELECT repo, 'review', said_path, CASE reason """ + " ".join(
+    f"WHEN {q(k)} THEN 'Semantic finding rejected: ' || {v}" for k, v in _NOTE.items()
+) + " END FROM verdicts WHERE reason != 'accepted'")
+
 STREAMED = chain(*ALL, blocks="scoped_blocks") + (
     "SELECT repo, path, rule_id, line::BIGINT AS line, message, evidence, confidence, fingerprint"
     " FROM processed WHERE path NOT IN (" + _MINIFIED + ")")
@@ -855,6 +882,7 @@ def oracle_sql() -> dict[str, str]:
         "ordered_findings": chain(*ALL) + (
             "SELECT repo, path, line::BIGINT AS line, rule_id, severity, message, fingerprint"
             " FROM enriched ORDER BY rank, path, line, rule_id"),
+        "notes": NOTES,
         "redact_custom": NOTES_TEXT + SECRETS + "SELECT origin, id, part, "
         + redact_custom("text") + " AS redacted FROM every",
         "redact_text": NOTES_TEXT + SECRETS + "SELECT origin, id, part, " + redact("text")

@@ -11,7 +11,7 @@ from pyspark.sql import types as ST
 from checks.corpus import as_code, code_files, table
 from siftspark.functions import patterns as P
 from siftspark.functions import text as T
-from siftspark.operators import exchange, exports, external, extract, findings, metrics, snippets
+from siftspark.operators import exchange, exports, external, extract, findings, metrics, notes, snippets
 from siftspark.operators.rules import Rule, read_redactions, read_rules
 from siftspark.options import ScanOptions
 from siftspark.plans.scan import scan_files, with_external
@@ -353,6 +353,18 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return external.judge(proposals, code_files(spark, sf_dir), built_in_catalog(spark), WINDOW)
 
 
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of the files as they are, of the corpus derived from them, and of its review."""
+    files = code_files(spark, sf_dir)
+    coded = files.selectExpr("repo", "path", "encode(text, 'UTF-8') AS content").selectExpr(
+        "repo", "path", "cast(length(content) AS bigint) AS length", "content")
+    proposals = landed(external.parse_responses(responses(spark, sf_dir)), "proposals")
+    judged = external.judge(proposals, files, built_in_catalog(spark), WINDOW)
+    return (notes.scan_notes(raw_files(spark, sf_dir), RAW_OPTIONS, RAW_GLOBS)
+            .unionByName(notes.scan_notes(coded, ScanOptions(max_file_bytes=1 << 30)))
+            .unionByName(notes.review_notes(proposals, judged.where("reason != 'accepted'"))))
+
+
 def _validate_external(spark: SparkSession, sf_dir: str) -> DataFrame:
     return big(external.accepted(_judged(spark, sf_dir)).selectExpr(
         "repo", "path", "language", "rule_id", "line", "message", "evidence", "confidence"))
@@ -595,6 +607,7 @@ def queries() -> dict[str, Query]:
         "response_parse": _response_parse,
         "validate_external": _validate_external,
         "rejections": _rejections,
+        "notes": _notes,
         "merge_findings": _merge_findings,
         # metrics
         "by_severity": lambda s, d: big(metrics.by_severity(_enriched(s, d, WINDOW))),

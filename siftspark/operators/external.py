@@ -356,5 +356,6 @@ def accepted(judged: DataFrame, options: ScanOptions = ScanOptions()) -> DataFra
 
 
 def rejections(judged: DataFrame) -> DataFrame:
+    """(repo, request_id, item_ord, reason, note) of the proposals that were turned down."""
     return judged.where("reason != 'accepted'").selectExpr(
         "repo", "request_id", "item_ord", "reason", "verdict_note AS note")

@@ -430,13 +430,22 @@ def _java_clauses(lines_: str) -> str:
     return let(parts, lambda found: when(f"size({found}) > 0", with_ends(found)))
 
 
+def exact_clauses(lines_: str, language: str) -> str:
+    return (f"CASE {language} WHEN 'python' THEN {_python_clauses(lines_)}"
+            f" WHEN 'java' THEN {_java_clauses(lines_)} END")
+
+
+def fell_back(lines_: str, language: str) -> str:
+    """A file without exact clauses has heads that open line windows."""
+    return (f"(exists({lines_}, x -> {_is_head('x')})"
+            f" AND coalesce(size({exact_clauses(lines_, language)}), 0) <= 0)")
+
+
 def block_array(lines_: str, language: str, mode: str) -> str:
     """Exception blocks of a file: exact clauses, or windows where no clause is found."""
     if mode == "window":
         return window_block_array(lines_)
-    clauses = (f"CASE {language} WHEN 'python' THEN {_python_clauses(lines_)}"
-               f" WHEN 'java' THEN {_java_clauses(lines_)} END")
-    return let(clauses, lambda found: when(
+    return let(exact_clauses(lines_, language), lambda found: when(
         f"coalesce(size({found}), 0) > 0", found, window_block_array(lines_)))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.operators import exports, external, findings, metrics, snippets
+from siftspark.operators import notes as notes_
 from siftspark.options import ScanOptions
 from siftspark.sources import files as S
 from siftspark.sources.landing import landed
@@ -24,6 +25,7 @@ class Scan:
     snippets: DataFrame
     catalog: DataFrame
     options: ScanOptions
+    notes: DataFrame | None = None        # (repo, stage, path, note) of the scan itself
 
     def settled(self) -> Scan:
         """The same scan with its findings written once: reports read them several times."""
@@ -45,6 +47,8 @@ class Scan:
 
     def reports(self, notes: DataFrame | None = None) -> dict[str, DataFrame]:
         total = landed(self.summary(), "summary")
+        if notes is None and self.notes is not None:
+            notes = self.notes.unionByName(notes_.disabled_notes(total))
         masks = self.options.redactions
         return {
             "json": exports.export_json(self.findings, total, self.catalog, self.options, notes,
@@ -62,7 +66,8 @@ def scan(raw: DataFrame, catalog: DataFrame, options: ScanOptions = ScanOptions(
          globs: tuple[str, ...] | None = None) -> Scan:
     """Scan raw(repo, path, length, content)."""
     files = S.collect_files(raw, options, globs)
-    return scan_files(files, S.skip_ledger(raw, options, globs), catalog, options)
+    result = scan_files(files, S.skip_ledger(raw, options, globs), catalog, options)
+    return replace(result, notes=notes_.scan_notes(raw, options, globs))
 
 
 def scan_files(files: DataFrame, skipped: DataFrame, catalog: DataFrame,
@@ -92,6 +97,7 @@ def with_external(result: Scan, responses: DataFrame) -> tuple[DataFrame, DataFr
     enriched = findings.enrich(kept, result.catalog).withColumn(
         "recommendation", F.expr("coalesce(own_recommendation, recommendation)")
     ).drop("own_recommendation", "request_id")
-    notes = external.rejections(judged).selectExpr("repo", "note").unionByName(
-        proposals.where("note IS NOT NULL").select("repo", "note"))
+    notes = notes_.review_notes(proposals, judged.where("reason != 'accepted'"))
+    if result.notes is not None:
+        notes = result.notes.unionByName(notes)
     return enriched, notes
