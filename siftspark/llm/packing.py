@@ -34,8 +34,8 @@ PARTS = 256  # of each length class, for ranking
 MAX_COLUMNS = 6_000
 BATCH = 40  # columns of a solved knapsack
 GAP = 1e-3  # proven distance from the program's optimum at which no more columns are made
-# Of a task's process: some 50 MB in all.
-CACHED_CHUNKS = 250_000
+# Of a process of tasks: some 80 MB in all.
+CACHED_CHUNKS = 400_000
 CACHED_PARTS = 100_000
 
 # Fixed value: the pattern of the tokenizer whose texts may be encoded chunk by chunk.
