@@ -810,6 +810,11 @@ def oracle_sql() -> dict[str, str]:
     return report_sql() | {
         "corpus_scan": RAW + "SELECT repo, path, language, sha256(text) AS file_hash,"
                              " length(text) AS chars FROM accepted",
+        "directory_scan": corpus() + (
+            "SELECT 'tree' AS repo, repo || '/' || replace(path, 'svc/', 'svc/' || length(full_text) % 5 || '/')"
+            " AS path, language, sha256(full_text) AS file_hash FROM (SELECT repo, path, language,"
+            " string_agg(text, chr(10) ORDER BY line) AS full_text FROM coded GROUP BY ALL)"
+            " WHERE path NOT IN (" + _MINIFIED + ")"),
         "language_filter": RAW + "SELECT repo, path, language FROM raw WHERE language = 'python'",
         "language_custom": RAW + "SELECT repo, path, CASE doc_id % 5 WHEN 3 THEN 'text' ELSE"
                                  " 'python' END AS language FROM raw WHERE doc_id % 5 IN (0, 2, 3)",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -223,6 +224,27 @@ def _corpus_scan(raw: DataFrame) -> DataFrame:
         "repo", "path", "language", "file_hash", "length(text) AS chars")
 
 
+def _directory_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus written out as a tree of files by the tasks, then listed and read as a directory."""
+    folder = run_folder(spark, "tree")
+    root = folder.removeprefix("file://").removeprefix("file:")
+
+    def write(batches):
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["text"], strict=True):
+                file = Path(root) / path
+                file.parent.mkdir(parents=True, exist_ok=True)
+                file.write_bytes(text.encode())
+            yield batch[["path"]]
+
+    placed = code_files(spark, sf_dir).selectExpr(
+        "concat(repo, '/', replace(path, 'svc/', concat('svc/', length(text) % 5, '/'))) AS path", "text")
+    landed(placed.mapInPandas(write, "path string"), "written")
+    options = ScanOptions(max_file_bytes=1 << 30)
+    files = S.collect_files(S.read_directory(spark, root, "tree", options), options)
+    return files.selectExpr("repo", "path", "language", "file_hash")
+
+
 def _file_limit(raw: DataFrame) -> DataFrame:
     options = ScanOptions(max_file_bytes=30_000, max_files=FILE_LIMIT)
     return S.collect_files(raw, options, RAW_GLOBS).select("repo", "path", "language")
@@ -531,6 +553,7 @@ def queries() -> dict[str, Query]:
     return {
         # sources
         "corpus_scan": _raw_query(_corpus_scan),
+        "directory_scan": _directory_scan,
         "language_filter": _raw_query(lambda raw: S.language_filter(
             raw, ScanOptions(languages_exclude=("java",))).select("repo", "path", "language")),
         "language_custom": _raw_query(_language_custom),

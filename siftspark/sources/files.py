@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from siftspark.functions.sql import any_of, either, let, lit, strings
 from siftspark.functions.text import rlike
 from siftspark.options import SUFFIXES, ScanOptions
+from siftspark.sources.landing import landed
 
 # The bounds of the content tests.
 BINARY_PROBE_BYTES = 4096
@@ -35,9 +36,10 @@ def read_directory(spark: SparkSession, root: str, repo: str | None = None,
     file that cannot be read, no content: both get a row in the skip ledger.
 
     Spark's own file readers leave out every name that starts with ``_`` or ``.``, and with them
-    each ``__init__.py``. So tasks list and read here: subtrees are listed in parallel, the files
-    found are spread evenly, and each task reads its share. Ignored directories are not entered,
-    ignored files and the content of oversized ones are not read.
+    each ``__init__.py``. So tasks list and read here, in rounds: each task walks below the directories it
+    got until it has met ``_WALKED`` entries; directories still open are dealt out anew in the next round.
+    What is found is a table, never a list on the driver. Ignored directories are not entered, ignored
+    files and the content of oversized ones are not read.
     """
     system, base = _open(root)
     single = system.get_file_info(base).type == pafs.FileType.File
@@ -45,20 +47,23 @@ def read_directory(spark: SparkSession, root: str, repo: str | None = None,
     chosen = load_ignores(spark, root, options) if globs is None else globs
     prune = _directory_filter(chosen)
     wanted = _suffix_test(options)
-    cores = spark.sparkContext.defaultParallelism
-    starts = [(base, False)] if single else _subtrees(system, base, prune, wanted, 4 * cores)
     limit = options.max_file_bytes
 
-    def list_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, _ = _open(root)
         for batch in batches:
-            for start, is_directory in zip(batch["start"], batch["is_directory"]):
-                found = _walk(fs, start, top, prune) if is_directory else [
-                    fs.get_file_info(start)]
-                rows = [(i.path, -1 if _leaves(fs, i.path, top) else i.size)
-                        for i in found if i.path and wanted(i.path)]
-                for at in range(0, len(rows), 10_000):
-                    yield pd.DataFrame(rows[at:at + 10_000], columns=["file", "length"])
+            for start, is_directory in zip(batch["entry"], batch["is_directory"]):
+                yield from _walked(fs, start, is_directory, top, prune, wanted)
+
+    kind = "entry string, is_directory boolean, length bigint"
+    frontier = spark.createDataFrame([(base, not single)], "entry string, is_directory boolean")
+    found = None
+    while frontier is not None:
+        level = landed(frontier.repartition("entry").mapInPandas(walk, kind), "listing")
+        files = level.where("NOT is_directory").selectExpr("entry AS file", "length")
+        found = files if found is None else found.unionByName(files)
+        deeper = level.where("is_directory").select("entry", "is_directory")
+        frontier = None if deeper.isEmpty() else deeper
 
     def read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, _ = _open(root)
@@ -80,10 +85,7 @@ def read_directory(spark: SparkSession, root: str, repo: str | None = None,
             if rows:
                 yield pd.DataFrame(rows, columns=["path", "length", "content"])
 
-    listing = (spark.createDataFrame(starts, "start string, is_directory boolean")
-               .repartition(min(len(starts), 4 * cores) or 1, "start")
-               .mapInPandas(list_files, "file string, length bigint"))
-    below = listing.withColumn("path", F.expr(f"ltrim('/', substring(file, {len(top) + 1}))"))
+    below = found.withColumn("path", F.expr(f"ltrim('/', substring(file, {len(top) + 1}))"))
     content = ignore_filter(below, chosen).select("file", "length").repartition(
         "file").mapInPandas(read_files, "path string, length bigint, content binary")
     return content.selectExpr(f"{lit(repo or top)} AS repo", "path", "length", "content")
@@ -95,6 +97,7 @@ def _suffix_test(options: ScanOptions) -> Callable[[str], bool]:
 
 
 _READ_BATCH_BYTES = 32 << 20
+_WALKED = 2_000      # entries that one start of a walk meets before its open directories are dealt out
 
 
 def _open(root: str) -> tuple[pafs.FileSystem, str]:
@@ -136,34 +139,29 @@ def _leaves(fs: pafs.FileSystem, path: str, top: str) -> bool:
     return os.path.commonpath([root, os.path.realpath(path)]) != root
 
 
-def _walk(fs: pafs.FileSystem, start: str, top: str,
-          prune: Callable[[str], bool]) -> Iterator[pafs.FileInfo]:
-    open_directories = [start]
-    while open_directories:
-        for info in _children(fs, open_directories.pop()):
-            if info.type == pafs.FileType.File:
-                yield info
-            elif info.type == pafs.FileType.Directory and not prune(
-                    info.path[len(top):].lstrip("/")):
-                open_directories.append(info.path)
-
-
-def _subtrees(fs: pafs.FileSystem, top: str, prune: Callable[[str], bool],
-              supported_: Callable[[str], bool], wanted: int) -> list[tuple[str, bool]]:
-    """Starting points for parallel listing: directories are opened until there are enough."""
-    files: list[tuple[str, bool]] = []
-    directories = [top]
-    while directories and len(directories) < wanted:
-        deeper = []
-        for directory in directories:
-            for info in _children(fs, directory):
-                if info.type == pafs.FileType.File and supported_(info.path):
-                    files.append((info.path, False))
-                elif info.type == pafs.FileType.Directory and not prune(
-                        info.path[len(top):].lstrip("/")):
-                    deeper.append(info.path)
-        directories = deeper
-    return files + [(d, True) for d in directories]
+def _walked(fs: pafs.FileSystem, start: str, is_directory: bool, top: str, prune: Callable[[str], bool],
+            wanted: Callable[[str], bool]) -> Iterator[pd.DataFrame]:
+    """Supported files below ``start``, and the directories left open after ``_WALKED`` entries."""
+    rows: list[tuple[str, bool, int]] = []
+    met = 0
+    open_ = [start] if is_directory else []
+    infos = [] if is_directory else [fs.get_file_info(start)]
+    while open_ or infos:
+        for info in infos:
+            if info.type == pafs.FileType.File and wanted(info.path):
+                rows.append((info.path, False, -1 if _leaves(fs, info.path, top) else info.size))
+            elif info.type == pafs.FileType.Directory and not prune(info.path[len(top):].lstrip("/")):
+                open_.append(info.path)
+            if len(rows) >= 10_000:
+                yield pd.DataFrame(rows, columns=["entry", "is_directory", "length"])
+                rows = []
+        met += len(infos)
+        if met > _WALKED:
+            rows += [(d, True, 0) for d in open_]
+            break
+        infos = _children(fs, open_.pop()) if open_ else []
+    if rows:
+        yield pd.DataFrame(rows, columns=["entry", "is_directory", "length"])
 
 
 def language_of(path: str, suffixes: tuple[tuple[str, str], ...] = SUFFIXES) -> str:

@@ -179,3 +179,29 @@ def test_links_and_unreadable_files(spark, tmp_path):
     odd = spark.createDataFrame([("r", "q.py", 5, None)], "repo string, path string, length bigint, content binary")
     reasons = {r.path: r.skip_reason for r in S.file_quality(raw.unionByName(odd)).collect()}
     assert reasons["out.py"] == "outside" and reasons["q.py"] == "unreadable" and reasons["a.py"] is None
+
+
+def test_a_large_tree_is_listed_in_rounds(spark, tmp_path, monkeypatch):
+    """A flat folder, a deep chain and many small folders: the same files as a walk on one machine finds."""
+    flat, chain = tmp_path / "flat", tmp_path
+    flat.mkdir()
+    for k in range(2500):
+        (flat / f"f{k}.py").touch()
+    for k in range(40):
+        chain = chain / f"d{k}"
+        chain.mkdir()
+        (chain / "x.java").write_text("int x;\n")
+    for k in range(60):
+        (tmp_path / f"many/m{k}/node_modules").mkdir(parents=True)
+        for j in range(50):
+            (tmp_path / f"many/m{k}/f{j}.py").touch()
+        (tmp_path / f"many/m{k}/node_modules/no.py").touch()
+    got = sorted(r["path"] for r in S.read_directory(spark, str(tmp_path), "r").select("path").collect())
+    want = sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.suffix in (".py", ".java") and "node_modules" not in p.parts)
+    assert got == want and len(got) == 2500 + 40 + 3000
+    # One walk stops after so many entries and leaves its open directories to the next round.
+    monkeypatch.setattr(S, "_WALKED", 100)
+    fs, base = S._open(str(tmp_path))
+    one = list(S._walked(fs, base, True, base, lambda path: False, lambda path: path.endswith(".py")))
+    rows = [tuple(r) for frame in one for r in frame.itertuples(index=False)]
+    assert any(is_directory for _, is_directory, _ in rows) and len(rows) < 3000
