@@ -123,6 +123,74 @@ def test_random_tokens_are_found_and_words_are_not(table):
     assert all(masked[k] == "see [secret] here" for k in found) and masked[61] == f"see {plain[1]} here"
 
 
+def drawn(rng, encoding):
+    hexa, lower, upper = "0123456789abcdef", string.ascii_lowercase, string.ascii_uppercase
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    b32 = upper + "234567"
+    return {
+        "base62": lambda: pick(string.ascii_letters + string.digits, 32), "base64": lambda: pick(string.ascii_letters + string.digits + "+/", 42) + "==",
+        "base64url": lambda: pick(string.ascii_letters + string.digits + "-_", 43), "upper hex": lambda: pick(hexa.upper(), 40),
+        "uuid": lambda: "-".join(pick(hexa, n) for n in (8, 4, 4, 4, 12)), "base32": lambda: pick(b32, 32) + "======",
+        "prefixed": lambda: "sk-" + pick(lower + string.digits, 32), "twice prefixed": lambda: "sk_live_" + pick(string.ascii_letters + string.digits, 24),
+        "mixed letters": lambda: pick(string.ascii_letters, 32), "lower letters": lambda: pick(lower, 48), "keyed hex": lambda: "key-" + pick(hexa.upper(), 32),
+    }[encoding]()
+
+
+ENCODINGS = ("base62", "base64", "base64url", "upper hex", "uuid", "base32", "prefixed", "twice prefixed", "mixed letters", "lower letters", "keyed hex")
+PLAIN = ("the", "lich", "keit", "tion", "Straße", "über", "order", "Service", "Impl", "return", "photos", "2024", "user", "DATA", "config", "12")
+
+
+def test_every_encoding_is_found_and_no_plain_token(table):
+    rng = random.Random(9)
+    rows, kinds = [], {}
+    for e in ENCODINGS:
+        for _ in range(60):
+            kinds[len(rows)] = e
+            rows.append((len(rows), f"a text with {drawn(rng, e)} in it"))
+    n = len(rows)
+    for _ in range(1500):
+        joint = rng.choice(("", "", "-", "_", "/"))
+        rows.append((len(rows), joint.join(rng.choice(PLAIN) for _ in range(rng.randrange(4, 12)))))
+    rows += [(len(rows) + k, t) for k, t in enumerate((
+        "abcdefghijklmnopqrstuvwxyz0123456789", "-" * 40, "1" * 40, "0123456789" * 4, "ABAB" * 12, "qwertyuiopasdfghjklzxcvbnm" * 2,
+        "x" * 21 + "y" * 21, "aB" * 20, "/usr/local/share/applications/default", "2024-01-01_2024-12-31_2025-06-30"))]
+    found = {r["doc_id"] for r in secret_scan.report(table(rows, extra=False)).collect() if "random" in r["spans"]}
+    assert not [rows[k] for k in found if k >= n]
+    share = {e: sum(kinds[k] == e for k in found) / 60 for e in ENCODINGS}
+    assert min(share.values()) >= 0.9, share
+
+
+def test_long_texts_with_many_tokens(table):
+    import time
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice(string.ascii_letters + string.digits) for _ in range(24)) for _ in range(20_000))
+    started = time.time()
+    out = secret_scan.without_secrets(table([(1, text), (2, "é" * 5000 + " password=hunter22 🎉" + "x" * 9000)], extra=False)).collect()
+    assert time.time() - started < 40
+    got = {r["doc_id"]: r["text"] for r in out}
+    assert got[1].count("[secret]") > 19_000 and got[2] == "é" * 5000 + " [secret] 🎉" + "x" * 9000
+
+
+def test_masks_of_overlapping_spans(llm_spark):
+    text = "".join(chr(97 + k % 26) for k in range(10_000))
+    spans = [(0, 3), (2, 5), (5, 6), (4000, 4200), (4095, 4097), (8191, 8193), (9000, 9999)]
+    frame = llm_spark.createDataFrame([(text, [(a, b, 0) for a, b in spans])], "t string, sp array<struct<s:int,e:int,k:int>>")
+    got = frame.selectExpr(secret_scan.masked("t", "sp", "#") + " AS m").first()["m"]
+    at, want = 0, ""
+    for a, b in spans:
+        if a >= at:
+            want += text[at:a] + "#"
+        at = max(at, b)
+    assert got == want + text[at:]
+
+
+def test_tokens_beside_base_spans(llm_spark):
+    frame = llm_spark.createDataFrame([([(5, 9, 0), (20, 60, 0), (25, 30, 1)], [(0, 5, 3), (6, 8, 3), (9, 12, 3), (15, 21, 3), (50, 55, 3), (60, 70, 3)])],
+                                      "base array<struct<s:int,e:int,k:int>>, tokens array<struct<s:int,e:int,k:int>>")
+    got = frame.selectExpr(secret_scan._apart("base", "tokens") + " AS t").first()["t"]
+    assert [(x["s"], x["e"]) for x in got] == [(0, 5), (9, 12), (60, 70)]
+
+
 def test_secrets_of_an_empty_table(table):
     assert secret_scan.report(table([(1, "x")]).filter("false")).count() == 0
     assert fingerprints.edited_likeness(table([(1, "x")]).filter("false")).count() == 0
