@@ -2,8 +2,9 @@
 
 Each shingle of five words is hashed once; the top bits of the hash are its bin, and the least hash of a
 bin is kept. An empty bin copies another: it tries bins in a random order of its own, the same for every
-document, until one is filled, so two documents that fill the same bins copy alike. Of each bin the low
-four bits are stored, as one hex digit. The share of equal digits is corrected for chance hits.
+document, until one is filled, so two documents that fill the same bins copy alike. Of each bin four low
+bits are stored, as one hex digit: those of a hash of its value and its own number, so that the bins that
+copy one value agree by chance each on its own. The share of equal digits is corrected for chance hits.
 Everything about a document is an array expression over its own row.
 """
 
@@ -43,8 +44,8 @@ def _packed(kept: str) -> str:
         # Later tries: the filled bin that comes first in a hashed order of this bin's own.
         last = (f"array_min(transform({kept}, v -> named_struct("
                 f"'o', xxhash64(j, shiftrightunsigned(v, 56)), 'v', v))).v")
-        return (f"array_join(transform(sequence(0, {BINS - 1}), j -> lower(hex(coalesce("
-                f"get({kept}, cast(array_position({bins}, j) AS int) - 1), {tries}, {last}) & 15))), '')")
+        return (f"array_join(transform(sequence(0, {BINS - 1}), j -> lower(hex(xxhash64(j, coalesce("
+                f"get({kept}, cast(array_position({bins}, j) AS int) - 1), {tries}, {last})) & 15))), '')")
     return let(f"transform({kept}, v -> cast(shiftrightunsigned(v, 56) AS int))", of_bins)
 
 

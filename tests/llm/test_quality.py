@@ -86,6 +86,46 @@ def test_likeness_estimates(table, llm_spark):
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
 
 
+def test_likeness_of_short_texts(llm_spark):
+    """Unrelated texts of 1 to 12 words are not alike, and related ones as alike as their shingles."""
+    rng = random.Random(13)
+    unrelated, related = [], []
+    for n in range(1, 13):
+        for k in range(60):
+            unrelated.append((n, *(" ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(n)) for _ in range(2))))
+            words = [f"w{rng.randrange(10 ** 9)}" for _ in range(n + 8)]
+            related.append((n, " ".join(words), " ".join([*words[:-(k % 4 + 1)], "other"])))
+
+    def likenesses(pairs):
+        frame = llm_spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, n int, x string, y string").selectExpr(
+            "k", f"{fingerprints.fingerprint('x')} AS p", f"{fingerprints.fingerprint('y')} AS q")
+        # Without the floor at zero, so that the mean tells a bias.
+        raw = fingerprints.likeness("p", "q").removeprefix("greatest(0D, ").removesuffix(")")
+        return [r["near"] for r in frame.selectExpr("k", f"{raw} AS near").orderBy("k").collect()]
+    near = np.array(likenesses(unrelated))
+    assert near.max() < 0.2 and abs(near.mean()) < 0.01
+    errors = []
+    for (_, x, y), got in zip(related, likenesses(related), strict=True):
+        a, b = ({tuple(t.split()[j:j + 5]) for j in range(len(t.split()) - 4)} for t in (x, y))
+        errors.append(got - len(a & b) / len(a | b))
+    assert abs(np.mean(errors)) < 0.02
+
+
+def test_near_next_follows_the_shingles(table):
+    rng = random.Random(17)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for k in range(30):
+        own = base[:300 - 10 * k] + [f"x{rng.randrange(10 ** 9)}" for _ in range(10 * k)]
+        rows.append((k, " ".join(own)))
+    got = {r["doc_id"]: r["near_next"] for r in fingerprints.edited_likeness(table(rows, extra=False)).collect()}
+    errors = []
+    for k in range(1, 30):
+        a, b = ({tuple(t.split()[j:j + 5]) for j in range(296)} for t in (rows[k][1], rows[k - 1][1]))
+        errors.append(got[k] - len(a & b) / len(a | b))
+    assert abs(np.mean(errors)) < 0.03 and np.max(np.abs(errors)) < 0.2
+
+
 BASE = (
     ("assign", re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6),
     ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24))
