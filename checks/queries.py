@@ -92,9 +92,10 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One answer per file of the corpus, ten kinds in turn: good, wrong in one way, or no JSON. One kind
     repeats a finding of the scan's own, the first of the file."""
     files = code_files(spark, sf_dir)
-    own = findings.raw_findings(files, WINDOW).groupBy("repo", "path").agg(
-        F.min(F.struct("line", "rule_id")).alias("own"))
     kind = "(cast(regexp_extract(path, '[0-9]+', 0) AS bigint) % 10)"
+    # Only answers of kind 9 name a finding of the scan's own.
+    own = findings.raw_findings(files.where(f"{kind} = 9"), WINDOW).groupBy("repo", "path").agg(
+        F.min(F.struct("line", "rule_id")).alias("own"))
     item = (
         "concat('{\"rule_id\":\"', CASE WHEN k = 1 THEN 'XXX-9' WHEN k = 9 THEN coalesce(own.rule_id, 'LOG-001')"
         " ELSE 'LOG-001' END,"
