@@ -11,9 +11,11 @@ least hash is its anchor; equal strings have the same anchor at the same offset.
 
 1. Each task sends the anchors of its documents by hash (about 3 in 100 bytes). An anchor that one batch
    holds ``LOCAL_CROWD`` times is crowded and costs one row. One shuffle finds the repeated anchors.
-2. Documents get theirs back and the strings around them are suffix-sorted within the batch, per anchor
-   and offset. Strings that also start earlier in the batch are settled. Neighbouring others travel as one
-   segment to the group of their anchor, where all segments are suffix-sorted again.
+2. Documents get theirs back. Neighbouring strings with one anchor are a segment. Within the batch, segments
+   are suffix-sorted over their whole length first, so that each of a kind is one comparison and not one a
+   string; where different segments share an anchor, the strings of the earliest of each kind are sorted
+   too. Strings that also start earlier in the batch are settled, others travel as segments to the group of
+   their anchor, where the same is done.
 3. A crowded anchor (a third of all documents may share a line), also one that occurs more than ``CROWD``
    times in all, forms no group: its strings, those first in their batch only, are dealt anywhere and meet
    by their own hash (96 bits), a row for each distinct string of a batch.
@@ -74,12 +76,12 @@ class Suffixes:
     def hashes(self, at: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         return (self.prefix[at + length] - self.prefix[at]) * self.inverse[at]
 
-    def extension(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    def extension(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Longest common extension of the suffixes at ``a`` and ``b``, up to ``most`` bytes."""
         out = np.where(self.hashes(a, most) == self.hashes(b, most), most, 0)
         apart = np.flatnonzero(out == 0)
         a, b = a[apart], b[apart]
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), most)  # agree over low, not over high
+        low, high = np.zeros(len(a), np.int64), most[apart]  # agree over low, not over high
         while len(a) and (high - low).max() > 1:
             middle = (low + high) // 2
             same = self.hashes(a, middle) == self.hashes(b, middle)
@@ -87,29 +89,34 @@ class Suffixes:
         out[apart] = low
         return out
 
-    def less(self, a: np.ndarray, b: np.ndarray, most: int, or_equal: np.ndarray) -> np.ndarray:
+    def less(self, a: np.ndarray, b: np.ndarray, most: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
         common = self.extension(a, b, most)
         whole = common >= most
         rest = np.minimum(common, most - 1)
         return np.where(whole, or_equal, self.data[a + rest] < self.data[b + rest])
 
-    def confirmed(self, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    def confirmed(self, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Whether the bytes are equal, compared in words of eight (the last one may overlap)."""
         out = np.zeros(len(a), bool)
         words = np.ndarray(max(0, len(self.data) - 7), "<u8", self.data, strides=(1,))
-        steps = np.r_[np.arange(0, length - 7, 8), length - 8]
         for k in range(0, len(a), 100_000):
             part = slice(k, k + 100_000)
+            steps = np.minimum(np.arange(0, length[part].max(), 8), length[part, None] - 8)
             out[part] = (words[a[part, None] + steps] == words[b[part, None] + steps]).all(axis=1)
         return out
 
-    def sorted_in_groups(self, at: np.ndarray, first: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
-        """Merge sort of each group of suffixes (``at[first:first + size]``), all groups in step, stable."""
+    def sorted_in_groups(self, at: np.ndarray, first: np.ndarray, sizes: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Merge sort of each group of suffixes (``at[first:first + size]``), all groups in step, stable.
+
+        ``most`` is the length that counts, for each group.
+        """
         at = at.copy()
         width = 1
         while len(sizes) and width < sizes.max():
-            first, sizes = first[sizes > width], sizes[sizes > width]  # smaller groups are in order
+            large = sizes > width  # smaller groups are in order
+            first, sizes, most = first[large], sizes[large], most[large]
             place = ranges(sizes)
+            whole = np.repeat(most, sizes)
             group_first, group_size = np.repeat(first, sizes), np.repeat(sizes, sizes)
             inside = group_first + place
             block = place // width
@@ -121,7 +128,7 @@ class Suffixes:
                 middle = (low[active] + high[active]) // 2
                 other = at[group_first[active] + sibling[active] + middle]
                 # Elements of the left block go before equal ones of the right block.
-                before = self.less(other, at[inside[active]], most, ~left[active])
+                before = self.less(other, at[inside[active]], whole[active], ~left[active])
                 low[active] = np.where(before, middle + 1, low[active])
                 high[active] = np.where(before, high[active], middle)
                 active = active[high[active] > low[active]]
@@ -130,12 +137,13 @@ class Suffixes:
             width *= 2
         return at
 
-    def repeated(self, at: np.ndarray, key: np.ndarray, when: np.ndarray, length: int) -> np.ndarray:
+    def repeated(self, at: np.ndarray, key: np.ndarray, when: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Whether the same ``length`` bytes start at a place of smaller ``when``; equal strings have equal keys."""
         out = np.zeros(len(at), bool)
         order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(at) else np.zeros(0, np.int64)
+        ordered, long = key[order], length[order]
+        first = np.flatnonzero(np.r_[True, (ordered[1:] != ordered[:-1]) | (long[1:] != long[:-1])]) \
+            if len(at) else np.zeros(0, np.int64)
         sizes = np.diff(np.r_[first, len(at)])
         order = order[np.repeat(sizes > 1, sizes)]
         sizes = sizes[sizes > 1]
@@ -145,13 +153,14 @@ class Suffixes:
         # Sort the places; remember which element each place belongs to.
         element = np.empty(len(self.data), np.int32)
         element[at[order]] = order
-        places = self.sorted_in_groups(at[order], first, sizes, length)
+        long = length[order]
+        places = self.sorted_in_groups(at[order], first, sizes, long[first])
         inner = np.ones(len(places), bool)
         inner[first] = False
         later = np.flatnonzero(inner)
-        same = self.hashes(places[later], length) == self.hashes(places[later - 1], length)
+        same = self.hashes(places[later], long[later]) == self.hashes(places[later - 1], long[later])
         later = later[same]
-        later = later[self.confirmed(places[later], places[later - 1], length)]
+        later = later[self.confirmed(places[later], places[later - 1], long[later])]
         opens = np.ones(len(places), bool)
         opens[later] = False
         first = np.flatnonzero(opens)
@@ -160,6 +169,28 @@ class Suffixes:
         out[found] = when[found] > earliest
         return out
 
+    def repeated_in_segments(
+        self, at: np.ndarray, counts: np.ndarray, anchor: np.ndarray, lead: np.ndarray, when: np.ndarray, length: int,
+    ) -> np.ndarray:
+        """Whether each string of the segments also starts earlier, segment after segment.
+
+        A segment is ``counts`` strings, from place ``at`` on, whose anchor lies ``lead`` bytes behind ``at``.
+        """
+        offset = anchor + lead.astype(np.uint64)
+        copies = self.repeated(at, mixed(mixed(offset) + counts.astype(np.uint64)), when, counts + length - 1)
+        out = np.repeat(copies, counts)
+        # Later copies of a segment say nothing that its earliest one does not say.
+        _, kind, n = np.unique(anchor[~copies], return_inverse=True, return_counts=True)
+        mixed_up = np.zeros(len(at), bool)
+        mixed_up[np.flatnonzero(~copies)[n[kind] > 1]] = True
+        part = np.flatnonzero(np.repeat(mixed_up, counts))
+        counts = counts[mixed_up]
+        inside = ranges(counts)
+        out[part] = self.repeated(
+            np.repeat(at[mixed_up], counts) + inside, mixed(np.repeat(offset[mixed_up], counts) - inside.astype(np.uint64)),
+            np.repeat(when[mixed_up], counts) + inside, np.full(len(inside), length))
+        return out
+
 
 def anchors_of(text: Suffixes, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, anchors, hash of each gram): strings of ``length`` bytes inside a document and their anchors.
@@ -218,6 +249,13 @@ def anchor_rows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     ], ["hp", "id", "runs"])
 
 
+def segment_starts(starts: np.ndarray, place: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which strings begin a segment: neighbours of one document with one anchor."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.r_[True, (np.diff(starts) != 1) | (np.diff(place) != 0) | (np.diff(doc) != 0)])
+
+
 def segment_rows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     """Segments (h, id, pos, lead, crowd, bytes) of strings that are first in the batch, and settled runs."""
     data, ends = _joined(batch)
@@ -245,12 +283,13 @@ def segment_rows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     h = grams[place] if len(place) else np.zeros(0, np.uint64)
     doc = np.searchsorted(ends, starts, side="right")
     rank = pc.rank(batch.column("id"), tiebreaker="dense").to_numpy().astype(np.int64)
-    again = text.repeated(
-        starts, mixed(h + (place - starts).astype(np.uint64)), (rank[doc] << 32) + starts - begins[doc], length)
+    cut = segment_starts(starts, place, doc)
+    again = text.repeated_in_segments(
+        starts[cut], np.diff(np.r_[cut, len(starts)]), h[cut], (place - starts)[cut],
+        ((rank[doc] << 32) + starts - begins[doc])[cut], length)
     owners, runs, keys = settled_rows(doc[again], (starts - begins[doc])[again])
     starts, place, h, doc = (x[~again] for x in (starts, place, h, doc))
-    cut = np.flatnonzero(np.r_[True, (np.diff(starts) != 1) | (np.diff(place) != 0) | (np.diff(doc) != 0)]) \
-        if len(starts) else np.zeros(0, np.int64)
+    cut = segment_starts(starts, place, doc)
     last = np.r_[cut[1:], len(starts)] - 1
     segments = [data[a:b + length].tobytes() for a, b in zip(starts[cut].tolist(), starts[last].tolist() if len(cut) else [], strict=True)]
     n = len(owners)
@@ -287,12 +326,14 @@ def group_rows(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     inside = ranges(counts)
     starts = begins[owner] + inside
     pos = table.column("pos").to_numpy().astype(np.int64)[owner] + inside
-    crowd = table.column("crowd").to_numpy(zero_copy_only=False).astype(bool)[owner]
-    h = table.column("h").to_numpy().view(np.uint64)[owner]
-    lead = (table.column("lead").to_numpy().astype(np.int64)[owner] - inside).astype(np.uint64)
-    cold = np.flatnonzero(~crowd)
-    doc = pc.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64)[owner]
-    again = cold[text.repeated(starts[cold], mixed(h[cold] + lead[cold]), ((doc << 32) + pos)[cold], length)]
+    crowded = table.column("crowd").to_numpy(zero_copy_only=False).astype(bool)
+    crowd, calm = crowded[owner], ~crowded
+    rank = pc.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64)
+    when = (rank << 32) + table.column("pos").to_numpy().astype(np.int64)
+    again = np.flatnonzero(~crowd)[text.repeated_in_segments(
+        begins[calm], counts[calm], table.column("h").to_numpy().view(np.uint64)[calm],
+        table.column("lead").to_numpy().astype(np.int64)[calm], when[calm], length)]
+    doc = rank[owner]
     head = np.zeros(int(doc.max()) + 1, np.int64)
     head[doc[::-1]] = owner[::-1]
     owners, runs, keys = settled_rows(doc[again], pos[again])

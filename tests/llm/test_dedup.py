@@ -159,12 +159,37 @@ def test_suffix_sort_is_a_sort():
     text = suffix_dedup.Suffixes(data)
     at = rng.permutation(3900)[:700].astype(np.int64)
     sizes = np.array([300, 1, 399])
-    out = text.sorted_in_groups(at, np.cumsum(sizes) - sizes, sizes, 60)
+    out = text.sorted_in_groups(at, np.cumsum(sizes) - sizes, sizes, np.full(3, 60))
     raw = data.tobytes()
     for start, n in zip(np.cumsum(sizes) - sizes, sizes, strict=True):
         assert out[start:start + n].tolist() == sorted(at[start:start + n].tolist(), key=lambda p: raw[p:p + 60])
 
 
+def test_segments_of_one_anchor_tell_of_each_string():
+    """Cuts of one passage of any begin and end, some of them copies, some spoiled at an edge: each string's earliest stays."""
+    rng = random.Random(12)
+    passage = bytes(rng.choice(b"abcd") for _ in range(164))
+    parts, at, counts, lead = [], [], [], []
+    for _ in range(400):
+        begin, end = rng.choice([(0, 164), (rng.randrange(0, 30), rng.randrange(130, 165))])
+        part = bytearray(passage[begin:end])
+        if rng.random() < 0.5:
+            part[rng.choice([0, 1, -1, -2])] = 122
+        at.append(sum(map(len, parts)))
+        counts.append(len(part) - 99)
+        lead.append(64 - begin)
+        parts.append(bytes(part))
+    data = b"".join(parts)
+    when = rng.sample(range(0, 10**6, 200), 400)
+    got = suffix_dedup.Suffixes(np.frombuffer(data, np.uint8)).repeated_in_segments(
+        np.array(at), np.array(counts), np.full(400, 7, np.uint64), np.array(lead), np.array(when), 100)
+    strings = [(w + k, data[a + k:a + k + 100]) for a, n, w in zip(at, counts, when, strict=True) for k in range(n)]
+    earliest = {}
+    for w, s in strings:
+        earliest[s] = min(w, earliest.get(s, w))
+    assert got.tolist() == [w > earliest[s] for w, s in strings] and 0 < got.sum() < len(got)
+
+
 def near(values, distance):
     return groups(len(values), [(i, j) for i in range(len(values)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= distance])
 
