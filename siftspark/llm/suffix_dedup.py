@@ -43,7 +43,6 @@ from siftspark.llm.substring_dedup import (
     by_document,
     groups_of,
     places_of,
-    settled_rows,
     with_place,
 )
 
@@ -52,6 +51,7 @@ GRAM = 36
 CROWD = 2_000
 LOCAL_CROWD = 16
 _BATCH_BYTES = 3_000_000
+_BLOCK = 1 << 15  # places whose windows are taken together
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _VALUES = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -82,9 +82,10 @@ class Suffixes:
         apart = np.flatnonzero(out == 0)
         a, b = a[apart], b[apart]
         low, high = np.zeros(len(a), np.int64), most[apart]  # agree over low, not over high
+        before_a, before_b, turn_a, turn_b = self.prefix[a], self.prefix[b], self.inverse[a], self.inverse[b]
         while len(a) and (high - low).max() > 1:
             middle = (low + high) // 2
-            same = self.hashes(a, middle) == self.hashes(b, middle)
+            same = (self.prefix[a + middle] - before_a) * turn_a == (self.prefix[b + middle] - before_b) * turn_b
             low, high = np.where(same, middle, low), np.where(same, high, middle)
         out[apart] = low
         return out
@@ -200,19 +201,44 @@ def anchors_of(text: Suffixes, ends: np.ndarray, length: int) -> tuple[np.ndarra
     n = len(text.data)
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    grams = mixed(text.hashes(np.arange(n - GRAM + 1), GRAM))
-    least, place = grams, np.arange(len(grams), dtype=np.int32)
-    width, span = 1, length - GRAM + 1
-    while width < span:  # windows double; the last step overlaps
-        step = min(width, span - width)
-        right = least[step:] < least[:len(least) - step]  # ties go to the left
-        place = np.where(right, place[step:], place[:len(place) - step])
-        least = np.where(right, least[step:], least[:len(least) - step])
-        width += step
+    grams = mixed((text.prefix[GRAM:] - text.prefix[:-GRAM]) * text.inverse[:n - GRAM + 1])
+    # Half of the hash and the place in one number: ties go to the left.
+    low, span = np.uint64(0xFFFFFFFF), length - GRAM + 1
+    place = np.empty(len(grams) - span + 1, np.int64)
+    for k in range(0, len(place), _BLOCK):
+        least = grams[k:k + _BLOCK + span - 1] & ~low
+        least |= np.arange(k, k + len(least), dtype=np.uint64)
+        width = 1
+        while width < span:  # windows double; the last step overlaps
+            step = min(width, span - width)
+            least = np.minimum(least[:-step], least[step:])
+            width += step
+        place[k:k + _BLOCK] = least & low
     begins = np.r_[0, ends[:-1]]
     counts = np.maximum(ends - begins - length + 1, 0)
     starts = np.repeat(begins, counts) + ranges(counts)
-    return starts, place[starts].astype(np.int64), grams
+    return starts, place[starts], grams
+
+
+def settled_lists(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, pa.ListArray, np.ndarray]:
+    """Documents, the runs of their places (start, length, ...), and keys that spread them: a settled row meets nothing."""
+    both = np.unique((doc << 32) + place)  # rows that repeat an id may name a place twice
+    doc, place = both >> 32, both & 0xFFFFFFFF
+    opens = np.diff(doc) != 0
+    owner = np.flatnonzero(np.r_[np.ones(min(1, len(doc)), bool), opens])
+    run = np.flatnonzero(np.r_[np.ones(min(1, len(doc)), bool), opens | (np.diff(place) > 1)])
+    pairs = np.stack([place[run], np.diff(np.r_[run, len(doc)])], axis=1).astype(np.int32)
+    ends = 2 * np.searchsorted(run, np.r_[owner, len(doc)])
+    salt = np.uint64(int(place.sum()) & 0xFFFFFFFF)
+    return (doc[owner], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(pairs.ravel())),
+            mixed(doc[owner].astype(np.uint64) * np.uint64(2654435761) + salt).view(np.int64))
+
+
+def all_runs(lists: pa.ListScalar) -> np.ndarray:
+    """The places of all runs that a document's rows name."""
+    if not lists.is_valid or not len(lists.values):
+        return np.zeros(0, np.int64)
+    return places_of(lists.values.flatten().to_numpy())
 
 
 def _joined(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +263,7 @@ def anchor_rows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     pos = at - np.r_[0, ends][doc]
     again = np.repeat(sizes >= LOCAL_CROWD, sizes)
     mark = first[sizes >= LOCAL_CROWD]
-    owners, lists, keys = settled_rows(doc[again], pos[again])
+    owners, lists, keys = settled_lists(doc[again], pos[again])
     # In the order of the text: neighbouring rows of a shuffle file then differ little but for the hash.
     alone = np.flatnonzero(~again)
     alone = alone[np.argsort(at[alone])]
@@ -245,7 +271,7 @@ def anchor_rows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([
         pa.array(np.concatenate([with_place(h[alone], pos[alone]), with_place(h[mark], np.zeros(len(mark), np.int64)), keys])),
         pa.concat_arrays([ids.take(pa.array(doc[alone])), pa.nulls(len(mark), ids.type), ids.take(pa.array(owners))]),
-        pa.array([None] * (len(alone) + len(mark)) + lists, pa.list_(pa.int32())),
+        pa.concat_arrays([pa.nulls(len(alone) + len(mark), lists.type), lists]),
     ], ["hp", "id", "runs"])
 
 
@@ -265,8 +291,7 @@ def segment_rows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     shared, crowd = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
     lists, singles, crowded = batch.column("lists"), batch.column("places"), batch.column("crowded")
     for k in range(batch.num_rows):
-        for runs in lists[k].as_py():
-            crowd[begins[k] + places_of(runs)] = True
+        crowd[begins[k] + all_runs(lists[k])] = True
         n = int(ends[k] - begins[k])
         shared[begins[k] + all_places(singles[k].as_py(), n)] = True
         # A place is known modulo 65,536 only: of all such places those with the anchor's hash are crowded.
@@ -287,7 +312,7 @@ def segment_rows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     again = text.repeated_in_segments(
         starts[cut], np.diff(np.r_[cut, len(starts)]), h[cut], (place - starts)[cut],
         ((rank[doc] << 32) + starts - begins[doc])[cut], length)
-    owners, runs, keys = settled_rows(doc[again], (starts - begins[doc])[again])
+    owners, runs, keys = settled_lists(doc[again], (starts - begins[doc])[again])
     starts, place, h, doc = (x[~again] for x in (starts, place, h, doc))
     cut = segment_starts(starts, place, doc)
     last = np.r_[cut[1:], len(starts)] - 1
@@ -301,7 +326,7 @@ def segment_rows(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
         pa.array(np.concatenate([(place - starts)[cut], np.zeros(n, np.int64)]).astype(np.int32)),
         pa.array(np.concatenate([crowd[place[cut]], np.ones(n, bool)])),
         pa.array(segments + [None] * n, pa.binary()),
-        pa.array([None] * len(cut) + runs, pa.list_(pa.int32())),
+        pa.concat_arrays([pa.nulls(len(cut), runs.type), runs]),
     ], ["h", "id", "pos", "lead", "crowd", "bytes", "runs"])
 
 
@@ -336,7 +361,7 @@ def group_rows(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     doc = rank[owner]
     head = np.zeros(int(doc.max()) + 1, np.int64)
     head[doc[::-1]] = owner[::-1]
-    owners, runs, keys = settled_rows(doc[again], pos[again])
+    owners, runs, keys = settled_lists(doc[again], pos[again])
     hot = np.flatnonzero(crowd)
     one = text.hashes(starts[hot], length)
     two = mixed(text.hashes(starts[hot], GRAM) * np.uint64(3) + text.hashes(starts[hot] + length // 2, length - length // 2))
@@ -345,7 +370,7 @@ def group_rows(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
         pa.array(np.concatenate([mixed(one).view(np.int64), keys])), pa.array(np.concatenate([(two >> np.uint64(32)).astype(np.uint32).view(np.int32), keys.astype(np.int32)])),
         ids.take(pa.array(np.concatenate([owner[hot], head[owners]]))),
         pa.array(np.concatenate([pos[hot], np.zeros(n, np.int64)]).astype(np.int32)),
-        pa.array([None] * len(hot) + runs, pa.list_(pa.int32()))], ["a", "b", "id", "pos", "runs"])
+        pa.concat_arrays([pa.nulls(len(hot), runs.type), runs])], ["a", "b", "id", "pos", "runs"])
 
 
 def repeated_strings(source: DataFrame, length: int) -> DataFrame:
@@ -410,8 +435,7 @@ def deduplicated(
             texts, lists, singles = batch.column("text"), batch.column("lists"), batch.column("places")
             for k in range(batch.num_rows):
                 raw = texts[k].as_py().encode()
-                starts = np.concatenate([
-                    *(places_of(x) for x in lists[k].as_py() or []), np.array(singles[k].as_py() or [], np.int64)])
+                starts = np.concatenate([all_runs(lists[k]), np.array(singles[k].as_py() or [], np.int64)])
                 rest, n_gone, n_spans = raw, 0, 0
                 if len(starts):
                     edges = np.zeros(len(raw) + length + 1, np.int64)
