@@ -6,10 +6,10 @@ merge sort with these comparisons orders suffixes; neighbours that agree over ``
 same string, which the bytes themselves then confirm.
 
 A suffix array of the whole corpus would be one global sort of all bytes. Here suffixes that can be equal
-over ``length`` bytes meet in groups instead. Of the 36-byte grams in a string of 100 bytes the one with the
+over ``length`` bytes meet in groups instead. Of the 32-byte grams in a string of 100 bytes the one with the
 least hash is its anchor; equal strings have the same anchor at the same offset.
 
-1. Each task sends the anchors of its documents by hash (about 3 in 100 bytes). An anchor that one batch
+1. Each task sends the anchors of its documents by hash (nearly 3 in 100 bytes). An anchor that one batch
    holds ``LOCAL_CROWD`` times is crowded and costs one row. One shuffle finds the repeated anchors.
 2. Documents get theirs back. Neighbouring strings with one anchor are a segment. Within the batch, segments
    are suffix-sorted over their whole length first, so that each of a kind is one comparison and not one a
@@ -47,7 +47,7 @@ from siftspark.llm.substring_dedup import (
 )
 
 LENGTH = 100
-GRAM = 36
+GRAM = 32
 CROWD = 2_000
 LOCAL_CROWD = 16
 _BATCH_BYTES = 3_000_000
@@ -418,7 +418,7 @@ def deduplicated(
     id, or earlier in the row. Null and empty texts have no bytes. Rows that repeat an id are one document:
     a string they hold at the same place is not earlier, and what is removed of one at a place is removed of
     all. Rows with a null id neither remove nor lose bytes. Other columns are ignored; an empty table gives
-    an empty result. ``length`` is at least 36.
+    an empty result. ``length`` is at least 32.
     """
     if length < GRAM:
         raise ValueError(f"strings have at least {GRAM} bytes")
