@@ -939,6 +939,10 @@ SELECT path, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line,
         "merge_findings": chain(*REVIEW, ACCEPTED, MARKS, MERGED) + (
             "SELECT repo, path, rule_id, line::BIGINT AS line, analyzer, severity, fingerprint"
             " FROM merged JOIN catalog USING (rule_id)"),
+        "gate_after_review": chain(*REVIEW, ACCEPTED, MARKS, MERGED) + (
+            "SELECT repo, max(CASE WHEN f.severity IN ('critical', 'high', 'medium') THEN 1 ELSE 0 END)::BIGINT AS exit_code"
+            " FROM (SELECT DISTINCT repo FROM lines) LEFT JOIN"
+            " (SELECT repo, severity FROM merged JOIN catalog USING (rule_id)) f USING (repo) GROUP BY 1"),
         "by_severity": chain(*ALL) + "SELECT severity, count(*) AS findings FROM enriched GROUP BY 1",
         "by_severity_filled": chain(*ALL) + (
             "SELECT repo, severity, count(e.path) AS findings FROM"

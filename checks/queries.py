@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from siftspark.functions import text as T
 from siftspark.operators import exchange, exports, external, extract, findings, metrics, notes, snippets
 from siftspark.operators.rules import Rule, read_redactions, read_rules
 from siftspark.options import ScanOptions
-from siftspark.plans.scan import scan_files, with_external
+from siftspark.plans.scan import reviewed, scan_files, with_external
 from siftspark.sources import files as S
 from siftspark.sources.catalog import built_in_catalog
 from siftspark.sources.landing import landed, run_folder
@@ -405,6 +406,12 @@ def _merge_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
                              "fingerprint"))
 
 
+def _gate_after_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = code_files(spark, sf_dir)
+    result = scan_files(files, files.limit(0), built_in_catalog(spark), replace(WINDOW, fail_on_severity="medium"))
+    return big(reviewed(result, responses(spark, sf_dir)).gate())
+
+
 def _suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = code_files(spark, sf_dir)
     return big(findings.suppress(findings.raw_findings(files, WINDOW),
@@ -633,6 +640,7 @@ def queries() -> dict[str, Query]:
         "rejections": _rejections,
         "notes": _notes,
         "merge_findings": _merge_findings,
+        "gate_after_review": _gate_after_review,
         # metrics
         "by_severity": lambda s, d: big(metrics.by_severity(_enriched(s, d, WINDOW))),
         "by_severity_filled": lambda s, d: big(metrics.by_severity_filled(

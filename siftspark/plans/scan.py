@@ -26,6 +26,7 @@ class Scan:
     catalog: DataFrame
     options: ScanOptions
     notes: DataFrame | None = None        # (repo, stage, path, note) of the scan itself
+    reviewed: bool = False                # an external review took part
 
     def settled(self) -> Scan:
         """The same scan with its findings written once: reports read them several times."""
@@ -48,12 +49,12 @@ class Scan:
     def reports(self, notes: DataFrame | None = None) -> dict[str, DataFrame]:
         total = landed(self.summary(), "summary")
         if notes is None and self.notes is not None:
-            notes = self.notes.unionByName(notes_.disabled_notes(total))
+            notes = self.notes if self.reviewed else self.notes.unionByName(notes_.disabled_notes(total))
         masks = self.options.redactions
         return {
             "json": exports.export_json(self.findings, total, self.catalog, self.options, notes,
                                         self.skipped, languages=metrics.files_by_language(
-                                            self.files)),
+                                            self.files), reviewed=self.reviewed),
             "sarif": exports.export_sarif(self.findings, total, self.catalog, masks),
             "markdown": exports.export_markdown(self.findings, total, self.catalog, notes,
                                                 self.skipped, redactions=masks,
@@ -82,11 +83,12 @@ def scan_files(files: DataFrame, skipped: DataFrame, catalog: DataFrame,
     )
 
 
-def with_external(result: Scan, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(findings, notes) after the answers of an external reviewer are validated and merged.
+def reviewed(result: Scan, responses: DataFrame) -> Scan:
+    """The scan after the answers of an external reviewer: gate and reports cover its findings too.
 
     External findings enter before suppression, as the scan's own do, so the merged rows pass
-    through suppression and fingerprints once more on the table side.
+    through suppression and fingerprints once more on the table side. An answer whose repo has no
+    file is in the notes alone; without answers the findings are the scan's own.
     """
     proposals = landed(external.parse_responses(responses), "proposals")
     judged = landed(external.judge(proposals, result.files, result.catalog, result.options),
@@ -100,4 +102,10 @@ def with_external(result: Scan, responses: DataFrame) -> tuple[DataFrame, DataFr
     notes = notes_.review_notes(proposals, judged.where("reason != 'accepted'"))
     if result.notes is not None:
         notes = result.notes.unionByName(notes)
-    return enriched, notes
+    return replace(result, raw_findings=merged, findings=enriched, notes=notes, reviewed=True)
+
+
+def with_external(result: Scan, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(findings, notes) after the answers of an external reviewer are validated and merged."""
+    after = reviewed(result, responses)
+    return after.findings, after.notes

@@ -4,7 +4,7 @@ import json
 
 from siftspark.operators import notes
 from siftspark.options import ScanOptions
-from siftspark.plans.scan import scan, with_external
+from siftspark.plans.scan import reviewed, scan, with_external
 from siftspark.sources.catalog import built_in_catalog
 
 RAW = "repo string, path string, length long, content binary"
@@ -54,3 +54,27 @@ def test_notes_of_a_review(spark):
     assert review == ["Semantic analysis response was not valid JSON.", "Semantic finding rejected: unknown rule_id NO-1",
                       "Semantic finding skipped because it was not an object."]
     assert found.where("stage = 'scan'").count() > 0
+
+
+def test_gate_and_reports_after_a_review(spark):
+    files = [("one", "a.py", b"import logging\ntoken = read()\nlogging.info(token)\n")]
+    raw_files = raw(spark, *files)
+    options = ScanOptions(fail_on_severity="low")
+    result = scan(raw_files, built_in_catalog(spark), options)
+    before = {r["rule_id"] for r in result.findings.collect()}
+    answer = json.dumps({"findings": [{
+        "rule_id": "LOG-001", "path": "a.py", "line": 2, "message": "m", "evidence": "token = read()", "confidence": 0.9,
+        "severity": "low", "recommendation": "Do it."}, "odd"]})
+    after = reviewed(result, spark.createDataFrame([("one", "q1", answer)], "repo string, request_id string, text string")).settled()
+    found = [r for r in after.findings.collect() if r["analyzer"] == "semantic"]
+    assert [(r["rule_id"], r["line"]) for r in found] == [("LOG-001", 2)]
+    assert before <= {r["rule_id"] for r in after.findings.collect()}
+    assert [r["exit_code"] for r in after.gate().collect()] == [r["exit_code"] for r in after.gate(processed=False).collect()] == [1]
+    reports = after.reports()
+    order = ["section", "rank", "path", "line", "rule_id", "seq", "fingerprint"]
+    document = json.loads("".join(r["text"] for r in reports["json"].orderBy(*order).collect()))
+    assert document["summary"]["semantic_enabled"] is True and document["summary"]["findings"] == after.findings.count()
+    assert notes.NO_REVIEW not in document["notes"]
+    assert "Semantic finding skipped because it was not an object." in document["notes"]
+    assert "Do it." in [x["recommendation"] for x in document["findings"]]
+    assert "LOG-001" in "".join(r["text"] for r in reports["markdown"].collect())
