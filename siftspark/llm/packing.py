@@ -18,7 +18,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, filterfalse
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +59,23 @@ _CHARACTERS = _byte_characters()
 _encoders: dict[str, "Encoder"] = {}
 
 
+class _Numbers(dict):
+    """Keys numbered as they are met, in one look-up each; ``taken`` gives those new since it was last asked."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        self.new.append(key)
+        return number
+
+    def taken(self) -> list:
+        new, self.new = self.new, []
+        return new
+
+
 class Encoder:
     """Ids of whole texts by a ``tokenizers`` file.
 
@@ -84,48 +101,66 @@ class Encoder:
                         or any(c.isspace() for c in t["content"]) for t in rules["added_tokens"])
         )
         # A chunk that may hold an added token, or characters of other rules, is left to the library whole.
-        markers = {re.escape(t["content"][:2]) for t in rules["added_tokens"]}
+        starts = {t["content"][:2] for t in rules["added_tokens"]}
+        markers = {re.escape(x) for x in starts}
         self.special = re.compile("|".join(["[\x00-\x20\x7f-\xa0\u0130\u0250-\U0010ffff]", *sorted(markers)])).search
-        self.parts: dict[str, list[int]] = {}
+        self.word_is_part = not any(x.isalpha() for x in starts)
+        self._forget_parts()
         self._forget()
 
     def _forget(self) -> None:
         """Chunks are many and cheap to make again from their parts, which are few."""
-        self.known: dict[bytes, int] = {}
+        self.known = _Numbers()
         self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _forget_parts(self) -> None:
+        self.parts = _Numbers()
+        self.part_flat, self.part_starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
     def _by_library(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn_parts(self) -> None:
+        """Ids of the parts that were met for the first time."""
+        new = self.parts.taken()
+        tokenize = self.tool.model.tokenize
+        rows: list[list[int]] = []
+        # White space is in no part: such a key is the library's whole chunk.
+        whole = [part[1:] for part in new if part[0] == "\n"]
+        coded = chain.from_iterable(self._by_library(whole[at:at + 4096]) for at in range(0, len(whole), 4096))
+        for part in new:
+            if part[0] == "\n":
+                rows.append(next(coded))
+            else:
+                spelled = part if part.isascii() else "".join(map(_CHARACTERS.__getitem__, part.encode()))
+                rows.append([t.id for t in tokenize(spelled)])
+        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+        ids = np.fromiter(chain.from_iterable(rows), np.uint32, int(lengths.sum()))
+        self.part_flat = np.concatenate([self.part_flat, ids])
+        self.part_starts = np.concatenate([self.part_starts, self.part_starts[-1] + np.cumsum(lengths)])
+
     def _learn(self, new: list[bytes]) -> None:
         plan: list[list[str]] = []
-        special = self.special
+        special, word_is_part = self.special, self.word_is_part
         if len(self.parts) > CACHED_PARTS:
-            self.parts = {}
-        whole: list[str] = []
+            self._forget_parts()
         for chunk in new:
-            text = chunk.decode()
-            if not special(text):
-                found = _PARTS.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
+            if word_is_part and chunk.isalpha():      # ASCII letters alone
+                found = [chunk.lower().decode()]
             else:
-                found = ["\n" + text]  # white space is in no part: such a key is the library's whole chunk
-                whole.append(text)
+                text = chunk.decode()
+                if not special(text):
+                    found = _PARTS.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
+                else:
+                    found = ["\n" + text]
             plan.append(found)
-        tokenize = self.tool.model.tokenize
-        for part in dict.fromkeys(filterfalse(self.parts.__contains__, chain.from_iterable(plan))):
-            if part[0] != "\n":
-                spelled = part if part.isascii() else "".join(map(_CHARACTERS.__getitem__, part.encode()))
-                self.parts[part] = [t.id for t in tokenize(spelled)]
-        for at in range(0, len(whole), 4096):
-            part = whole[at:at + 4096]
-            self.parts.update(zip(["\n" + x for x in part], self._by_library(part), strict=True))
-        rows = [list(chain.from_iterable(map(self.parts.__getitem__, found))) for found in plan]
-        base = len(self.starts) - 1
-        self.known.update(zip(new, range(base, base + len(new)), strict=True))
-        lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-        ids = np.fromiter(chain.from_iterable(rows), np.uint32, int(lengths.sum()))
-        self.flat = np.concatenate([self.flat, ids])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+        counts = np.fromiter(map(len, plan), np.int64, len(plan))
+        at = np.fromiter(map(self.parts.__getitem__, chain.from_iterable(plan)), np.int64, int(counts.sum()))
+        self._learn_parts()
+        lengths = self.part_starts[at + 1] - self.part_starts[at]
+        self.flat = np.concatenate([self.flat, self.part_flat[np.repeat(self.part_starts[at], lengths) + ranges(lengths)]])
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum(counts)]
+        self.starts = np.concatenate([self.starts, self.starts[-1] + ends])
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         if not self.by_chunk:
@@ -135,13 +170,18 @@ class Encoder:
         if len(self.known) > CACHED_CHUNKS:
             self._forget()
         split = [t.encode().split() for t in texts]
-        new = list(dict.fromkeys(filterfalse(self.known.__contains__, chain.from_iterable(split))))
-        if new:
-            self._learn(new)
-        for chunks in split:
-            at = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
-            lengths = self.starts[at + 1] - self.starts[at]
-            yield self.flat[np.repeat(self.starts[at], lengths) + ranges(lengths)]
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        try:
+            at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+            if new := self.known.taken():
+                self._learn(new)
+        except BaseException:
+            self._forget()      # numbers without ids must not outlive the error
+            self._forget_parts()
+            raise
+        for chunks in np.split(at, np.cumsum(counts)[:-1]):
+            lengths = self.starts[chunks + 1] - self.starts[chunks]
+            yield self.flat[np.repeat(self.starts[chunks], lengths) + ranges(lengths)]
 
 
 def encoder(path: str) -> Encoder:

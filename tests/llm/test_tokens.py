@@ -120,3 +120,16 @@ def test_empty_tables(table):
     assert packing.packed(empty, WORDS, 2).count() == 0
     assert token_counts.token_counts(empty, PIECES, 5).count() == 0
     assert sentencepiece_codec.coded(empty, PIECES).count() == 0
+
+
+def test_chunks_are_looked_up_once_and_learnt_anew_after_an_error(monkeypatch):
+    tool = packing.Encoder(WORDS)
+    texts = ["One two TWO twos's x1y2 café 中文", "", "two three <s> It's"]
+    want = [tool.tool.encode(t, add_special_tokens=False).ids for t in texts]
+    with monkeypatch.context() as broken:
+        broken.setattr(tool, "_learn_parts", lambda: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            list(tool.encode(texts))
+    for _ in range(2):
+        assert [ids.tolist() for ids in tool.encode(texts)] == want
+    assert not tool.known.taken() and len(tool.starts) == len(tool.known) + 1
