@@ -497,24 +497,31 @@ def _scan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DELIVERY_FILES = 6
+DELIVERY_ROW_GROUP = 8 << 20
 
 
-def _delivered_twice(spark: SparkSession, sf_dir: str, run: str, start: Callable) -> None:
+def _delivered_twice(docs: DataFrame, key: str, run: str, start: Callable) -> None:
     """All documents arrive in several files, a stream reads them in batches and stops; then all arrive
     again, and the stream is started anew on the state it left behind."""
-    docs = table(spark, sf_dir, "documents")
-    arrived = f"{run}/arrived"
+    spark, arrived = docs.sparkSession, f"{run}/arrived"
     for _ in range(2):
-        docs.repartition(DELIVERY_FILES, "doc_id").write.mode("append").parquet(arrived)
+        # Small row groups: each large file of a batch is read by many tasks.
+        docs.repartition(DELIVERY_FILES, key).write.mode("append").option(
+            "parquet.block.size", DELIVERY_ROW_GROUP).parquet(arrived)
         stream_ = (spark.readStream.schema(docs.schema)
                    .option("maxFilesPerTrigger", DELIVERY_FILES // 2).parquet(arrived))
         start(stream_).awaitTermination()
 
 
-def _streamed_findings(docs: DataFrame) -> DataFrame:
-    raw = as_code(docs).selectExpr(
-        "repo", "path", "encode(text, 'UTF-8') AS content").selectExpr(
-        "repo", "path", "cast(length(content) AS bigint) AS length", "content")
+def _raw_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as raw files. It is derived before it is delivered: a stream that derived it would do so
+    again in each test of a file."""
+    docs = table(spark, sf_dir, "documents")
+    coded = as_code(docs).selectExpr("repo", "path", "encode(text, 'UTF-8') AS content")
+    return coded.selectExpr("repo", "path", "cast(length(content) AS bigint) AS length", "content")
+
+
+def _streamed_findings(raw: DataFrame) -> DataFrame:
     return stream.stream_findings(raw, ScanOptions(max_file_bytes=1 << 30))
 
 
@@ -522,8 +529,8 @@ def _stream_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of documents that arrive twice: each fingerprint comes out once, across batches and a
     restart."""
     run = run_folder(spark, "stream-unseen")
-    _delivered_twice(spark, sf_dir, run, lambda docs: stream.run_available(
-        stream.first_seen(_streamed_findings(docs)), f"{run}/out", f"{run}/state"))
+    _delivered_twice(_raw_corpus(spark, sf_dir), "path", run, lambda raw: stream.run_available(
+        stream.first_seen(_streamed_findings(raw)), f"{run}/out", f"{run}/state"))
     rows = spark.read.parquet(f"{run}/out")
     return big(rows.select("repo", "path", "rule_id", "line", "message", "evidence", "confidence",
                            "fingerprint"))
@@ -533,8 +540,8 @@ def _stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running counts of findings by repo and rule, kept across batches and a restart."""
     run = run_folder(spark, "stream-counts")
     keys = ("repo", "rule_id")
-    _delivered_twice(spark, sf_dir, run, lambda docs: stream.run_counts(
-        _streamed_findings(docs), keys, f"{run}/out", f"{run}/state"))
+    _delivered_twice(_raw_corpus(spark, sf_dir), "path", run, lambda raw: stream.run_counts(
+        _streamed_findings(raw), keys, f"{run}/out", f"{run}/state"))
     return big(stream.latest_counts(spark, f"{run}/out", keys))
 
 
@@ -553,7 +560,7 @@ def _unscanned(spark: SparkSession, sf_dir: str) -> DataFrame:
         return stream.run_available(
             stream.new_files(files, seen).selectExpr("file_hash", "length(text) AS chars"),
             f"{run}/out", f"{run}/state")
-    _delivered_twice(spark, sf_dir, run, start)
+    _delivered_twice(docs, "doc_id", run, start)
     return big(spark.read.parquet(f"{run}/out"))
 
 

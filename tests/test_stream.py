@@ -1,5 +1,6 @@
 """State of streams across batches, restarts and repeated batches."""
 
+from checks import queries
 from siftspark.streaming import stream
 
 FINDING = "repo string, fingerprint string, rule_id string"
@@ -42,3 +43,16 @@ def test_new_files(spark, tmp_path):
     assert sorted(r["path"] for r in spark.read.parquet(out).collect()) == ["b", "d"]
     # Without an earlier scan, a batch table works as well.
     assert stream.new_files(spark.createDataFrame([("a", "h"), ("b", "h")], schema)).count() == 1
+
+
+def test_delivered_files_are_derived_once_and_read_in_parts(spark, tmp_path):
+    raw = queries._raw_corpus(spark, "/root/testdata/sf0.01")
+    seen = []
+
+    def start(arrived):
+        plan = queries._streamed_findings(spark.read.parquet(f"{tmp_path}/arrived"))._jdf.queryExecution().optimizedPlan().toString()
+        seen.append(plan.count("split(replace("))
+        return stream.run_available(arrived.select("path"), f"{tmp_path}/out", f"{tmp_path}/state")
+    queries._delivered_twice(raw, "path", str(tmp_path), start)
+    assert seen == [0, 0]
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 2 * raw.count()
