@@ -459,11 +459,12 @@ def _report(kind: str) -> Query:
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         catalog = built_in_catalog(spark)
-        found = landed(_enriched(spark, sf_dir, SCOPED), "findings")
-        total = landed(_summary(spark, sf_dir, SCOPED), "summary")
+        once = landed(metrics.scanned(code_files(spark, sf_dir), SCOPED), "scanned")
+        found = landed(findings.enrich(findings.found_in(once, SCOPED), catalog), "findings")
+        total = landed(metrics.summary_of(once), "summary")
         if kind == "json":
             out = exports.export_json(found, total, catalog, SCOPED, generated_at=at,
-                                      languages=metrics.files_by_language(code_files(spark, sf_dir)))
+                                      languages=metrics.files_by_language(once))
         elif kind == "sarif":
             out = exports.export_sarif(found, total, catalog)
         elif kind == "markdown":

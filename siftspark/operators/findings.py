@@ -288,6 +288,11 @@ def findings(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFram
     return _describe(X.rows(matched, found), options, "fingerprint")
 
 
+def found_in(once: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """``findings`` of files that ``metrics.scanned`` has reduced to their findings."""
+    return _describe(X.rows(once, "found"), options, "fingerprint")
+
+
 def enrich(found: DataFrame, catalog: DataFrame) -> DataFrame:
     """Title, severity, category, recommendation and sources come from the catalog.
 

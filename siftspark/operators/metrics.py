@@ -51,12 +51,25 @@ def scan_summary(files: DataFrame, ledger: DataFrame | None = None,
     Each file is reduced to four numbers in the scan itself; the text is read once, its hits are found
     once, and nothing but the numbers is shuffled.
     """
+    return summary_of(scanned(files, options), ledger)
+
+
+def scanned(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """One row per file without its text: lines, number of snippets, and ``found``, its processed findings.
+
+    Written once it gives both the summary (``summary_of``) and the findings (``findings.found_in``).
+    """
     matched = files.selectExpr("repo", "path", "language", "text", f"{deduped_array(options)} AS hits")
-    numbers = matched.selectExpr(
-        "repo", "1L AS files", f"cast(size({T.split_lines('text')}) AS bigint) AS loc",
-        f"cast(size({finding_array(options, hits='hits')}) AS bigint) AS found",
-        f"cast(size({snippet_array(options, bodies=False, hits='hits')}) AS bigint) AS snips",
-        "0L AS skipped")
+    return matched.selectExpr(
+        "repo", "path", "language", f"cast(size({T.split_lines('text')}) AS bigint) AS loc",
+        f"{finding_array(options, hits='hits')} AS found",
+        f"cast(size({snippet_array(options, bodies=False, hits='hits')}) AS bigint) AS snips")
+
+
+def summary_of(once: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """``scan_summary`` of files that are ``scanned`` already."""
+    numbers = once.selectExpr(
+        "repo", "1L AS files", "loc", "cast(size(found) AS bigint) AS found", "snips", "0L AS skipped")
     if ledger is not None:
         numbers = numbers.unionByName(ledger.selectExpr(
             "repo", "0L AS files", "0L AS loc", "0L AS found", "0L AS snips", "1L AS skipped"))

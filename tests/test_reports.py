@@ -129,3 +129,30 @@ def test_every_line_of_the_evidence_counts(spark):
 def test_results_are_written_without_a_setting(spark):
     from siftspark.sources.landing import landed, shared_folder
     assert landed(spark.range(5)).count() == 5 and shared_folder(spark)
+
+
+def test_reports_scan_the_corpus_once(spark, monkeypatch):
+    from checks import queries
+    from siftspark.operators import findings, metrics
+    calls = []
+
+    def counted(*args, **options):
+        calls.append(1)
+        return findings_array(*args, **options)
+    findings_array = findings.deduped_array
+    monkeypatch.setattr(findings, "deduped_array", counted)
+    monkeypatch.setattr(metrics, "deduped_array", counted)
+    for kind in ("json", "sarif", "markdown", "html"):
+        calls.clear()
+        assert queries._report(kind)(spark, "/root/testdata/sf0.001").count() > 0
+        assert len(calls) == 1
+
+
+def test_findings_and_summary_of_one_pass(spark, make_files):
+    from siftspark.operators import findings, metrics
+    files = make_files(("a.py", "logger.info(password)\ntry:\n    x()\nexcept Exception:\n    pass\n"), ("b.java", ""),
+                       ("c.java", "// scan-disable-file LOG-003\nlogger.info(token);\nSystem.out.println(password);"))
+    once = metrics.scanned(files).cache()
+    assert findings.found_in(once).exceptAll(findings.findings(files)).count() == 0
+    assert findings.found_in(once).count() == findings.findings(files).count() > 0
+    assert metrics.summary_of(once).collect() == metrics.scan_summary(files).collect()
