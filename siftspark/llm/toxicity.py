@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,9 @@ DECAY = 1e-6
 STEP = 4.0
 MAX_ROWS = 6_000
 CACHED_WORDS = 100_000
+# What a worker holds besides its batch: the words of so much text, the n-grams of so many words.
+SLICE_BYTES = 1 << 20
+SLICE_WORDS = 8_000
 _EDGES = b".,;:!?\"'()[]{}|"
 _STEPS = mixed(np.arange(1, max(SIZES) + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -82,13 +86,21 @@ class Model:
             cache.clear()
         split = [words(t) for t in texts]
         new = list(dict.fromkeys(itertools.filterfalse(cache.__contains__, itertools.chain.from_iterable(split))))
-        for at in range(0, len(new), 100_000):
-            part = new[at:at + 100_000]
+        for at in range(0, len(new), SLICE_WORDS):
+            part = new[at:at + SLICE_WORDS]
             cache.update(zip(part, self.of_words(part).tolist(), strict=True))
         means = np.array([sum(map(cache.__getitem__, w)) / (len(w) + PRIOR_WORDS) for w in map(set, split)])
         return (1 / (1 + np.exp(-np.clip(means + self.bias, -500, 500)))).tolist()
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, rows) of runs that begin in the same ``SLICE_BYTES`` of text; a run has a row at least."""
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(lengths) - lengths) // SLICE_BYTES
+    starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    yield from ((at, end - at) for at, end in itertools.pairwise([*starts, len(part)]))
+
+
 class _Sums:
     """Sums of rows of a table by group: ``out[group] = sum of factor * table[row]``, and its transpose."""
 
@@ -199,8 +211,8 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         cache: dict[bytes, float] = {}
         for batch in batches:
             texts, column = batch.column("text"), []
-            for at in range(0, len(texts), 1_000):
-                column += model.scores(texts.slice(at, 1_000).to_pylist(), cache)
+            for at, n in _slices(texts):
+                column += model.scores(texts.slice(at, n).to_pylist(), cache)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(column, pa.float64())], ["id", "score"])
 
     source = keyed_text(docs, id_col, text_col)
@@ -214,8 +226,8 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", limit:
         cache: dict[bytes, float] = {}
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
-            for at in range(0, batch.num_rows, 1_000):
-                scores = model.scores([t or "" for t in texts.slice(at, 1_000).to_pylist()], cache)
-                yield batch.slice(at, 1_000).filter(pa.array([x < limit for x in scores], pa.bool_()))
+            for at, n in _slices(texts):
+                scores = model.scores([t or "" for t in texts.slice(at, n).to_pylist()], cache)
+                yield batch.slice(at, n).filter(pa.array([x < limit for x in scores], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

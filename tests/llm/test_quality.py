@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 import string
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siftspark.llm import fingerprints, quality_rules, secret_scan, toxicity
@@ -271,3 +273,28 @@ def test_toxicity_without_labels(table, llm_spark):
     model = toxicity.fitted(table([(1, "x")]), labels, "toxic")
     assert toxicity.scored(table([(1, "x"), (2, None)]), model).count() == 2
     assert toxicity.scored(table([(1, "x")]).filter("false"), model).count() == 0
+
+
+def test_toxicity_scores_many_words_in_little_memory():
+    weights = np.random.default_rng(3).normal(0, 1, toxicity.BUCKETS).astype(np.float32)
+    model = toxicity.Model(weights, 0.1)
+    texts = [" ".join(f"word{k}x{j}" for j in range(150)) if k % 50 else None for k in range(1_000)]
+    batch = pa.record_batch({"doc_id": list(range(len(texts))), "text": texts})
+    taken = {}
+
+    class Docs:
+        schema = None
+
+        def mapInArrow(self, run, schema):
+            taken["run"] = run
+
+    toxicity.without_toxic(Docs(), model, limit=0.5)
+    tracemalloc.start()
+    out = list(taken["run"](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6      # 223 MB when the words of 1,000 texts were scored at once
+    want = [i for i, t in enumerate(texts) if model.scores([t or ""], {})[0] < 0.5]
+    assert pa.Table.from_batches(out).column("doc_id").to_pylist() == want and 0 < len(want) < len(texts)
+    cut = pa.array(["x" * (toxicity.SLICE_BYTES + 1), None, "", "y", "z" * toxicity.SLICE_BYTES, "w"])
+    assert list(toxicity._slices(cut)) == [(0, 1), (1, 4), (5, 1)] and list(toxicity._slices(cut[:0])) == []
