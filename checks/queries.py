@@ -19,7 +19,7 @@ from siftspark.options import ScanOptions
 from siftspark.plans.scan import reviewed, scan_files, with_external
 from siftspark.sources import files as S
 from siftspark.sources.catalog import built_in_catalog
-from siftspark.sources.landing import landed, run_folder
+from siftspark.sources.landing import bucketed, landed, run_folder
 from siftspark.streaming import stream
 
 WINDOW = ScanOptions(block_mode="window")
@@ -351,7 +351,8 @@ def _reviewer(batches):
 def _review_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests over the corpus: some answered by an earlier run, the others asked, asked again, merged.
     The second run over the same folder finds nothing to ask and changes nothing."""
-    requests = landed(external.prompt_bins(code_files(spark, sf_dir), built_in_catalog(spark), WINDOW), "requests")
+    bins = external.prompt_bins(code_files(spark, sf_dir), built_in_catalog(spark), WINDOW)
+    requests = bucketed(bins, ("request_id",), "requests")
     earlier = requests.where("request_id LIKE 'a%' OR request_id LIKE 'b%'").selectExpr(
         "request_id", "if(request_id LIKE 'b%', 'broken', '{\"findings\":[]}') AS text")
     folder = run_folder(spark, "exchange")

@@ -61,26 +61,30 @@ def exchange(requests: DataFrame, reviewer: Callable[[Iterator], Iterator], fold
     ``reviewer`` is a ``mapInPandas`` function from (request_id, attempt, prompt) to (request_id, text).
     ``known`` holds answers of earlier runs by request id: these are not asked. Requests with one id are
     asked once. Rounds are as many as attempts; each writes what it asked before it asks, and what came
-    back before the next begins.
+    back before the next begins. Rounds move ids: prompts stay where they are if ``requests`` are bucketed by
+    ``request_id``, else those of a round that asks anything are shuffled once in it.
     """
     spark = requests.sparkSession
-    single = requests.select("request_id", "prompt").groupBy("request_id").agg(F.min("prompt").alias("prompt"))
-    opened = single.selectExpr("request_id", "'open' AS state", "0 AS attempt", "cast(NULL AS string) AS text")
+    ids = requests.select("request_id").distinct()
+    opened = ids.selectExpr("request_id", "'open' AS state", "0 AS attempt", "cast(NULL AS string) AS text")
     _append(opened.join(events_of(spark, folder).select("request_id").distinct(), "request_id", "left_anti"), folder)
     if known is not None:
-        cached = known.join(single.select("request_id"), "request_id", "left_semi")
+        cached = known.join(ids, "request_id", "left_semi")
         _append(judged(cached.selectExpr("request_id", "0 AS attempt", "text")).where("state = 'answered'"), folder)
     for attempt in range(1, attempts + 1):
         # Asked without an answer: a run that was broken off; asked again under the same number.
         left = states(events_of(spark, folder)).where(
             f"state = 'open' OR (state = 'bad' AND attempts < {attempt}) OR (state = 'asked' AND attempts <= {attempt})")
-        due = single.join(left.select("request_id"), "request_id", "left_semi").withColumn("attempt", F.lit(attempt))
         # The events are written from a table of their own: the folder they are read from grows meanwhile.
         path = f"{folder}-round-{attempt}"
-        due.write.mode("overwrite").parquet(path)
-        due = spark.read.schema(due.schema).parquet(path)
-        _append(due.selectExpr("request_id", "'asked' AS state", "attempt", "cast(NULL AS string) AS text"), folder)
-        answers = due.select("request_id", "attempt", "prompt").mapInPandas(reviewer, "request_id string, text string")
+        ids.join(left.select("request_id"), "request_id", "left_semi").write.mode("overwrite").parquet(path)
+        due = spark.read.schema("request_id string").parquet(path)
+        if due.isEmpty():
+            continue
+        _append(due.selectExpr("request_id", "'asked' AS state", f"{attempt} AS attempt", "cast(NULL AS string) AS text"), folder)
+        asked = requests.select("request_id", "prompt").join(due, "request_id", "left_semi").groupBy("request_id").agg(
+            F.lit(attempt).alias("attempt"), F.min("prompt").alias("prompt"))
+        answers = asked.mapInPandas(reviewer, "request_id string, text string")
         came = f"{folder}-answers-{attempt}"
         answers.write.mode("overwrite").parquet(came)
         answers = spark.read.schema("request_id string, text string").parquet(came)

@@ -125,12 +125,16 @@ def prompt_bins(files: DataFrame, catalog: DataFrame, options: ScanOptions = Sca
     """
     found = each(snippet_array(options), lambda s: struct(
         line="1", phase=f"{s}.phase", seq=f"{s}.seq", payload=f"to_json({_payload(s, options)}, map('ignoreNullFields', 'false'))"))
-    rows = landed(X.rows(files, found).select("repo", "path", "phase", "seq", "payload"), "snippets")
+    file = ("repo", "path")
+    rows = bucketed(X.rows(files, found).select(*file, "phase", "seq", "payload"), file, "snippets")
     order = ("repo", "phase", "path")
     begun = _begun(rows.groupBy(*order).agg(F.count("*").alias("n")), order)
-    in_run = Window.partitionBy(*order).orderBy("seq")      # as many rows as a file has snippets
-    ranked = rows.withColumn("at", F.row_number().over(in_run) - 1).join(begun, list(order)).selectExpr(
-        "repo", "begin + at AS rank", f"(begin + at) div {options.max_snippets} AS bin", "payload")
+    # A row per file and its key alone in the join, so that the counts move and the texts do not.
+    begins = begun.groupBy(*file).agg(F.map_from_entries(F.collect_list(F.struct("phase", "begin"))).alias("begins"))
+    in_run = Window.partitionBy(*file, "phase").orderBy("seq")      # as many rows as a file has snippets
+    ranked = rows.withColumn("at", F.row_number().over(in_run) - 1).join(begins, list(file)).selectExpr(
+        "repo", "begins[phase] + at AS rank", "payload").selectExpr(
+        "repo", "rank", f"rank div {options.max_snippets} AS bin", "payload")
     bins = ranked.groupBy("repo", "bin").agg(
         F.sort_array(F.collect_list(F.struct("rank", "payload"))).alias("held")).selectExpr(
         "repo", "bin + 1 AS batch", "size(held) AS snippets",

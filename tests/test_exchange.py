@@ -1,6 +1,7 @@
 """Requests over several files, and the durable exchange with a reviewer."""
 
 import json
+import re
 
 import pandas as pd
 import pytest
@@ -89,3 +90,13 @@ def test_bins_hold_the_snippets_in_rank_order(spark, limit):
         assert sent == places
     assert len({r["request_id"] for r in found}) == len(found)
     assert external.prompt_bins(files.where("false"), built_in_catalog(spark), options).count() == 0
+
+
+def test_rounds_and_bins_move_no_text_twice(spark, requests, tmp_path):
+    folder = str(tmp_path / "events")
+    exchange.exchange(requests, replies, folder)
+    assert spark.read.parquet(f"{folder}-round-1").columns == ["request_id"]
+    files = spark.createDataFrame([("r", "a.py", "python", "logger.info(password)\n")], "repo string, path string, language string, text string")
+    bins = external.prompt_bins(files, built_in_catalog(spark), ScanOptions(block_mode="window"))
+    dealt = re.findall(r"hashpartitioning\(repo#\d+, (\w+)#", bins._jdf.queryExecution().executedPlan().toString())
+    assert "bin" in dealt and "phase" not in dealt      # snippets go to their bins, not to their ranks before
