@@ -125,23 +125,25 @@ def redact(text: str, rules: tuple[Redaction, ...] = REDACTIONS) -> str:
 
     Marks of a user's own rules must not hold literals of later ones. A rule runs only on a text that holds one of its literals. No mark contains a literal of a later
     rule, so looking at the text before all replacements is enough. The rules that remain are folded
-    over the text: nine replacements inside each other would be tried one by one on every text.
+    over the text: nine replacements inside each other would be tried one by one on every text. Each
+    has an expression of its own, a literal, since Spark compiles one that changes from call to call anew.
     """
-    def folded(t: str, low: str) -> str:
-        odd = has_folding_letters(t)
-        steps = []
-        for rule in rules:
+    def folded(t: str, low: str, odd: str) -> str:
+        acc, rule_ = fresh("a"), fresh("r")
+        steps, cases = [], []
+        for i, rule in enumerate(rules):
             mark = ("$1" + rule.joint if rule.keeps_name else "") + rule.mark
             possible = contains_any(low, rule.needs) if rule.needs else "true"
             if rule.needs and rule.ignore_case:
                 possible = f"({possible} OR {odd})"
-            steps.append(when(possible, struct(find=lit(redaction_java(rule)), mark=lit(mark))))
-        acc, rule_ = fresh("a"), fresh("r")
+            steps.append(when(possible, str(i)))
+            cases.append(f"WHEN {i} THEN regexp_replace({acc}, {lit(redaction_java(rule))}, {lit(mark)})")
         if not steps:
             return t
         return (f"aggregate(array_compact(array({', '.join(steps)})), {t}, ({acc}, {rule_}) ->"
-                f" regexp_replace({acc}, {rule_}.find, {rule_}.mark))")
-    return let(text, lambda t: let(f"lower({t})", lambda low: folded(t, low)))
+                f" CASE {rule_} {' '.join(cases)} ELSE {acc} END)")
+    return let(text, lambda t: let(struct(low=f"lower({t})", odd=has_folding_letters(t)),
+                                   lambda k: folded(t, f"{k}.low", f"{k}.odd")))
 
 
 def fingerprint(rule_id: str, path: str, line: str, evidence: str) -> str:

@@ -1,5 +1,7 @@
 """Rules, redactions, languages and analyzers of a user's own."""
 
+import re
+
 import pytest
 
 from siftspark.functions import patterns as P
@@ -86,3 +88,9 @@ def test_analyzers_of_a_user(spark, make_files):
     found = findings.analyzed(files, (long_lines, long_lines)).collect()
     assert sorted((r["rule_id"], r["line"]) for r in found) == [("LOG-003", 4), ("OWN-7", 1)]
     assert findings.analyzed(files.where("false"), (long_lines,)).count() == 0
+
+
+def test_each_redaction_is_a_literal_of_its_own():
+    """An expression that comes from a variable is compiled anew whenever it differs from the last one."""
+    said = T.redact("text")
+    assert len(re.findall(r"regexp_replace\(\w+, '", said)) == said.count("regexp_replace(") == len(P.REDACTIONS)
