@@ -110,24 +110,29 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = source.selectExpr("id", "th", "char_length(text) AS n").groupBy("id", "th").agg(
         F.max("n").alias("n"), F.count("*").alias("copies"))
     order = written(neighbours(keys.select("id", "th", "n")), "neighbours")
-    asked = order.selectExpr("next_id AS id", "next_th AS th", "id AS for_id", "th AS for_th", "cast(floor(n / 3) AS int) AS m")
-
-    def meets(a: DataFrame, b: DataFrame) -> list:
-        return [a["id"].eqNullSafe(b["id"]), a["th"] == b["th"]]
-
-    heads = source.join(asked, meets(source, asked)).groupBy("for_id", "for_th").agg(
-        F.first(F.expr("substring(text, 1, m)")).alias("head"))
-    heads = heads.selectExpr("for_id AS id", "for_th AS th", "head")
-    edited = source.join(heads, meets(source, heads)).select(source["id"], source["th"], source["text"], "head").selectExpr(
-        "id", "th", "text", "concat(substring(text, 1, char_length(text) - cast(floor(char_length(text) / 3) AS int)), head) AS edited")
+    # From here on a document's key holds no null: what is grouped by it lies as the joins need it, and moves once.
+    key, next_key = ["k", "gone", "th"], ["next_k", "next_gone", "next_th"]
+
+    def keyed(df: DataFrame, *more: str) -> DataFrame:
+        return df.selectExpr("coalesce(id, 0) AS k", "id IS NULL AS gone", "th", *more)
+    texts = keyed(source, "text")
+    step = keyed(order, "coalesce(next_id, 0) AS next_k", "next_id IS NULL AS next_gone", "next_th", "cast(floor(n / 3) AS int) AS m")
+    asked = step.selectExpr("next_k AS k", "next_gone AS gone", "next_th AS th", "k AS for_k", "gone AS for_gone", "th AS for_th", "m")
+    heads = texts.join(asked, key).selectExpr(
+        "for_k AS k", "for_gone AS gone", "for_th AS th", "substring(text, 1, m) AS head").groupBy(key).agg(
+        F.first("head").alias("head"))
+    edited = texts.join(heads, key).selectExpr(
+        *key, "text", "concat(substring(text, 1, char_length(text) - cast(floor(char_length(text) / 3) AS int)), head) AS edited")
+    # Digits are kept and moved as bytes.
     printed = written(edited.selectExpr(
-        "id", "th", "cast(char_length(text) AS bigint) AS n_chars", "sha2(edited, 256) AS edited_sha256",
-        f"{fingerprint('text')} AS fingerprint", f"{fingerprint('edited')} AS edited_fingerprint"), "printed")
-    of_next = printed.groupBy("id", "th").agg(F.first("fingerprint").alias("next_fingerprint"))
-    step = order.select("id", "th", "next_id", "next_th")
-    of_next = step.join(of_next, [step["next_id"].eqNullSafe(of_next["id"]), step["next_th"] == of_next["th"]]).select(
-        step["id"], step["th"], "next_fingerprint")
-    return printed.join(of_next, meets(printed, of_next)).select(
-        printed["id"].alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        *key, "cast(char_length(text) AS bigint) AS n_chars", "unhex(sha2(edited, 256)) AS edited_sha256",
+        f"unhex({fingerprint('text')}) AS fingerprint", f"unhex({fingerprint('edited')}) AS edited_fingerprint"), "printed")
+    of_next = printed.groupBy(*(F.col(k).alias(n) for k, n in zip(key, next_key))).agg(
+        F.first("fingerprint").alias("next_fingerprint"))
+    of_next = step.select(*key, *next_key).join(of_next, next_key).select(*key, "next_fingerprint")
+    digits = ("edited_sha256", "fingerprint", "edited_fingerprint")
+    return printed.join(of_next, key).selectExpr(
+        "CASE WHEN NOT gone THEN k END AS id", "n_chars", *[f"lower(hex({d})) AS {d}" for d in digits], "next_fingerprint").select(
+        F.col("id").alias(id_col), "n_chars", *digits,
         F.expr(likeness("fingerprint", "edited_fingerprint")).alias("near_edited"),
-        F.expr(likeness("fingerprint", "next_fingerprint")).alias("near_next"))
+        F.expr(let("lower(hex(next_fingerprint))", lambda n: likeness("fingerprint", n))).alias("near_next"))

@@ -73,6 +73,19 @@ def test_edited_texts_and_likeness(table, odd_rows):
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
 
 
+def test_edited_texts_move_once(table, odd_rows, llm_spark):
+    """Groups lie as the joins behind them need them, and digits move as bytes."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = llm_spark.conf.get(name)
+    llm_spark.conf.set(name, "-1")
+    try:
+        plan = fingerprints.edited_likeness(table(odd_rows))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        llm_spark.conf.set(name, before)
+    assert plan.count("Exchange hashpartitioning") == 4
+    assert "fingerprint:binary" in plan and "fingerprint:string" not in plan
+
+
 def test_likeness_estimates(table, llm_spark):
     rng = random.Random(2)
     pairs, errors = [], []
