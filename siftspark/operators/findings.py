@@ -18,7 +18,7 @@ from siftspark.functions.sql import each, each_at, keep, keep_at, let, lit, stri
 from siftspark.functions.text import Probe, has_folding_letters, shorten, split_lines, strip
 from siftspark.operators import extract as X
 from siftspark.operators.rules import (
-    EMISSIONS, Emission, custom_hits, custom_literal, custom_possible, emissions, language_mask,
+    EMISSIONS, Emission, Gate, custom_groups, custom_hits, custom_literal, custom_possible, emissions, language_mask,
     rule_mask, table_width,
 )
 from siftspark.options import ScanOptions
@@ -43,29 +43,34 @@ def _emit(hit: str, evidence: str, width: int) -> str:
                          line=f"{hit}.line", evidence=ev)))
 
 
-def _custom_array(options: ScanOptions, lines_: str, text: str, language: str, odd: str) -> str:
-    """Hits on the user's rules, for files that hold literals of any."""
+def _custom_array(options: ScanOptions, lines_: str, language: str, odd: str) -> str:
+    """Hits on the user's rules, group by group: texts that pass the gate, rules they can break, hits of each rule."""
     width = table_width(options.custom_rules)
 
-    def emitted(found: str, line: str, evidence: str) -> str:
-        return let(evidence, lambda ev: each(found, lambda r: struct(
-            ord=f"{r}.base + {line} * {width}L", hit=f"{r}.hit", line=line, evidence=ev)))
-
-    def of(x: str, line: str, rules: str, block: bool, evidence: str) -> str:
-        hits = let(f"lower({x})", lambda low: custom_hits(rules, Probe(x, low, odd), block))
+    def of_lines(gate: Gate) -> str:
+        return keep(each_at(lines_, lambda x, i: struct(line=f"{i} + 1", text=x, low=f"lower({x})")),
+                    lambda h: gate.opens(Probe(f"{h}.text", f"{h}.low", odd)))
+
+    def of_blocks(gate: Gate) -> str:
+        return keep(each(X.block_array(lines_, language, options.block_mode), lambda b: struct(
+            line=f"{b}.line", text=f"{b}.text", low=f"lower({b}.text)")),
+            lambda h: gate.opens(Probe(f"{h}.text", f"{h}.low", odd)))
+
+    def hits(gate: Gate, literal: str) -> str:
+        def emitted(texts: str, rules: str) -> str:
+            return f"flatten({each(rules, lambda r: each(custom_hits(texts, r, odd), lambda h: struct(
+                ord=f'{r}.base + {h}.line * {width}L', hit=f'{r}.hit', line=f'{h}.line',
+                evidence=shorten(f'{h}.text') if gate.block else strip(f'{h}.text'))))})"
+
+        def of(texts: str) -> str:
+            joined = f"array_join({each(texts, lambda h: f'{h}.low')}, {lit(chr(10))})"
+            rules = let(joined, lambda low: custom_possible(literal, low, odd, language))
+            return when(f"size({texts}) > 0", let(rules, lambda rs: emitted(texts, rs)))
         none = "cast(array() AS array<struct<ord:bigint,hit:int,line:int,evidence:string>>)"
-        return let(hits, lambda found: when(
-            f"size({found}) > 0", emitted(found, line, evidence), none))
+        return f"coalesce({let(of_blocks(gate) if gate.block else of_lines(gate), of)}, {none})"
 
-    def hits(rules: str) -> str:
-        by_line = each_at(lines_, lambda x, i: of(x, f"({i} + 1)", rules, False, strip(x)))
-        by_block = each(X.block_array(lines_, language, options.block_mode), lambda b: of(
-            f"{b}.text", f"{b}.line", rules, True, shorten(f"{b}.text")))
-        blocks = when(f"exists({rules}, r -> r.block)", by_block)
-        return f"concat(flatten({by_line}), coalesce(flatten({blocks}), array()))"
-    literal = custom_literal(options.custom_rules, _STEP)
-    rules = let(f"lower({text})", lambda low: custom_possible(literal, low, odd, language))
-    return let(rules, lambda rs: when(f"size({rs}) > 0", hits(rs), "array()"))
+    groups = custom_groups(options.custom_rules)
+    return f"concat({', '.join(hits(gate, custom_literal(gate, own, _STEP)) for gate, own in groups.items())})"
 
 
 def candidate_array(options: ScanOptions, text: str = "text", language: str = "language") -> str:
@@ -90,7 +95,7 @@ def candidate_array(options: ScanOptions, text: str = "text", language: str = "l
             each(line_hits, lambda h: _emit(h, strip(f"{h}.text"), width)),
             each(blocks, lambda h: _emit(h, shorten(f"{h}.text"), width)))
         if options.custom_rules:
-            found = f"concat({found}, {_custom_array(options, lines_, text, language, odd)})"
+            found = f"concat({found}, {_custom_array(options, lines_, language, odd)})"
         return f"array_sort({found})"
 
     known = struct(lines=split_lines(text), odd=has_folding_letters(text),

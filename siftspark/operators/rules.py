@@ -3,12 +3,14 @@
 A rule is data: patterns that must and must not occur in a line, a console call or an exception
 block. The built-in table is compiled into one bit mask per text, so that every pattern is matched
 once and all rules read the same answers. A user adds rules by adding rows (``ScanOptions.custom_rules``,
-``read_rules``), as many as they like: these stay a table that each file narrows to the rules whose literals
-it holds, and a text's hits on them are indexes into it.
+``read_rules``), as many as they like: these stay a table, in groups by the patterns that many of them share.
+A shared pattern is matched once a text; the texts that are left narrow the group to the rules whose literals
+they hold, and hits are indexes into the table.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -156,26 +158,69 @@ def read_redactions(table: DataFrame) -> tuple[P.Redaction, ...]:
     return tuple(P.Redaction(r["body"], r["mark"], needs=tuple(r["needs"] or ())) for r in table.orderBy("ord").collect())
 
 
-def custom_literal(custom_rules: tuple[Rule, ...], step: int) -> str:
-    """The user's rules as a constant array: place in the table, order, scope, languages, patterns."""
+@dataclass(frozen=True)
+class Gate:
+    """What many of the user's rules ask alike: tested once a text, before any of these rules is looked at."""
+
+    block: bool
+    must: tuple[P.Pattern, ...] = ()
+    must_not: tuple[P.Pattern, ...] = ()
+    skip_comments: bool = False
+
+    def opens(self, probe: Probe) -> str:
+        tests = [matches(probe, p) for p in self.must] + [f"NOT {matches(probe, p)}" for p in self.must_not]
+        if self.skip_comments:
+            tests.append(f"NOT {matches(probe, P.COMMENT_LINE)}")
+        return both(tests) if tests else "true"
+
+
+SHARED = 8       # rules that make a pattern worth a test of its own
+GATES = 32       # in one plan; the rules of any further ones are tested one by one
+
+
+def custom_groups(custom_rules: tuple[Rule, ...]) -> dict[Gate, list[tuple[int, Emission]]]:
+    """The user's rules with their places in the table, by what many of them ask alike."""
+    left = list(enumerate(emissions(custom_rules)))[len(EMISSIONS):]
+    out: dict[Gate, list[tuple[int, Emission]]] = {}
+    least = SHARED
+    # Rules whose own mix of patterns is rare are asked again about more frequent ones only.
+    while left and least <= len(left):
+        asked = Counter(("must", p) for _, e in left for p in set(e.rule.must))
+        asked.update(("not", p) for _, e in left for p in set(e.rule.must_not))
+        groups: dict[Gate, list[tuple[int, Emission]]] = {}
+        for at, e in left:
+            groups.setdefault(Gate(
+                e.rule.scope == "block", tuple(p for p in e.rule.must if asked["must", p] >= least),
+                tuple(p for p in e.rule.must_not if asked["not", p] >= least), e.rule.skip_comments), []).append((at, e))
+        large = sorted((g for g in groups if len(groups[g]) >= SHARED), key=lambda g: -len(groups[g]))
+        for gate in large[:max(0, GATES - len(out))]:
+            out.setdefault(gate, []).extend(groups.pop(gate))
+        left = [rule for members in groups.values() for rule in members]
+        least *= 2
+    for at, e in left:
+        out.setdefault(Gate(e.rule.scope == "block"), []).append((at, e))
+    return out
+
+
+def custom_literal(gate: Gate, members: list[tuple[int, Emission]], step: int) -> str:
+    """Rules behind one gate as a constant array: place in the table, order, languages, patterns of their own."""
     def test(p: P.Pattern) -> str:
         groups = [(n,) if isinstance(n, str) else n for n in p.needs]
         needs = ", ".join(strings(g) for g in groups)
         return struct(java=lit(p.java), folds=str(p.ignore_case).lower(),
                       needs=f"array({needs})" if groups else "cast(array() AS array<array<string>>)")
 
-    def tests(patterns: tuple[P.Pattern, ...]) -> str:
-        if patterns:
-            return f"array({', '.join(map(test, patterns))})"
+    def tests(patterns: tuple[P.Pattern, ...], asked: tuple[P.Pattern, ...]) -> str:
+        left = [p for p in patterns if p not in asked]
+        if left:
+            return f"array({', '.join(map(test, left))})"
         return "cast(array() AS array<struct<java:string,folds:boolean,needs:array<array<string>>>>)"
 
-    built = len(EMISSIONS)
     return "array(" + ", ".join(
-        struct(hit=str(built + i), base=f"{(e.analyzer_ord * 2 + e.step) * step + built + i}L",
-               block=str(e.rule.scope == "block").lower(), languages=strings(e.languages),
-               must=tests(e.rule.must), must_not=tests(e.rule.must_not),
-               code=str(e.rule.skip_comments).lower())
-        for i, e in enumerate(emissions(custom_rules)[built:])) + ")"
+        struct(hit=str(at), base=f"{(e.analyzer_ord * 2 + e.step) * step + at}L", languages=strings(e.languages),
+               must=tests(e.rule.must, gate.must), must_not=tests(e.rule.must_not, gate.must_not),
+               code=str(e.rule.skip_comments and not gate.skip_comments).lower())
+        for at, e in members) + ")"
 
 
 def _possible(pattern: str, low: str, odd: str) -> str:
@@ -185,21 +230,22 @@ def _possible(pattern: str, low: str, odd: str) -> str:
 
 
 def custom_possible(literal: str, low: str, odd: str, language: str) -> str:
-    """The user's rules that a file with this lower-cased text and language can break."""
+    """The rules that texts of this language can break whose lower-case forms ``low`` joins."""
     return keep(literal, lambda r: f"array_contains({r}.languages, {language})"
                                    f" AND forall({r}.must, p -> {_possible('p', low, odd)})")
 
 
-def custom_hits(rules: str, probe: Probe, block: bool) -> str:
-    """The rules that apply to one text. All literals are looked for before any expression runs."""
-    comment = matches(probe, P.COMMENT_LINE)
-    return keep(rules, lambda r: (
-        f"{'' if block else 'NOT '}{r}.block"
-        f" AND forall({r}.must, p -> {_possible('p', probe.low, probe.odd)})"
-        f" AND forall({r}.must, p -> rlike({probe.raw}, p.java))"
-        f" AND NOT exists({r}.must_not, p -> {_possible('p', probe.low, probe.odd)}"
-        f" AND rlike({probe.raw}, p.java))"
-        f" AND NOT ({r}.code AND {comment})"))
+def custom_hits(texts: str, rule: str, odd: str) -> str:
+    """The ``struct<text, low>`` that one rule applies to. All literals are looked for before any expression runs.
+
+    The texts are passed over rule by rule, since ``regexp_instr`` keeps its last expression compiled.
+    """
+    return keep(texts, lambda t: (
+        f"forall({rule}.must, p -> {_possible('p', f'{t}.low', odd)})"
+        f" AND forall({rule}.must, p -> regexp_instr({t}.text, p.java) > 0)"
+        f" AND NOT exists({rule}.must_not, p -> {_possible('p', f'{t}.low', odd)}"
+        f" AND regexp_instr({t}.text, p.java) > 0)"
+        f" AND NOT ({rule}.code AND {matches(Probe(f'{t}.text', f'{t}.low', odd), P.COMMENT_LINE)})"))
 
 
 def holds(rule: Rule, probe: Probe, lead: bool = True) -> str:

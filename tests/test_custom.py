@@ -94,3 +94,31 @@ def test_each_redaction_is_a_literal_of_its_own():
     """An expression that comes from a variable is compiled anew whenever it differs from the last one."""
     said = T.redact("text")
     assert len(re.findall(r"regexp_replace\(\w+, '", said)) == said.count("regexp_replace(") == len(P.REDACTIONS)
+
+
+def test_what_many_rules_share_is_tested_once(spark, make_files):
+    """Rules behind a shared expression, a shared exception, both or neither, in lines and blocks, against a plain loop."""
+    words = [f"w{a}{b}" for a in "abc" for b in "abcd"]
+    rules, k = [], 0
+    for scope in ("line", "block"):
+        for must, must_not, skip in ((["call[(]"], [], True), (["call[(]"], ["never"], False), ([], ["never"], False), ([], [], True)):
+            for at, word in enumerate(words if must else words[:9]):
+                rules.append(rule(k, f"X-{k}", scope, [f"{word}[!.]", *must], must_not, [word] if at % 2 else None,
+                                  ["python"] if at == 3 else None, skip))
+                k += 1
+    lines = [f"{'# ' if n % 5 == 0 else ''}{'call(' if n % 3 else ''}{words[n % 12]}{'!.?'[n % 4 % 3]} {words[n * 7 % 12]}."
+             f"{' never' if n % 7 == 0 else ''}" for n in range(60)]
+    lines[10], lines[40] = "except E:", "} catch (E e) {"
+    body = "\n".join(lines)
+    want = []
+    for path, language in (("a.py", "python"), ("B.java", "java")):
+        blocks = [(at + 1, "\n".join(lines[at:at + 14])) for at in (10, 40)]
+        for _, rule_id, scope, languages, must, must_not, _, _, _, _, skip in rules:
+            for line, text in blocks if scope == "block" else enumerate(lines, 1):
+                if (language in (languages or (language,)) and all(re.search(p, text) for p in must)
+                        and not any(re.search(p, text) for p in must_not) and not (skip and re.match(r"\s*(#|//|\*|$)", text))):
+                    want.append((path, rule_id, line))
+    assert hits(spark, make_files, rules, ("a.py", body), ("B.java", body), block_mode="window") == sorted(want) and len(want) > 300
+    own = read_rules(spark.createDataFrame(rules, RULES))
+    text = findings.candidate_array(ScanOptions(custom_rules=own, block_mode="window"))
+    assert text.count(P.Pattern("", "call[(]").java.replace("\\", "\\\\")) <= 4       # one a gate
