@@ -114,10 +114,9 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         f" ELSE concat('```json\\n{{\"findings\":[', {item}, ',\"odd\"]}}\\n```') END AS text")
 
 
-def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+def expected(found: DataFrame) -> DataFrame:
     """Labels for an evaluation: the scan's own findings with every seventh line left out, and one
     invented label for every fifth."""
-    found = findings.raw_findings(code_files(spark, sf_dir), WINDOW)
     lines = ("explode(filter(array(if(line % 7 != 0, line, NULL),"
              " if(line % 5 = 0, line + 100000, NULL)), x -> x IS NOT NULL)) AS line")
     return found.selectExpr("path AS case", "rule_id", lines)
@@ -286,16 +285,21 @@ def _severity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 f"{T.sarif_level('severity')} AS sarif_level"))
 
 
+def _checked(files: DataFrame) -> DataFrame:
+    """Findings of one scan, written: they are judged, and the labels are derived from them."""
+    found = findings.checked_findings(files, WINDOW).select("path", "rule_id", "line", "evidence_valid")
+    return landed(found.withColumn("case", F.col("path")), "checked")
+
+
 def _evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = code_files(spark, sf_dir)
-    found = findings.checked_findings(files, WINDOW).withColumn("case", F.col("path"))
-    return big(metrics.evaluate(found, expected(spark, sf_dir), files))
+    found = _checked(files)
+    return big(metrics.evaluate(found, expected(found), files))
 
 
 def _evaluate_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = code_files(spark, sf_dir)
-    found = findings.checked_findings(files, WINDOW).withColumn("case", F.col("path"))
-    pairs = metrics.confusion(found, expected(spark, sf_dir))
+    found = _checked(code_files(spark, sf_dir))
+    pairs = metrics.confusion(found, expected(found))
     return big(metrics.ratios(metrics.totals(pairs, "rule_id"), "rule_id"))
 
 

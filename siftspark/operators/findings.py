@@ -148,6 +148,11 @@ def raw_findings(files: DataFrame, options: ScanOptions = ScanOptions()) -> Data
     return _describe(X.rows(files, deduped_array(options)), options)
 
 
+def raw_of(once: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """``raw_findings`` of files whose ``hits`` hold ``deduped_array`` already."""
+    return _describe(X.rows(once, "hits"), options)
+
+
 def analyzed(files: DataFrame, analyzers: tuple[Callable[[DataFrame, DataFrame], DataFrame], ...],
              options: ScanOptions = ScanOptions()) -> DataFrame:
     """Processed findings of the rule table and of a user's own analyzers, not yet enriched.
@@ -202,9 +207,18 @@ def _marked(options: ScanOptions, text: str, body) -> str:
                 let(split_lines(text), lambda ls: body(suppression_array(ls, options.directive))))
 
 
+def mark_array(options: ScanOptions) -> str:
+    """The suppressions of a file, null without any directive."""
+    return _marked(options, "text", lambda marks: marks)
+
+
 def suppressions(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
-    found = _marked(options, "text", lambda marks: marks)
-    return X.rows(files, found).select("repo", "path", "rule_id", "scope", "line")
+    return X.rows(files, mark_array(options)).select("repo", "path", "rule_id", "scope", "line")
+
+
+def marks_of(once: DataFrame) -> DataFrame:
+    """``suppressions`` of files whose ``marks`` hold ``mark_array`` already."""
+    return X.rows(once, "marks").select("repo", "path", "rule_id", "scope", "line")
 
 
 def suppress(found: DataFrame, marks: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ class Scan:
     options: ScanOptions
     notes: DataFrame | None = None        # (repo, stage, path, note) of the scan itself
     reviewed: bool = False                # an external review took part
+    unchanged: DataFrame | None = None    # raw_findings as the scan of ``files`` made them
 
     def settled(self) -> Scan:
         """The same scan with its findings written once: reports read them several times."""
@@ -74,9 +75,9 @@ def scan(raw: DataFrame, catalog: DataFrame, options: ScanOptions = ScanOptions(
 def scan_files(files: DataFrame, skipped: DataFrame, catalog: DataFrame,
                options: ScanOptions = ScanOptions()) -> Scan:
     """Scan code files that are already text: files(repo, path, language, text)."""
+    raw = findings.raw_findings(files, options)
     return Scan(
-        files=files, skipped=skipped,
-        raw_findings=findings.raw_findings(files, options),
+        files=files, skipped=skipped, raw_findings=raw, unchanged=raw,
         findings=findings.enrich(findings.findings(files, options), catalog),
         snippets=snippets.snippets(files, options),
         catalog=catalog, options=options,
@@ -91,10 +92,13 @@ def reviewed(result: Scan, responses: DataFrame) -> Scan:
     file is in the notes alone; without answers the findings are the scan's own.
     """
     proposals = landed(external.parse_responses(responses), "proposals")
-    judged = landed(external.judge(proposals, result.files, result.catalog, result.options),
+    # One pass over the corpus: what is found, what is suppressed, and what proposals are tested against.
+    facts = external.facts_of(proposals, result.files, result.options)
+    judged = landed(external.judge(proposals, result.files, result.catalog, result.options, facts),
                     "judged")
-    merged = findings.merge_findings(result.raw_findings, external.accepted(judged, result.options))
-    marks = findings.suppressions(result.files, result.options)
+    own = findings.raw_of(facts, result.options) if result.raw_findings is result.unchanged else result.raw_findings
+    merged = findings.merge_findings(own, external.accepted(judged, result.options))
+    marks = findings.marks_of(facts)
     kept = findings.fingerprint_dedupe(findings.suppress(merged, marks), findings.MERGED_ORDER)
     enriched = findings.enrich(kept, result.catalog).withColumn(
         "recommendation", F.expr("coalesce(own_recommendation, recommendation)")
